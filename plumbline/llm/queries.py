@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, packing, quality, token_counts, token_files, warc
+from . import minhash, mixing, packing, quality, token_counts, token_files, warc
 from ._scratch import materialize, scratch_path
 
 #: Folder of the public tokenizer files; each executor has them.
@@ -40,6 +40,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "positions")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     narrow = materialize(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pack-pieces")
@@ -61,7 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_quality_rules, op5_source_mixing, op8_best_fit_packing, op9_token_files, op10_warc)}
+    return {f.__name__: f for f in (op3_token_counts, op4_quality_rules, op5_source_mixing, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
