@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, minhash, mixing, packing, quality, token_counts, token_files, warc
+from . import ann, minhash, mixing, packing, quality, token_counts, token_files, toxicity, warc
 from ._scratch import materialize, scratch_path
 
 #: Folder of the public tokenizer files; each executor has them.
@@ -31,6 +31,12 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
@@ -70,7 +76,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op3_token_counts, op4_quality_rules, op5_source_mixing, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_toxicity, op3_token_counts, op4_quality_rules, op5_source_mixing, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
