@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, minhash, mixing, packing, quality, token_counts, token_files, toxicity, warc
+from . import ann, minhash, mixing, packing, pii, quality, token_counts, token_files, toxicity, warc
 from ._scratch import materialize, scratch_path
 
 #: Folder of the public tokenizer files; each executor has them.
 TOKENIZERS = os.environ.get("PLUMBLINE_TOKENIZERS", "")
 
+#: The pseudonyms' key; a deployment sets its own.
+PII_KEY = os.environ.get("PLUMBLINE_PII_KEY", "plumbline-test-key")
+
 
 def tokenizer(name: str) -> str:
     if TOKENIZERS:
@@ -51,6 +54,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "positions")
 
 
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", "text", F.size("pseudonyms").cast("long").alias("n_pseudonyms"), "pseudonyms")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -76,7 +84,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_toxicity, op3_token_counts, op4_quality_rules, op5_source_mixing, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_toxicity, op3_token_counts, op4_quality_rules, op5_source_mixing, op6_pseudonyms, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
