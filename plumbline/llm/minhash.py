@@ -239,3 +239,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+
+
+def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stand for their component, one row a doc_id, all columns as they were. Rows without doc_id stay."""
+    ids = near_duplicates(docs, text, doc_id, size, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept"))
+    key = F.col(f"`{doc_id}`")
+    kept = docs.join(ids, key.cast("long") == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    return kept.unionByName(docs.filter(key.isNull()))

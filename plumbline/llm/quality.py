@@ -102,3 +102,24 @@ def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", keep:
     salted = measured.withColumn("_salt", F.pmod(F.xxhash64("n_words", "word_chars", *[f"_k{i}" for i in range(len(keep))]), F.lit(SALTS)).cast("int"))
     out = salted.join(hosts, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_salt") == F.col("_s")))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("rejected")).drop("_host", "_h", "_s", "_salt", "rejected").withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
+
+
+#: So many rejected hosts may be broadcast; beyond, they are joined by shuffle.
+BROADCAST_HOSTS = 20_000
+
+
+def filter_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and whose host isn't rejected, all columns as they were.
+
+    Texts are measured once: rows are written to the shared folder with the verdict, failed ones
+    without their text, and hosts are counted from the two narrow columns.
+    """
+    columns = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    at_text, at_host = docs.columns.index(text), docs.columns.index(host)
+    rows = docs.select(*columns, base_metrics(F.col(f"`{text}`").cast("string")).alias("_m")).withColumn("base_failed", base_failed("_m."))
+    rows = rows.withColumn(f"_c{at_text}", F.when(~F.col("base_failed"), F.col(f"_c{at_text}"))).drop("_m")
+    judged = materialize(rows, "quality-rows")
+    rejected = host_rates(judged, f"_c{at_host}").filter("rejected").select(F.col(f"_c{at_host}").alias("_h"))
+    few = rejected.count() <= BROADCAST_HOSTS
+    kept = judged.filter(~F.col("base_failed")).join(F.broadcast(rejected) if few else rejected, F.col(f"_c{at_host}").eqNullSafe(F.col("_h")), "left_anti")
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

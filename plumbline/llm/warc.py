@@ -14,6 +14,7 @@ archive is committed by Spark and lives in any store that Spark reaches.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -121,12 +122,12 @@ def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BY
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     rows = marked.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(records, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    raw, at = bytes(content), 0
+    """Headers (names in lower case) and block of each record of an archive, compressed or not."""
+    raw, at = gzip.decompress(content) if bytes(content[:2]) == b"\x1f\x8b" else bytes(content), 0
     while at < len(raw):
         end = raw.index(b"\r\n\r\n", at)
         version, *lines = raw[at:end].decode().split("\r\n")
