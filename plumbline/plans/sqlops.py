@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 MACROS = {
-    "EPOCH": ("unix_timestamp(cast({0} as timestamp))", "cast(epoch({0}) as bigint)"),
+    "EPOCH": ("unix_timestamp(cast({0} as timestamp))", "cast(floor(epoch({0})) as bigint)"),
     "IDIV": ("(({0}) div ({1}))", "(({0}) // ({1}))"),
     "MATCHES": ("regexp_like({0}, {1})", "regexp_matches({0}, {1})"),
     "SETJOIN": ("array_join(sort_array(collect_set({0})), ',')", "coalesce(string_agg(distinct {0}, ',' order by {0}), '')"),

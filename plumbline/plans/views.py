@@ -59,7 +59,7 @@ VIEWS: dict[str, str] = {
     "entry_points": "select path as file from @files where k % 50 = 1",
     # Out-degree of at most one: long chains and cycles.
     "chain_edges": """
-        select a.path as from_file, b.path as to_file from @paths a join @paths b on b.k = (a.k * 7 + a.size) % (select count(*) from @part) where a.k <> b.k""",
+        select a.path as from_file, b.path as to_file from @paths a cross join (select count(*) as n from @part) c join @paths b on b.k = (a.k * 7 + a.size) % c.n where a.k <> b.k""",
     "dag_edges": "select a.path as from_file, b.path as to_file from @paths a join @paths b on b.k = IDIV(a.k, 2) where a.k <> b.k",
     "rounds": """
         select user_id as session, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as idx, event_type as action, value,

@@ -6,24 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import degrees, evolution
+from .operators import degrees, evolution, findings, graph, rules, sessions
 from .plans.sqlops import SqlOp, relations_of
 from .plans.views import RELATIONS
 
-FAMILIES = (evolution, degrees)
+FAMILIES = (evolution, degrees, rules, sessions, findings)
 
 
 def _bound(op: SqlOp) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: op.run(spark, **RELATIONS.frames(spark, sf_dir, relations_of(op.sql)))
 
 
+def _kernel(f: Callable[..., DataFrame], names: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frames = RELATIONS.frames(spark, sf_dir, list(names))
+        return f(*(frames[n] for n in names))
+
+    return run
+
+
 def sql_ops() -> dict[str, SqlOp]:
     return {name: op for family in FAMILIES for name, op in family.OPS.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bound(op) for name, op in sql_ops().items()}
+    return {name: _bound(op) for name, op in sql_ops().items()} | {name: _kernel(f, names) for name, (f, names, _) in graph.GRAPH.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: RELATIONS.oracle(op.sql) for name, op in sql_ops().items()}
+    plain = {name: RELATIONS.oracle(op.sql) for name, op in sql_ops().items()}
+    return plain | {name: RELATIONS.oracle(sql, recursive=True) for name, (_, _, sql) in graph.GRAPH.items() if sql}
