@@ -28,11 +28,12 @@ MEMO_ENTRIES = 600_000
 #: Bytes of text that are encoded together; bounds the arrays in memory.
 GROUP_BYTES = 8 << 20
 
-_SPACE_RUN = re.compile(rb"[\t\n\v\f\r ] ")
-#: UTF-8 of the white space outside ASCII.
-_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_SPACE_RUN = r"[\t\n\v\f\r ] "
+#: The white space outside ASCII.
+_WIDE_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters whose lower case is one letter, composed already; then a mark that is a token of its own.
-_WORD_MARK = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)")
+_PLAIN_WORD = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_WORD_MARK = _PLAIN_WORD[:-1] + "[.,]$"
 
 
 class MemoEncoder:
@@ -66,17 +67,17 @@ class MemoEncoder:
             self.memo[word] = raw[at:end]
             at = end
 
-    def _distinct(self, words: list[str]) -> list[bytes]:
-        """The ids of each word."""
-        heads, marks = list(words), [""] * len(words)
-        for i, w in enumerate(words):
-            if m := _WORD_MARK.fullmatch(w, 1 if w[:1] == " " else 0):
-                heads[i], marks[i] = w[: m.end(1)], m[2]
-                if self.lowers:
-                    heads[i] = heads[i].lower()
-        self._learn(heads + [".", ","])
-        memo = self.memo
-        return [memo[h] + memo[m] if m else memo[h] for h, m in zip(heads, marks, strict=True)]
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """For each distinct chunk the numbers of its head and its mark in the list of units; the last unit is empty."""
+        marked = pc.match_substring_regex(words, _WORD_MARK)
+        heads = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
+        if self.lowers:
+            heads = pc.if_else(pc.match_substring_regex(heads, _PLAIN_WORD), pc.utf8_lower(heads), heads)
+        coded = pc.dictionary_encode(heads)
+        n = len(coded.dictionary)
+        stops = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
+        marks = np.where(marked.to_numpy(zero_copy_only=False), np.where(stops, n, n + 1), n + 2)
+        return coded.indices.to_numpy(), marks, coded.dictionary.to_pylist() + [".", ",", ""]
 
     def group(self, texts: pa.Array, counting: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens of each text, and all ids in order (None when counting). Nulls are empty texts."""
@@ -85,31 +86,35 @@ class MemoEncoder:
         if not self.splits:
             whole[:] = True
         elif not self.drops_space:
-            whole[:] = [bool(_SPACE_RUN.search(x)) or (not x.isascii() and bool(_WIDE_SPACE.search(x))) for x in texts.cast(pa.binary()).to_pylist()]
+            whole[:] = pc.or_(pc.match_substring_regex(texts, _SPACE_RUN), pc.match_substring_regex(texts, _WIDE_SPACE)).to_numpy(zero_copy_only=False)
         cut = pc.if_else(pa.array(whole), "", texts) if whole.any() else texts
-        if self.drops_space:
-            lists = pc.ascii_split_whitespace(cut)
-            offsets, flat = lists.offsets.to_numpy(), pc.dictionary_encode(lists.flatten())
-            codes, words = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-        else:
-            lists = pc.split_pattern(cut, " ")
-            offsets, flat = lists.offsets.to_numpy(), pc.dictionary_encode(lists.flatten())
+        lists = pc.ascii_split_whitespace(cut) if self.drops_space else pc.split_pattern(cut, " ")
+        offsets = lists.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        flat = pc.dictionary_encode(lists.flatten())
+        codes, words = flat.indices.to_numpy(), flat.dictionary
+        if not self.drops_space:  # all but a text's first chunk follow a space
             firsts = pc.dictionary_encode(pc.list_element(lists, 0))
-            codes, words = flat.indices.to_numpy().copy(), [f" {x}" for x in flat.dictionary.to_pylist()]
-            codes[offsets[:-1] - offsets[0]] = firsts.indices.to_numpy() + len(words)
-            words += firsts.dictionary.to_pylist()
-        ids = self._distinct(words)
+            codes = codes.copy()
+            codes[offsets[:-1]] = firsts.indices.to_numpy() + len(words)
+            words = pa.concat_arrays([pc.binary_join_element_wise(" ", words, ""), firsts.dictionary])
+        head, mark, units = self._units(words)
+        self._learn(units)
+        ids = list(map(self.memo.__getitem__, units))
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        each = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+        unit = np.empty(2 * len(codes), np.int32)
+        unit[::2], unit[1::2] = head[codes], mark[codes]
+        each = sizes[unit]
         ends = np.concatenate([[0], np.cumsum(each)])
-        counts = np.diff(ends[offsets - offsets[0]])
+        offsets = 2 * offsets.astype(np.int64)
+        counts = np.diff(ends[offsets])
         rest = self.library.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(whole)], add_special_tokens=False) if whole.any() else []
         counts[whole] = [len(x.ids) for x in rest]
         if counting:
             return counts, None
         pool = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
-        out = pool[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])] if len(codes) else np.zeros(0, "<u4")
+        out = pool[np.repeat(starts[unit] - ends[:-1], each) + np.arange(ends[-1])] if len(unit) else np.zeros(0, "<u4")
         if whole.any():
             merged, of_whole = np.empty(int(counts.sum()), "<u4"), np.repeat(whole, counts)
             merged[~of_whole] = out
