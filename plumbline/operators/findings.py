@@ -82,6 +82,5 @@ OPS: dict[str, SqlOp] = {
     "ratio_0_10000": SqlOp("Rounded ratio, 10000 on a zero denominator", "select path, cast(case when lines = 0 then 10000 else round(10000.0 * comments / lines) end as bigint) as score from @files"),
     "safe_ratio": SqlOp("Three decimals, null on a zero denominator", "select path, round(comments / cast(nullif(greatest(blanks - 20, 0), 0) as double), 3) as ratio from @files"),
     "scan_confidence": SqlOp("Kept over candidates and resolved over all, less penalties", "with c as (select count(*) as kept from @files where lang <> 'unknown'), a as (select count(*) as n from @files) select IDIV(cast(round(10000.0 * kept / n) as bigint) * 8, 10) as confidence from c cross join a"),
-    "heat_update": SqlOp("Events by path and day, newest first", "select path, IDIV(ts, 86400) as day_no, count(*) as events from @file_events group by 1, 2"),
     "debounce": SqlOp("Last event of each burst: no other event of the path within the gap", "select path, ts, event_id, kind from (select *, lead(ts) over (partition by path order by ts, event_id) as next_ts from @file_events) e where next_ts is null or next_ts - ts >= 300"),
 }
