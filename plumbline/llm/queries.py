@@ -46,7 +46,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return quality.apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("host_rate")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +87,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_nearest_neighbours, op2_toxicity, op3_token_counts, op4_quality_rules, op5_source_mixing, op6_pseudonyms, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc)}
 
 
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) u(i)),
+h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) x WHERE n >= 2),
+c AS (SELECT r, count(DISTINCT i + k) AS n FROM h, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+m AS (SELECT doc_id, source, len(w) AS n_words, length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN c ON c.r = w.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+s AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS failed FROM b GROUP BY source),
+p AS (SELECT sum(failed) / sum(n) AS m, var_pop(failed / n) AS v FROM s),
+q AS (SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1.0 END AS k FROM p),
+t AS (SELECT source, n, (failed + m * k) / (n + k) AS rate FROM s CROSS JOIN q)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (t.rate >= 0.9 AND t.n >= 20) AS kept FROM b JOIN t ON t.source IS NOT DISTINCT FROM b.source
+"""
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 3, 2))) u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n p ON p.doc_id = x.doc_id JOIN n q ON q.doc_id = y.doc_id GROUP BY x.doc_id, y.doc_id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, w.doc_id = c.c AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = w.doc_id
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT d, max(page_id) AS last_id FROM p WHERE n >= 1000 GROUP BY d)
+SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest, CASE WHEN g.last_id <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN g.last_id <> p.page_id THEN g.last_id END AS refers_to
+FROM p LEFT JOIN g ON g.d = p.d AND p.n >= 1000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries tokenize, hash, permute or learn; they are tested against brute force."""
+    return {"op4_quality_rules": OP4_SQL, "op7_near_duplicates": OP7_SQL, "op10_warc": OP10_SQL}
