@@ -43,7 +43,7 @@ OPS: dict[str, SqlOp] = {
     "obligations": SqlOp("Sites with missing variants", f"select domain, site, missing from ({_OBLIGATION}) o where missing > 0"),
     "state_explicitness": SqlOp("Mean of 1, coverage and full-coverage share of each domain", f"select domain, cast(round(10000.0 * (1.0 + sum(satisfied) / cast(sum(required) as double) + avg(cast(case when missing = 0 then 1 else 0 end as double))) / 3) as bigint) as score_0_10000 from ({_OBLIGATION}) o group by domain"),
     "state_integrity": SqlOp("Domains by score, most burdened first", f"select domain, count(*) as sites, cast(sum(missing) as bigint) as burden, cast(round(10000.0 * sum(satisfied) / sum(required)) as bigint) as score_0_10000 from ({_OBLIGATION}) o group by domain"),
-    "trace_symbol": SqlOp("Where a symbol is written, read or declared", "select 'write' as role, path, line from @writes where STARTS(symbol, 'store.c') union all select 'read', path, line from @reads where STARTS(symbol, 'store.c') union all select 'concept', concept, cast(0 as bigint) from @concept_targets where STARTS(target, 'store.c')"),
+    "trace_symbol": SqlOp("Where a symbol is written, read or declared", "select 'write' as role, path, line from @writes where STARTS(symbol, 'store.nation_15') union all select 'read', path, line from @reads where STARTS(symbol, 'store.nation_15') union all select 'concept', concept, cast(0 as bigint) from @concept_targets where STARTS(target, 'store.nation_15')"),
     "infer_concepts": SqlOp("Symbols that at least two files touch, with a confidence", "select symbol, count(distinct path) as files, least(8000, 5500 + 500 * least(count(distinct path), 4)) as confidence from @reads group by symbol having count(distinct path) >= 2"),
     "severity_bands": SqlOp("Severity by score", f"select key, {_SEVERITY.format('score')} as band from @findings"),
     "ratio_pressure": SqlOp("Scaled pressure over a limit", f"select path, cast({_pressure('lines', LARGE_FILE, 3600)} as bigint) as pressure from @files"),
