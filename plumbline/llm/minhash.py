@@ -8,12 +8,15 @@ densification). Bins are grouped into bands, and documents that agree in a band
    Documents with equal sets are one node from here on, named by the smallest doc_id.
 2. Candidates are stars: each bucket links its members to one centre, so a bucket of n gives n - 1
    pairs, not n * n / 2. Pairs are confirmed on the full sets of both texts.
-3. Components of confirmed links are found. A bucket whose members are still in several components
-   takes further centres, the best linked first, then more at a time, and asks only for pairs
-   between components, until at most one component of the bucket has a member that was no centre
-   yet. So every pair of a bucket is either within one component or was compared: stars lose no link.
-
-Bands are so many that a pair at the threshold shares none of them with probability 5e-6.
+3. Components of confirmed links are found. Where a bucket's members are still in several components,
+   its members outside the largest one are held against all members of other components, within the
+   task that streams the bucket: pairs whose signatures agree in too few bins for the threshold are
+   ruled out, a pair counts only in the first bucket that both share, and the most similar ones of
+   each member are confirmed next, more in each round, until no bucket has a pair left that was not
+   confirmed, ruled out or joined by other links. So stars lose no link.
+
+Bands are so many that a pair at the threshold shares none of them with probability 5e-6, and the
+agreement that rules a pair out has a like probability at the threshold.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ._scratch import materialize, ship
 
@@ -31,10 +34,16 @@ BINS = 128
 ROWS = 4
 #: Members that are compared with a centre in one task; larger stars are split by salts.
 STAR_ROWS = 256
-#: Centres a bucket takes in the first extra round; each round takes four times as many.
-FIRST_CENTRES = 4
-#: So many ids may be broadcast to filter texts (8 bytes each); beyond, the filter is a shuffle join.
-BROADCAST_IDS = 100_000
+#: Pairs of a member that the first extra round confirms; each round takes eight times as many.
+FIRST_PAIRS = 16
+#: Bins that must agree, of BINS, for a pair to be confirmed: 4.4 standard deviations below the threshold's mean.
+LEAST_AGREEING = 74
+#: Sets of fewer shingles are always confirmed: their bins borrow too much to be counted.
+FEW_SHINGLES = 32
+#: Members of a bucket that one task holds; larger buckets are held in several parts.
+BLOCK_ROWS = 4096
+#: In extra rounds so many ids may be broadcast to filter texts (8 bytes each); beyond, texts are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20260101)
 _MULT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,7 +112,7 @@ def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty) and bands (null if empty)."""
+    """doc_id, n_shingles, digest (of the set), bands and bins (16 bits of each bin); the last three are null if the set is empty."""
     ship(docs.sparkSession)
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
 
@@ -117,15 +126,16 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
         for batch in batches:
             for a, b in balanced(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), GROUP_BYTES):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), size)
+                values = [signature(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([bands(signature(s)) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ], names=["doc_id", "n_shingles", "digest", "bands"])
+                    pa.array([None if v is None else bands(v) for v in values], pa.list_(pa.int64())), pa.array([None if v is None else v.astype("<u2").tobytes() for v in values], pa.binary()),
+                ], names=["doc_id", "n_shingles", "digest", "bands", "bins"])
 
-    return narrow.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return narrow.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, percent: int, few: bool = False) -> DataFrame:
     """``pairs`` (member, centre) with ``linked``: whether their full sets are that similar.
 
     Each centre's text is sent once for STAR_ROWS of its members; tasks stream through stars.
@@ -136,9 +146,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int
     centres = stars.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("id"))
     asked = materialize(members.unionByName(centres), "asked-texts")
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
-    ids = asked.select("id").distinct()
-    if asked.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    if few and asked.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(asked.select("id").distinct()), "id", "left_semi")
     rows = asked.join(texts, "id").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind").select("centre", "kind", "id", "t")
 
     def compare(batches: Iterator) -> Iterator:
@@ -194,6 +203,59 @@ def _similar_sizes(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def open_pairs(active: DataFrame, most: int, percent: int) -> DataFrame:
+    """(member, centre, bucket) of pairs across components to confirm; bucket is null unless it has more.
+
+    ``active``: bucket, band, id, n, component, bands and bins of buckets with several components. Each
+    member outside its bucket's largest component gives its ``most`` most similar partners.
+    """
+    ship(active.sparkSession)
+    crowds = active.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.ceil(F.sum("k") / BLOCK_ROWS).cast("int").alias("parts"))
+    rows = active.join(crowds, "bucket").withColumn("outside", F.col("component") != F.col("largest"))
+    columns = ["bucket", "part", "kind", "band", "id", "n", "component", "outside", "bands", "bins"]
+    held = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("kind", F.lit(0)).select(columns)
+    asking = rows.filter("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(1)).select(columns)
+    streamed = held.unionByName(asking).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind")
+
+    def pairs(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        key, parts, own = None, [], None
+        for batch in batches:
+            bucket, part, kind, band, ids, n, component = (batch.column(i).to_numpy() for i in range(7))
+            outside = batch.column(7).to_numpy(zero_copy_only=False)
+            banded = batch.column(8).flatten().to_numpy().reshape(len(ids), -1)
+            bins = np.frombuffer(b"".join(batch.column(9).to_pylist()), "<u2").reshape(len(ids), -1)
+            cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            out = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                if a == b:
+                    continue
+                if (bucket[a], part[a]) != key:
+                    key, parts, own = (bucket[a], part[a]), [], None
+                if kind[a] == 0:
+                    parts.append((ids[a:b], n[a:b], component[a:b], outside[a:b], banded[a:b], bins[a:b]))
+                    continue
+                if own is None:
+                    own = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
+                    parts = []
+                if own is None:
+                    continue
+                for i in range(a, b):
+                    fit = (own[2] != component[i]) & (~own[3] | (own[0] > ids[i])) & (100 * np.minimum(own[1], n[i]) >= percent * np.maximum(own[1], n[i]))
+                    some = np.flatnonzero(fit)
+                    some = some[(own[4][some] == banded[i]).argmax(axis=1) == band[i]]
+                    agreeing = (own[5][some] == bins[i]).sum(axis=1)
+                    agreeing[np.minimum(own[1][some], n[i]) < FEW_SHINGLES] += BINS
+                    ranked = np.lexsort([own[0][some], -agreeing])
+                    ranked = ranked[agreeing[ranked] >= LEAST_AGREEING]
+                    more = int(bucket[i]) if len(ranked) > most else None
+                    out += [(max(x, int(ids[i])), min(x, int(ids[i])), more) for x in own[0][some[ranked[:most]]].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["member", "centre", "bucket"])
+
+    return streamed.mapInArrow(pairs, "member long, centre long, bucket long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document.
 
@@ -205,36 +267,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     sketched = materialize(sketches(docs, text, doc_id, size), "sketches")
-    nodes = sketched.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("component"), F.count("*").alias("rows"))
-    nodes = materialize(nodes.drop("component"), "nodes")
-    dealt = nodes.select(F.explode("bands").alias("bucket"), "id", "n")
+    nodes = sketched.filter("doc_id is not null and digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"))
+    nodes = materialize(nodes, "nodes")
+    dealt = nodes.select(F.posexplode("bands").alias("band", "bucket"), "id", "n")
     buckets = dealt.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1")
-    members = materialize(dealt.join(buckets.select("bucket", "c"), "bucket").select("bucket", "id", "n", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "buckets")
+    members = materialize(dealt.join(buckets.select("bucket", "c"), "bucket").select("bucket", "band", "id", "n", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "buckets")
     pairs = members.filter("id <> centre").filter(_similar_sizes("n", "centre_n", percent)).select(F.col("id").alias("member"), "centre").distinct()
     tried = materialize(confirm(materialize(pairs, "pairs"), docs, text, doc_id, size, percent), "confirmed")
-    done, extra = members.select("bucket", F.col("centre").alias("id")).distinct(), FIRST_CENTRES
+    open_members, most = members.select("bucket", "band", "id", "n"), FIRST_PAIRS
     while True:
-        links = tried.filter("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))
-        found = materialize(components(links), "components")
-        placed = members.select("bucket", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = placed.join(done.withColumn("was_centre", F.lit(True)), ["bucket", "id"], "left")
-        open_id = F.when(F.col("was_centre").isNull(), F.col("component"))
-        active = placed.groupBy("bucket").agg(F.min(open_id).alias("x"), F.max(open_id).alias("y")).filter("x <> y").select("bucket")
-        active = materialize(placed.join(active, "bucket"), "open-buckets")
-        if active.isEmpty():
-            break
-        degrees = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-        crowd = active.groupBy("bucket", "component").agg(F.count("*").alias("crowd"))
-        waiting = active.filter("was_centre is null").join(degrees, "id", "left").join(crowd, ["bucket", "component"])
-        by = W.partitionBy("bucket")
-        ranked = waiting.withColumn("by_degree", F.row_number().over(by.orderBy(F.col("degree").desc_nulls_last(), "id"))).withColumn("by_crowd", F.row_number().over(by.orderBy("crowd", "id")))
-        centres = materialize(ranked.filter((F.col("by_degree") <= (extra + 1) // 2) | (F.col("by_crowd") <= extra)).select("bucket", F.col("id").alias("centre"), F.col("n").alias("centre_n"), F.col("component").alias("centre_component")), "centres")
-        wanted = active.join(centres, "bucket").filter("component <> centre_component").filter(_similar_sizes("n", "centre_n", percent)).select(F.greatest("id", "centre").alias("member"), F.least("id", "centre").alias("centre")).distinct()
+        found = materialize(components(tried.filter("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))), "components")
+        placed = open_members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+        active = placed.join(several, "bucket").join(nodes.select("id", "bands", "bins"), "id")
+        wanted = materialize(open_pairs(active, most, percent), "open-pairs")
         known = tried.select(F.greatest("member", "centre").alias("member"), F.least("member", "centre").alias("centre"))
-        wanted = materialize(wanted.join(known, ["member", "centre"], "left_anti"), "pairs")
-        tried = tried.unionByName(materialize(confirm(wanted, docs, text, doc_id, size, percent), "confirmed"))
-        done = done.unionByName(centres.select("bucket", F.col("centre").alias("id")))
-        extra *= 4
+        fresh = materialize(wanted.select("member", "centre").distinct().join(known, ["member", "centre"], "left_anti"), "pairs")
+        more = wanted.filter("bucket is not null").select("bucket").distinct()
+        if fresh.isEmpty() and more.isEmpty():
+            break
+        tried = tried.unionByName(materialize(confirm(fresh, docs, text, doc_id, size, percent, few=True), "confirmed"))
+        open_members = materialize(open_members.join(more, "bucket", "left_semi"), "open-buckets")
+        most *= 8
+        if open_members.isEmpty():
+            found = materialize(components(tried.filter("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))), "components")
+            break
     classes = nodes.select("digest", "id", "rows").join(found.withColumnRenamed("node", "id"), "id", "left").filter("rows > 1 or component is not null").select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
