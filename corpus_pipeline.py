@@ -6,37 +6,63 @@ again as the next stage's documents. All but the last return the columns of docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import minhash, mixing, packing, pii, quality
-from plumbline.llm._scratch import materialize, scratch_path
+from plumbline.llm import _scratch, minhash, mixing, packing, pii, quality
+from plumbline.llm._scratch import drop_paths, materialize, scratch_path
 from plumbline.llm.queries import PII_KEY, tokenizer
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Scratch tables of the stage before. Its result is written by the time the next stage begins, so they can go then.
+_before: list[str] = []
+
+
+def staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Free the scratch tables of the stage before, unless ``docs`` still reads one of them."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [p.rpartition("/")[2] for p in _before]
+        if _before and not any(n in f for f in docs.inputFiles() for n in names):
+            drop_paths(spark, *_before)
+            _before.clear()
+        made = len(_scratch._made)
+        out = stage(spark, docs, sf_dir)
+        _before.extend(path for _, path in _scratch._made[made:])
+        return out
+
+    return run_stage
 
 
+@staged
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host isn't rejected."""
     return quality.filter_documents(docs)
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id; repeated rows go too."""
     return minhash.drop_duplicates(docs)
 
 
+@staged
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts and n_chars of the new text."""
     done = pii.pseudonymize(docs, PII_KEY, found=None)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@staged
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each time they are taken, ordered by training position."""
     planned = mixing.plan_mixture(docs, keep=docs.columns)
     return mixing.lay_out(planned).select(*docs.columns)
 
 
+@staged
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens, with their ids."""
     pieces = packing.cut_pieces(docs, tokenizer("word_bpe_49k.json"))
