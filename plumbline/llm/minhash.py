@@ -11,9 +11,9 @@ densification). Bins are grouped into bands, and documents that agree in a band
 3. Components of confirmed links are found. Where a bucket's members are still in several components,
    its members outside the largest one are held against all members of other components, within the
    task that streams the bucket: pairs whose signatures agree in too few bins for the threshold are
-   ruled out, a pair counts only in the first bucket that both share, and the most similar ones of
-   each member are confirmed next, more in each round, until no bucket has a pair left that was not
-   confirmed, ruled out or joined by other links. So stars lose no link.
+   ruled out, and a pair counts only in the first bucket that both share. The most similar ones of each
+   member are confirmed next; in buckets that have more, all others are compared on their full sets in
+   the task that holds the bucket's texts. So stars lose no link, and no task emits a bucket's pairs.
 
 Bands are so many that a pair at the threshold shares none of them with probability 5e-6, and the
 agreement that rules a pair out has a like probability at the threshold.
@@ -34,12 +34,14 @@ BINS = 128
 ROWS = 4
 #: Members that are compared with a centre in one task; larger stars are split by salts.
 STAR_ROWS = 256
-#: Pairs of a member that the first extra round confirms; each round takes eight times as many.
-FIRST_PAIRS = 16
+#: Pairs of a member, at least one, that are confirmed before its bucket's texts are brought together.
+FIRST_PAIRS = 8
 #: Bins that must agree, of BINS, for a pair to be confirmed: 4.4 standard deviations below the threshold's mean.
 LEAST_AGREEING = 74
 #: Sets of fewer shingles are always confirmed: their bins borrow too much to be counted.
 FEW_SHINGLES = 32
+#: Partners of a member that are compared in one pass.
+PARTNERS_AT_ONCE = 128
 #: Members of a bucket that one task holds; larger buckets are held in several parts.
 BLOCK_ROWS = 4096
 #: In extra rounds so many ids may be broadcast to filter texts (8 bytes each); beyond, texts are joined by shuffle.
@@ -135,6 +137,24 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
     return narrow.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, bands array<long>, bins binary")
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, not both empty, have 100 * intersection >= ``percent`` * union."""
+    small, large = sorted((a, b), key=len)
+    if not len(small):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both) and both > 0
+
+
+def similar_to(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """``similar`` of one set, not empty, to each of others, none of them empty, in one pass over all of them."""
+    sizes = np.fromiter(map(len, others), np.int64, len(others))
+    flat = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+    return (both > 0) & (100 * both >= percent * (sizes + len(one) - both))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int, percent: int, few: bool = False) -> DataFrame:
     """``pairs`` (member, centre) with ``linked``: whether their full sets are that similar.
 
@@ -169,10 +189,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int
                         continue
                     linked = False
                     for c in own:
-                        small, large = sorted((s, c), key=len)
-                        at = np.searchsorted(large, small)
-                        both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                        linked |= both > 0 and 100 * both >= percent * (len(s) + len(c) - both)
+                        linked |= similar(s, c, percent)
                     out.append((member, centre, linked))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["member", "centre", "linked"])
 
@@ -203,16 +220,18 @@ def _similar_sizes(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def open_pairs(active: DataFrame, most: int, percent: int) -> DataFrame:
+def open_pairs(active: DataFrame, most: int, percent: int, size: int, exact: bool = False) -> DataFrame:
     """(member, centre, bucket) of pairs across components to confirm; bucket is null unless it has more.
 
-    ``active``: bucket, band, id, n, component, bands and bins of buckets with several components. Each
-    member outside its bucket's largest component gives its ``most`` most similar partners.
+    ``active``: bucket, band, id, n, component, bands and bins of buckets with several components, and
+    the text t if ``exact``. Each member outside its bucket's largest component gives its ``most`` most
+    similar partners. If ``exact``, all its partners are compared here on the full sets, a text standing
+    once in a part of its bucket, and only links are given, one for each other component.
     """
     ship(active.sparkSession)
     crowds = active.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.ceil(F.sum("k") / BLOCK_ROWS).cast("int").alias("parts"))
     rows = active.join(crowds, "bucket").withColumn("outside", F.col("component") != F.col("largest"))
-    columns = ["bucket", "part", "kind", "band", "id", "n", "component", "outside", "bands", "bins"]
+    columns = ["bucket", "part", "kind", "band", "id", "n", "component", "outside", "bands", "bins"] + ["t"] * exact
     held = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("kind", F.lit(0)).select(columns)
     asking = rows.filter("outside").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("kind", F.lit(1)).select(columns)
     streamed = held.unionByName(asking).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind")
@@ -227,6 +246,9 @@ def open_pairs(active: DataFrame, most: int, percent: int) -> DataFrame:
             banded = batch.column(8).flatten().to_numpy().reshape(len(ids), -1)
             bins = np.frombuffer(b"".join(batch.column(9).to_pylist()), "<u2").reshape(len(ids), -1)
             cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
+            sets = np.empty(len(ids), object)
+            if exact:
+                sets[:] = shingle_sets(batch.column(10), size)
             out = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
                 if a == b:
@@ -234,7 +256,7 @@ def open_pairs(active: DataFrame, most: int, percent: int) -> DataFrame:
                 if (bucket[a], part[a]) != key:
                     key, parts, own = (bucket[a], part[a]), [], None
                 if kind[a] == 0:
-                    parts.append((ids[a:b], n[a:b], component[a:b], outside[a:b], banded[a:b], bins[a:b]))
+                    parts.append((ids[a:b], n[a:b], component[a:b], outside[a:b], banded[a:b], bins[a:b], sets[a:b]))
                     continue
                 if own is None:
                     own = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else None
@@ -249,6 +271,16 @@ def open_pairs(active: DataFrame, most: int, percent: int) -> DataFrame:
                     agreeing[np.minimum(own[1][some], n[i]) < FEW_SHINGLES] += BINS
                     ranked = np.lexsort([own[0][some], -agreeing])
                     ranked = ranked[agreeing[ranked] >= LEAST_AGREEING]
+                    if exact:
+                        joined: set[int] = set()
+                        partners = some[ranked]
+                        for at in range(0, len(partners), PARTNERS_AT_ONCE):
+                            chunk = [j for j in partners[at : at + PARTNERS_AT_ONCE].tolist() if int(own[2][j]) not in joined]
+                            for j in np.array(chunk)[similar_to(sets[i], [own[6][j] for j in chunk], percent)].tolist() if chunk else []:
+                                if int(own[2][j]) not in joined:
+                                    joined.add(int(own[2][j]))
+                                    out.append((max(int(own[0][j]), int(ids[i])), min(int(own[0][j]), int(ids[i])), None))
+                        continue
                     more = int(bucket[i]) if len(ranked) > most else None
                     out += [(max(x, int(ids[i])), min(x, int(ids[i])), more) for x in own[0][some[ranked[:most]]].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["member", "centre", "bucket"])
@@ -272,26 +304,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     dealt = nodes.select(F.posexplode("bands").alias("band", "bucket"), "id", "n")
     buckets = dealt.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("k")).filter("k > 1")
     members = materialize(dealt.join(buckets.select("bucket", "c"), "bucket").select("bucket", "band", "id", "n", F.col("c.id").alias("centre"), F.col("c.n").alias("centre_n")), "buckets")
-    pairs = members.filter("id <> centre").filter(_similar_sizes("n", "centre_n", percent)).select(F.col("id").alias("member"), "centre").distinct()
+    # A member is first compared with the centre that it meets most often; the rest is left to the rounds below.
+    met = members.filter("id <> centre").filter(_similar_sizes("n", "centre_n", percent)).groupBy(F.col("id").alias("member"), "centre").agg(F.count("*").alias("k"))
+    pairs = met.groupBy("member").agg(F.max(F.struct("k", (-F.col("centre")).alias("c")))["c"].alias("c")).select("member", (-F.col("c")).alias("centre"))
     tried = materialize(confirm(materialize(pairs, "pairs"), docs, text, doc_id, size, percent), "confirmed")
-    open_members, most = members.select("bucket", "band", "id", "n"), FIRST_PAIRS
-    while True:
-        found = materialize(components(tried.filter("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))), "components")
-        placed = open_members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        return materialize(components(links.select(F.col("member").alias("a"), F.col("centre").alias("b"))), "components")
+
+    def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+        placed = rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-        active = placed.join(several, "bucket").join(nodes.select("id", "bands", "bins"), "id")
-        wanted = materialize(open_pairs(active, most, percent), "open-pairs")
-        known = tried.select(F.greatest("member", "centre").alias("member"), F.least("member", "centre").alias("centre"))
-        fresh = materialize(wanted.select("member", "centre").distinct().join(known, ["member", "centre"], "left_anti"), "pairs")
-        more = wanted.filter("bucket is not null").select("bucket").distinct()
-        if fresh.isEmpty() and more.isEmpty():
-            break
-        tried = tried.unionByName(materialize(confirm(fresh, docs, text, doc_id, size, percent, few=True), "confirmed"))
-        open_members = materialize(open_members.join(more, "bucket", "left_semi"), "open-buckets")
-        most *= 8
-        if open_members.isEmpty():
-            found = materialize(components(tried.filter("linked").select(F.col("member").alias("a"), F.col("centre").alias("b"))), "components")
-            break
+        return placed.join(several, "bucket").join(nodes.select("id", "bands", "bins"), "id")
+
+    links = tried.filter("linked").select("member", "centre")
+    found = grouped(links)
+    # The most similar partners of members that are apart, confirmed as pairs.
+    rows = members.select("bucket", "band", "id", "n")
+    wanted = materialize(open_pairs(still_open(rows, found), FIRST_PAIRS, percent, size), "open-pairs")
+    known = tried.select(F.greatest("member", "centre").alias("member"), F.least("member", "centre").alias("centre"))
+    fresh = materialize(wanted.select("member", "centre").distinct().join(known, ["member", "centre"], "left_anti"), "pairs")
+    links = links.unionByName(materialize(confirm(fresh, docs, text, doc_id, size, percent, few=True), "confirmed").filter("linked").select("member", "centre"))
+    found = grouped(links)
+    # Buckets that had more partners than that: all of them, compared where the bucket's texts are.
+    rest = materialize(still_open(rows.join(wanted.filter("bucket is not null").select("bucket").distinct(), "bucket", "left_semi"), found), "open-buckets")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    if rest.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(rest.select("id").distinct()), "id", "left_semi")
+    last = materialize(open_pairs(rest.join(texts, "id"), 0, percent, size, exact=True).select("member", "centre"), "last-links")
+    found = grouped(links.unionByName(last))
     classes = nodes.select("digest", "id", "rows").join(found.withColumnRenamed("node", "id"), "id", "left").filter("rows > 1 or component is not null").select(F.col("digest").alias("_digest"), F.coalesce("component", "id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes, F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
