@@ -51,11 +51,11 @@ VIEWS: dict[str, str] = {
     "import_edges": """
         select distinct p.path as from_file, q.path as to_file
         from @line_positions a join @line_positions b on a.commit_id = b.commit_id and b.pos = a.pos + 1 join @paths p on p.k = a.k join @paths q on q.k = b.k
-        where a.k <> b.k and a.commit_id % 4 = 0""",
+        where a.k <> b.k""",
     "call_edges": """
         select distinct p.path as from_file, q.path as to_file
         from @line_positions a join @line_positions b on a.commit_id = b.commit_id and b.pos = a.pos + 2 join @paths p on p.k = a.k join @paths q on q.k = b.k
-        where a.k <> b.k and a.commit_id % 8 = 0""",
+        where a.k <> b.k""",
     "entry_points": "select path as file from @files where k % 50 = 1",
     # Out-degree of at most one: long chains and cycles.
     "chain_edges": """
