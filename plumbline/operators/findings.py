@@ -15,6 +15,34 @@ _OBLIGATION = f"select c.domain, c.site, n.variants as required, c.covered as sa
 _RANK = "case severity when 'high' then 3 when 'medium' then 2 else 1 end"
 _TRUST = "case trust when 'trusted' then 2 when 'watchpoint' then 1 else 0 end"
 _ORDER = f"{_RANK} desc, {_TRUST} desc, score desc, scope, kind, key"
+_PRESENTATION = "case when trust = 'experimental' then 'experimental' when trust = 'watchpoint' then 'watchpoint' when score < 2000 then 'hardening_note' else 'structural_debt' end"
+_LEVERAGE = "case when trust = 'experimental' then 'experimental' when kind = 'cycle_cluster' and score >= 5000 then 'architecture_signal' when kind = 'clone_family' then 'local_refactor_target' when severity = 'high' then 'architecture_signal' when score < 2000 then 'hardening_note' else 'secondary_cleanup' end"
+#: Orders of leverage and presentation as the reference's docs/v2/validation-loop.md lists them; its policy file isn't in the tree.
+LEVERAGES = "architecture_signal local_refactor_target boundary_discipline regrowth_watchpoint secondary_cleanup hardening_note tooling_debt experimental".split()
+PRESENTATIONS = "structural_debt guarded_facade watchpoint hardening_note tooling_debt experimental".split()
+
+
+def _place(value: str, names: list[str]) -> str:
+    return f"case {value} " + " ".join(f"when '{x}' then {i}" for i, x in enumerate(names)) + f" else {len(names)} end"
+
+
+_BRIEF = f"{_RANK} desc, {_place(f'({_LEVERAGE})', LEVERAGES)}, {_place(f'({_PRESENTATION})', PRESENTATIONS)}, {_TRUST} desc, score desc, scope, kind, key"
+
+
+def _first(place: str, limit: int | None) -> str:
+    return "" if limit is None else f" where {place} <= {int(limit)}"
+
+
+def brief_ranking(limit: int | None = None) -> SqlOp:
+    """All findings in brief order, or the caller's ``limit`` first."""
+    ranked = f"select key, kind, row_number() over (order by {_BRIEF}) as rank_no from @findings"
+    return SqlOp("Rank of each finding in brief order", f"select key, kind, rank_no from ({ranked}) x{_first('rank_no', limit)}")
+
+
+def clone_hints(limit: int | None = None) -> SqlOp:
+    """All hints in turn across kinds, or the caller's ``limit`` first."""
+    turns = "select kind, key, row_number() over (partition by kind order by score desc, key) as rk from @findings"
+    return SqlOp("Hints in turn across kinds", f"select key, hint_no from (select key, row_number() over (order by rk, kind) as hint_no from ({turns}) x) y{_first('hint_no', limit)}")
 
 
 def _pressure(value: str, limit: int, most: int) -> str:
@@ -58,13 +86,13 @@ OPS: dict[str, SqlOp] = {
     "merge_findings": SqlOp("The 100 first of all findings in report order", f"select key, kind, severity, score from (select * from @findings union all select * from @baseline_findings) u order by {_ORDER} limit 100"),
     "issue_ranking": SqlOp("Rank of each finding in report order", f"select key, row_number() over (order by {_ORDER}) as rank_no from @findings"),
     "top_actions": SqlOp("The three first trusted findings", f"select key, row_number() over (order by {_ORDER}) as priority from @findings where trust = 'trusted' order by priority limit 3"),
-    "brief_ranking": SqlOp("The ten first findings in brief order", f"select key, kind from @findings order by {_ORDER} limit 10"),
+    "brief_ranking": brief_ranking(),
     "unique_by_scope": SqlOp("First finding of each scope", f"select scope, key from (select *, row_number() over (partition by scope order by {_ORDER}) as rk from @findings) x where rk = 1"),
     "candidate_order": SqlOp("Place of each finding within its kind", "select kind, key, row_number() over (partition by kind order by score desc, key) as place from @findings"),
-    "presentation_class": SqlOp("Presentation by the first case that fits", "select key, case when trust = 'experimental' then 'experimental' when trust = 'watchpoint' then 'watchpoint' when score < 2000 then 'hardening_note' else 'structural_debt' end as presentation from @findings"),
-    "leverage_class": SqlOp("Leverage by the first case that fits", "select key, case when trust = 'experimental' then 'experimental' when kind = 'cycle_cluster' and score >= 5000 then 'architecture_signal' when kind = 'clone_family' then 'local_refactor_target' when severity = 'high' then 'architecture_signal' when score < 2000 then 'hardening_note' else 'secondary_cleanup' end as leverage from @findings"),
+    "presentation_class": SqlOp("Presentation by the first case that fits", f"select key, {_PRESENTATION} as presentation from @findings"),
+    "leverage_class": SqlOp("Leverage by the first case that fits", f"select key, {_LEVERAGE} as leverage from @findings"),
     "clone_family_signal": SqlOp("Clone families by trust", "select key, case when score >= 6500 then 'trusted' else 'watchpoint' end as tier from @findings where kind = 'clone_family'"),
-    "clone_hints": SqlOp("Hints in turn across kinds", "select key, row_number() over (order by rk, kind) as hint_no from (select kind, key, row_number() over (partition by kind order by score desc, key) as rk from @findings) x where rk <= 3"),
+    "clone_hints": clone_hints(),
     "coordination_hotspot": SqlOp("Scores of at least 3000 with severity", "select file, score, case when score >= 6500 then 'high' else 'medium' end as severity from @findings where score >= 3000"),
     "watchpoints": SqlOp("Pressure by scope: concept and hotspot findings together", "select scope, count(*) as signals, max(score) as top_score from @findings where trust <> 'experimental' group by scope having count(*) >= 2"),
     "report_ranking": SqlOp("Additive ranking", f"select key, {_RANK} * 1000 + {_TRUST} * 200 + IDIV(score, 100) as ranking from @findings"),
