@@ -3,8 +3,8 @@
 Numbers are found by one pattern, validated, and permuted with a key within their own format, so a
 value becomes the same pseudonym in every document and two values never become one:
 
-* card numbers (13 to 19 digits that pass the Luhn check): all digits but the last are permuted, the
-  last is the new check digit; spaces and hyphens stay;
+* card numbers (13 to 19 digits that pass the Luhn check, between group boundaries of a run of digits):
+  all digits but the last are permuted, the last is the new check digit; spaces and hyphens stay;
 * North American phone numbers: area, exchange and line within their valid ranges; other phone
   numbers after a + : all digits but the country code's first;
 * social security numbers, within the valid areas, groups and serials;
@@ -16,7 +16,7 @@ value becomes the same pseudonym in every document and two values never become o
 * access keys (AKIA and 16 of A-Z0-9): the 16, likewise.
 
 A domain is m * n values; eight rounds add a keyed digest of one side to the other, which permutes it
-for any m and n. Everything is built-in SQL; texts without a digit or an @ are passed through.
+for any m and n. Everything is built-in SQL; texts without a digit, an @ or AKIA are passed through.
 """
 
 from __future__ import annotations
@@ -35,10 +35,16 @@ DAY_DATE = r"(?<![\w./])(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19|20
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w|-\d)"
 WORLD_PHONE = r"(?<![\w+])\+[1-9](?:[ .()-]{0,2}\d){7,14}(?!\w)"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?!\w|-\d)"
 #: The date pattern's group would shift with others before it, so it is written out for the joined pattern.
 _DAY_DATE = DAY_DATE.replace(r"([./])", "[./]").replace(r"\1", "[./]")
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, IPV4, ISO_DATE, _DAY_DATE, SSN, PHONE, WORLD_PHONE, CARD))
+OTHER = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, IPV4, ISO_DATE, _DAY_DATE, SSN, PHONE, WORLD_PHONE))
+#: What starts with a group of digits and goes on with other characters; a run of digits ends before it.
+_MIXED = rf"{EMAIL}|{IPV4}|{_DAY_DATE}|(?:1[ .-])?[2-9]\d\d(?:\.[2-9]\d\d[ .-]|[ -][2-9]\d\d\.)\d{{4}}(?!\w|-\d)"
+#: All groups of digits that one space or hyphen joins, 13 digits or more; possessive, as its length has no bound.
+RUN = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:[ -](?!{_MIXED})\d++(?!\w))*+"
+#: How cards are usually written; such a span comes before others that pass the Luhn check.
+CARD_LAYOUT = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+ANY = f"{OTHER}|(?:{RUN})"
 DATE_DAYS = 73_200
 
 
@@ -121,13 +127,73 @@ def luhn_digit(digits: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
-        body = F.substr(d, F.lit(1), F.length(d) - 1)
-        new = let(permuted_digits(body, key, "card"), lambda b: F.concat(b, luhn_digit(b)))
-        return F.when(luhn_digit(body) == F.substr(d, F.length(d), F.lit(1)), write_back(m, "0-9", new)).otherwise(m)
+        new = let(permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda b: F.concat(b, luhn_digit(b)))
+        return write_back(m, "0-9", new)
 
     return let(_digits(m), of)
 
 
+def _passes_luhn(digits: Column) -> Column:
+    return luhn_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits), F.lit(1))
+
+
+def card_pieces(run: Column) -> Column:
+    """The pieces (t, kind) of a run of digits in order: its cards have the kind card, the text between them none.
+
+    Left to right, from each group the usual layout or else the longest span that passes the Luhn check; a span
+    gives way to a card of usual layout that begins within it.
+    """
+    group = "struct<n: int, usual: boolean>"
+    made = "struct<pieces: array<struct<t: string, kind: string>>, gap: string, until: int>"
+
+    def spans(tokens: Column, i: Column) -> Column:
+        """The (n, usual) of the spans from group i that pass."""
+        lengths = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(tokens) - i + 1)), lambda n: F.length(_digits(F.array_join(F.slice(tokens, i, n), ""))).between(13, 19))
+        written = F.transform(lengths, lambda n: F.struct(n.alias("n"), F.regexp_replace(F.array_join(F.slice(tokens, i, n), ""), "^[ -]", "").alias("t")))
+        passed = F.filter(written, lambda x: _passes_luhn(_digits(x["t"])))
+        return F.transform(passed, lambda x: F.struct(x["n"].cast("int").alias("n"), x["t"].rlike(CARD_LAYOUT).alias("usual")))
+
+    def cut(x: Column) -> Column:
+        tokens, found = x["tokens"], x["spans"]
+        usual_at = lambda k: F.exists(F.element_at(found, k), lambda c: c["usual"])
+        clear = lambda i, n: (n == 1) | ~F.exists(F.sequence(i + 1, i + F.greatest(n - 1, F.lit(1))), lambda k: (k < i + n) & usual_at(F.least(k, F.size(found))))
+
+        def step(v: Column, i: Column) -> Column:
+            token = F.element_at(tokens, i)
+            mine = F.filter(F.element_at(found, i), lambda c: c["usual"] | clear(i, c["n"]))
+            best = F.array_max(F.transform(mine, lambda c: F.struct(c["usual"].alias("usual"), c["n"].alias("n"))))
+
+            def take(b: Column) -> Column:
+                card = F.array_join(F.slice(tokens, i, F.coalesce(b["n"], F.lit(1))), "")
+                gap = F.concat(v["gap"], F.regexp_extract(token, "^[ -]?", 0))
+                pieces = F.concat(v["pieces"], F.array(F.struct(gap.alias("t"), F.lit(None).cast("string").alias("kind")), F.struct(F.regexp_replace(card, "^[ -]", "").alias("t"), F.lit("card").alias("kind"))))
+                taken = F.struct(pieces.alias("pieces"), F.lit("").alias("gap"), (i + b["n"]).alias("until")).cast(made)
+                left = F.struct(v["pieces"].alias("pieces"), F.concat(v["gap"], token).alias("gap"), v["until"].alias("until")).cast(made)
+                return F.when(b.isNull(), left).otherwise(taken)
+
+            return F.when(i < v["until"], v).otherwise(let(best, take))
+
+        start = F.struct(F.array().cast("array<struct<t: string, kind: string>>").alias("pieces"), F.lit("").alias("gap"), F.lit(1).alias("until")).cast(made)
+        return F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda v: F.array_append(v["pieces"], F.struct(v["gap"].alias("t"), F.lit(None).cast("string").alias("kind"))))
+
+    def searched(tokens: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: spans(tokens, i)).cast(f"array<array<{group}>>")
+        return let(F.struct(tokens.alias("tokens"), found.alias("spans")), cut)
+
+    return let(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), searched)
+
+
+def pieces_of(text: Column, pattern: str, kind) -> Column:
+    """The pieces (t, kind) of ``text`` in order: matches of ``pattern`` have the kind that ``kind`` gives, the text between them none."""
+
+    def put(x: Column) -> Column:
+        gaps = F.transform(x["gaps"], lambda g: F.struct(g.alias("t"), F.lit(None).cast("string").alias("kind")))
+        matches = F.array_append(F.transform(x["ms"], lambda m: F.struct(m.alias("t"), kind(m).alias("kind"))), F.struct(F.lit("").alias("t"), F.lit(None).cast("string").alias("kind")))
+        return F.flatten(F.zip_with(gaps, matches, lambda a, b: F.array(a, b)))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("ms")), put)
+
+
 def _phone(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
         ten = F.substr(d, F.length(d) - 9, F.lit(10))
@@ -185,8 +251,8 @@ def _access_key(m: Column, key: str) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of a match, by the first pattern that it is a match of as a whole."""
-    out = F.lit("card")
+    """The kind of a match, by the first pattern that it is a match of as a whole; run for a run of digits."""
+    out = F.lit("run")
     for name, pattern in (("world_phone", WORLD_PHONE), ("phone", PHONE), ("ssn", SSN), ("date", DAY_DATE), ("iso_date", ISO_DATE), ("ipv4", IPV4), ("access_key", ACCESS_KEY), ("email", EMAIL)):
         out = F.when(m.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
     return out
@@ -211,21 +277,19 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str | Non
     none = F.array().cast("array<struct<kind: string, pseudonym: string>>")
 
     def changed(s: Column) -> Column:
-        def put(ms: Column) -> Column:
-            made = F.transform(ms, lambda m: let(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("pseudonym"), m.alias("was"))))
-
-            def joined(rows: Column) -> Column:
-                gaps = F.split(s, ANY, -1)
-                new = F.array_append(F.transform(rows, lambda r: r["pseudonym"]), F.lit(""))
-                whole = F.array_join(F.zip_with(gaps, new, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-                kept = F.transform(F.filter(rows, lambda r: r["pseudonym"] != r["was"]), lambda r: F.struct(r["kind"].alias("kind"), r["pseudonym"].alias("pseudonym")))
-                return F.struct(whole.alias("t"), kept.alias("p"))
+        def parts(p: Column) -> Column:
+            between = lambda q: F.when(q["kind"].isNull() & (q["t"] != ""), pieces_of(q["t"], OTHER, kind_of)).otherwise(F.array(q))
+            return F.when(p["kind"] == "run", F.flatten(F.transform(card_pieces(p["t"]), between))).otherwise(F.array(p))
 
-            return F.when(F.size(ms) == 0, F.struct(s.alias("t"), none.alias("p"))).otherwise(let(made, joined))
+        def joined(rows: Column) -> Column:
+            whole = F.array_join(F.transform(rows, lambda r: r["pseudonym"]), "")
+            kept = F.transform(F.filter(rows, lambda r: r["kind"].isNotNull() & (r["pseudonym"] != r["was"])), lambda r: F.struct(r["kind"].alias("kind"), r["pseudonym"].alias("pseudonym")))
+            return F.struct(whole.alias("t"), kept.alias("p"))
 
-        return let(F.regexp_extract_all(s, F.lit(ANY), F.lit(0)), put)
+        pieces = F.flatten(F.transform(pieces_of(s, ANY, kind_of), parts))
+        return let(F.transform(pieces, lambda p: F.struct(p["kind"].alias("kind"), F.when(p["kind"].isNull(), p["t"]).otherwise(pseudonym(p["t"], p["kind"], key)).alias("pseudonym"), p["t"].alias("was"))), joined)
 
-    asked = t.isNotNull() & t.rlike("[0-9@]")
+    asked = t.isNotNull() & t.rlike("[0-9@]|AKIA")
     out = F.when(asked, changed(t)).otherwise(F.struct(t.alias("t"), none.alias("p")))
     done = docs.select("*", out.alias("_pii"))
     columns = [F.col("_pii.t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
