@@ -127,8 +127,12 @@ def dsm_clusters(edges: DataFrame) -> DataFrame:
     return K.connected(both).groupBy("component").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list("node")), ",").alias("members"))
 
 
-def weak_components(edges: DataFrame) -> DataFrame:
-    return K.connected(K.edges_of(edges)).select(F.col("node").alias("path"), "component")
+def weak_components(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """Undirected components that a file which is no test belongs to, such files without edges too; edges of tests join."""
+    sources = files.filter("not is_test").select(F.col("path").alias("node"))
+    linked = K.connected(K.edges_of(edges))
+    found = linked.union(sources.join(linked, "node", "left_anti").select("node", F.col("node").alias("component")))
+    return found.join(found.join(sources, "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("path"), "component")
 
 
 def coupling(import_edges: DataFrame, module_paths: DataFrame) -> DataFrame:
@@ -193,9 +197,22 @@ def whatif_simulate(edges: DataFrame, actions: list[tuple]) -> DataFrame:
     return row.withColumn("improved", ~worse & better)
 
 
-def blast_concentration(edges: DataFrame) -> DataFrame:
-    """1 less the largest blast radius over all files."""
-    return blast_radius(edges).agg(F.round(1 - F.max("blast_radius") / F.count("*"), 6).alias("blast_score"))
+def foundation_files(edges: DataFrame, module_paths: DataFrame, most: float = 0.25, least_modules: int = 2, least_files: int = 5) -> DataFrame:
+    """(path): barrels, files with ``least_files`` dependants, and files of modules of instability of at most ``most`` with ``least_modules`` dependants."""
+    e = edges.select("from_file", "to_file").distinct()
+    m = module_paths.select("path", "module")
+    cross = e.join(m.withColumnsRenamed({"path": "from_file", "module": "a"}), "from_file").join(m.withColumnsRenamed({"path": "to_file", "module": "b"}), "to_file").filter("a <> b").select("a", "b").distinct()
+    ce, ca = cross.groupBy(F.col("a").alias("module")).agg(F.count("*").alias("ce")), cross.groupBy(F.col("b").alias("module")).agg(F.count("*").alias("ca"))
+    stable = ca.join(ce, "module", "left").fillna(0, ["ce"]).filter((F.col("ca") >= least_modules) & (F.col("ce") / (F.col("ca") + F.col("ce")) <= most))
+    wide = e.groupBy(F.col("to_file").alias("path")).agg(F.count("*").alias("n")).filter(F.col("n") >= least_files)
+    return module_paths.filter("is_barrel").select("path").union(m.join(stable, "module", "left_semi").select("path")).union(wide.select("path")).distinct()
+
+
+def blast_concentration(edges: DataFrame, module_paths: DataFrame) -> DataFrame:
+    """1 less the largest blast radius of files that are no foundation, over all files; 1 without such files."""
+    b = materialize(blast_radius(edges))
+    most = b.join(foundation_files(edges, module_paths), "path", "left_anti").agg(F.coalesce(F.max("blast_radius"), F.lit(0)).alias("most"))
+    return b.agg(F.count("*").alias("n")).crossJoin(most).select(F.when(F.col("n") == 0, 1.0).otherwise(F.round(1 - F.col("most") / F.col("n"), 6)).alias("blast_score"))  # two single rows
 
 
 #: name: (operator, its relations in order, its DuckDB SQL or None)
@@ -206,7 +223,7 @@ GRAPH: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {
     "levelization": (levelization, (DAG,), _with(DAG, _REACH, _SCC, _LEVELS) + " select s.node as path, l.level from sccs s join lev l on l.scc = s.scc"),
     "upward_violations": (upward_violations, (CHAIN,), _with(CHAIN, _REACH, _SCC, _SIZES, _LEVELS) + " select e.from_file, x.level as from_level, e.to_file, y.level as to_level from @chain_edges e join sccs a on a.node = e.from_file join sccs b on b.node = e.to_file join lev x on x.scc = a.scc join lev y on y.scc = b.scc join sizes z on z.scc = a.scc where x.level < y.level or (a.scc = b.scc and z.n > 1 and e.from_file <> e.to_file)"),
     "blast_radius": (blast_radius, (CHAIN,), _with(CHAIN, _REACH, _SCC) + " select n.node as path, count(r.s) as blast_radius from nodes n left join reach r on r.d = n.node and r.s <> n.node group by n.node"),
-    "blast_concentration": (blast_concentration, (CHAIN,), _with(CHAIN, _REACH, _SCC) + ", b as (select n.node, count(r.s) as n from nodes n left join reach r on r.d = n.node and r.s <> n.node group by n.node) select round(1 - max(n) / cast(count(*) as double), 6) as blast_score from b"),
+    "blast_concentration": (blast_concentration, (CHAIN, "module_paths"), _with(CHAIN, _REACH, _SCC) + ", b as (select n.node, count(r.s) as n from nodes n left join reach r on r.d = n.node and r.s <> n.node group by n.node), x as (select distinct p.module as a, q.module as b from @chain_edges e join @module_paths p on p.path = e.from_file join @module_paths q on q.path = e.to_file where p.module <> q.module), ce as (select a, count(*) as n from x group by a), ca as (select b, count(*) as n from x group by b), st as (select ca.b as module from ca left join ce on ce.a = ca.b where ca.n >= 2 and coalesce(ce.n, 0) / cast(ca.n + coalesce(ce.n, 0) as double) <= 0.25), f as (select path from @module_paths where is_barrel or module in (select module from st) union select to_file from (select distinct from_file, to_file from @chain_edges) d group by to_file having count(*) >= 5) select round(1 - (select coalesce(max(n), 0) from b where node not in (select path from f)) / cast(count(*) as double), 6) as blast_score from b"),
     "exec_depth": (exec_depth, (DAG, "entry_points"), "with recursive r(path, depth) as (select file, cast(0 as bigint) from @entry_points union select e.to_file, r.depth + 1 from r join @dag_edges e on e.from_file = r.path) select path, min(depth) as depth from r group by path"),
     "attack_surface": (attack_surface, (CHAIN, "entry_points"), "with recursive n as (select from_file as path from @chain_edges union select to_file from @chain_edges), r(path) as (select file from @entry_points where file in (select path from n) union select e.to_file from r join @chain_edges e on e.from_file = r.path) select (select count(*) from r) as reachable, (select count(*) from n) as total"),
     "transitive_tested": (transitive_tested, (CHAIN, "files"), "with recursive r(path) as (select path from @files where is_test union select e.to_file from r join @chain_edges e on e.from_file = r.path) select r.path from r join @files f on f.path = r.path where not f.is_test"),
@@ -216,7 +233,7 @@ GRAPH: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {
     "dsm": (dsm, (DAG,), _with(DAG, _REACH, _SCC, _LEVELS) + ", p as (select s.node, l.level, row_number() over (order by l.level desc, s.node) - 1 as idx from sccs s join lev l on l.scc = s.scc) select a.idx as row, b.idx as col, case when a.level = b.level then 'same' when a.level < b.level then 'above' else 'below' end as side from @dag_edges e join p a on a.node = e.from_file join p b on b.node = e.to_file"),
     "dsm_stats": (dsm_stats, (CHAIN,), _with(CHAIN, _REACH, _SCC) + ", n as (select count(*) as size from nodes), m as (select count(*) as edge_count from @chain_edges), r as (select count(*) as reach from reach where s <> d) select size, edge_count, round(edge_count / cast(size * (size - 1) as double), 6) as density, round(reach / cast(size * (size - 1) as double), 6) as propagation_cost from n cross join m cross join r"),
     "dsm_clusters": (dsm_clusters, ("import_edges",), "with recursive b as (select x.from_file as s, x.to_file as d from @import_edges x join @import_edges y on x.from_file = y.to_file and x.to_file = y.from_file), r(s, d) as (select s, s from b union select r.s, b.d from r join b on b.s = r.d), c as (select s as node, min(d) as component from r group by s) select component, count(*) as size, SETJOIN(node) as members from c group by component"),
-    "weak_components": (weak_components, (CHAIN,), "with recursive b as (select from_file as s, to_file as d from @chain_edges union select to_file, from_file from @chain_edges), r(s, d) as (select s, s from b union select r.s, b.d from r join b on b.s = r.d) select s as path, min(d) as component from r group by s"),
+    "weak_components": (weak_components, (CHAIN, "files"), "with recursive b as (select from_file as s, to_file as d from @chain_edges union select to_file, from_file from @chain_edges), r(s, d) as (select s, s from b union select path, path from @files where not is_test union select r.s, b.d from r join b on b.s = r.d), c as (select s as path, min(d) as component from r group by s) select path, component from c where component in (select c.component from c join @files f on f.path = c.path where not f.is_test)"),
     "coupling_score": (coupling, ("import_edges", "module_paths"), None),
     "stable_modules": (lambda e, m: K.stable_modules(materialize(e.join(m.select(F.col("path").alias("from_file"), F.col("module").alias("from_module")), "from_file").join(m.select(F.col("path").alias("to_file"), F.col("module").alias("to_module")), "to_file").filter("from_module <> to_module").select("from_module", "to_module").distinct())), (CHAIN, "module_paths"), None),
     "best_cycle_break": (best_cycle_break, (CHAIN,), _with(CHAIN, _REACH, _SCC) + ", f as (select to_file, count(*) as n from @chain_edges group by to_file), x as (select a.scc as cycle_id, e.from_file, e.to_file, f.n as fan_in, row_number() over (partition by a.scc order by f.n, e.from_file, e.to_file) as rk from @chain_edges e join sccs a on a.node = e.from_file join sccs b on b.node = e.to_file join f on f.to_file = e.to_file where a.scc = b.scc and e.from_file <> e.to_file) select cycle_id, from_file, to_file, fan_in from x where rk = 1"),
