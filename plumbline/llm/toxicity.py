@@ -38,12 +38,33 @@ GROUP_BYTES = 16 << 20
 _LETTERS = r"[^\pL]+"
 
 
+def lowered(texts):
+    """The texts in lower case, code point by code point, so that offsets stay; nulls are empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), ""))
+
+
+def word_offsets(texts, i: int) -> list[tuple[int, int]]:
+    """Start and end, in code points, of the words of text ``i`` that ``words_of`` has, found by the same pattern."""
+    import pyarrow.compute as pc
+
+    one = lowered(texts.slice(i, 1))
+    text, at, out = one[0].as_py(), 0, []
+    for w in filter(None, pc.split_pattern_regex(one, _LETTERS)[0].as_py()):
+        at = text.index(w, at)
+        out.append((at, at + len(w)))
+        at += len(w)
+    return out
+
+
 def words_of(texts) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Word codes in order, the end of each text's codes (a leading 0 too), and the words in lower case."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.string()), "")), _LETTERS)
+    lists = pc.split_pattern_regex(lowered(texts), _LETTERS)
     offsets, flat = lists.offsets.to_numpy(), pc.dictionary_encode(lists.flatten())
     there = np.array([w != "" for w in flat.dictionary.to_pylist()], bool)
     codes = flat.indices.to_numpy()
@@ -204,7 +225,6 @@ def score(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: Sequ
     def tag(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
-        import regex
 
         from plumbline.llm._tokens import balanced
 
@@ -219,9 +239,9 @@ def score(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: Sequ
                 if with_spans:
                     spans: list[list[dict]] = [[] for _ in range(b - a)]
                     for i in np.flatnonzero(scores >= 0.5).tolist():
-                        found, mine = list(regex.finditer(r"\p{L}+", texts[i].as_py())), p[ends[i] : ends[i + 1]]
-                        if len(found) == len(mine):  # else lower case has split a word; such texts get a score without spans
-                            spans[i] = [{"start": found[j].start(), "end": found[j].end(), "word": found[j][0]} for j in np.flatnonzero(mine >= 0.5).tolist()]
+                        text, found = texts[i].as_py(), word_offsets(texts, i)
+                        toxic = np.flatnonzero(p[ends[i] : ends[i + 1]] >= 0.5).tolist()
+                        spans[i] = [{"start": found[j][0], "end": found[j][1], "word": text[found[j][0] : found[j][1]]} for j in toxic]
                     out.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("word", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, "score"] + ["spans"] * with_spans)
 
