@@ -62,9 +62,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker. Spark's own default, 64 MB, is held several times over on either side.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per Spark context."""
+    """Give the executors' Python workers this package, once per Spark context, and have batches bounded by bytes."""
     sc = spark.sparkContext
+    if int(spark.conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
     if getattr(sc, "_plumbline_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]

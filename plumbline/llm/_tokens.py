@@ -10,7 +10,8 @@ texts is looked up once, and only chunks never seen before reach the library.
   white space outside ASCII, goes to the library whole.
 * A chunk of letters and one full stop or comma is looked up as its two parts.
 
-The memo is bounded: it takes no more than ``MEMO_ENTRIES`` chunks and then starts anew.
+The memo is one Arrow array of chunks beside one array of their ids, bounded by bytes: beyond
+``MEMO_BYTES`` the chunks that no recent group has used go. New chunks reach the library in slices.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_ENTRIES = 600_000
+#: Bytes of chunks, ids and numbers that the memo keeps between groups.
+MEMO_BYTES = 24 << 20
+#: Chunks that the library takes in one call; its own records of tokens are many times their ids.
+LEARN_AT_ONCE = 20_000
 #: Bytes of text that are encoded together; bounds the arrays in memory.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 
 _SPACE_RUN = r"[\t\n\v\f\r ] "
 #: The white space outside ASCII.
@@ -50,34 +54,74 @@ class MemoEncoder:
         self.drops_space = _drops_space(spec)
         self.splits = self.drops_space or _byte_level(spec)
         self.lowers = [x.get("type") for x in _parts(spec, "normalizer", "normalizers")][-1:] == ["Lowercase"]
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        fresh = list(set(words).difference(self.memo))
-        if len(self.memo) + len(fresh) > MEMO_ENTRIES:
-            self.memo.clear()
-            fresh = list(set(words))
-        if not fresh:
-            return
-        got = self.library.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(fresh))) * 4
-        raw = np.array(got.ids, "<u4").tobytes()
-        at = 0
-        for word, end in zip(fresh, ends.tolist(), strict=True):
-            self.memo[word] = raw[at:end]
-            at = end
-
-    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """For each distinct chunk the numbers of its head and its mark in the list of units; the last unit is empty."""
+        self.begins = None if self.drops_space or not self.splits else self._space_tokens()
+        self.known = pa.array([], pa.string())
+        self.pool = np.zeros(0, np.uint32)
+        self.sizes = self.used = np.zeros(0, np.int32)
+        self.now = 0
+
+    def _space_tokens(self) -> np.ndarray:
+        """Whether a token begins with the byte of a space; a chunk that begins with its only space has one such token, its first."""
+        vocabulary = self.library.get_vocab(True)
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
+        return out
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in order and how many each has."""
+        if self.begins is not None and words[0].startswith(" "):  # no offsets or words are recorded here: a third less time
+            ids = np.array(self.library.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            firsts = np.flatnonzero(self.begins[ids])
+            if len(firsts) == len(words) and firsts[0] == 0:
+                return ids, np.diff(firsts, append=len(ids)).astype(np.int32)
+        got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(got.ids, np.uint32), np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)).astype(np.int32)
+
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """Where in the memo each of the distinct ``units`` stands; all of them stand in it afterwards."""
+        self.now += 1
+        at = pc.index_in(units, value_set=self.known)
+        missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+        self.used[at.drop_null().to_numpy()] = self.now
+        if not missing.any():
+            return at.to_numpy()
+        if self.known.nbytes + self.pool.nbytes + self.sizes.nbytes + self.used.nbytes > MEMO_BYTES:
+            self._forget()
+            at = pc.index_in(units, value_set=self.known)
+            missing = pc.is_null(at).to_numpy(zero_copy_only=False)
+        fresh = units.filter(pa.array(missing))
+        order = np.argsort(pc.starts_with(fresh, " ").to_numpy(zero_copy_only=False), kind="stable")
+        fresh = fresh.take(pa.array(order))
+        led = int(pc.sum(pc.starts_with(fresh, " ")).as_py() or 0)
+        pools, sizes = [self.pool], [self.sizes]
+        for lo, hi in ((0, len(fresh) - led), (len(fresh) - led, len(fresh))):
+            for i in range(lo, hi, LEARN_AT_ONCE):
+                ids, n = self._encode(fresh.slice(i, min(LEARN_AT_ONCE, hi - i)).to_pylist())
+                pools.append(ids)
+                sizes.append(n)
+        out = at.fill_null(0).to_numpy().copy()
+        out[np.flatnonzero(missing)[order]] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.pool, self.sizes = np.concatenate(pools), np.concatenate(sizes)
+        self.used = np.concatenate([self.used, np.full(len(fresh), self.now, np.int32)])
+        return out
+
+    def _forget(self) -> None:
+        """Keep what the latest groups used: half of the chunks, and no chunk of this group goes."""
+        kept = self.used >= min(np.partition(self.used, len(self.used) // 2)[len(self.used) // 2] + 1, self.now)
+        self.pool, self.known = self.pool[np.repeat(kept, self.sizes)], self.known.filter(pa.array(kept))
+        self.sizes, self.used = self.sizes[kept], self.used[kept]
+
+    def _units(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """For each distinct chunk the numbers of its head and its mark among the units; a mark of -1 is none."""
         marked = pc.match_substring_regex(words, _WORD_MARK)
         heads = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words)
         if self.lowers:
             heads = pc.if_else(pc.match_substring_regex(heads, _PLAIN_WORD), pc.utf8_lower(heads), heads)
-        coded = pc.dictionary_encode(heads)
-        n = len(coded.dictionary)
-        stops = pc.ends_with(words, ".").to_numpy(zero_copy_only=False)
-        marks = np.where(marked.to_numpy(zero_copy_only=False), np.where(stops, n, n + 1), n + 2)
-        return coded.indices.to_numpy(), marks, coded.dictionary.to_pylist() + [".", ",", ""]
+        ends = pc.if_else(marked, pc.if_else(pc.ends_with(words, "."), ".", ","), None)
+        coded = pc.dictionary_encode(pa.concat_arrays([heads, ends]))
+        numbers = coded.indices.fill_null(-1).to_numpy()
+        return numbers[: len(words)], numbers[len(words) :], coded.dictionary
 
     def group(self, texts: pa.Array, counting: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens of each text, and all ids in order (None when counting). Nulls are empty texts."""
@@ -99,22 +143,21 @@ class MemoEncoder:
             codes[offsets[:-1]] = firsts.indices.to_numpy() + len(words)
             words = pa.concat_arrays([pc.binary_join_element_wise(" ", words, ""), firsts.dictionary])
         head, mark, units = self._units(words)
-        self._learn(units)
-        ids = list(map(self.memo.__getitem__, units))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        at = self._learn(units)
+        # One more row stands for no mark; its chunk is empty.
+        sizes = np.append(self.sizes[at], 0).astype(np.int32)
         unit = np.empty(2 * len(codes), np.int32)
         unit[::2], unit[1::2] = head[codes], mark[codes]
         each = sizes[unit]
-        ends = np.concatenate([[0], np.cumsum(each)])
+        ends = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
         offsets = 2 * offsets.astype(np.int64)
         counts = np.diff(ends[offsets])
         rest = self.library.encode_batch([texts[int(i)].as_py() for i in np.flatnonzero(whole)], add_special_tokens=False) if whole.any() else []
         counts[whole] = [len(x.ids) for x in rest]
         if counting:
             return counts, None
-        pool = np.frombuffer(b"".join(ids), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        out = pool[np.repeat(starts[unit] - ends[:-1], each) + np.arange(ends[-1])] if len(unit) else np.zeros(0, "<u4")
+        starts = np.append((np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[at], 0)
+        out = self.pool[np.repeat(starts[unit] - ends[:-1], each) + np.arange(ends[-1])] if len(unit) else np.zeros(0, "<u4")
         if whole.any():
             merged, of_whole = np.empty(int(counts.sum()), "<u4"), np.repeat(whole, counts)
             merged[~of_whole] = out

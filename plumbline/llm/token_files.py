@@ -1,9 +1,9 @@
 """Token-id files: patched frame-of-reference blocks with an index of block starts.
 
-A file is a row of segments, each closed by one line feed. A segment holds whole documents:
+A file is a row of segments, each closed by ``SEPARATOR``. A segment holds whole documents:
 
     magic "PFR1", then little-endian: file number u32, segment u32, documents u32, ids u64,
-    block size u32, blocks u32, body bytes u64, crc32 of all that follows u32
+    block size u32, blocks u32, body bytes u64, mask u8, crc32 of all that follows u32
     has-id flags u8[documents], document ids i64[documents], lengths u64[documents]
     block minima u32[blocks], widths u8[blocks], exceptions u16[blocks], block starts u64[blocks + 1]
     body: for each block its packed values, then exception positions u16, then exception values u32
@@ -11,10 +11,12 @@ A file is a row of segments, each closed by one line feed. A segment holds whole
 In a block of 128 ids the minimum is subtracted; the width is what the value at the block's 90th
 percentile needs, wider values leave their low bits in place and stand whole in the exception list.
 Packed values are 64-bit words, little-endian, value i at bit i * width. The index allows any
-range of ids to be read without decoding the blocks before it.
+range of ids to be read without decoding the blocks before it. What follows the head is combined with
+the mask by exclusive or; it is 0 unless the separator would stand within the segment.
 
-Spark's own text writer commits the bytes and its binaryFile reader gives them back, so files live
-in any store that Spark reaches, and a lost executor leaves no half-written file behind.
+Spark's own text writer commits the bytes and its text reader gives segments back, so files live in
+any store that Spark reaches, a lost executor leaves no half-written file behind, and a reader holds a
+segment, not a file.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from ._scratch import materialize, ship
 
 MAGIC = b"PFR1"
-HEAD = struct.Struct("<4sIIIQIIQI")
+SEPARATOR = "\n--PFR1 segment ends--\n"
+HEAD = struct.Struct("<4sIIIQIIQBI")
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 20
-#: UTF-8 bytes of text that go to one file, about; bounds what a reader holds.
+#: UTF-8 bytes of text that go to one file, about; more where there would be over MOST_FILES files.
 FILE_BYTES = 32 << 20
+MOST_FILES = 100_000
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -99,16 +103,25 @@ def encode_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarr
         np.array([x is not None for x in doc_ids], np.uint8).tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.asarray(lengths, "<u8").tobytes(),
         minima.astype("<u4").tobytes(), widths.astype(np.uint8).tobytes(), counts.astype("<u2").tobytes(), starts.astype("<u8").tobytes(), body.tobytes(),
     ])
-    return HEAD.pack(MAGIC, file_no, segment, len(doc_ids), len(ids), BLOCK, n_blocks, len(body), zlib.crc32(rest)) + rest
+    for mask in range(256):
+        masked = (np.frombuffer(rest, np.uint8) ^ np.uint8(mask)).tobytes() if mask else rest
+        made = HEAD.pack(MAGIC, file_no, segment, len(doc_ids), len(ids), BLOCK, n_blocks, len(body), mask, zlib.crc32(masked)) + masked
+        if SEPARATOR.encode() not in made:
+            return made
+    raise ValueError("no mask keeps the separator out of a segment")
 
 
 class Segment:
     """A segment in memory: its documents, and any range of its ids."""
 
     def __init__(self, data: memoryview):
-        magic, self.file_no, self.number, n_docs, self.n_ids, block, n_blocks, body, crc = HEAD.unpack_from(data)
+        magic, self.file_no, self.number, n_docs, self.n_ids, block, n_blocks, body, mask, crc = HEAD.unpack_from(data)
         if magic != MAGIC or block != BLOCK:
             raise ValueError("not a token segment")
+        if zlib.crc32(data[HEAD.size :]) != crc:
+            raise ValueError("a token segment is damaged")
+        if mask:
+            data = bytes(HEAD.size) + (np.frombuffer(data, np.uint8, -1, HEAD.size) ^ np.uint8(mask)).tobytes()
         at = HEAD.size
 
         def take(kind: str, n: int) -> np.ndarray:
@@ -123,9 +136,6 @@ class Segment:
         self.minima, self.widths, self.counts = take("<u4", n_blocks), take("u1", n_blocks), take("<u2", n_blocks).astype(np.int64)
         self.starts = take("<u8", n_blocks + 1).astype(np.int64)
         self.body = take("u1", body)
-        self.size = at
-        if zlib.crc32(data[HEAD.size : at]) != crc:
-            raise ValueError("a token segment is damaged")
 
     def read(self, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Ids ``lo`` to ``hi`` of the segment; only the blocks that hold them are decoded."""
@@ -147,16 +157,7 @@ class Segment:
         return out.ravel()[lo - first * BLOCK : hi - first * BLOCK]
 
 
-def segments(content: bytes) -> Iterator[Segment]:
-    """The segments of a file's bytes."""
-    view, at = memoryview(content), 0
-    while at < len(view):
-        s = Segment(view[at:])
-        yield s
-        at += s.size + 1
-
-
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, text: str = "text", doc_id: str = "doc_id", file_bytes: int = FILE_BYTES) -> None:
     """Write every whole text's ids and its end id in ascending ``doc_id`` order (nulls first) below ``path``.
 
     Texts are dealt by ranges of id before they are encoded, once; the second key only splits rows
@@ -166,7 +167,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     narrow = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     total = narrow.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     tie = F.xxhash64("t")
-    ordered = narrow.repartitionByRange(max(1, math.ceil(total / FILE_BYTES)), F.col("d").asc_nulls_first(), tie).sortWithinPartitions(F.col("d").asc_nulls_first(), tie)
+    ordered = narrow.repartitionByRange(min(MOST_FILES, max(1, math.ceil(total / file_bytes))), F.col("d").asc_nulls_first(), tie).sortWithinPartitions(F.col("d").asc_nulls_first(), tie)
 
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,49 +196,45 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     yield from flush()
         yield from flush()
 
-    ordered.mapInArrow(write, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    ordered.mapInArrow(write, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """Per document from the files: doc_id, file_no, segment, place (in its segment), file_start (ids before it in its file), n_tokens, ids_crc32 and, if asked for, ids (binary)."""
+    """Per document from the files: doc_id, file_no, segment, place (in its segment), before (ids before it in its segment), n_tokens, ids_crc32 and, if asked for, ids (binary)."""
     ship(spark)
-    schema = "doc_id long, file_no int, segment int, place int, file_start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "doc_id long, file_no int, segment int, place int, before long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for content in batch.column(0):
-                before = 0
-                for s in segments(content.as_buffer()):
-                    raw = memoryview(s.read().astype("<u4").tobytes())
-                    ends = np.cumsum(s.lengths)
-                    parts = [raw[(e - n) * 4 : e * 4] for e, n in zip(ends.tolist(), s.lengths.tolist(), strict=True)]
-                    n = len(parts)
-                    out = [
-                        pa.array(s.doc_ids, pa.int64()), pa.array(np.full(n, s.file_no, np.int32)), pa.array(np.full(n, s.number, np.int32)), pa.array(np.arange(n, dtype=np.int32)),
-                        pa.array(before + ends - s.lengths), pa.array(s.lengths), pa.array([zlib.crc32(x) for x in parts], pa.int64()),
-                    ]
-                    if with_ids:
-                        out.append(pa.array([bytes(x) for x in parts], pa.binary()))
-                    before += s.n_ids
-                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "file_no", "segment", "place", "file_start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
-
-    try:
-        files = spark.read.format("binaryFile").load(f"{path}/part-*").select("content")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-    return files.mapInArrow(read, schema)
+                s = Segment(memoryview(content.as_buffer()))
+                ids = s.read().astype("<u4", copy=False)
+                raw, ends = memoryview(ids).cast("B"), np.cumsum(s.lengths)
+                parts = [raw[(e - n) * 4 : e * 4] for e, n in zip(ends.tolist(), s.lengths.tolist(), strict=True)]
+                n = len(parts)
+                out = [
+                    pa.array(s.doc_ids, pa.int64()), pa.array(np.full(n, s.file_no, np.int32)), pa.array(np.full(n, s.number, np.int32)), pa.array(np.arange(n, dtype=np.int32)),
+                    pa.array(ends - s.lengths), pa.array(s.lengths), pa.array([zlib.crc32(x) for x in parts], pa.int64()),
+                ]
+                if with_ids:
+                    out.append(pa.array([bytes(x) for x in parts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "file_no", "segment", "place", "before", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+
+    return spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("segment")).mapInArrow(read, schema)
 
 
 def document_starts(read: DataFrame) -> DataFrame:
-    """``read`` with ``start``: the ids of all documents before, over files in their order.
+    """``read`` with ``start``: the ids of all documents before, over segments in their order.
 
-    The running sum is over one row a file (FILE_BYTES of text each), not over documents.
+    Segments are summed within their file first; the one window over all rows is over one row a file.
     """
     table = materialize(read, "token-index")
-    files = table.groupBy("file_no").agg(F.sum("n_tokens").alias("_ids"))
-    files = files.select("file_no", F.coalesce(F.sum("_ids").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return table.join(files, "file_no").withColumn("start", F.col("_before") + F.col("file_start")).drop("_before")
+    parts = table.groupBy("file_no", "segment").agg(F.sum("n_tokens").alias("_ids"))
+    files = parts.groupBy("file_no").agg(F.sum("_ids").alias("_ids"))
+    files = files.select(F.col("file_no").alias("_file"), F.coalesce(F.sum("_ids").over(W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_ids").over(W.partitionBy("file_no").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("_inside", inside).join(files, F.col("file_no") == F.col("_file")).select(F.col("file_no").alias("_file"), F.col("segment").alias("_segment"), (F.col("_before") + F.col("_inside")).alias("_before"))
+    placed = table.join(parts, (F.col("file_no") == F.col("_file")) & (F.col("segment") == F.col("_segment")))
+    return placed.withColumn("start", F.col("_before") + F.col("before")).drop("_before", "_file", "_segment", "before")

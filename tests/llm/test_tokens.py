@@ -74,13 +74,42 @@ def test_segments_hold_any_range():
         for top in (1, 2, 50_257, 2**32 - 1):
             ids = np.where(rng.random(n) < 0.05, rng.integers(0, top, n), rng.integers(0, min(top, 300), n)).astype(np.uint32)
             data = token_files.encode_segment([5, None], np.array([0, n]), ids, 3, 4)
-            first, second = token_files.segments(data + b"\n" + data + b"\n")
-            assert np.array_equal(first.read(), ids) and second.doc_ids == [5, None]
-            assert np.array_equal(second.read(n // 3, n // 2), ids[n // 3 : n // 2])
+            segment = token_files.Segment(memoryview(data))
+            assert np.array_equal(segment.read(), ids) and segment.doc_ids == [5, None]
+            assert np.array_equal(segment.read(n // 3, n // 2), ids[n // 3 : n // 2])
     broken = bytearray(data)
     broken[-1] ^= 1
     with pytest.raises(ValueError):
-        list(token_files.segments(bytes(broken) + b"\n"))
+        token_files.Segment(memoryview(broken))
+
+
+def test_a_separator_within_a_segment_is_masked():
+    inside = np.frombuffer(token_files.SEPARATOR.encode().ljust(24, b"x"), "<i8").tolist()  # document ids that spell the separator
+    data = token_files.encode_segment(inside, np.array([1, 1, 1]), np.array([7, 8, 9], np.uint32))
+    assert token_files.SEPARATOR.encode() not in data
+    segment = token_files.Segment(memoryview(data))
+    assert segment.doc_ids == inside and segment.read().tolist() == [7, 8, 9]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_memo_equals_library_when_it_forgets(monkeypatch, name):
+    import random
+
+    import pyarrow as pa
+
+    from plumbline.llm import _tokens
+
+    monkeypatch.setattr(_tokens, "MEMO_BYTES", 2000)
+    monkeypatch.setattr(_tokens, "LEARN_AT_ONCE", 7)
+    rng = random.Random(11)
+    bits = ["the", "Wort", "été", "a.", "b,", "#x", "12", "<|endoftext|>", "\u00a0", "\n", "\t", "  ", "\U0001f600", "don't", "I\u0307", "\u0120", ".", ",", "x" * 50, "漢字"]
+    enc = _tokens.MemoEncoder(str(P.path(name)))
+    for _ in range(60):
+        texts = [rng.choice(["", " "]) + "".join(rng.choice(bits) + rng.choice([" ", " ", ""]) for _ in range(rng.randrange(30))) for _ in range(12)] + [None]
+        counts, ids = enc.group(pa.array(texts))
+        want = [library_ids(name, t) for t in texts]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+        assert enc.group(pa.array(texts), counting=True)[0].tolist() == counts.tolist()
 
 
 def check_packing(rows, capacity):
