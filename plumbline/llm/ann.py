@@ -8,9 +8,11 @@ range of either half. A query skips a leaf when ``factor`` times the lower bound
 inequality gives exceeds the distance of its k-th nearest so far: factor 1 is exact search, a larger
 one trades recall for time. Scores are inner products of the original vectors in double precision.
 
-Shards are dealt over tasks; a task holds one shard's vectors and streams blocks of queries past
-them, so memory doesn't grow with the number of queries. Each query goes to every shard, and the
-shards' k nearest are merged.
+Shards are the leaves of one more such tree, whose vantage points and medians come from a bounded sample
+and whose distance ranges come from all vectors. A query first searches the shard with the smallest lower
+bound; its k-th nearest there, by the same rule, says which other shards it is sent to. A shard of more
+rows than a task shall hold, as one of many equal vectors, is dealt over several parts. A task holds one
+part and streams blocks of queries past it, so memory doesn't grow with the number of queries.
 """
 
 from __future__ import annotations
@@ -26,7 +28,12 @@ from ._scratch import materialize, ship
 K = 20
 #: Production value; recall measured against brute force is in the README.
 FACTOR = 4.0
+#: Rows of a shard: ROOT_ROWS times the root of all rows, from SHARD_ROWS to what SHARD_BYTES hold.
 SHARD_ROWS = 8192
+ROOT_ROWS = 64
+SHARD_BYTES = 64 << 20
+#: Vectors that the shards' tree is fitted on, at most.
+SAMPLE_ROWS = 16_384
 LEAF_ROWS = 256
 QUERY_ROWS = 2048
 
@@ -80,7 +87,7 @@ class VantageTree:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the query, id, score) of the k nearest of each query but those of its own id."""
-        norms = np.sqrt((queries * queries).sum(axis=1))
+        norms = _norms(queries)
         lower = self.bounds(queries, norms)
         n = len(queries)
         best = np.full((n, k), -np.inf)
@@ -128,59 +135,217 @@ class VantageTree:
         return row, self.ids[np.concatenate([x for x, _ in got])], np.concatenate([x for _, x in got])
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: each query's k nearest rows of ``base`` found, but rows of its own id.
+class Router:
+    """A complete binary tree of vantage points over the space of x'; its leaves are shards."""
+
+    def __init__(self, sample: np.ndarray, top: float, shards: int):
+        self.top, self.depth = top, math.ceil(math.log2(shards)) if shards > 1 else 0
+        space = self.lifted(sample)
+        self.points = np.zeros((2**self.depth - 1, space.shape[1]))
+        self.cuts = np.full(len(self.points), np.inf)
+        rows = {0: np.arange(len(space))}
+        for node in range(len(self.points)):
+            mine = space[rows.pop(node)]
+            if not len(mine):
+                rows[2 * node + 1] = rows[2 * node + 2] = np.zeros(0, np.int64)
+                continue
+            self.points[node] = mine[((mine - mine.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+            far = self.far(space, np.full(len(space), node))
+            inside = self.members(space, node)
+            self.cuts[node] = np.median(far[inside])
+            left = far <= self.cuts[node]
+            rows[2 * node + 1], rows[2 * node + 2] = np.flatnonzero(inside & left), np.flatnonzero(inside & ~left)
+        #: Leaf number: (lo, hi) of the distances from each vantage point of its path, over all vectors.
+        self.ranges: dict[int, np.ndarray] = {}
+
+    def members(self, space: np.ndarray, node: int) -> np.ndarray:
+        """Which rows come to ``node``, whose ancestors are cut already."""
+        out, path = np.ones(len(space), bool), []
+        while node:
+            path.append(((node - 1) // 2, node % 2 == 0))
+            node = (node - 1) // 2
+        for parent, right in path:
+            out &= (self.far(space, np.full(len(space), parent)) > self.cuts[parent]) == right
+        return out
+
+    def lifted(self, vectors: np.ndarray) -> np.ndarray:
+        return np.column_stack([vectors, np.sqrt(np.maximum(self.top * self.top - (vectors * vectors).sum(axis=1), 0))])
+
+    def far(self, space: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        return np.sqrt(((space - self.points[nodes]) ** 2).sum(axis=1))
+
+    def place(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each vector, and its distances from the vantage points of its path."""
+        space, node = self.lifted(vectors), np.zeros(len(vectors), np.int64)
+        far = np.zeros((len(vectors), self.depth))
+        for level in range(self.depth):
+            far[:, level] = self.far(space, node)
+            node = 2 * node + 1 + (far[:, level] > self.cuts[node])
+        return node - len(self.points), far
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leaves that hold vectors; for each (query, leaf) a lower bound of all its distances; the queries' norms."""
+        leaves = np.array(sorted(self.ranges), np.int64)
+        norms = _norms(queries)
+        out = np.zeros((len(queries), len(leaves)))
+        if self.depth:
+            dots = queries @ self.points[:, :-1].T * (self.top / norms)[:, None]
+            d = np.sqrt(np.maximum(self.top**2 + (self.points**2).sum(axis=1) - 2 * dots, 0))
+            for j, leaf in enumerate(leaves.tolist()):
+                node = leaf + len(self.points)
+                for level in range(self.depth - 1, -1, -1):
+                    node = (node - 1) // 2
+                    lo, hi = self.ranges[leaf][level]
+                    np.maximum(out[:, j], np.maximum(lo - d[:, node], d[:, node] - hi), out=out[:, j])
+        return leaves, out, norms
+
+
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    return np.maximum(np.sqrt((vectors * vectors).sum(axis=1)), 1e-150)
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def nearest(base: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR, vec_id: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: each query's k nearest of ``base`` found, but rows of its own id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part on either
     side, nor do rows without id. Vectors are compared within one dimension. Ties go to the smaller
-    id. Fewer candidates than k give fewer rows; empty tables give an empty result.
+    id. Fewer candidates than k give fewer rows; empty tables give an empty result. Rows that repeat an id
+    are one candidate and one query: a neighbour stands once in a list, with the best score of their
+    vectors, and no row of the query's id is its neighbour. Other columns are never read.
     """
-    ship(base.sparkSession)
+    spark = base.sparkSession
+    ship(spark)
 
     def rows(df: DataFrame) -> DataFrame:
         v = F.col(f"`{vector}`").cast("array<double>")
         df = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), v.alias("v"))
         return df.filter(F.col("id").isNotNull() & usable(F.col("v")))
 
-    held = rows(base)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    total, top = held.agg(F.count("*"), F.max(norm)).first()
+    held, asked = rows(base), rows(queries).distinct()
+    largest = F.array_max(F.transform("v", F.abs))
+    total, most, dims = held.agg(F.count("*"), F.max(largest), F.mode(F.size("v"))).first()
+    schema = "query_id long, rank int, vec_id long, score double"
+    if not total:
+        return spark.createDataFrame([], schema)
+    # Where squares would leave the range of doubles, all is scaled by a power of two, which changes no digit.
+    scale = 0 if 1e-100 < most < 1e100 else math.frexp(most)[1]
+    if scale:
+        held, asked = (df.withColumn("v", F.transform("v", lambda x: x / F.lit(2.0**scale))) for df in (held, asked))
+    top = float(held.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0])
+    shard_rows = shard_rows or int(min(max(SHARD_ROWS, ROOT_ROWS * math.sqrt(total)), max(SHARD_BYTES // (8 * dims), LEAF_ROWS)))
     shards = max(1, math.ceil(total / shard_rows))
-    top = float(top or 1.0)
-    dim = F.size("v").alias("dim")
-    dealt = held.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), dim, F.lit(0).alias("kind"), "id", "v")
-    asked = rows(queries).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), dim, F.lit(1).alias("kind"), "id", "v")
-    streamed = dealt.unionByName(asked).repartition("shard", "dim").sortWithinPartitions("shard", "dim", "kind")
+    usual = F.size("v") == dims
+    sample = []
+    if shards > 1:
+        sample = [r["v"] for r in held.filter(usual).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect()]
+    router = Router(np.array(sample).reshape(-1, dims), top, shards)
+
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            leaf, far = router.place(_matrix(batch.column(1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1, dtype=np.int32) * router.depth), pa.array(far.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf), lists], names=["id", "v", "shard", "far"])
+
+    placed = held.filter(usual).mapInArrow(place, "id long, v array<double>, shard long, far array<double>")
+    # Vectors of other dimensions stand in one more shard for each of these, without bounds.
+    others = held.filter(~usual).select("id", "v", F.lit(-1).cast("long").alias("shard"), F.array().cast("array<double>").alias("far"))
+    placed = materialize(placed.unionByName(others).withColumn("dim", F.size("v")), "vectors")
+    spread = [x for i in range(router.depth) for x in (F.min(F.get("far", i)).alias(f"lo{i}"), F.max(F.get("far", i)).alias(f"hi{i}"))]
+    sizes = materialize(placed.groupBy("shard", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"), *spread), "shards")
+    for r in sizes.filter("shard >= 0").collect():  # one row a shard
+        router.ranges[r["shard"]] = np.array([(r[f"lo{i}"], r[f"hi{i}"]) for i in range(router.depth)])
+    parts = sizes.select(F.col("shard").alias("s"), F.col("dim").alias("d"), "parts")
+
+    def in_parts(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(parts) if shards <= SHARD_ROWS else parts, (F.col("shard") == F.col("s")) & (F.col("dim") == F.col("d")))
+
+    dealt = in_parts(placed).select("shard", "dim", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "v")
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, ids, vectors, tree = None, [], [], None
+        key, ids, vectors, tree, copies = None, [], [], None, 1
         for batch in batches:
-            shard, dims, kind = (batch.column(i).to_numpy() for i in range(3))
-            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(dims) != 0) | (np.diff(kind) != 0)) + 1
+            shard, dims, part, kind = (batch.column(i).to_numpy() for i in range(4))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(dims) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)], strict=True):
                 if a == b:
                     continue
-                if (shard[a], dims[a]) != key:
-                    key, ids, vectors, tree = (shard[a], dims[a]), [], [], None
-                part = batch.slice(a, b - a)
-                own, v = part.column(3).to_numpy(), part.column(4).flatten().to_numpy().reshape(b - a, -1)
+                if (shard[a], dims[a], part[a]) != key:
+                    key, ids, vectors, tree = (shard[a], dims[a], part[a]), [], [], None
+                some = batch.slice(a, b - a)
+                own, v = some.column(4).to_numpy(), _matrix(some.column(5))
                 if kind[a] == 0:
                     ids.append(own)
                     vectors.append(v)
                     continue
                 if tree is None and ids:
-                    tree = VantageTree(np.concatenate(ids), np.concatenate(vectors), top)
+                    numbers, whole = _distinct(np.concatenate(ids), np.concatenate(vectors))
+                    copies = int(np.unique(numbers, return_counts=True)[1].max())  # vectors of one id
+                    tree = VantageTree(numbers, whole, top)
                     ids, vectors = [], []
                 for at in range(0, (b - a) if tree else 0, QUERY_ROWS):
-                    some = own[at : at + QUERY_ROWS]
-                    row, found, score = tree.search(some, v[at : at + QUERY_ROWS], k, factor)
-                    yield pa.RecordBatch.from_arrays([pa.array(some[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+                    q = own[at : at + QUERY_ROWS]
+                    row, found, score = tree.search(q, v[at : at + QUERY_ROWS], min(k * copies, len(tree.ids)), factor)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    def searched(wanted: DataFrame) -> DataFrame:
+        """The k best of each (query, shard) of ``wanted`` (shard, id, v)."""
+        wanted = in_parts(wanted.withColumn("dim", F.size("v"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        wanted = wanted.select("shard", "dim", "part", F.lit(1).alias("kind"), "id", "v")
+        streamed = dealt.join(wanted.select("shard", "dim").distinct(), ["shard", "dim"], "left_semi").unionByName(wanted)
+        streamed = streamed.repartition("shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", "kind")
+        return streamed.mapInArrow(search, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def home(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            leaves, lower, _ = router.bounds(_matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(leaves[lower.argmin(axis=1)]), batch.column(0), batch.column(1)], names=["shard", "id", "v"])
+
+    def beyond(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            leaves, lower, norms = router.bounds(_matrix(batch.column(1)))
+            least = batch.column(2).fill_null(-np.inf).to_numpy()
+            reach = np.where(least > -np.inf, np.sqrt(np.maximum(2 * top * top - 2 * top * np.where(least > -np.inf, least, 0) / norms, 0)), np.inf)
+            sent = factor * lower <= reach[:, None] + 1e-6 * top
+            sent[np.arange(len(sent)), lower.argmin(axis=1)] = False
+            q, s = np.nonzero(sent)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves[s]), batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q))], names=["shard", "id", "v"])
+
+    asked = materialize(asked, "queries")
+    routed = "shard long, id long, v array<double>"
+    found = searched(asked.filter(usual).mapInArrow(home, routed).unionByName(asked.filter(~usual).select(F.lit(-1).cast("long").alias("shard"), "id", "v")))
+    if shards > 1:
+        found = materialize(ranked(found), "home-shards")
+        least = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        far = asked.filter(usual).join(least, "id", "left").select("id", "v", "least").mapInArrow(beyond, routed)
+        found = found.select("query_id", "vec_id", "score").unionByName(searched(materialize(far, "routed-queries")))
+    out = ranked(found)
+    return out.withColumn("score", F.col("score") * F.lit(2.0**scale) * F.lit(2.0**scale)) if scale else out
+
 
-    found = streamed.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _distinct(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without those that repeat both id and vector."""
+    if len(np.unique(ids)) == len(ids):
+        return ids, vectors
+    raw = np.column_stack([ids.view(np.uint64), np.ascontiguousarray(vectors).view(np.uint64)])
+    first = np.sort(np.unique(raw, axis=0, return_index=True)[1])
+    return ids[first], vectors[first]
 
 
 def measured_recall(found: DataFrame, exact: DataFrame) -> float:

@@ -9,7 +9,9 @@ record identifier, ordered by segment number, held against the total length, joi
 freed from the chunked framing. Payload and digest must agree, or the read raises.
 
 A record ends with two CR LF pairs, which Spark's text writer sets as its line separator, so an
-archive is committed by Spark and lives in any store that Spark reaches.
+archive is committed by Spark and lives in any store that Spark reaches. That writer compresses an archive
+as one gzip member, not a member a record, so archives are read from their start. All records carry the
+caller's date. A revisit names its original by WARC-Refers-To-Target-URI and by page, not by record.
 """
 
 from __future__ import annotations
@@ -19,32 +21,45 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._scratch import ship
+from ._scratch import materialize, ship
 
 DEDUP_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 4096
-RECORDS_PER_FILE = 10_000
-#: Copies of the lookup row of each payload that repeats; pages are dealt over them at random, so a payload that a third of all pages share isn't one task.
-SALTS = 16
+#: Bytes of an archive before compression, about; a record's block has at most SEGMENT_BYTES, so this bounds the records of a file.
+ARCHIVE_BYTES = 64 << 20
+#: A payload of at least one in so many pages is hot. There are at most as many, which bounds their broadcast; all others share few enough pages for one task.
+HOT_SHARE = 1000
+DATE = "1970-01-01T00:00:00Z"
 
-RECORD_SCHEMA = "record_id string, origin_id string, segment int, total_length long, record_type string, page_id long, url string, refers_to long, digest string, block binary"
+RECORD_SCHEMA = "record_id string, origin_id string, segment int, total_length long, record_type string, page_id long, url string, refers_to long, refers_to_url string, digest string, block binary"
 
 
 def mark_revisits(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
-    """page_id, url, payload (null html: empty), digest and ``refers_to``, null for responses.
+    """page_id, url, payload (null html: empty), digest, ``refers_to`` and ``refers_to_url``; the last two are null for responses.
 
     Rows without page_id count as the smallest; where none of a group has one, all are responses.
-    Every row that repeats the largest page_id of its group is a response.
+    Every row that repeats the largest page_id of its group is a response. Small payloads pass by the lookup
+    and hot ones find theirs by broadcast, so only the others are shuffled. Other columns are never read; an
+    empty table gives an empty one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= least
-    groups = rows.filter(long).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).filter("n > 1 and last is not null")
-    groups = groups.select("digest", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.when(long, F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")))
-    joined = salted.join(groups, ["digest", "salt"], "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    groups = rows.filter(long).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("last")).filter("n > 1 and last.page_id is not null")
+    groups = materialize(groups, "warc-groups")
+    many = F.lit(max(2, pages.count() // HOT_SHARE))
+    lookup = lambda condition, names: groups.filter(condition).select(F.col("digest").alias(names[0]), F.col("last").alias(names[1]))
+    big = rows.filter(long).join(F.broadcast(lookup(F.col("n") > many, ("hot_digest", "hot"))), F.col("digest") == F.col("hot_digest"), "left")
+    # What a hot lookup has found is dealt at random; salt 0 is for the others.
+    found = F.col("hot_digest").isNotNull()
+    big = big.withColumn("k", F.when(~found, F.col("digest"))).withColumn("salt", F.when(found, F.pmod(F.xxhash64("page_id", "url"), F.lit(HOT_SHARE)).cast("int")).otherwise(0))
+    cold = lookup(F.col("n") <= many, ("cold_digest", "cold")).withColumn("cold_salt", F.lit(0))
+    big = big.join(cold, (F.col("k") == F.col("cold_digest")) & (F.col("salt") == F.col("cold_salt")), "left")
+    last = F.coalesce("hot", "cold")
+    revisit = last.isNotNull() & ~F.col("page_id").eqNullSafe(last["page_id"])
+    marked = big.select("page_id", "url", "payload", "digest", F.when(revisit, last["page_id"]).alias("refers_to"), F.when(revisit, last["url"]).alias("refers_to_url"))
+    return marked.unionByName(rows.filter(~long).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_url")))
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -70,11 +85,15 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, name: str, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
+def _uri(url: str | None) -> str:
+    return "".join(x for x in url or "" if x.isprintable() and x != " ")
+
+
+def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None, name: str, segment_bytes: int = SEGMENT_BYTES, date: str = DATE) -> Iterator[bytes]:
     """The records of a page, each without its closing CR LF pairs."""
     record = f"<urn:plumbline:{name}>"
-    target = "".join(x for x in url or "" if x.isprintable() and x != " ")
-    common = [("WARC-Date", "1970-01-01T00:00:00Z"), *([("WARC-Target-URI", target)] if target else []), *([("X-Page-ID", page_id)] if page_id is not None else [])]
+    target, original = _uri(url), _uri(refers_to_url)
+    common = [("WARC-Date", date), *([("WARC-Target-URI", target)] if target else []), *([("X-Page-ID", page_id)] if page_id is not None else [])]
 
     def made(kind: str, fields: list, block: bytes, own: str) -> bytes:
         lines = "".join(f"{k}: {v}\r\n" for k, v in [("WARC-Type", kind), ("WARC-Record-ID", own), *common, *fields, ("Content-Length", len(block))])
@@ -84,7 +103,7 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str
     sha = ("WARC-Payload-Digest", f"sha1:{digest}")
     if refers_to is not None:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        yield made("revisit", [typed, sha, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", refers_to)], head, record)
+        yield made("revisit", [typed, sha, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), *([("WARC-Refers-To-Target-URI", original)] if original else []), ("X-Refers-To-Page", refers_to)], head, record)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment_bytes:
@@ -100,7 +119,7 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str
             yield made("continuation", [("WARC-Segment-Origin-ID", record), ("WARC-Segment-Number", k), *last], part, f"<urn:plumbline:{name}:{k}>")
 
 
-def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES) -> None:
+def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> None:
     """Write the rows of ``mark_revisits`` as archives below ``path``. An empty table writes no record."""
     ship(marked.sparkSession)
 
@@ -113,7 +132,7 @@ def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BY
             out, held = [], 0
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row += 1
-                for r in records_of(*values, f"{part}-{row}", segment_bytes):
+                for r in records_of(*values, f"{part}-{row}", segment_bytes, date):
                     out.append(r)
                     held += len(r)
                 if held > 8 << 20:
@@ -121,8 +140,8 @@ def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BY
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    rows = marked.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(records, "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+    rows = marked.select("page_id", "url", "payload", "digest", "refers_to", "refers_to_url").mapInArrow(records, "record binary")
+    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, archive_bytes // segment_bytes)).option("compression", "gzip").text(path)
 
 
 def parse(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -151,8 +170,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         def number(head: dict, key: str) -> int | None:
             return int(head[key]) if key in head else None
 
-        names = ["record_id", "origin_id", "segment", "total_length", "record_type", "page_id", "url", "refers_to", "digest", "block"]
-        types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        names = ["record_id", "origin_id", "segment", "total_length", "record_type", "page_id", "url", "refers_to", "refers_to_url", "digest", "block"]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
         def table(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -162,7 +181,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 rows, held = [], 0
                 for head, block in parse(content.as_buffer()):
                     sha = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    rows.append((head["warc-record-id"], head.get("warc-segment-origin-id", head["warc-record-id"]), number(head, "warc-segment-number"), number(head, "warc-segment-total-length"), head["warc-type"], number(head, "x-page-id"), head.get("warc-target-uri"), number(head, "x-refers-to-page"), sha, block))
+                    rows.append((head["warc-record-id"], head.get("warc-segment-origin-id", head["warc-record-id"]), number(head, "warc-segment-number"), number(head, "warc-segment-total-length"), head["warc-type"], number(head, "x-page-id"), head.get("warc-target-uri"), number(head, "x-refers-to-page"), head.get("warc-refers-to-target-uri"), sha, block))
                     held += len(block)
                     if held > 8 << 20:
                         yield table(rows)
@@ -183,6 +202,9 @@ def reassemble(records: DataFrame) -> DataFrame:
     """page_id, url, record_type, refers_to, payload, payload_bytes and payload_digest of each response or revisit.
 
     A revisit holds no payload (null); its size and digest are its header's, those of the full payload.
+    Segments are brought together by their origin's record, of which a page has one: a long page is one task's
+    list, as it was one row before. A segment that is missing or repeated raises. Repeated pages are records
+    of their own. No records give an empty table.
     """
     ship(records.sparkSession)
     parts = F.sort_array(F.collect_list(F.struct("segment", "total_length", "record_type", "page_id", "url", "digest", "block")))
