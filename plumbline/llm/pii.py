@@ -1,7 +1,7 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Numbers are found by one pattern, validated, and permuted with a key within their own format, so a
-value becomes the same pseudonym in every document and two values never become one:
+value becomes the same pseudonym in every document and two values of a kind never become one:
 
 * card numbers (13 to 19 digits that pass the Luhn check, between group boundaries of a run of digits):
   all digits but the last are permuted, the last is the new check digit; spaces and hyphens stay;
@@ -9,14 +9,16 @@ value becomes the same pseudonym in every document and two values never become o
   numbers after a + : all digits but the country code's first;
 * social security numbers, within the valid areas, groups and serials;
 * IPv4 addresses, within 32 bits;
-* dates (year-month-day, day/month/year, day.month.year) that exist, within 73,200 days from
-  1900-01-01; others stay;
-* e-mail addresses: letters a-z and digits of the local part, as one number of base 36 for each
-  half; the domain stays. Local parts with more than 22 of them get a keyed digest of that length;
-* access keys (AKIA and 16 of A-Z0-9): the 16, likewise.
+* dates (year-month-day, day/month/year, day.month.year) that exist, from 1900-01-01 to 2099-12-31;
+* e-mail addresses: letters and digits of the local part, which are taken in lower case, as mail systems
+  hold Bob and bob for one; the domain stays;
+* access keys (AKIA and 16 of A-Z0-9): the 16, likewise; tokens that begin with ghp_ or sk-: the rest of
+  them, by letters of either case and digits.
 
 A domain is m * n values; eight rounds add a keyed digest of one side to the other, which permutes it
-for any m and n. Everything is built-in SQL; texts without a digit, an @ or AKIA are passed through.
+for any m and n. Letters are permuted as two halves of digits of base 36 or 62, each digit moved by one of
+the digest. Everything is built-in SQL; texts without a digit, an @ or one of the marks are passed through.
+Not covered: month/day/year, IBANs, names and postal addresses.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ ROUNDS = 8
 #: The patterns, tried in this order at each place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+TOKEN = r"(?<![A-Za-z0-9_-])(?:ghp_|sk-)[A-Za-z0-9]{20,64}(?![A-Za-z0-9_-])"
 IPV4 = r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)"
 ISO_DATE = r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])"
 DAY_DATE = r"(?<![\w./])(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19|20)\d\d(?![\w/]|\.\d)"
@@ -37,7 +40,7 @@ PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[
 WORLD_PHONE = r"(?<![\w+])\+[1-9](?:[ .()-]{0,2}\d){7,14}(?!\w)"
 #: The date pattern's group would shift with others before it, so it is written out for the joined pattern.
 _DAY_DATE = DAY_DATE.replace(r"([./])", "[./]").replace(r"\1", "[./]")
-OTHER = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, IPV4, ISO_DATE, _DAY_DATE, SSN, PHONE, WORLD_PHONE))
+OTHER = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, TOKEN, IPV4, ISO_DATE, _DAY_DATE, SSN, PHONE, WORLD_PHONE))
 #: What starts with a group of digits and goes on with other characters; a run of digits ends before it.
 _MIXED = rf"{EMAIL}|{IPV4}|{_DAY_DATE}|(?:1[ .-])?[2-9]\d\d(?:\.[2-9]\d\d[ .-]|[ -][2-9]\d\d\.)\d{{4}}(?!\w|-\d)"
 #: All groups of digits that one space or hyphen joins, 13 digits or more; possessive, as its length has no bound.
@@ -45,13 +48,15 @@ RUN = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:[ -](?!{_MIXED})\d++(?!\w
 #: How cards are usually written; such a span comes before others that pass the Luhn check.
 CARD_LAYOUT = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
 ANY = f"{OTHER}|(?:{RUN})"
-DATE_DAYS = 73_200
+#: Days from 1900-01-01 to 2099-12-31, the product of two numbers.
+DATE_SIDES = (4297, 17)
+DATE_DAYS = 73_049
 
 
 def keyed(key: str, kind: str, i: Column, value: Column, modulus: Column) -> Column:
     """A keyed digest below ``modulus`` (at most 10**17)."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), value.cast("string"), modulus.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % modulus
+    return F.conv(F.substring(digest, 1, 15), 16, 10).try_cast("long") % modulus
 
 
 def feistel(left: Column, right: Column, m: Column, n: Column, key: str, kind: str) -> Column:
@@ -60,7 +65,7 @@ def feistel(left: Column, right: Column, m: Column, n: Column, key: str, kind: s
     def step(v: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, F.struct(((v["l"] + keyed(key, kind, i, v["r"], m)) % m).alias("l"), v["r"].alias("r"))).otherwise(F.struct(v["l"].alias("l"), ((v["r"] + keyed(key, kind, i, v["l"], n)) % n).alias("r")))
 
-    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
+    start = F.struct(left.try_cast("long").alias("l"), right.try_cast("long").alias("r"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
@@ -74,26 +79,38 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     def halves(d: Column) -> Column:
         h = F.floor(F.length(d) / 2).cast("int")
         rest = F.length(d) - h
-        ten = lambda x: F.rpad(F.lit("1"), x + 1, "0").cast("long")
+        ten = lambda x: F.rpad(F.lit("1"), x + 1, "0").try_cast("long")
         out = feistel(F.substr(d, F.lit(1), h), F.substr(d, h + 1, rest), ten(h), ten(rest), key, kind)
         return let(out, lambda v: F.concat(_padded(v["l"], h), _padded(v["r"], rest)))
 
     return let(digits, halves)
 
 
-def permuted_base36(text: Column, key: str, kind: str) -> Column:
-    """A string of a-z and 0-9, permuted within its length; beyond 22 a keyed digest of that length."""
+#: The digits of base 36 and of base 62.
+BASE36 = "0123456789abcdefghijklmnopqrstuvwxyz"
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def permuted_letters(text: Column, alphabet: str, key: str, kind: str) -> Column:
+    """A string over ``alphabet``, permuted within its length: each half's characters move by a keyed digest of the other half."""
+    digits, base = F.lit(alphabet), len(alphabet)
+
+    def moved(half: Column, other: Column, i: Column) -> Column:
+        def by(digest: Column) -> Column:
+            shift = lambda k: F.conv(F.substr(digest, (k * 2) % 64 + 1, F.lit(2)), 16, 10).try_cast("int")
+            char = lambda c, k: F.substr(digits, (F.call_function("instr", digits, c) - 1 + shift(k)) % base + 1, F.lit(1))
+            return F.array_join(F.transform(F.split(half, ""), char), "")
+
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), F.length(half).cast("string"), other), 256)
+        return F.when(F.length(half) == 0, half).otherwise(let(digest, by))
+
+    def step(v: Column, i: Column) -> Column:
+        return F.when(i % 2 == 0, F.struct(moved(v["l"], v["r"], i).alias("l"), v["r"].alias("r"))).otherwise(F.struct(v["l"].alias("l"), moved(v["r"], v["l"], i).alias("r")))
 
     def halves(d: Column) -> Column:
         h = F.floor(F.length(d) / 2).cast("int")
-        rest = F.length(d) - h
-        size = lambda x: F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(1).cast("long"), lambda a, i: F.when(i <= x, a * 36).otherwise(a))
-        number = lambda s: F.when(F.length(s) == 0, F.lit(0).cast("long")).otherwise(F.conv(s, 36, 10).cast("long"))
-        back = lambda x, w: F.when(w == 0, "").otherwise(_padded(F.lower(F.conv(x.cast("string"), 10, 36)), w))
-        out = feistel(number(F.substr(d, F.lit(1), h)), number(F.substr(d, h + 1, rest)), size(h), size(rest), key, kind)
-        short = let(out, lambda v: F.concat(back(v["l"], h), back(v["r"], rest)))
-        long = F.substr(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), d), 256), 8), F.lit(1), F.length(d))
-        return F.when(F.length(d) <= 22, short).otherwise(long)
+        start = F.struct(F.substr(d, F.lit(1), h).alias("l"), F.substr(d, h + 1, F.length(d) - h).alias("r"))
+        return let(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step), lambda v: F.concat(v["l"], v["r"]))
 
     return let(text, halves)
 
@@ -118,7 +135,7 @@ def luhn_digit(digits: Column) -> Column:
 
     def summed(d: Column) -> Column:
         doubled = lambda x: F.when(x * 2 > 9, x * 2 - 9).otherwise(x * 2)
-        digit = lambda i: F.substr(d, F.length(d) - i, F.lit(1)).cast("int")
+        digit = lambda i: F.substr(d, F.length(d) - i, F.lit(1)).try_cast("int")
         total = F.aggregate(F.sequence(F.lit(0), F.length(d) - 1), F.lit(0), lambda s, i: s + F.when(i % 2 == 0, doubled(digit(i))).otherwise(digit(i)))
         return ((10 - total % 10) % 10).cast("string")
 
@@ -198,7 +215,7 @@ def _phone(m: Column, key: str) -> Column:
     def of(d: Column) -> Column:
         ten = F.substr(d, F.length(d) - 9, F.lit(10))
         code = F.substr(d, F.lit(1), F.length(d) - 10)
-        part = lambda at, n: F.substr(ten, F.lit(at), F.lit(n)).cast("long")
+        part = lambda at, n: F.substr(ten, F.lit(at), F.lit(n)).try_cast("long")
         v = feistel((part(1, 3) - 200) * 800 + part(4, 3) - 200, part(7, 4), F.lit(640_000), F.lit(10_000), key, "phone")
         new = let(v, lambda x: F.concat(code, F.floor(x["l"] / 800 + 200).cast("string"), (x["l"] % 800 + 200).cast("string"), _padded(x["r"], F.lit(4))))
         return write_back(m, "0-9", new)
@@ -211,7 +228,7 @@ def _world_phone(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
-    part = lambda i: F.split_part(m, F.lit("-"), F.lit(i)).cast("long")
+    part = lambda i: F.split_part(m, F.lit("-"), F.lit(i)).try_cast("long")
     area = F.when(part(1) > 666, part(1) - 2).otherwise(part(1) - 1)
     v = feistel(area * 99 + part(2) - 1, part(3) - 1, F.lit(898 * 99), F.lit(9999), key, "ssn")
 
@@ -223,7 +240,7 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _ipv4(m: Column, key: str) -> Column:
-    part = lambda i: F.split_part(m, F.lit("."), F.lit(i)).cast("long")
+    part = lambda i: F.split_part(m, F.lit("."), F.lit(i)).try_cast("long")
     v = feistel(part(1) * 256 + part(2), part(3) * 256 + part(4), F.lit(65536), F.lit(65536), key, "ipv4")
     return let(v, lambda x: F.concat_ws(".", F.floor(x["l"] / 256).cast("string"), (x["l"] % 256).cast("string"), F.floor(x["r"] / 256).cast("string"), (x["r"] % 256).cast("string")))
 
@@ -233,8 +250,9 @@ def _date(m: Column, pattern: str, key: str) -> Column:
 
     def of(d: Column) -> Column:
         days = F.date_diff(d, origin)
-        v = feistel(F.floor(days / 183), days % 183, F.lit(DATE_DAYS // 183), F.lit(183), key, "date")
-        new = let(v, lambda x: F.date_format(F.date_add(origin, (x["l"] * 183 + x["r"]).cast("int")), pattern))
+        high, low = DATE_SIDES
+        v = feistel(F.floor(days / low), days % low, F.lit(high), F.lit(low), key, "date")
+        new = let(v, lambda x: F.date_format(F.date_add(origin, (x["l"] * low + x["r"]).cast("int")), pattern))
         return F.when(d.isNull() | ~days.between(0, DATE_DAYS - 1), m).otherwise(new)
 
     return let(F.try_to_date(m, pattern) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(m, F.lit(pattern))), of)
@@ -243,17 +261,22 @@ def _date(m: Column, pattern: str, key: str) -> Column:
 def _email(m: Column, key: str) -> Column:
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     taken = F.lower(F.regexp_replace(local, "[^A-Za-z0-9]", ""))
-    return F.when(F.length(taken) == 0, m).otherwise(F.concat(write_back(local, "A-Za-z0-9", permuted_base36(taken, key, "email")), F.lit("@"), domain))
+    return F.when(F.length(taken) == 0, m).otherwise(F.concat(write_back(local, "A-Za-z0-9", permuted_letters(taken, BASE36, key, "email")), F.lit("@"), domain))
 
 
 def _access_key(m: Column, key: str) -> Column:
-    return F.concat(F.lit("AKIA"), F.upper(permuted_base36(F.lower(F.substr(m, F.lit(5), F.lit(16))), key, "access")))
+    return F.concat(F.lit("AKIA"), F.upper(permuted_letters(F.lower(F.substr(m, F.lit(5), F.lit(16))), BASE36, key, "access")))
+
+
+def _token(m: Column, key: str) -> Column:
+    mark = F.regexp_extract(m, "^(?:ghp_|sk-)", 0)
+    return F.concat(mark, permuted_letters(F.substr(m, F.length(mark) + 1, F.length(m)), BASE62, key, "token"))
 
 
 def kind_of(m: Column) -> Column:
     """The kind of a match, by the first pattern that it is a match of as a whole; run for a run of digits."""
     out = F.lit("run")
-    for name, pattern in (("world_phone", WORLD_PHONE), ("phone", PHONE), ("ssn", SSN), ("date", DAY_DATE), ("iso_date", ISO_DATE), ("ipv4", IPV4), ("access_key", ACCESS_KEY), ("email", EMAIL)):
+    for name, pattern in (("world_phone", WORLD_PHONE), ("phone", PHONE), ("ssn", SSN), ("date", DAY_DATE), ("iso_date", ISO_DATE), ("ipv4", IPV4), ("token", TOKEN), ("access_key", ACCESS_KEY), ("email", EMAIL)):
         out = F.when(m.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(out)
     return out
 
@@ -262,7 +285,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """What a match becomes; itself if it isn't valid."""
     slashed = F.when(m.contains("/"), _date(m, "dd/MM/yyyy", key)).otherwise(_date(m, "dd.MM.yyyy", key))
     return (
-        F.when(kind == "email", _email(m, key)).when(kind == "access_key", _access_key(m, key)).when(kind == "ipv4", _ipv4(m, key)).when(kind == "iso_date", _date(m, "yyyy-MM-dd", key))
+        F.when(kind == "email", _email(m, key)).when(kind == "access_key", _access_key(m, key)).when(kind == "token", _token(m, key)).when(kind == "ipv4", _ipv4(m, key)).when(kind == "iso_date", _date(m, "yyyy-MM-dd", key))
         .when(kind == "date", slashed).when(kind == "ssn", _ssn(m, key)).when(kind == "phone", _phone(m, key)).when(kind == "world_phone", _world_phone(m, key)).otherwise(_card(m, key))
     )
 
@@ -270,7 +293,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str | None = "pseudonyms") -> DataFrame:
     """``docs`` with ``text`` pseudonymised and, if ``found`` is a name, an array of (kind, pseudonym) in order.
 
-    All other columns stay. A null text stays null with no pseudonyms; so does an empty one. Rows are
+    All other columns stay, whatever their names, but for one named ``found``, whose place is taken. A null text stays null with no pseudonyms; so does an empty one. Rows are
     independent: repeated rows stay equal, and an empty table gives an empty one.
     """
     t = F.col(f"`{text}`")
@@ -289,8 +312,9 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str | Non
         pieces = F.flatten(F.transform(pieces_of(s, ANY, kind_of), parts))
         return let(F.transform(pieces, lambda p: F.struct(p["kind"].alias("kind"), F.when(p["kind"].isNull(), p["t"]).otherwise(pseudonym(p["t"], p["kind"], key)).alias("pseudonym"), p["t"].alias("was"))), joined)
 
-    asked = t.isNotNull() & t.rlike("[0-9@]|AKIA")
+    asked = t.isNotNull() & t.rlike("[0-9@]|AKIA|ghp_|sk-")
     out = F.when(asked, changed(t)).otherwise(F.struct(t.alias("t"), none.alias("p")))
-    done = docs.select("*", out.alias("_pii"))
-    columns = [F.col("_pii.t").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*columns, *([F.col("_pii.p").alias(found)] if found else []))
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    done = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in inner.items()], out.alias("pii"))
+    columns = [F.col("pii.t" if c == text else i).alias(c) for c, i in inner.items() if c != found]
+    return done.select(*columns, *([F.col("pii.p").alias(found)] if found else []))
