@@ -1,8 +1,10 @@
 """Quality rules: base rules for each document, then verdicts on hosts.
 
 Everything is built-in SQL. Failures of the base rules are counted by host, each host's failure
-rate is shrunk with a beta prior fitted to all hosts (method of moments), and hosts whose shrunk rate
-is over a limit reject all of their documents; the few host rows are joined back to documents.
+rate is shrunk with a beta prior fitted to all hosts (method of moments), and a host is rejected with all
+of its documents where its posterior leaves little doubt that most of what it holds fails: where the rate
+less ``HOST_DEVIATIONS`` posterior standard deviations is over ``HOST_FAILURE_LIMIT``. The few host rows
+are joined back to documents.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ SYMBOL = r"[#*$%&|<>]"
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-#: A host is rejected when its shrunk failure rate is at least this, and enough of its documents were seen.
-HOST_FAILURE_LIMIT = 0.9
-HOST_LEAST_DOCUMENTS = 20
+#: The share of failing documents that a host must be over, and by how many standard deviations of its posterior (1.645: 95 %).
+HOST_FAILURE_LIMIT = 0.5
+HOST_DEVIATIONS = 1.645
 #: Copies of each host's row for the join back; a host with a third of all documents is dealt over them.
 SALTS = 32
 
@@ -82,9 +84,10 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     """Per host (null is a host): n, failed, the shrunk ``rate`` and whether it is ``rejected``."""
     hosts = measured.groupBy(host).agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     prior = F.broadcast(beta_prior(hosts))  # one row
-    rate = (F.col("failed") + F.coalesce("alpha", F.lit(0.0))) / (F.col("n") + F.coalesce("alpha", F.lit(0.0)) + F.coalesce("beta", F.lit(0.0)))
-    rated = hosts.join(prior, F.lit(True), "left").withColumn("rate", rate)
-    return rated.select(host, "n", "failed", "rate", ((F.col("rate") >= HOST_FAILURE_LIMIT) & (F.col("n") >= HOST_LEAST_DOCUMENTS)).alias("rejected"))
+    alpha, beta = F.coalesce("alpha", F.lit(0.0)), F.coalesce("beta", F.lit(0.0))
+    weight = F.col("n") + alpha + beta
+    rated = hosts.join(prior, F.lit(True), "left").withColumn("rate", (F.col("failed") + alpha) / weight).withColumn("deviation", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (weight + 1)))
+    return rated.select(host, "n", "failed", "rate", (F.col("rate") - HOST_DEVIATIONS * F.col("deviation") > HOST_FAILURE_LIMIT).alias("rejected"))
 
 
 def apply_rules(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -109,7 +112,10 @@ BROADCAST_HOSTS = 20_000
 
 
 def filter_documents(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and whose host isn't rejected, all columns as they were.
+    """The rows of ``docs`` that pass the base rules and whose host isn't rejected, all columns as they were, by any names.
+
+    A null or empty text has no words and fails. A null host is a host of its own. Repeated rows are judged
+    one by one; an empty table gives an empty one.
 
     Texts are measured once: rows are written to the shared folder with the verdict, failed ones
     without their text, and hosts are counted from the two narrow columns.

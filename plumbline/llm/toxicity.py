@@ -3,8 +3,8 @@
 Training. Labelled documents give labelled tokens: a feature (a word, or a prefix of it) that a
 likelihood-ratio test ties to toxic documents marks its tokens in toxic documents; all other tokens
 are clean. The chain is fitted to them by Adagrad on exact forward-backward expectations. It is fitted
-on the driver, on at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled documents of at most ``MOST_WORDS``
-words, chosen by hash.
+on the driver, on at most ``MOST_TOXIC`` + ``MOST_CLEAN`` labelled documents, chosen by hash among those
+of at most ``MOST_CHARS`` characters.
 
 Scoring. Every whole text is tagged: forward and backward ratios run over all texts of a group at
 once, token by token. A document's score is that of its highest marginal, moved so that the
@@ -24,7 +24,8 @@ from ._scratch import ship
 
 MOST_TOXIC = 1500
 MOST_CLEAN = 3000
-MOST_WORDS = 3000
+#: Longer documents aren't fitted on, though scored whole: this bounds what the driver holds.
+MOST_CHARS = 18_000
 DIMENSIONS = 1 << 18
 #: Prefixes that are features beside the word itself.
 PREFIXES = (4, 5, 6)
@@ -201,11 +202,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Tagger | None:
-    """Fit on a bounded sample of the labelled rows that aren't held out, chosen by hash of doc_id from labels alone."""
+    """Fit on a bounded sample of the labelled rows that aren't held out, chosen by hash of doc_id.
+
+    Null texts, ids and labels are left out, as are documents of over MOST_CHARS characters; these go before the sample
+    is drawn, so the sample is as large as the labels allow. Copies of a text count once, the label of the
+    last one holds. Labels without documents have no effect; empty tables, and labels of one class only, give no tagger.
+    """
     open_rows = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("y"))
+    texts = docs.filter(F.length("text") <= MOST_CHARS).select(F.col("doc_id").cast("long").alias("id"), "text")
+    open_rows = open_rows.join(texts.select("id"), "id", "left_semi")
     by = (F.xxhash64("id"), F.col("id"))
     chosen = open_rows.filter("y = 1").orderBy(*by).limit(MOST_TOXIC).unionByName(open_rows.filter("y = 0").orderBy(*by).limit(MOST_CLEAN))
-    texts = docs.filter(F.length("text") <= MOST_WORDS * 6).select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "y").toPandas().sort_values(["id", "text"])  # at most MOST_TOXIC + MOST_CLEAN ids are broadcast
     return fit(rows["text"].tolist(), rows["y"].tolist())
 
