@@ -6,12 +6,12 @@ hashed order, and the point where demand reaches a document's cumulative size is
 training position. Demand beyond a source's size goes round its documents again.
 
 All of it is built-in SQL. The cumulative size of a source comes in two levels, a sum for each
-(source, bucket of the hash) and a running sum inside, so a hot source is dealt over many tasks.
+(source, bucket of the hash) and a running sum inside. A source has as many buckets as the root of its
+rows asks for, so neither the buckets of a hot source nor the rows of a bucket become one task's load.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -24,7 +24,10 @@ WEIGHTS = (1.0, 2.0, 3.0)
 #: Weight schedules, repeating in the same order: knots (time, factor), linear between them.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (0.5, 1.0), (1.0, 0.5)))
 MOST_REPEATS = 3
-BUCKET_ROWS = 20_000
+#: A source of n rows has sqrt(n) / this many buckets.
+ROOTS_A_BUCKET = 4
+#: So many sources may be broadcast; beyond, they are joined by shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def normalized(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
@@ -82,22 +85,35 @@ def plan_mixture(docs: DataFrame, text: str = "text", source: str = "source", ke
     its source's target: from 0 to ``most`` whole copies, and a source's taken words differ from its
     target by half a document at most. The order within a source is that of hashes of ``order``; rows
     equal in it and in size are interchangeable. A null text has size 0, a null source is a source,
-    sorted last. Documents without words are never taken. An empty table gives an empty one.
+    sorted last. Documents without words are never taken. An empty table gives an empty one. A kept
+    column may not have the name of one that is added; columns not kept are never read.
+
+    If the text itself is kept, the plan is made on narrow rows and texts are read a second time, so
+    that they pass one shuffle and are never written in between.
     """
+    added = ("size", "source_size", "target", "copies", "positions")
+    if clash := set(keep).intersection(added):
+        raise ValueError(f"kept columns have the names of added ones: {sorted(clash)}")
     kept = [f"_k{i}" for i in range(len(keep))]
     size = F.regexp_count(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col(f"`{source}`").cast("string").alias("source"), size.alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in order]).alias("_hash"))
-    sized = materialize(rows, "mix-sizes")
-    buckets = max(1, math.ceil(sized.count() / BUCKET_ROWS))
-    width = 2**64 // buckets + 1
-    sized = sized.withColumn("_bucket", F.floor(F.col("_hash") / F.lit(float(width))).cast("long"))
-    cells = materialize(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_cell")), "mix-cells")
+    sized = materialize(rows.drop(*kept) if text in keep else rows, "mix-sizes")
+    per = sized.groupBy(F.col("source").alias("_s")).agg(F.ceil(F.sqrt(F.count("*")) / ROOTS_A_BUCKET).cast("long").alias("_buckets"))
+    per = materialize(per, "mix-sources")
+    per = F.broadcast(per) if per.count() <= BROADCAST_SOURCES else per
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        """The hash's high 32 bits, as a share of all, pick the bucket: buckets stand in the order of hashes."""
+        high = F.shiftright("_hash", 32) + F.lit(2**31)
+        return df.join(per, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_bucket", F.shiftright(high * F.col("_buckets"), 32)).drop("_s", "_buckets")
+
+    cells = materialize(bucketed(sized).groupBy("source", "_bucket").agg(F.sum("size").alias("_cell")), "mix-cells")
     targets = source_targets(cells.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, most)
     before = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_cell").over(before), F.lit(0)))
     cells = cells.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_cell")
     inside = W.partitionBy("source", "_bucket").orderBy("_hash", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.withColumn("_offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = bucketed(rows if text in keep else sized).withColumn("_offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     c = cells.withColumnsRenamed({"source": "_s", "_bucket": "_b"})
     placed = placed.join(c, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     middle = F.col("_before") + F.col("_offset") + F.col("size") / 2
@@ -113,9 +129,16 @@ def plan_mixture(docs: DataFrame, text: str = "text", source: str = "source", ke
         return out
 
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), position)).otherwise(F.array().cast("array<double>"))
-    return placed.select(*kept, "size", "source_size", "target", "copies", positions.alias("positions")).withColumnsRenamed(dict(zip(kept, keep, strict=True)))
+    return placed.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "size", "source_size", "target", "copies", positions.alias("positions"))
 
 
-def lay_out(planned: DataFrame) -> DataFrame:
-    """One row for each taken copy with its ``position``, range-sorted by it, of a plan that kept all columns wanted."""
-    return planned.select("*", F.explode("positions").alias("position")).repartitionByRange("position").sortWithinPartitions("position")
+def lay_out(planned: DataFrame, all_documents: bool = False) -> DataFrame:
+    """One row for each taken copy with its number ``copy`` (from 0) and ``position``, range-sorted by position.
+
+    With ``all_documents`` a document that is never taken has one row too, last, with null in both, so that
+    the rows whose copy is 0 or null are the documents. ``planned`` may not have columns of these names.
+    Copies at equal positions, repeated documents' too, stand in any order. An empty plan gives an empty one.
+    """
+    explode = F.posexplode_outer if all_documents else F.posexplode
+    laid = planned.select("*", explode("positions").alias("copy", "position"))
+    return laid.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last())

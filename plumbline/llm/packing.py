@@ -13,13 +13,12 @@ import math
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ._scratch import materialize, ship
 
-#: Pieces that one (length, bucket) cell of the hottest length holds, about.
-CELL_ROWS = 50_000
-MOST_BUCKETS = 4096
+#: n pieces are dealt over sqrt(n) / this many buckets, so that neither a length's buckets nor a bucket's pieces become one task's load.
+ROOTS_A_BUCKET = 16
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -74,7 +73,9 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep``, ``piece``, ``start``, ``length`` and ``ids`` (little-endian unsigned 32-bit) of each document with its end id.
 
-    Only documents longer than ``capacity`` are cut. A null text is an empty one: its end id alone.
+    Only documents longer than ``capacity`` are cut, at any length of text. A null text is an empty one: its
+    end id alone. Repeated rows give repeated pieces, an empty table gives an empty one, and columns not
+    kept are never read.
     """
     ship(docs.sparkSession)
     kept = [f"k{i}" for i in range(len(keep))]
@@ -105,17 +106,19 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
     return narrow.mapInArrow(cut, schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length", order: Sequence[str] = ("doc_id", "piece")) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length", order: Sequence[str] = ("doc_id", "piece"), bucket: Column | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: sequences of at most ``capacity``, gapless from offset 0.
 
     ``pieces`` is read several times: hand in a written table. ``order`` makes ranks repeatable;
-    rows equal in it are interchangeable (nulls first). Lengths out of range raise; an empty table
-    gives an empty one.
+    rows equal in it are interchangeable (nulls first). Pieces of one length take slots by ``bucket``, then by
+    ``order``; the bucket is a hash of the order unless one is given, which for example keeps the order of files.
+    Lengths out of range raise; an empty table gives an empty one.
     """
     spark = pieces.sparkSession
-    total = pieces.count()
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(total / CELL_ROWS)))
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_length", F.col(length).cast("long"))
+    if bucket is None:
+        buckets = max(1, math.ceil(math.sqrt(pieces.count()) / ROOTS_A_BUCKET))
+        bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    dealt = pieces.withColumn("_bucket", F.coalesce(bucket.cast("long"), F.lit(-1).cast("long"))).withColumn("_length", F.col(length).cast("long"))
     cells = materialize(dealt.groupBy("_length", "_bucket").agg(F.count("*").alias("_n")), "pack-cells")
     histogram = {r["_length"]: r["n"] for r in cells.groupBy("_length").agg(F.sum("_n").alias("n")).limit(capacity + 1).collect()}
     runs, _ = plan_best_fit(histogram, capacity)

@@ -50,8 +50,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan_mixture(table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "positions")
+    laid = mixing.lay_out(mixing.plan_mixture(table(spark, sf_dir, "documents")), all_documents=True)
+    documents = laid.filter("copy is null or copy = 0")  # a document stands at its first training position
+    return documents.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "position", "positions")
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +99,8 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 s AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS failed FROM b GROUP BY source),
 p AS (SELECT sum(failed) / sum(n) AS m, var_pop(failed / n) AS v FROM s),
 q AS (SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1.0 END AS k FROM p),
-t AS (SELECT source, n, (failed + m * k) / (n + k) AS rate FROM s CROSS JOIN q)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (t.rate >= 0.9 AND t.n >= 20) AS kept FROM b JOIN t ON t.source IS NOT DISTINCT FROM b.source
+t AS (SELECT source, n + k AS weight, (failed + m * k) / (n + k) AS rate FROM s CROSS JOIN q)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (t.rate - 1.645 * sqrt(t.rate * (1 - t.rate) / (t.weight + 1)) > 0.5) AS kept FROM b JOIN t ON t.source IS NOT DISTINCT FROM b.source
 """
 
 OP7_SQL = r"""

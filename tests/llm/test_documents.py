@@ -43,6 +43,24 @@ def test_bad_hosts_are_rejected_and_good_ones_kept(spark):
     assert quality.filter_documents(df).columns == df.columns
 
 
+def test_hosts_of_the_test_data_are_judged(spark, sf_dir):
+    """On the given rows no host is bad; where the failing rows stand on two hosts, those two are rejected, clean rows on them too."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    judged = quality.apply_rules(docs)
+    assert judged.filter("kept = base_failed").count() == 0
+    failing = judged.filter("base_failed").select("doc_id")
+    junk = docs.join(failing, "doc_id").withColumn("source", F.concat(F.lit("junk"), (F.col("doc_id") % 2).cast("string")))
+    clean = docs.join(failing, "doc_id", "left_anti").withColumn("source", F.when(F.col("doc_id") < 4, "junk0").otherwise(F.col("source")))
+    moved = junk.select(docs.columns).unionByName(clean.select(docs.columns))
+    rates = {r["source"]: r["rejected"] for r in quality.host_rates(quality.apply_rules(moved)).collect()}
+    failed = {r["source"]: r["n"] for r in junk.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert [s for s, bad in rates.items() if bad and not s.startswith("junk")] == []
+    assert any(rates[s] for s, n in failed.items() if n >= 4)
+    kept = {r["doc_id"] for r in quality.filter_documents(moved).collect()}
+    want = {r["doc_id"] for r in clean.collect() if not rates[r["source"]]}
+    assert kept == want
+
+
 def water_fill(sizes, weights, most):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -118,6 +136,65 @@ def test_pseudonyms(spark, awkward):
     assert pii.pseudonymize(df.limit(0), "key").count() == 0
 
 
+def feistel_in_python(left, right, m, n, key, kind):
+    import hashlib
+
+    def keyed(i, value, modulus):
+        return int(hashlib.sha256(f"{key}|{kind}|{i}|{value}|{modulus}".encode()).hexdigest()[:15], 16) % modulus
+
+    for i in range(8):
+        if i % 2 == 0:
+            left = (left + keyed(i, right, m)) % m
+        else:
+            right = (right + keyed(i, left, n)) % n
+    return left, right
+
+
+def letters_in_python(text, alphabet, key, kind):
+    import hashlib
+
+    def moved(half, other, i):
+        digest = hashlib.sha256(f"{key}|{kind}|{i}|{len(half)}|{other}".encode()).hexdigest()
+        return "".join(alphabet[(alphabet.index(c) + int(digest[2 * k % 64 : 2 * k % 64 + 2], 16)) % len(alphabet)] for k, c in enumerate(half))
+
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for i in range(8):
+        if i % 2 == 0:
+            left = moved(left, right, i)
+        else:
+            right = moved(right, left, i)
+    return left + right
+
+
+def test_pseudonyms_equal_a_plain_feistel(spark):
+    import datetime
+
+    rng = random.Random(3)
+    first = datetime.date(1900, 1, 1)
+    rows, want = [], []
+    for _ in range(60):
+        ip = [rng.randrange(256) for _ in range(4)]
+        l, r = feistel_in_python(ip[0] * 256 + ip[1], ip[2] * 256 + ip[3], 65536, 65536, "key", "ipv4")
+        rows.append(".".join(map(str, ip)))
+        want.append(f"{l // 256}.{l % 256}.{r // 256}.{r % 256}")
+        days = rng.randrange(73_049)
+        l, r = feistel_in_python(days // 17, days % 17, 4297, 17, "key", "date")
+        rows.append(str(first + datetime.timedelta(days)))
+        want.append(str(first + datetime.timedelta(l * 17 + r)))
+        name = "".join(rng.choice("abcXYZ019") for _ in range(rng.choice([1, 2, 7, 30, 64])))
+        rows.append(f"{name}@mail.example")
+        want.append(letters_in_python(name.lower(), pii.BASE36, "key", "email") + "@mail.example")
+        token = "".join(rng.choice(pii.BASE62) for _ in range(rng.choice([20, 36, 64])))
+        rows.append(f"ghp_{token}")
+        want.append("ghp_" + letters_in_python(token, pii.BASE62, "key", "token"))
+    df = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(df, "key", found=None).collect()}
+    assert [got[i][4:-5] for i in range(len(rows))] == want
+    last = spark.createDataFrame([(i, str(first + datetime.timedelta(d))) for i, d in enumerate([0, 73_048, *range(30_000, 31_000)])], "doc_id long, text string")
+    made = [r["text"] for r in pii.pseudonymize(last, "key", found=None).collect()]
+    assert len(set(made)) == 1002 and all("1900-01-01" <= x <= "2099-12-31" for x in made)
+
+
 def test_feistel_permutes(spark):
     df = spark.range(0, 77)
     out = df.select(pii.feistel(F.floor(F.col("id") / 11), F.col("id") % 11, F.lit(7), F.lit(11), "k", "t").alias("v")).select("v.l", "v.r").collect()
@@ -148,9 +225,10 @@ def brute_components(rows):
     return {d: (len(s), find(d), find(d) == d) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("first_pairs", [8, 1])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, first_pairs):
-    monkeypatch.setattr(minhash, "FIRST_PAIRS", first_pairs)  # with 1, nearly all that stars leave open is compared inside tasks
+@pytest.mark.parametrize(("rows_a_band", "least", "block"), [(4, 74, 8192), (1, 0, 8192), (4, 74, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, rows_a_band, least, block):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)  # with 3, buckets are held in several parts
+    monkeypatch.setattr(minhash, "STAR_ROWS", 4)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(500)]
     rows = []
@@ -165,10 +243,32 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, first_pairs):
     rng.shuffle(rows)
     rows = list(enumerate(rows))
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, rows=rows_a_band, least_agreeing=least).collect()}
+    assert got == brute_components(rows)
+
+
+def test_a_star_centre_unlike_its_bucket_loses_no_link(spark):
+    """A passage that unlike documents share puts them in buckets of which the centre is like none of the others."""
+    rng = random.Random(23)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(0, " ".join(passage))]
+    for g in range(30):
+        tail = [f"t{g}x{rng.randrange(10**6)}" for _ in range(45)]
+        rows += [(1 + 3 * g + k, " ".join([*passage, *tail, *(f"e{g}k{k}n{j}" for j in range(k * 3))])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
     assert got == brute_components(rows)
 
 
+def test_rows_that_repeat_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    df = spark.createDataFrame([(1, a, "x"), (1, b, "x"), (2, b, "y"), (3, c, "z"), (3, c, "z"), (3, c, "w"), (4, a, "v")], "doc_id long, text string, _kept string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (4, 1, False)}
+    kept = minhash.drop_duplicates(df).collect()
+    assert sorted(map(tuple, kept)) == [(1, a, "x"), (1, b, "x"), (3, c, "w")]
+
+
 def test_near_duplicates_awkward_rows(awkward):
     rows = minhash.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count() and all(r["kept"] and r["component_id"] is None for r in rows if r["doc_id"] is None)
