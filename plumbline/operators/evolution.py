@@ -29,7 +29,7 @@ OPS: dict[str, SqlOp] = {
     "change_coupling": SqlOp("The 50 strongest pairs of at least 3 shared commits, by Jaccard", f"{_pairs(LEAST_CO_CHANGES)} order by coupling_strength desc, file_a, file_b limit 50"),
     "change_coupling_min2": SqlOp("The 50 strongest pairs of at least 2 shared commits", f"{_pairs(2)} order by coupling_strength desc, file_a, file_b limit 50"),
     "last_modified": SqlOp("Newest commit of each known file", f"select path, max(epoch) as last_epoch from ({_KNOWN}) h group by path"),
-    "code_age_days": SqlOp("Whole days since each file's newest commit at a fixed now, 0 if in the future", f"select path, greatest(0, IDIV(1000000000 - max(epoch), 86400)) as age_days from ({_KNOWN}) h where epoch <= 1000000000 group by path"),
+    "code_age_days": SqlOp("Whole days since each file's newest commit at a fixed now, 0 if in the future", f"select path, cast(greatest(0, IDIV(greatest(0, 800000000 - max(epoch)), 86400)) as bigint) as age_days from ({_KNOWN}) h group by path"),
     "bus_factor": SqlOp("Authors of each file, the main one (ties by name) and its share", f"""
         with a as (select path, author, count(*) as n from ({_KNOWN}) h group by path, author),
         r as (select *, row_number() over (partition by path order by n desc, author) as rk, sum(n) over (partition by path) as total, count(*) over (partition by path) as authors from a)
@@ -37,5 +37,5 @@ OPS: dict[str, SqlOp] = {
     "bus_factor_score": SqlOp("1 less the share of files with one author", f"with a as (select path, count(distinct author) as n from ({_KNOWN}) h group by path) select round(cast(1 as double) - coalesce(avg(cast(case when n = 1 then 1 else 0 end as double)), 0), 6) as bus_factor_score from a"),
     "max_cc_per_file": SqlOp("Largest cyclomatic complexity of each file, 1 where none", _MAX_CC),
     "temporal_hotspots": SqlOp("The 30 files with the largest commits times complexity", f"with c as ({_CHURN}), m as ({_MAX_CC}) select c.path as file, c.commit_count as churn_count, coalesce(m.max_cc, 1) as max_complexity, c.commit_count * coalesce(m.max_cc, 1) as risk_score from c left join m on m.path = c.path where c.commit_count * coalesce(m.max_cc, 1) > 0 order by risk_score desc, file limit 30"),
-    "churn_concentration": SqlOp("1 less the churn share of the top tenth of files, at least one", f"with c as ({_CHURN}), r as (select total_churn, row_number() over (order by total_churn desc, path) as rk, count(*) over () as n from c) select case when sum(total_churn) = 0 then 1.0 else round(1 - sum(case when rk <= greatest(1, IDIV(n, 10)) then total_churn else 0 end) / cast(sum(total_churn) as double), 6) end as churn_score from r"),
+    "churn_concentration": SqlOp("1 less the churn share of the top tenth of files, at least one; by distinct churn, so the window runs over values", f"with c as ({_CHURN}), v as (select total_churn as v, count(*) as c from c group by total_churn), w as (select v, c, sum(c) over (order by v desc rows between unbounded preceding and current row) as upto, greatest(1, IDIV(sum(c) over (), 10)) as k from v) select case when coalesce(sum(v * c), 0) = 0 then 1.0 else round(1 - cast(sum(v * least(c, greatest(0, k - (upto - c)))) as double) / cast(sum(v * c) as double), 6) end as churn_score from w"),
 }

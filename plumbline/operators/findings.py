@@ -5,9 +5,10 @@ from __future__ import annotations
 from ..plans.sqlops import SqlOp
 from .degrees import DEGREES, FAN_IN, FAN_OUT, LARGE_FILE
 
-_SYMBOL = "(w.symbol = t.target or STARTS(w.symbol, t.target || '.') or STARTS(w.symbol, t.target || '[*].') or STARTS(w.symbol, t.target || '.*.'))"
-_WRITES = f"select t.concept, w.symbol, w.path, w.line from @writes w join @concept_targets t on {_SYMBOL}"
-_READS = f"select t.concept, w.symbol, w.path, w.line from @reads w join @concept_targets t on {_SYMBOL}"
+#: A symbol belongs to a target that is the symbol itself or one of its prefixes up to a dot; an index in brackets before the dot may be missing.
+_PREFIXED = "(select symbol, path, line, p as prefix from (select * from @{0} UNNEST(PREFIXES(symbol, '[.]', '.'), u, p)) x union select symbol, path, line, substr(p, 1, length(p) - 3) from (select * from @{0} UNNEST(PREFIXES(symbol, '[.]', '.'), u, p)) y where ENDS(p, '[*]') and p <> symbol)"
+_WRITES = f"select distinct t.concept, w.symbol, w.path, w.line from {_PREFIXED.format('writes')} w join @concept_targets t on t.target = w.prefix"
+_READS = f"select distinct t.concept, w.symbol, w.path, w.line from {_PREFIXED.format('reads')} w join @concept_targets t on t.target = w.prefix"
 _SEVERITY = "case when {0} >= 6500 then 'high' when {0} >= 3000 then 'medium' else 'low' end"
 _COVER = "select d.domain, s.site, count(*) as covered from (select distinct domain, site, variant from @sites) s join @domains d on d.domain = s.domain and d.variant = s.variant group by d.domain, s.site"
 _NEED = "select domain, count(*) as variants from @domains group by domain"
@@ -57,7 +58,7 @@ _DEBT = f"""
     union all select 'unstable_hotspot', d.path, cast(least(10000, 3200 + {_pressure('d.fan_in', FAN_IN, 3000)} + floor({_INSTABILITY} / 3)) as bigint) from ({DEGREES}) d where d.fan_in > {FAN_IN}"""
 
 OPS: dict[str, SqlOp] = {
-    "symbol_prefix_join": SqlOp("Symbols of each concept: equal to a target or below it", f"select t.concept, w.symbol, count(*) as reads from @reads w join @concept_targets t on {_SYMBOL} group by t.concept, w.symbol"),
+    "symbol_prefix_join": SqlOp("Symbols of each concept: equal to a target or below it", f"select concept, symbol, count(*) as reads from ({_READS}) w group by concept, symbol"),
     "multi_writer": SqlOp("Concepts that more than one production file writes", f"select concept, count(distinct w.path) as writers, 'high' as severity from ({_WRITES}) w join @files f on f.path = w.path where not f.is_test group by concept having count(distinct w.path) > 1"),
     "writer_policy": SqlOp("Forbidden writers, then writers outside the allowed ones", f"with w as (select w.*, coalesce(max(case when a.forbidden and w.path like a.pattern then 1 else 0 end), 0) as bad, coalesce(max(case when not a.forbidden and w.path like a.pattern then 1 else 0 end), 0) as good from ({_WRITES}) w left join @allowed_writers a on a.concept = w.concept group by w.concept, w.symbol, w.path, w.line) select concept, path, case when bad = 1 then 'forbidden_writer' else 'writer_outside_allowlist' end as kind from w where bad = 1 or good = 0"),
     "forbidden_raw_read": SqlOp("Raw reads of a concept's fields by file", f"select concept, path, count(*) as n, SETJOIN(symbol) as symbols, 'medium' as severity from ({_READS}) r where ENDS(symbol, '.field') group by concept, path"),
@@ -78,11 +79,10 @@ OPS: dict[str, SqlOp] = {
     "structural_debt": SqlOp("Debt reports of three kinds with score and severity", f"select kind, scope, score, {_SEVERITY.format('score')} as severity from ({_DEBT}) d"),
     "large_file_report": SqlOp("Large files with their score", f"select scope, score from ({_DEBT}) d where kind = 'large_file'"),
     "dependency_sprawl": SqlOp("Wide files with their score", f"select scope, score from ({_DEBT}) d where kind = 'dependency_sprawl'"),
-    "dead_private_cluster": SqlOp("Files with two dead functions or forty dead lines", "select path, count(*) as symbols, cast(sum(ln) as bigint) as dead_lines from @functions where not is_public and not is_method and same_file_ref_count <= 0 and name not in (select callee from @calls) group by path having count(*) >= 2 or sum(ln) >= 40"),
+    "dead_private_cluster": SqlOp("Files with two dead functions or forty dead lines", "select path, count(*) as symbols, cast(sum(ln) as bigint) as dead_lines from @functions f where not is_public and not is_method and same_file_ref_count <= 0 and not exists (select 1 from @calls c where c.callee = f.name) group by path having count(*) >= 2 or sum(ln) >= 40"),
     "concept_debt": SqlOp("Findings by concept with a capped score", f"select concept, count(*) as findings, cast(sum(case when severity = 'high' then 1 else 0 end) as bigint) as high, cast(least(10000, 800 * count(*) + 1500 * sum(case when severity = 'high' then 1 else 0 end)) as bigint) as score from @findings group by concept"),
-    "debt_signals": SqlOp("Concepts over 2500 and findings over 4000 elsewhere", "with c as (select concept, least(10000, 800 * count(*)) as score from @findings group by concept) select 'concept' as source, concept as scope, cast(score as bigint) as score from c where score >= 2500 union all select 'hotspot', file, score from @findings where score >= 4000 and concept not in (select concept from c where score >= 2500)"),
+    "debt_signals": SqlOp("Concepts over 2500 and findings over 4000 elsewhere", "with c as (select concept, least(10000, 800 * count(*)) as score from @findings group by concept) select 'concept' as source, concept as scope, cast(score as bigint) as score from c where score >= 2500 union all select 'hotspot', file, score from @findings f where score >= 4000 and not exists (select 1 from c where c.concept = f.concept and c.score >= 2500)"),
     "check_signal_summary": SqlOp("Counts by family of kinds", "select cast(sum(case when kind like 'clone%' then 1 else 0 end) as bigint) as clones, cast(sum(case when kind in ('large_file', 'dependency_sprawl') then 1 else 0 end) as bigint) as size_kinds, cast(sum(case when kind = 'cycle_cluster' then 1 else 0 end) as bigint) as cycles from @findings"),
-    "clone_drift": SqlOp("Groups of one body in several files: size, longest and a risk", "with g as (select bh, count(*) as n, count(distinct path) as files, max(ln) as longest, sum(case when is_test then 0 else 1 end) as production from @functions where bh <> 0 group by bh) select bh as group_no, n, files, longest, n * longest as risk from g where files > 1 and production >= 1 and longest >= 3"),
     "merge_findings": SqlOp("The 100 first of all findings in report order", f"select key, kind, severity, score from (select * from @findings union all select * from @baseline_findings) u order by {_ORDER} limit 100"),
     "issue_ranking": SqlOp("Rank of each finding in report order", f"select key, row_number() over (order by {_ORDER}) as rank_no from @findings"),
     "top_actions": SqlOp("The three first trusted findings", f"select key, row_number() over (order by {_ORDER}) as priority from @findings where trust = 'trusted' order by priority limit 3"),

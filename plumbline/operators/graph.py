@@ -41,7 +41,7 @@ def levelization(edges: DataFrame) -> DataFrame:
 def upward_violations(edges: DataFrame) -> DataFrame:
     """Edges up in level, or within a component of more than one file."""
     e = K.edges_of(edges)
-    lv = materialize(K.levels(e))
+    lv = K.levels(e)
     sizes = lv.groupBy("scc").agg(F.count("*").alias("n"))
     placed = lv.join(sizes, "scc")
     a = placed.select(F.col("node").alias("src"), F.col("level").alias("from_level"), F.col("scc").alias("a"), "n")
@@ -52,9 +52,7 @@ def upward_violations(edges: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame) -> DataFrame:
     """Files that reach each file, itself left out."""
-    e = K.edges_of(edges)
-    hit = K.closure(e).filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    return K.nodes_of(e).join(hit, "node", "left").select(F.col("node").alias("path"), F.coalesce("n", F.lit(0)).alias("blast_radius"))
+    return K.reach_counts(K.edges_of(edges)).select(F.col("node").alias("path"), F.col("n").alias("blast_radius"))
 
 
 def exec_depth(edges: DataFrame, entry_points: DataFrame) -> DataFrame:
@@ -99,7 +97,7 @@ def max_depth(edges: DataFrame) -> DataFrame:
 def dsm(edges: DataFrame) -> DataFrame:
     """The matrix in coordinates: rows and columns by level then path, and where each edge lies."""
     e = K.edges_of(edges)
-    lv = materialize(K.levels(e))
+    lv = K.levels(e)
     from pyspark.sql import Window as W
 
     at = lv.withColumn("idx", (F.row_number().over(W.orderBy(F.desc("level"), "node")) - 1).cast("long"))  # one row a file; a matrix is for people
@@ -112,10 +110,10 @@ def dsm(edges: DataFrame) -> DataFrame:
 
 def dsm_stats(edges: DataFrame) -> DataFrame:
     """Size, edges, density and the mean share of other files that a file reaches."""
-    e = materialize(K.edges_of(edges))
+    e = K.edges_of(edges)
     n = K.nodes_of(e).agg(F.count("*").alias("size"))
     m = e.agg(F.count("*").alias("edge_count"))
-    r = K.closure(e).filter("src <> dst").agg(F.count("*").alias("reach"))
+    r = K.reach_counts(e).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reach"))
     possible = F.col("size") * (F.col("size") - 1)
     return n.crossJoin(m).crossJoin(r).select("size", "edge_count", F.round(F.when(F.col("size") > 1, F.col("edge_count") / possible).otherwise(F.col("edge_count")), 6).alias("density"), F.round(F.when(F.col("size") > 1, F.col("reach") / possible).otherwise(0.0), 6).alias("propagation_cost"))
 
@@ -187,7 +185,7 @@ def whatif_simulate(edges: DataFrame, actions: list[tuple]) -> DataFrame:
 
     def measured(e: DataFrame, name: str) -> DataFrame:
         e = K.edges_of(e)
-        lv = materialize(K.levels(e))
+        lv = K.levels(e)
         cycles = lv.groupBy("scc").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias(f"cycles_{name}"))
         return cycles.crossJoin(lv.agg(F.coalesce(F.max("level"), F.lit(0)).alias(f"depth_{name}"))).crossJoin(e.agg(F.count("*").alias(f"edges_{name}")))
 
@@ -215,6 +213,10 @@ def blast_concentration(edges: DataFrame, module_paths: DataFrame) -> DataFrame:
     return b.agg(F.count("*").alias("n")).crossJoin(most).select(F.when(F.col("n") == 0, 1.0).otherwise(F.round(1 - F.col("most") / F.col("n"), 6)).alias("blast_score"))  # two single rows
 
 
+_CA = "select to_module as module, count(*) as ca from @module_tree where from_module <> to_module group by to_module"
+#: Three rounds, written out: in a tree a module is stable when all that it depends on is and two modules depend on it.
+STABLE_SQL = f"with p as (select from_module, to_module from @module_tree), c as ({_CA}), s1 as (select module from c where ca >= 2 and module not in (select from_module from p)), s2 as (select module from s1 union select c.module from c join p on p.from_module = c.module where c.ca >= 2 and p.to_module in (select module from s1)), s3 as (select module from s2 union select c.module from c join p on p.from_module = c.module where c.ca >= 2 and p.to_module in (select module from s2)) select module from s3"
+
 #: name: (operator, its relations in order, its DuckDB SQL or None)
 GRAPH: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {
     "reachable": (lambda e, p: K.bfs(K.edges_of(e), p.select(F.col("file").alias("node"))).select(F.col("node").alias("path")), (DAG, "entry_points"), "with recursive r(path) as (select file from @entry_points union select e.to_file from r join @dag_edges e on e.from_file = r.path) select path from r"),
@@ -235,7 +237,7 @@ GRAPH: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {
     "dsm_clusters": (dsm_clusters, ("import_edges",), "with recursive b as (select x.from_file as s, x.to_file as d from @import_edges x join @import_edges y on x.from_file = y.to_file and x.to_file = y.from_file), r(s, d) as (select s, s from b union select r.s, b.d from r join b on b.s = r.d), c as (select s as node, min(d) as component from r group by s) select component, count(*) as size, SETJOIN(node) as members from c group by component"),
     "weak_components": (weak_components, (CHAIN, "files"), "with recursive b as (select from_file as s, to_file as d from @chain_edges union select to_file, from_file from @chain_edges), r(s, d) as (select s, s from b union select path, path from @files where not is_test union select r.s, b.d from r join b on b.s = r.d), c as (select s as path, min(d) as component from r group by s) select path, component from c where component in (select c.component from c join @files f on f.path = c.path where not f.is_test)"),
     "coupling_score": (coupling, ("import_edges", "module_paths"), None),
-    "stable_modules": (lambda e, m: K.stable_modules(materialize(e.join(m.select(F.col("path").alias("from_file"), F.col("module").alias("from_module")), "from_file").join(m.select(F.col("path").alias("to_file"), F.col("module").alias("to_module")), "to_file").filter("from_module <> to_module").select("from_module", "to_module").distinct())), (CHAIN, "module_paths"), None),
+    "stable_modules": (lambda pairs: K.stable_modules(materialize(pairs)), ("module_tree",), STABLE_SQL),
     "best_cycle_break": (best_cycle_break, (CHAIN,), _with(CHAIN, _REACH, _SCC) + ", f as (select to_file, count(*) as n from @chain_edges group by to_file), x as (select a.scc as cycle_id, e.from_file, e.to_file, f.n as fan_in, row_number() over (partition by a.scc order by f.n, e.from_file, e.to_file) as rk from @chain_edges e join sccs a on a.node = e.from_file join sccs b on b.node = e.to_file join f on f.to_file = e.to_file where a.scc = b.scc and e.from_file <> e.to_file) select cycle_id, from_file, to_file, fan_in from x where rk = 1"),
     "whatif_sequence": (lambda e: whatif_simulate(e, [("break_cycle",)]), (CHAIN,), None),
 }

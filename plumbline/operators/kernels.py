@@ -1,57 +1,240 @@
-"""Iterative graph kernels as DataFrame loops; every round is written out, never kept in executors alone.
+"""Graph kernels over edges (src, dst); every round of a loop is written out, never kept in executors alone.
 
-Edges are DataFrames (src, dst). Rounds are bounded by the logarithm of the longest path for
-``closure``, by the longest shortest path for ``bfs`` and by the depth of the condensation for ``levels``.
+Each kernel has two plans with one result. A graph of at most ``SMALL_EDGES`` edges, counted first, is
+handed to one task, where linear algorithms run on integer arrays: dependency graphs of source files
+are of that size. Beyond, DataFrame loops run over narrow node tables: components by trimming and
+colouring, levels and breadth-first search by fronts. Only ``reach_counts`` needs pairs of nodes, and
+only beyond ``SMALL_NODES``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.scratch import materialize
+from ..plans.scratch import free, materialize, ship
+
+#: Edges that one task holds as two 32-bit numbers each, beside the nodes' names.
+SMALL_EDGES = 2_000_000
+#: Nodes whose reach one task holds as bits: the square of it in bits, 50 MB.
+SMALL_NODES = 20_000
+#: Nodes that are trimmed in one written round.
+TRIMS_A_ROUND = 3
 
 
 def edges_of(df: DataFrame, src: str = "from_file", dst: str = "to_file") -> DataFrame:
-    return df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    """Distinct edges without nulls, written once."""
+    return materialize(df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).dropna().distinct())
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
+def is_small(edges: DataFrame) -> bool:
+    return edges.count() <= SMALL_EDGES
+
+
+def in_one_task(edges: DataFrame, run: Callable[[int, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], columns: str, seeds: DataFrame | None = None) -> DataFrame:
+    """(node, ``columns``) of a small graph: ``run`` gets the number of nodes, numbered in name order, both ends of all edges, and the seeds (node)."""
+    ship(edges.sparkSession)
+    rows = edges.select("src", "dst")
+    if seeds is not None:
+        rows = rows.union(seeds.select(F.lit(None).cast("string").alias("src"), F.col("node").alias("dst")))
+    fields = [c.split() for c in columns.split(", ")]
+
+    def task(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        src, dst = (pa.concat_arrays([b.column(i).cast(pa.string()) for b in held]) for i in range(2))
+        names = pc.unique(pa.concat_arrays([src, dst])).drop_null()
+        names = names.take(pc.sort_indices(names))
+        a, b = (pc.index_in(x, value_set=names).fill_null(-1).to_numpy().astype(np.int64) for x in (src, dst))
+        found = run(len(names), a[a >= 0], b[a >= 0], b[a < 0])
+        arrays = [names.take(pa.array(x)) if kind == "string" else pa.array(x, pa.int64()) for x, (_, kind) in zip(found, fields, strict=True)]
+        for at in range(0, len(names), 50_000):
+            yield pa.RecordBatch.from_arrays([names.slice(at, 50_000), *(x.slice(at, 50_000) for x in arrays)], names=["node", *(n for n, _ in fields)])
+
+    return rows.repartition(1).mapInArrow(task, f"node string, {columns}")
+
+
+def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> list[list[int]]:
+    """The targets of each node, in rising order."""
+    order = np.lexsort([dst, src])
+    cuts = np.cumsum(np.bincount(src, minlength=n))[:-1]
+    return [x.tolist() for x in np.split(dst[order], cuts)]
+
+
+def tarjan(n: int, targets: list[list[int]]) -> tuple[list[int], list[int]]:
+    """Component of each node, numbered so that a component comes after all that it reaches, and the smallest node of each component."""
+    index, low, component, smallest = [0] * n, [0] * n, [-1] * n, []
+    count, stack, on = 0, [], [False] * n
+    for root in range(n):
+        if index[root]:
+            continue
+        work = [(root, 0)]
+        while work:
+            v, i = work.pop()
+            if i == 0:
+                count += 1
+                index[v] = low[v] = count
+                stack.append(v)
+                on[v] = True
+            row = targets[v]
+            while i < len(row):
+                w = row[i]
+                i += 1
+                if not index[w]:
+                    work += [(v, i), (w, 0)]
+                    break
+                if on[w] and index[w] < low[v]:
+                    low[v] = index[w]
+            else:
+                if low[v] == index[v]:
+                    members = []
+                    while True:
+                        w = stack.pop()
+                        on[w] = False
+                        component[w] = len(smallest)
+                        members.append(w)
+                        if w == v:
+                            break
+                    smallest.append(min(members))
+                if work and low[v] < low[work[-1][0]]:
+                    low[work[-1][0]] = low[v]
+    return component, smallest
+
+
+def _levels(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
+    component, smallest = tarjan(n, rows_of(n, src, dst))
+    component = np.array(component, np.int64)
+    a, b = component[src], component[dst]
+    deps = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+    level = [0] * len(smallest)
+    for x, y in deps.tolist():  # by rising component: what it depends on is done
+        if level[y] >= level[x]:
+            level[x] = level[y] + 1
+    return [np.array(smallest, np.int64)[component], np.array(level, np.int64)[component]]
+
+
+def _reach(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
+    """How many other nodes reach each node."""
+    component, smallest = tarjan(n, rows_of(n, dst, src))
+    members: list[list[int]] = [[] for _ in smallest]
+    for v, c in enumerate(component):
+        members[c].append(v)
+    component = np.array(component, np.int64)
+    a, b = component[dst], component[src]
+    deps = rows_of(len(smallest), *(np.unique(np.stack([a, b], axis=1)[a != b], axis=0).T if (a != b).any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))))
+    bits = []
+    for c, mine in enumerate(members):
+        own = 0
+        for v in mine:
+            own |= 1 << v
+        for d in deps[c]:
+            own |= bits[d]
+        bits.append(own)
+    counts = np.array([x.bit_count() - 1 for x in bits], np.int64)
+    return [counts[component]]
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) with a path of at least one edge, by path doubling."""
     reach, n = materialize(edges.select("src", "dst").distinct()), -1
     while (now := reach.count()) != n:
-        n = now
+        n, old = now, reach
         step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
         reach = materialize(reach.union(step).distinct())
+        free(old)
     return reach
 
 
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(node, n): how many other nodes reach it."""
+    if is_small(edges) and nodes_of(edges).count() <= SMALL_NODES:
+        return in_one_task(edges, _reach, "n bigint")
+    hit = closure(edges).filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
+    return nodes_of(edges).join(hit, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _depths(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
+    targets, depth = rows_of(n, src, dst), np.full(n, -1, np.int64)
+    front, at = np.unique(seeds).tolist(), 0
+    depth[front] = 0
+    while front:
+        at += 1
+        front = list({w for v in front for w in targets[v] if depth[w] < 0})
+        depth[front] = at
+    return [depth]
+
+
 def bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, depth): edges from the nearest seed, seeds (node) at 0."""
-    seen = materialize(seeds.select("node", F.lit(0).cast("long").alias("depth")).distinct())
-    front, depth = seen, 0
+    """(node, depth): edges from the nearest seed, seeds (node) at 0. In loops each front is one written table; none is written twice."""
+    seeds = seeds.select("node").dropna().distinct()
+    if is_small(edges) and seeds.count() <= SMALL_EDGES:
+        return materialize(in_one_task(edges, _depths, "depth bigint", seeds).filter("depth >= 0"))
+    seen = front = materialize(seeds.withColumn("depth", F.lit(0).cast("long")))
+    depth = 0
     while not front.isEmpty():
         depth += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = materialize(step.withColumn("depth", F.lit(depth).cast("long")))
-        seen = materialize(seen.union(front))
+        seen = seen.union(front)
     return seen
 
 
-def scc(edges: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+def scc(edges: DataFrame) -> DataFrame:
     """(node, scc): the smallest node that is reachable both ways, itself included."""
-    reach = closure(edges) if reach is None else reach
-    both = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select(F.col("a.src").alias("node"), F.col("a.dst").alias("other"))
+    if is_small(edges):
+        return materialize(in_one_task(edges, lambda *graph: _levels(*graph)[:1], "scc string"))
+    return coloured(edges)
+
+
+def coloured(edges: DataFrame) -> DataFrame:
+    """``scc`` by loops: nodes without in- or out-edges are trimmed; in what is left the largest name that
+    reaches a node is its colour, and what reaches the colour's own node back within the colour is its component.
+    """
     nodes = nodes_of(edges)
-    return materialize(nodes.select("node", F.col("node").alias("other")).union(both).groupBy("node").agg(F.min("other").alias("scc")))
+    active = materialize(edges.filter("src <> dst"))
+    done = nodes.limit(0).select("node", F.col("node").alias("root"))
+    while not active.isEmpty():
+        trimmed = active
+        for _ in range(TRIMS_A_ROUND):
+            trimmed = trimmed.join(trimmed.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(trimmed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        trimmed = materialize(trimmed)
+        if trimmed.count() < active.count():
+            active = trimmed
+            continue
+        colour = materialize(nodes_of(active).select("node", F.col("node").alias("colour")))
+        while True:
+            pushed = active.join(colour, active["src"] == colour["node"]).groupBy("dst").agg(F.max("colour").alias("pushed"))
+            new = materialize(colour.join(pushed, colour["node"] == pushed["dst"], "left").select("node", F.greatest("colour", "pushed").alias("colour"), (F.coalesce("pushed", F.lit("")) > F.col("colour")).alias("moved")))
+            moved, colour = not new.filter("moved").isEmpty(), new.select("node", "colour")
+            if not moved:
+                break
+        a, b = colour.withColumnsRenamed({"node": "src", "colour": "x"}), colour.withColumnsRenamed({"node": "dst", "colour": "y"})
+        inner = materialize(active.join(a, "src").join(b, "dst").filter("x = y").select("src", "dst"))
+        roots = colour.filter("node = colour").select("node")
+        back = bfs(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("node").join(colour, "node").select("node", F.col("colour").alias("root"))
+        back = materialize(back)
+        done = done.union(back)
+        gone = back.select("node")
+        active = materialize(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    named = done.join(done.groupBy("root").agg(F.min("node").alias("scc")), "root").select("node", "scc")
+    return materialize(nodes.join(named, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")))
 
 
-def levels(edges: DataFrame, sccs: DataFrame | None = None) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, scc, level): 1 more than the highest level that its component depends on, leaves 0."""
-    sccs = scc(edges) if sccs is None else sccs
+    if is_small(edges):
+        return materialize(in_one_task(edges, _levels, "scc string, level bigint"))
+    sccs = coloured(edges)
     a, b = sccs.withColumnsRenamed({"node": "src", "scc": "a"}), sccs.withColumnsRenamed({"node": "dst", "scc": "b"})
     deps = materialize(edges.join(a, "src").join(b, "dst").filter("a <> b").select("a", "b").distinct())
     now = materialize(sccs.select("scc", F.lit(0).cast("long").alias("level")).distinct())
@@ -59,7 +242,8 @@ def levels(edges: DataFrame, sccs: DataFrame | None = None) -> DataFrame:
         up = deps.join(now, deps["b"] == now["scc"]).groupBy("a").agg((F.max("level") + 1).alias("up"))
         new = materialize(now.join(up, now["scc"] == up["a"], "left").select("scc", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
         if new.agg(F.sum("level")).first()[0] == now.agg(F.sum("level")).first()[0]:
-            return sccs.join(new, "scc").select("node", "scc", "level")
+            return materialize(sccs.join(new, "scc").select("node", "scc", "level"))
+        free(now)
         now = new
 
 
@@ -72,12 +256,13 @@ def connected(edges: DataFrame) -> DataFrame:
         if mark == seen:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-        seen = mark
+        seen, old = mark, now
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         now = materialize(large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct())
+        free(old)
 
 
 def stable_modules(pairs: DataFrame, most: float = 0.15, least_in: int = 3) -> DataFrame:

@@ -3,53 +3,79 @@
 from __future__ import annotations
 
 from ..plans.sqlops import SqlOp
-from .degrees import CC_HIGH, DEGREES, FAN_OUT, GINI, MODULARITY
-
-#: Limits of the constraint checks below.
-MAX_CC, MAX_FILE_LINES, MAX_FN_LINES, MAX_COUPLING, MIN_QUALITY = 35, 900, 80, 0.5, 0.6
+from .degrees import DEGREES, FAN_OUT
+from .health import _CAUSES
 
 
 def _glob(path: str, pattern: str) -> str:
-    """Whether a path matches a glob: exact, dir/**/*, dir/** (a bare prefix), dir/* (one level), *.ext, or a directory."""
+    """Whether a path matches a glob: the path itself, dir/**/* and dir/** (a bare prefix), dir/* (what follows the prefix, less one slash, has none), *.ext, or a directory."""
     return f"""case when {pattern} = {path} then true
-        when ENDS({pattern}, '/**/*') then STARTS({path}, left({pattern}, length({pattern}) - 5) || '/')
-        when ENDS({pattern}, '/**') then STARTS({path}, left({pattern}, length({pattern}) - 3))
-        when ENDS({pattern}, '/*') then STARTS({path}, left({pattern}, length({pattern}) - 1)) and not HAS(substr({path}, length({pattern})), '/')
+        when ENDS({pattern}, '/**/*') then STARTS({path}, left({pattern}, length({pattern}) - 5)) and length({path}) > length({pattern}) - 5
+        when ENDS({pattern}, '/**') then STARTS({path}, left({pattern}, length({pattern}) - 3)) and length({path}) > length({pattern}) - 3
+        when ENDS({pattern}, '/*') then STARTS({path}, left({pattern}, length({pattern}) - 2)) and not HAS(regexp_replace(substr({path}, length({pattern}) - 1), '^/', ''), '/')
         when STARTS({pattern}, '*.') then ENDS({path}, substr({pattern}, 2))
         else STARTS({path}, {pattern} || '/') end"""
 
 
-_GLOBS = "(values ('src/brand11/**'), ('src/brand1*'), ('src/brand12/*'), ('*.test.ts'), ('src/brand13'), ('src/brand14/**/*'), ('src/brand21/f1.ts')) g(pattern)"
-_LAYERS = "(values ('ui', 'src/brand1%', 0), ('core', 'src/brand3%', 1), ('base', 'src/brand5%', 2)) l(layer, files_like, ord)"
-_LAYER_OF = f"select path, layer, ord from (select f.path, l.layer, l.ord, row_number() over (partition by f.path order by l.ord) as rk from @files f join {_LAYERS} on f.path like l.files_like) x where rk = 1"
+_GLOBS = "(values ('src/brand11/**'), ('src/brand1*'), ('src/brand12/*'), ('src/brand1/*'), ('*.test.ts'), ('src/brand13'), ('src/brand14/**/*'), ('src/brand3/**/*'), ('src/brand21/f1.ts')) g(pattern)"
+#: The first layer, by place in the list and then by pattern, that a path matches.
+_LAYER_OF = f"select path, layer, ord from (select f.path, l.layer, l.ord, row_number() over (partition by f.path order by l.ord, l.nth) as rk from @files f join @layers l on {_glob('f.path', 'l.pattern')}) x where rk = 1"
 _OPEN = "select f.* from @findings f left join (select b.key from @baseline_findings b) b on b.key = f.key where b.key is null"
-_SIGNAL = f"select greatest(0.0, least(1.0, (m.q + 0.5) / 1.5)) as modularity, greatest(0.0, least(1.0, 1 - g.gini)) as equality from ({MODULARITY}) m cross join ({GINI}) g"
 
 
-def _listing(rule: str, rows: str, severity: str = "error") -> str:
-    return f"select '{rule}' as rule, '{severity}' as severity, count(*) as n_files, SETJOIN(file) as files from ({rows}) v having count(*) > 0"
+def _listing(rule: str, rows: str) -> str:
+    """One row that lists all violations, if there are any."""
+    return f"select '{rule}' as rule, 'error' as severity, count(*) as n_files, SETJOIN(file) as files from ({rows}) v having count(*) > 0"
+
+
+def _scalar(rule: str, violated: str) -> str:
+    return f"select '{rule}' as rule, 'error' as severity, cast(0 as bigint) as n_files, '' as files from @health h cross join @constraints c where {violated}"
+
+
+def _over(column: str, limit: str, table: str, what: str) -> str:
+    return f"select {what} as file from @{table} t cross join @constraints c where t.{column} > c.{limit}"
 
 
+_GOD = f"select d.path as file from ({DEGREES}) d join @files f on f.path = d.path cross join @constraints c where c.no_god_files and d.fan_out > {FAN_OUT} and not f.is_barrel and not exists (select 1 from @entry_points p where p.file = d.path)"
+_CYCLES = "select l.path as file from @levels l join (select scc from @levels group by scc having count(*) > 1) z on z.scc = l.scc cross join @constraints c cross join @health h where h.cycle_count > c.max_cycles"
+_UPWARD = "select u.from_file || ' (L' || cast(u.from_level as string) || ') > ' || u.to_file || ' (L' || cast(u.to_level as string) || ')' as file from @upward u cross join @constraints c where (select count(*) from @upward) > c.max_upward_violations"
+#: The 13 constraints; a limit that is null isn't checked.
 CHECKS = {
-    "max_cc": _listing("max_cc", f"select path || ':' || name as file from @functions where cc > {MAX_CC}"),
-    "max_file_lines": _listing("max_file_lines", f"select path as file from @files where lines > {MAX_FILE_LINES}"),
-    "max_fn_lines": _listing("max_fn_lines", f"select path || ':' || name as file from @functions where ln > {MAX_FN_LINES}"),
-    "no_god_files": _listing("no_god_files", f"select d.path as file from ({DEGREES}) d join @files f on f.path = d.path where d.fan_out > {FAN_OUT} and not f.is_barrel and d.path not in (select file from @entry_points)"),
+    "min_quality": _scalar("min_quality", "h.quality_signal < c.min_quality"),
+    **{f"min_{x}": _scalar(f"min_{x}", f"h.{x} < c.min_{x}") for x in _CAUSES},
+    "max_coupling": _scalar("max_coupling_score", "h.coupling_score > c.max_coupling_score"),
+    "max_cycles": _listing("max_cycles", _CYCLES),
+    "max_cc": _listing("max_cc", _over("cc", "max_cc", "functions", "t.path || ':' || t.name")),
+    "max_file_lines": _listing("max_file_lines", _over("lines", "max_file_lines", "files", "t.path")),
+    "max_fn_lines": _listing("max_fn_lines", _over("ln", "max_fn_lines", "functions", "t.path || ':' || t.name")),
+    "no_god_files": _listing("no_god_files", _GOD),
+    "max_upward": _listing("max_upward_violations", _UPWARD),
 }
+_LAYER = f"select distinct e.from_file, a.layer as from_layer, e.to_file, b.layer as to_layer from @import_edges e join ({_LAYER_OF}) a on a.path = e.from_file join ({_LAYER_OF}) b on b.path = e.to_file where a.ord > b.ord and (select count(distinct layer) from @layers) >= 2"
+_BOUNDARY = f"select e.from_file, e.to_file, b.reason from @import_edges e join @boundaries b on ({_glob('e.from_file', 'b.from_glob')}) and ({_glob('e.to_file', 'b.to_glob')})"
+#: A module is the first component below a contract's root; a file is public if its path below the module is listed.
+_UNDER = "split_part(substr({0}, length(m.root) + 2), '/', 1)"
+_INSIDE = "STARTS({0}, m.root || '/') and " + _UNDER + " <> ''"
+_CONTRACT = f"select distinct m.id, e.from_file, e.to_file from @import_edges e join @module_contracts m on m.forbid and m.root <> '' and {_INSIDE.format('e.to_file')} where exists (select 1 from @contract_api x where x.id = m.id) and not (({_INSIDE.format('e.from_file')}) and {_UNDER.format('e.from_file')} = {_UNDER.format('e.to_file')}) and not exists (select 1 from @contract_api p where p.id = m.id and e.to_file = m.root || '/' || {_UNDER.format('e.to_file')} || '/' || p.file_name)"
+_VIOLATIONS = " union all ".join([
+    *CHECKS.values(),
+    f"select 'layer_direction', 'error', count(*), SETJOIN(from_file || ' > ' || to_file) from ({_LAYER}) l having count(*) > 0",
+    f"select 'boundary', 'error', count(*), SETJOIN(from_file || ' > ' || to_file) from ({_BOUNDARY}) b having count(*) > 0",
+    f"select 'module_contract', 'error', count(*), SETJOIN(from_file || ' > ' || to_file) from ({_CONTRACT}) c having count(*) > 0",
+])
 
 OPS: dict[str, SqlOp] = {
     "glob_predicate": SqlOp("Paths that each glob matches", f"select g.pattern, count(*) as n, min(f.path) as first_path from @files f cross join {_GLOBS} where {_glob('f.path', 'g.pattern')} group by g.pattern"),
     **{name: SqlOp("Violations of one constraint, all in one row", sql) for name, sql in CHECKS.items()},
-    "check_rules": SqlOp("All listed constraint violations", " union all ".join(CHECKS.values())),
-    "min_quality": SqlOp("The quality signal of modularity and equality against its minimum", f"select 'min_quality' as rule, round(sqrt(greatest(modularity, 0.01) * greatest(equality, 0.01)), 6) as value, sqrt(greatest(modularity, 0.01) * greatest(equality, 0.01)) >= {MIN_QUALITY} as passed from ({_SIGNAL}) s"),
-    "min_root_cause": SqlOp("Each root-cause score against its minimum", f"select 'modularity' as cause, round(modularity, 6) as value, modularity >= 0.3 as passed from ({_SIGNAL}) s union all select 'equality', round(equality, 6), equality >= 0.5 from ({_SIGNAL}) t"),
-    "max_coupling": SqlOp("Cross-module share of edges against its maximum", f"with c as (select count(*) as n, sum(case when a.module <> b.module then 1 else 0 end) as x from @import_edges e join @module_paths a on a.path = e.from_file join @module_paths b on b.path = e.to_file) select 'max_coupling' as rule, round(x / cast(n as double), 6) as value, x / cast(n as double) <= {MAX_COUPLING} as passed from c where n > 0"),
-    "layer_direction": SqlOp("Edges from a higher layer order to a lower one, by the first layer that matches", f"with l as ({_LAYER_OF}) select distinct e.from_file, a.layer as from_layer, e.to_file, b.layer as to_layer from @import_edges e join l a on a.path = e.from_file join l b on b.path = e.to_file where a.ord > b.ord"),
-    "boundary_rule": SqlOp("Edges that both globs of a boundary match", f"select e.from_file, e.to_file, b.reason from @import_edges e join (values ('src/brand1/**', 'src/brand2/**', 'one must not use two'), ('src/brand4*', '*.test.ts', 'no tests')) b(from_glob, to_glob, reason) on ({_glob('e.from_file', 'b.from_glob')}) and ({_glob('e.to_file', 'b.to_glob')})"),
-    "module_contract": SqlOp("Imports into another module that bypass its public files", "select distinct e.from_file, e.to_file, b.module from @import_edges e join @module_paths a on a.path = e.from_file join @module_paths b on b.path = e.to_file where a.module <> b.module and STARTS(b.module, 'src/brand') and not b.is_barrel and b.size > 30"),
-    "baseline_diff": SqlOp("Before and after by kind, degraded where a count or the mean score rose", "with b as (select kind, count(*) as n, avg(score) as s from @baseline_findings group by kind), c as (select kind, count(*) as n, avg(score) as s from @findings group by kind) select coalesce(c.kind, b.kind) as kind, coalesce(b.n, 0) as before_count, coalesce(c.n, 0) as after_count, coalesce(c.n, 0) > coalesce(b.n, 0) or coalesce(c.s, 0) > coalesce(b.s, 0) + 200 as degraded from b full outer join c on c.kind = b.kind"),
+    "check_rules": SqlOp("All violations: 13 constraints, layers, boundaries and module contracts, a row each rule", _VIOLATIONS),
+    "check_verdict": SqlOp("Rules checked, rules violated, and whether none was", f"with v as ({_VIOLATIONS}) select (select count(min_quality) + count(min_modularity) + count(min_acyclicity) + count(min_depth) + count(min_equality) + count(min_redundancy) + count(max_coupling_score) + count(max_cycles) + count(max_cc) + count(max_file_lines) + count(max_fn_lines) + count(max_upward_violations) + sum(case when no_god_files then 1 else 0 end) from @constraints) + case when (select count(distinct layer) from @layers) >= 2 then 1 else 0 end + (select count(*) from @boundaries) + (select count(*) from @module_contracts) as rules_checked, count(*) as violated, count(*) = 0 as passed from v"),
+    "min_root_cause": SqlOp("Each root-cause score against its minimum", " union all ".join(f"select '{c}' as cause, round(h.{c}, 6) as value, h.{c} >= k.min_{c} as passed from @health h cross join @constraints k" for c in _CAUSES)),
+    "layer_direction": SqlOp("Edges from a higher layer order to a lower one, by the first layer that matches", _LAYER),
+    "boundary_rule": SqlOp("Edges that both globs of a boundary match", _BOUNDARY),
+    "module_contract": SqlOp("Imports into another module below a contract's root that bypass its public files", _CONTRACT),
+    "baseline_diff": SqlOp("Health before and after, degraded where the signal fell by over 0.02, coupling rose by over 0.05, or a count rose", "select round(b.quality_signal, 5) as signal_before, round(h.quality_signal, 5) as signal_after, round(b.coupling_score, 6) as coupling_before, round(h.coupling_score, 6) as coupling_after, b.cycle_count as cycles_before, h.cycle_count as cycles_after, b.god_file_count as god_files_before, h.god_files as god_files_after, h.quality_signal - b.quality_signal < -0.02 as signal_dropped, h.coupling_score > b.coupling_score + 0.05 as coupling_degraded, h.cycle_count > b.cycle_count as cycles_increased, h.god_files > b.god_file_count as god_files_increased, h.complex_functions > b.complex_fn_count as complex_increased, h.quality_signal - b.quality_signal < -0.02 or h.coupling_score > b.coupling_score + 0.05 or h.cycle_count > b.cycle_count or h.god_files > b.god_file_count or h.complex_functions > b.complex_fn_count as degraded from @health h cross join @structural_baseline b"),
     "introduced_findings": SqlOp("Findings whose key the baseline lacks", f"select key, kind, severity, file, score from ({_OPEN}) o"),
-    "resolved_findings": SqlOp("Baseline findings that are gone, experimental ones left out", "select b.key, b.kind, b.severity from @baseline_findings b where b.trust <> 'experimental' and b.key not in (select key from @findings)"),
+    "resolved_findings": SqlOp("Baseline findings that are gone, experimental ones left out", "select b.key, b.kind, b.severity from @baseline_findings b where b.trust <> 'experimental' and not exists (select 1 from @findings f where f.key = b.key)"),
     "hash_diff_full_outer": SqlOp("Paths whose hash differs or that one side lacks", "select coalesce(a.path, b.path) as path, case when a.path is null then 'removed' when b.path is null then 'added' else 'changed' end as change from @file_hashes a full outer join @baseline_hashes b on a.path = b.path where a.hash is null or b.hash is null or a.hash <> b.hash"),
     "missing_test_anti_join": SqlOp("Changed production files without a test of their stem, directories with more than 3 as one", "with c as (select a.path from @file_hashes a left join @baseline_hashes b on a.path = b.path where b.path is null and not HAS(a.path, '.test.')), m as (select c.path, split_part(c.path, '/', 2) as dir from c left join @files t on t.path = replace(c.path, '.ts', '.test.ts') where t.path is null), n as (select dir, count(*) as n from m group by dir) select m.path as scope, cast(1 as bigint) as n from m join n on n.dir = m.dir where n.n <= 3 union all select dir, n from n where n > 3"),
     "suppression_anti_join": SqlOp("Findings that no unexpired suppression hides", "select f.key, f.kind, f.file from @findings f where not exists (select 1 from @suppressions s where (s.kind = '*' or s.kind = f.kind) and f.scope like s.file_like and coalesce(s.expires, '9999-12-31') >= '2026-01-01')"),
@@ -58,6 +84,4 @@ OPS: dict[str, SqlOp] = {
     "session_end_decision": SqlOp("fail, warn or pass of each scope", f"select f.scope, case when sum(case when o.severity = 'high' then 1 else 0 end) > 0 then 'fail' when count(o.key) > 0 then 'warn' else 'pass' end as decision from (select distinct scope from @findings) f left join ({_OPEN}) o on o.scope = f.scope group by f.scope"),
     "agent_gate": SqlOp("fail if an issue blocks, warn if one is medium or higher", "select scope, case when max(case when severity = 'high' and trust = 'trusted' then 1 else 0 end) = 1 then 'fail' when max(case when severity in ('high', 'medium') then 1 else 0 end) = 1 then 'warn' else 'pass' end as gate from @findings group by scope"),
     "rule_coverage": SqlOp("Checkable rules over declared ones in each section", "with d as (select 'concept' as section, concept as id from @concepts union all select 'suppress', kind from @suppressions), c as (select distinct 'concept' as section, concept as id from @concept_targets where nk > 4 union all select distinct 'suppress', kind from @suppressions where expires is not null) select d.section, count(*) as declared, count(c.id) as checkable, cast(round(10000.0 * count(c.id) / count(*)) as bigint) as score_0_10000 from d left join c on c.section = d.section and c.id = d.id group by d.section"),
-    "quality_signal": SqlOp("Root-cause scores and their geometric mean with a floor of 0.01", f"with s as ({_SIGNAL}), r as (select count(*) as total, sum(case when bh <> 0 then 1 else 0 end) as dup from @functions), v as (select modularity, equality, greatest(0.0, 1 - dup / cast(total as double)) as redundancy, 1.0 / (1.0 + 5) as acyclicity, 1.0 / (1.0 + 4 / 8.0) as depth from s cross join r) select round(modularity, 6) as modularity, round(equality, 6) as equality, round(redundancy, 4) as redundancy, round(power(greatest(modularity, 0.01) * greatest(equality, 0.01) * greatest(redundancy, 0.01) * acyclicity * depth, 0.2), 6) as quality_signal from v"),
-    "health_report": SqlOp("One row of counts and scores", f"with d as ({DEGREES}), g as ({GINI}), m as ({MODULARITY}) select (select count(*) from @files) as files, (select count(*) from @import_edges) as import_edges, (select count(*) from @functions) as functions, (select count(*) from @functions where cc > {CC_HIGH}) as complex_functions, (select count(*) from d where fan_out > {FAN_OUT}) as wide_files, round(m.q, 6) as modularity_q, round(g.gini, 6) as gini from g cross join m"),
 }

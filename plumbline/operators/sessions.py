@@ -21,7 +21,7 @@ def _rate(condition: str) -> str:
 _ARMS = f"select arm, count(*) as n, {_rate('presented')} as presented_rate, {_rate('top')} as top_rate, {_rate('cleared')} as cleared_rate, round(sum(case when cleared and regressed then 1 else 0 end) / cast(nullif(sum(case when cleared then 1 else 0 end), 0) as double), 3) as regression_after_fix, round(avg(checks), 3) as mean_checks from @trials group by arm"
 _SIGNAL_ARMS = _ARMS.replace("select arm,", "select signal, arm,").replace("group by arm", "group by signal, arm")
 _STATS = "select metric, count(*) as n, min(elapsed) as least, max(elapsed) as most, round(PCT(elapsed, 0.5), 6) as middle, round(avg(elapsed), 6) as mean, round(stddev_pop(elapsed), 6) as deviation, round(max(elapsed) - min(elapsed), 6) as spread from @samples group by metric"
-_BUCKET = "case when regressed and not cleared then 'regressed' when not presented then case when cleared then 'clean_but_missed_expected_signal' else 'missed_expected_signal' end when not top then case when cleared then 'clean_but_misranked' else 'expected_signal_present_not_top' end when cleared then 'clean' else 'incomplete' end"
+_BUCKET = "case when status <> 'completed' then 'provider_failed' when regressed then 'regressed' when not presented then case when final_clean then 'clean_but_missed_expected_signal' else 'missed_expected_signal' end when not top then case when final_clean then 'clean_but_misranked' else 'expected_signal_present_not_top' end when convergence = 'thrashing' then 'thrashing' when convergence = 'stalled' then 'stalled' when final_clean then 'clean' else 'incomplete' end"
 _SCORE = f"""
     with v as (select signal, count(*) as reviewed, sum(case when category = 'tp' then 1 else 0 end) as tp, sum(case when category = 'fp' then 1 else 0 end) as fp, sum(case when category = 'acceptable' then 1 else 0 end) as ok, sum(case when category = 'inconclusive' then 1 else 0 end) as open_ones, min(idx) as first_idx from @verdicts group by signal)
     select signal, reviewed, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(open_ones as bigint) as inconclusive, round((tp + ok) / cast(nullif(reviewed - open_ones, 0) as double), 3) as precision_, round(fp / cast(nullif(reviewed - open_ones, 0) as double), 3) as noise, first_idx from v"""
@@ -48,7 +48,7 @@ OPS: dict[str, SqlOp] = {
     "signal_scorecard": SqlOp("Review and trial evidence by signal, whichever exists", f"with r as ({_SCORE}), t as (select signal, count(*) as trials, {_rate('presented')} as recall from @trials group by signal) select coalesce(r.signal, t.signal) as signal, r.reviewed, r.precision_, t.trials, t.recall from r full outer join t on t.signal = r.signal"),
     "promotion_candidates": SqlOp("Signals whose precision and noise pass", f"select signal from ({_SCORE}) s where precision_ >= 0.8 and noise <= 0.2"),
     "demotion_candidates": SqlOp("Signals that violate a limit, with the limits", f"select signal, precision_ < 0.8 as low_precision, noise > 0.2 as high_noise from ({_SCORE}) s where precision_ < 0.8 or noise > 0.2"),
-    "promotion_recommendation": SqlOp("First case that fits: noise, precision, then keep", f"select signal, case when noise > 0.2 then 'reduce_noise' when precision_ < 0.8 then 'improve_precision' when reviewed < 3 then 'collect_more' else 'keep_trusted' end as recommendation from ({_SCORE}) s"),
+    "promotion_recommendation": SqlOp("First case that fits: noise, outcome, fix guidance, then keep; a rate without samples decides nothing", f"with s as ({_SCORE}), t as (select signal, count(*) as trials, {_rate('presented')} as recall, {_rate('top')} as follow, {_rate('cleared')} as remediation, {_rate('final_clean')} as session_clean, {_rate('regressed')} as regression, {_rate("convergence = 'thrashing'")} as thrash from @trials group by signal), m as (select coalesce(s.signal, t.signal) as signal, coalesce(s.reviewed, 0) as reviewed, coalesce(s.fp, 0) as fp, s.noise, s.precision_, t.recall, coalesce(t.trials, 0) as trials, t.follow, t.remediation, t.session_clean, t.regression, t.thrash from s full outer join t on t.signal = s.signal) select signal, case when reviewed > 0 and fp > 0 then 'degrade_or_quarantine' when reviewed > 0 and noise > 0.2 then 'needs_review' when recall < 0.95 then 'improve_detection' when precision_ < 0.8 then 'reduce_noise' when trials >= 3 and follow < 0.6 then 'improve_fix_guidance' when remediation < 0.6 or session_clean < 0.6 or regression > 0.4 or thrash > 0.3 then 'improve_fix_guidance' else 'keep_unspecified' end as recommendation from m"),
     "completion_gates": SqlOp("A phase passes when no required condition fails", f"with c as (select 'precision' as condition, true as required, avg(precision_) >= 0.5 as passed from ({_SCORE}) a union all select 'volume', true, sum(reviewed) >= 10 from ({_SCORE}) b union all select 'noise', false, max(noise) <= 0.2 from ({_SCORE}) d) select min(case when required and not passed then 0 else 1 end) = 1 as passed, cast(sum(case when required and not passed then 1 else 0 end) as bigint) as failed_required, cast(sum(case when not required and not passed then 1 else 0 end) as bigint) as failed_optional from c"),
     "signal_backlog": SqlOp("Missed signals by weighted misses", "select signal, cast(3 * sum(case when lane = 'live' and not presented then 1 else 0 end) + 2 * sum(case when lane = 'replay' and not presented then 1 else 0 end) + 2 * sum(case when regressed then 1 else 0 end) as bigint) as priority from @trials group by signal"),
     "benchmark_stats": SqlOp("Count, range, median, mean and deviation of each metric", _STATS),

@@ -1,14 +1,24 @@
-"""Cutting lineage in iterative plans: tables written to the folder that ``spark.checkpoint.dir`` names."""
+"""Cutting lineage in iterative plans: tables written to the folder that ``spark.checkpoint.dir`` names.
+
+A query's tables are freed when the process ends; a loop frees the rounds that nothing reads any more.
+"""
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, SparkSession] = {}
+
 
 def scratch_root(spark: SparkSession) -> str:
+    """The shared folder; a temporary one only where ``spark.checkpoint.dir`` is unset in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
@@ -21,5 +31,34 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back; survives lost executors, unlike cached blocks."""
     path = f"{scratch_root(df.sparkSession)}/plumbline/step-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(free)
+    _made[path] = df.sparkSession
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete the written tables behind these DataFrames; all that are left if none is given."""
+    names = {f.split("/plumbline/")[1].split("/")[0] for t in tables for f in t.inputFiles() if "/plumbline/step-" in f}
+    for path in [p for p in _made if not tables or p.rpartition("/")[2] in names]:
+        spark = _made.pop(path)
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may be gone already
+            pass
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_plumbline_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="plumbline-code-"), "plumbline_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(target)
+    sc._plumbline_shipped = True

@@ -4,8 +4,9 @@ An operator is one SELECT in the dialect that Spark and DuckDB share, over relat
 ``@name``. ``SqlOp.run`` binds them to DataFrames, so Catalyst sees one declarative plan; the same text
 with the views as common table expressions is what the tests hold results against.
 
-A few macros bridge the dialects: EPOCH(timestamp), IDIV(a, b), MATCHES(text, pattern), SETJOIN(x),
-LISTJOIN(x, key), STARTS(text, prefix), ENDS(text, suffix), HAS(text, part) and PCT(x, p).
+A few macros bridge the dialects: EPOCH(timestamp), DIR(path), NAME(path), IDIV(a, b), MATCHES(text, pattern), SETJOIN(x),
+LISTJOIN(x, key), STARTS(text, prefix), ENDS(text, suffix), HAS(text, part) PCT(x, p), LIST(a, b, ..), UNNEST(list, alias, column) after a FROM
+and PREFIXES(text, pattern, separator): the text's first 1, 2, .. parts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,11 @@ MACROS = {
     "STARTS": ("startswith({0}, {1})", "starts_with({0}, {1})"),
     "ENDS": ("endswith({0}, {1})", "ends_with({0}, {1})"),
     "HAS": ("contains({0}, {1})", "contains({0}, {1})"),
+    "DIR": ("(case when contains({0}, '/') then regexp_replace({0}, '/[^/]*$', '') else '' end)", "(case when contains({0}, '/') then regexp_replace({0}, '/[^/]*$', '') else '' end)"),
+    "NAME": ("regexp_replace({0}, '^.*/', '')", "regexp_replace({0}, '^.*/', '')"),
+    "LIST": ("array({*})", "[{*}]"),
+    "UNNEST": ("lateral view explode({0}) {1} as {2}", "cross join unnest({0}) {1}({2})"),
+    "PREFIXES": ("transform(sequence(1, size(split({0}, '{1}'))), i -> array_join(slice(split({0}, '{1}'), 1, i), '{2}'))", "list_transform(range(1, len(string_split_regex({0}, '{1}')) + 1), lambda i: array_to_string(string_split_regex({0}, '{1}')[1:i], '{2}'))"),
     "PCT": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
 }
 
@@ -55,7 +61,9 @@ def translate(sql: str, spark: bool) -> str:
     pattern = re.compile(r"\b(" + "|".join(MACROS) + r")\(")
     while m := pattern.search(sql):
         args, end = _arguments(sql, m.end() - 1)
-        sql = sql[: m.start()] + MACROS[m[1]][0 if spark else 1].format(*args) + sql[end:]
+        body = MACROS[m[1]][0 if spark else 1].replace("{*}", ", ".join(args))
+        args = [a[1:-1] if m[1] == "PREFIXES" and i else a for i, a in enumerate(args)]
+        sql = sql[: m.start()] + (body if m[1] == "LIST" else body.format(*args)) + sql[end:]
     return sql
 
 
@@ -85,15 +93,22 @@ class SqlOp:
 
 
 class Relations:
-    """Named views over base tables, for Spark as DataFrames and for DuckDB as common table expressions."""
+    """Named relations over base tables, for Spark as DataFrames and for DuckDB as common table expressions.
 
-    def __init__(self, views: dict[str, str]):
-        self.views = views
+    ``views`` are SELECTs in the shared dialect. ``computed`` are those that Spark gets by a kernel: name to the
+    function, the relations that it takes in order, and a SELECT that DuckDB gets the same rows by.
+    """
+
+    def __init__(self, views: dict[str, str], computed: dict[str, tuple] | None = None):
+        self.views, self.computed = views, computed if computed is not None else {}
 
     def frame(self, spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataFrame] | None = None) -> DataFrame:
         seen = {} if seen is None else seen
         if name not in seen:
-            if name in self.views:
+            if name in self.computed:
+                f, names, _ = self.computed[name]
+                seen[name] = f(*(self.frame(spark, sf_dir, n, seen) for n in names))
+            elif name in self.views:
                 op = SqlOp(name, self.views[name])
                 seen[name] = op.run(spark, **{n: self.frame(spark, sf_dir, n, seen) for n in relations_of(op.sql)})
             else:
@@ -108,10 +123,11 @@ class Relations:
         out: dict[str, str] = {}
 
         def visit(name: str) -> None:
-            if name in self.views and name not in out:
-                for n in relations_of(self.views[name]):
+            sql = self.computed[name][2] if name in self.computed else self.views.get(name)
+            if sql and name not in out:
+                for n in relations_of(sql):
                     visit(n)
-                out[name] = f"{name} AS MATERIALIZED ({re.sub(r'@(\w+)', r'\1', translate(self.views[name], False))})"
+                out[name] = f"{name} AS MATERIALIZED ({re.sub(r'@(\w+)', r'\1', translate(sql, False))})"
 
         for n in names:
             visit(n)

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from .sqlops import Relations
 
+#: Files that declare modules.
+MODULE_FILES = ["mod.rs", "lib.rs", "main.rs"]
+
 VIEWS: dict[str, str] = {
     # One path a part: some are barrels, some are tests.
     "paths": """
@@ -31,12 +34,12 @@ VIEWS: dict[str, str] = {
                cast(size * 20 - size * (k % 5) - size * 2 as bigint) as logic
         from @module_paths""",
     "functions": """
-        select f.path, f.module, f.is_test, f.lang, 'fn' || cast((f.k * 7 + v.i) % 400 as string) as name, cast(v.i * 30 as bigint) as sl, cast(v.i * 30 + (f.k * v.i) % 90 as bigint) as el,
-               cast((f.k * v.i) % 90 + 1 as bigint) as ln, case when (f.k + v.i) % 9 = 0 then null else cast((f.k * v.i + f.lines) % 40 as bigint) end as cc,
-               cast((f.k * 3 + v.i) % 33 as bigint) as cog, cast((f.k + v.i) % 8 as bigint) as pc, case when f.k % 4 = 0 then cast(0 as bigint) else cast((f.k % 37) * 10 + v.i as bigint) end as bh,
-               (f.k + v.i) % 3 = 0 as is_public, (f.k + v.i) % 5 = 0 as is_method, cast((f.k * v.i) % 6 - 3 as bigint) as same_file_ref_count
-        from @files f cross join (values (1), (2), (3)) v(i)""",
-    "calls": "select path, name as func, 'fn' || cast((cast(substr(name, 3) as bigint) * 3) % 400 as string) as callee, sl + 1 as line from @functions where pc > 2",
+        select f.path, f.module, f.is_test, f.lang, 'fn' || cast((f.k * 7 + f.i) % 400 as string) as name, cast(f.i * 30 as bigint) as sl, cast(f.i * 30 + (f.k * f.i) % 90 as bigint) as el,
+               cast((f.k * f.i) % 90 + 1 as bigint) as ln, case when (f.k + f.i) % 9 = 0 then null else cast((f.k * f.i + f.lines) % 40 as bigint) end as cc,
+               cast((f.k * 3 + f.i) % 33 as bigint) as cog, cast((f.k + f.i) % 8 as bigint) as pc, case when f.k % 4 = 0 then cast(0 as bigint) else cast((f.k % (case when f.i = 3 then 74 else 37 end)) * 10 + f.i as bigint) end as bh,
+               (f.k + f.i) % 7 = 0 as is_public, (f.k + f.i) % 5 = 0 as is_method, cast((f.k * f.i) % 6 - 3 as bigint) as same_file_ref_count
+        from (select * from @files UNNEST(LIST(1, 2, 3), u, i)) f""",
+    "calls": "select path, name as func, 'fn' || cast((cast(substr(name, 3) as bigint) * 2) % 400 as string) as callee, sl + 1 as line from @functions where pc > 2",
     "classes": "select path, 'Class' || cast(k % 60 as string) as name, 'Class' || cast((k * 5) % 60 as string) as base from @files where k % 3 = 0",
     # Positions of an order's lines; l_linenumber repeats within an order.
     "line_positions": """
@@ -56,29 +59,57 @@ VIEWS: dict[str, str] = {
         select distinct p.path as from_file, q.path as to_file
         from @line_positions a join @line_positions b on a.commit_id = b.commit_id and b.pos = a.pos + 2 join @paths p on p.k = a.k join @paths q on q.k = b.k
         where a.k <> b.k""",
+    # Specifiers that lead to the imported file: relative within a directory, else by alias, by path or by suffix; and some that lead nowhere.
+    "specifiers": """
+        select from_file as file, to_file as made_from, case when DIR(from_file) = DIR(to_file) then './' || regexp_replace(NAME(to_file), '[.]ts$', '') when n % 3 = 0 then '@/' || substr(m, 5) when n % 3 = 1 then m else substr(m, 5) end as spec
+        from (select from_file, to_file, length(to_file) + length(from_file) as n, case when ENDS(to_file, '/index.ts') then DIR(to_file) else regexp_replace(to_file, '[.]ts$', '') end as m from @import_edges) e
+        union all select path, path, case when k % 2 = 0 then 'library' || cast(k % 50 as string) else 'lib/x' || cast(k % 50 as string) end from @files where k % 5 = 0""",
+    # Import edges without those by which a module file declares its own directory or one a level below.
+    "dependency_edges": f"""
+        select from_file, to_file from (select from_file, to_file, DIR(from_file) as a, DIR(to_file) as b, NAME(from_file) as n from @import_edges) e
+        where not (n in ({', '.join(f"'{x}'" for x in MODULE_FILES)}) and a <> '' and (a = b or (STARTS(b, a || '/') and not HAS(substr(b, length(a) + 2), '/'))))""",
     "entry_points": "select path as file from @files where k % 50 = 1",
     # Out-degree of at most one: long chains and cycles.
     "chain_edges": """
         select a.path as from_file, b.path as to_file from @paths a cross join (select count(*) as n from @part) c join @paths b on b.k = (a.k * 7 + a.size) % c.n where a.k <> b.k""",
     "dag_edges": "select a.path as from_file, b.path as to_file from @paths a join @paths b on b.k = IDIV(a.k, 2) where a.k <> b.k",
+    # A tree, and pairs of files that stand by themselves.
+    "island_edges": """
+        select a.path as from_file, b.path as to_file from @paths a join @paths b on b.k = IDIV(a.k, 2) where a.k % 30 not in (10, 11) and b.k % 30 not in (10, 11)
+        union all select a.path, b.path from @paths a join @paths b on b.k = a.k + 1 where a.k % 30 = 10
+        union all select b.path, a.path from @paths a join @paths b on b.k = a.k + 1 where a.k % 60 = 10""",
+    "contents": """
+        select path, repeat('await x; ', cast(k % 8 as int)) || repeat('store.dispatch(a); ', cast(k % 4 as int)) || case when k % 3 = 0 then '// setTimeout( in a comment' || chr(10) else 'setTimeout(f); ' end
+               || case when k % 5 = 0 then 'const s = ' || chr(39) || 'it' || chr(92) || chr(39) || ' spawn(' || chr(39) || ';' when k % 5 = 1 then '/* retry( ' || chr(10) || ' */ retry(g);' when k % 5 = 2 then 'let q = "exec(" + `a' || chr(10) || 'emit(`;' else 'try { spawn(x) } catch (e) {}' end as contents
+        from @files""",
+    # Modules 1 to 4 depend on 0, 5 to 9 on 1, and so on.
+    "module_tree": "select distinct 'm' || cast(k % 50 as string) as from_module, 'm' || cast(IDIV(k % 50, 5) as string) as to_module from @paths where k % 50 > 0",
     "rounds": """
         select user_id as session, cast(row_number() over (partition by user_id order by ts, event_id) as bigint) as idx, event_type as action, value,
                case when value > 50 then 'fail' when value > 20 then 'warn' else 'pass' end as gate
         from @events""",
     "body_groups": "select lower(replace(replace(replace(text, ' ', ''), chr(10), ''), chr(9), '')) as body, source as path, doc_id as func, n_chars as ln from @documents where length(text) >= 20",
     "verdicts": """
-        select d.source as signal, d.doc_id, cast(row_number() over (order by d.doc_id) - 1 as bigint) as idx,
+        select d.source as signal, d.doc_id, d.doc_id as idx,
                case when l.quality = 1 and l.toxic = 0 then 'tp' when l.toxic = 1 then 'fp' when d.n_chars % 2 = 0 then 'acceptable' else 'inconclusive' end as category
         from @labels l join @documents d on d.doc_id = l.doc_id""",
     "trials": """
         select event_id, user_id, event_type as signal, case when user_id % 3 = 0 then 'live' else 'replay' end as lane,
                case user_id % 4 when 0 then 'no_intervention' when 1 then 'fix_first' when 2 then 'report_only' else 'full' end as arm,
-               value > 30 as presented, value > 60 as top, value > 80 as cleared, value > 90 as regressed, cast(event_id % 7 as double) as checks
+               value > 30 as presented, value > 60 as top, value > 80 as cleared, value > 90 as regressed, cast(event_id % 7 as double) as checks,
+               case when event_id % 19 = 0 then 'failed' else 'completed' end as status, event_id % 3 > 0 as final_clean, case event_id % 5 when 0 then 'thrashing' when 1 then 'stalled' else 'converging' end as convergence
         from @events""",
+    # One row a rule set; limits are data.
+    "constraints": "select cast(0.6 as double) as min_quality, cast(0.3 as double) as min_modularity, cast(0.5 as double) as min_acyclicity, cast(0.5 as double) as min_depth, cast(0.5 as double) as min_equality, cast(0.9 as double) as min_redundancy, cast(0.35 as double) as max_coupling_score, cast(0 as bigint) as max_cycles, cast(35 as bigint) as max_cc, cast(900 as bigint) as max_file_lines, cast(80 as bigint) as max_fn_lines, true as no_god_files, cast(0 as bigint) as max_upward_violations from @region where r_regionkey = 0",
+    "layers": "select * from (values ('ui', 'src/brand1/**', 0, 0), ('core', 'src/brand3/**', 1, 0), ('core', 'src/brand41/*', 1, 1), ('base', 'src/brand5/**', 2, 0)) l(layer, pattern, ord, nth)",
+    "boundaries": "select * from (values ('src/brand1/**', 'src/brand2/**', 'one must not use two'), ('src/brand21/**', 'src/brand22/*', 'flat'), ('src/brand41/**/*', '*.test.ts', 'no tests')) b(from_glob, to_glob, reason)",
+    "module_contracts": "select * from (values ('brands', 'src', true), ('loose', 'src/brand11', false)) c(id, root, forbid)",
+    "contract_api": "select * from (values ('brands', 'f100.ts'), ('brands', 'api/deep/f17.ts'), ('loose', 'index.ts')) a(id, file_name)",
+    "structural_baseline": "select cast(0.30 as double) as quality_signal, cast(0.5 as double) as coupling_score, cast(0 as bigint) as cycle_count, cast(1000 as bigint) as god_file_count, cast(10 as bigint) as complex_fn_count from @region where r_regionkey = 0",
     "domains": "select 'orderpriority' as domain, o_orderpriority as variant from @orders group by o_orderpriority union all select 'mktsegment', c_mktsegment from @customer group by c_mktsegment",
     "sites": """
-        select distinct 'orderpriority' as domain, 'site' || cast(o_custkey % 211 as string) as site, o_orderpriority as variant from @orders
-        union all select distinct 'mktsegment', 'nation' || cast(c_nationkey as string), c_mktsegment from @customer where c_acctbal > 5000""",
+        select distinct 'orderpriority' as domain, 'customer' || cast(o_custkey as string) as site, o_orderpriority as variant from @orders
+        union all select distinct 'mktsegment', 'nation' || cast(c_nationkey as string) || '/' || cast(c_custkey % 41 as string), c_mktsegment from @customer""",
     "writes": "select 'store.' || lower(n.n_name) as symbol, f.path, cast(s.s_suppkey as bigint) as line from @supplier s join @nation n on n.n_nationkey = s.s_nationkey join @files f on f.k = s.s_suppkey",
     "reads": "select 'store.' || lower(n.n_name) || '.field' as symbol, f.path, cast(c.c_custkey as bigint) as line from @customer c join @nation n on n.n_nationkey = c.c_nationkey join @files f on f.k = c.c_custkey",
     "concepts": "select lower(r_name) as concept, case when r_regionkey % 2 = 0 then 'critical' else 'normal' end as priority, r_regionkey as rk from @region",
@@ -97,4 +128,5 @@ VIEWS: dict[str, str] = {
     "file_events": "select EPOCH(ts) as ts, event_id, user_id, 'src/u' || cast(user_id % 40 as string) || '.ts' as path, event_type as kind from @events",
 }
 
+#: Relations that need a kernel are added by ``operators.health``.
 RELATIONS = Relations(VIEWS)

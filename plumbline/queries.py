@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import degrees, evolution, findings, graph, rules, sessions
+from .operators import degrees, evolution, findings, graph, health, resolution, rules, sessions, structural
 from .plans.sqlops import SqlOp, relations_of
 from .plans.views import RELATIONS
 from .streaming import events
@@ -14,7 +14,9 @@ from .streaming import events
 #: A fixed now for heat: later than every event of the test data.
 HEAT_NOW = 1_706_745_600
 
-FAMILIES = (evolution, degrees, rules, sessions, findings)
+FAMILIES = (evolution, degrees, health, rules, sessions, findings, structural)
+#: Families of functions: name to (operator, its relations in order, its DuckDB SQL or None).
+COMPUTED = graph.GRAPH | resolution.OPS
 
 
 def _bound(op: SqlOp) -> Callable[[SparkSession, str], DataFrame]:
@@ -39,10 +41,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hot_files": _kernel(lambda e: events.hot_files(e, HEAT_NOW, half_life=864_000.0), ("file_events",)),
         "incremental_rescan": _kernel(lambda f: events.incremental_rescan(f.select("path", "lines"), f.filter("k % 10 = 1").select("path", (F.col("lines") + 1).alias("lines")), f.filter("k % 10 = 2").select("path")), ("files",)),
     }
-    return streams | {name: _bound(op) for name, op in sql_ops().items()} | {name: _kernel(f, names) for name, (f, names, _) in graph.GRAPH.items()}
+    return streams | {name: _bound(op) for name, op in sql_ops().items()} | {name: _kernel(f, names) for name, (f, names, _) in COMPUTED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     rescan = {"incremental_rescan": RELATIONS.oracle("select path, case when k % 10 = 1 then lines + 1 else lines end as lines from @files where k % 10 <> 2")}
     plain = rescan | {name: RELATIONS.oracle(op.sql) for name, op in sql_ops().items()}
-    return plain | {name: RELATIONS.oracle(sql, recursive=True) for name, (_, _, sql) in graph.GRAPH.items() if sql}
+    return plain | {name: RELATIONS.oracle(sql, recursive=True) for name, (_, _, sql) in COMPUTED.items() if sql}

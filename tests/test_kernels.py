@@ -13,6 +13,7 @@ CASES = {
     "tail": [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")],
     "diamond": [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")],
     "apart": [("a", "b"), ("c", "d")],
+    "two_in_row": [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("f", "a"), ("e", "e")],
     "repeated": [("a", "b"), ("a", "b")],
 }
 
@@ -26,9 +27,12 @@ def brute_reach(edges):
         reach = more
 
 
-@pytest.fixture(params=sorted(CASES))
-def case(request, spark):
-    edges = CASES[request.param]
+@pytest.fixture(params=[(name, small) for name in sorted(CASES) for small in (True, False)], ids=str)
+def case(request, spark, monkeypatch):
+    """Each graph by both plans: in one task, and by loops."""
+    name, small = request.param
+    monkeypatch.setattr(K, "SMALL_EDGES", 1000 if small else -1)
+    edges = CASES[name]
     return edges, spark.createDataFrame(edges, "from_file string, to_file string")
 
 
@@ -40,6 +44,17 @@ def test_closure_and_scc(case):
     nodes = {x for pair in edges for x in pair}
     want = {n: min([n, *(m for m in nodes if (n, m) in reach and (m, n) in reach)]) for n in nodes}
     assert {r["node"]: r["scc"] for r in K.scc(e).collect()} == want
+    assert {r["node"]: r["n"] for r in K.reach_counts(e).collect()} == {n: len({a for a, b in reach if b == n and a != n}) for n in nodes}
+    depths, front, at = {}, {"a", "c"}, 0
+    while front:
+        depths.update(dict.fromkeys(front, at))
+        front, at = {b for a, b in edges if a in front} - set(depths), at + 1
+    seeds = spark_of(df).createDataFrame([("a",), ("c",), (None,)], "node string")
+    assert {r["node"]: r["depth"] for r in K.bfs(e, seeds).collect()} == depths
+
+
+def spark_of(df):
+    return df.sparkSession
 
 
 def test_levels_and_components(case):
