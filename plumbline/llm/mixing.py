@@ -26,8 +26,9 @@ SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (0
 MOST_REPEATS = 3
 #: A source of n rows has sqrt(n) / this many buckets.
 ROOTS_A_BUCKET = 4
-#: So many sources may be broadcast; beyond, they are joined by shuffle.
+#: So many rows of sources, or of their buckets, may be broadcast; beyond, they are joined by shuffle. Buckets grow with the root of the rows.
 BROADCAST_SOURCES = 20_000
+BROADCAST_BUCKETS = 1_000_000
 
 
 def normalized(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:
@@ -111,10 +112,11 @@ def plan_mixture(docs: DataFrame, text: str = "text", source: str = "source", ke
     targets = source_targets(cells.groupBy("source").agg(F.sum("_cell").alias("source_size")), weights, most)
     before = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_cell").over(before), F.lit(0)))
-    cells = cells.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_cell")
+    cells = materialize(cells.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_cell"), "mix-plan")
     inside = W.partitionBy("source", "_bucket").orderBy("_hash", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = bucketed(rows if text in keep else sized).withColumn("_offset", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     c = cells.withColumnsRenamed({"source": "_s", "_bucket": "_b"})
+    c = F.broadcast(c) if cells.count() <= BROADCAST_BUCKETS else c
     placed = placed.join(c, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     middle = F.col("_before") + F.col("_offset") + F.col("size") / 2
     turn = (F.col("target") - middle) / F.col("source_size")
