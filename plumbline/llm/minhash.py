@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._scratch import materialize, ship
+from ._scratch import materialize, ship, tidy
 
 SHINGLE = 5
 PERCENT = 75
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size:
                     pa.array([signature(s).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary()),
                 ], names=["doc_id", "n_shingles", "digest", "bins"])
 
-    return narrow.mapInArrow(sketch, "doc_id long, n_shingles long, digest binary, bins binary")
+    return narrow.mapInArrow(tidy(sketch), "doc_id long, n_shingles long, digest binary, bins binary")
 
 
 def having(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -196,7 +196,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int
                         out.append((member, centre))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(2)], names=["member", "centre"])
 
-    return rows.mapInArrow(compare, "member long, centre long").distinct()
+    return rows.mapInArrow(tidy(compare), "member long, centre long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def open_buckets(active: DataFrame, percent: int, size: int, rows: int, least_ag
         closed()
         yield made()
 
-    return streamed.mapInArrow(run, "a long, b long" if exact else "bucket long, id long").distinct()
+    return streamed.mapInArrow(tidy(run), "a long, b long" if exact else "bucket long, id long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, least_agreeing: int = LEAST_AGREEING) -> DataFrame:
@@ -361,12 +361,13 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows, key, body = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in inner.items()]), inner[doc_id], inner[text]
     found = near_duplicates(docs, text, doc_id, size, percent).select("doc_id", "kept").filter("doc_id is not null")
     found = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "kept-ids")
-    with_id = lambda df: rows.join(df.select(F.col("doc_id").alias("kept_id")), F.col(key).cast("long") == F.col("kept_id"), "left_semi")
-    single = with_id(found.filter("kept and n = 1"))
-    repeated = with_id(found.filter("kept and n > 1"))
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    by_id = lambda condition, how: rows.join(few(found.filter(condition).select(F.col("doc_id").alias("found_id"))), F.col(key).cast("long") == F.col("found_id"), how)
+    single = by_id("not kept or n > 1", "left_anti")  # rows without id too
+    repeated = by_id("kept and n > 1", "left_semi")
     rest = [c for c in rows.columns if c not in (key, body)]
     sortable = [c for c in rest if rows.schema[c].dataType.typeName() not in ("map", "variant")]
     first = F.min_by(F.struct(*rest), F.struct(*sortable)) if sortable else F.first(F.struct(*rest)) if rest else F.lit(None)
     repeated = repeated.groupBy(key, body).agg(first.alias("r")).select(key, body, *[F.col(f"r.{c}").alias(c) for c in rest])
-    kept = single.unionByName(repeated).unionByName(rows.filter(F.col(key).isNull()))
+    kept = single.unionByName(repeated)
     return kept.select(*[F.col(i).alias(c) for c, i in inner.items()])
