@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,6 +68,24 @@ BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; when it ends, memory that its arrays have left goes back to the system, as workers outlive their tasks."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return tidied
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per Spark context, and have batches bounded by bytes."""
     sc = spark.sparkContext

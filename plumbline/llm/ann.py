@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ._scratch import materialize, ship
+from ._scratch import materialize, ship, tidy
 
 K = 20
 #: Production value; recall measured against brute force is in the README.
@@ -252,7 +252,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(far) + 1, dtype=np.int32) * router.depth), pa.array(far.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf), lists], names=["id", "v", "shard", "far"])
 
-    placed = held.filter(usual).mapInArrow(place, "id long, v array<double>, shard long, far array<double>")
+    placed = held.filter(usual).mapInArrow(tidy(place), "id long, v array<double>, shard long, far array<double>")
     # Vectors of other dimensions stand in one more shard for each of these, without bounds.
     others = held.filter(~usual).select("id", "v", F.lit(-1).cast("long").alias("shard"), F.array().cast("array<double>").alias("far"))
     placed = materialize(placed.unionByName(others).withColumn("dim", F.size("v")), "vectors")
@@ -301,7 +301,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
         wanted = wanted.select("shard", "dim", "part", F.lit(1).alias("kind"), "id", "v")
         streamed = dealt.join(wanted.select("shard", "dim").distinct(), ["shard", "dim"], "left_semi").unionByName(wanted)
         streamed = streamed.repartition("shard", "dim", "part").sortWithinPartitions("shard", "dim", "part", "kind")
-        return streamed.mapInArrow(search, "query_id long, vec_id long, score double")
+        return streamed.mapInArrow(tidy(search), "query_id long, vec_id long, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -329,11 +329,11 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
 
     asked = materialize(asked, "queries")
     routed = "shard long, id long, v array<double>"
-    found = searched(asked.filter(usual).mapInArrow(home, routed).unionByName(asked.filter(~usual).select(F.lit(-1).cast("long").alias("shard"), "id", "v")))
+    found = searched(asked.filter(usual).mapInArrow(tidy(home), routed).unionByName(asked.filter(~usual).select(F.lit(-1).cast("long").alias("shard"), "id", "v")))
     if shards > 1:
         found = materialize(ranked(found), "home-shards")
         least = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-        far = asked.filter(usual).join(least, "id", "left").select("id", "v", "least").mapInArrow(beyond, routed)
+        far = asked.filter(usual).join(least, "id", "left").select("id", "v", "least").mapInArrow(tidy(beyond), routed)
         found = found.select("query_id", "vec_id", "score").unionByName(searched(materialize(far, "routed-queries")))
     out = ranked(found)
     return out.withColumn("score", F.col("score") * F.lit(2.0**scale) * F.lit(2.0**scale)) if scale else out

@@ -15,7 +15,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ._scratch import materialize, ship
+from ._scratch import materialize, ship, tidy
 
 #: n pieces are dealt over sqrt(n) / this many buckets, so that neither a length's buckets nor a bucket's pieces become one task's load.
 ROOTS_A_BUCKET = 16
@@ -103,7 +103,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: in
                 rows = batch.slice(a, b - a).take(pa.array(of, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(body, pa.binary())], names=[*kept, "piece", "start", "length", "ids"])
 
-    return narrow.mapInArrow(cut, schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))
+    return narrow.mapInArrow(tidy(cut), schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length", order: Sequence[str] = ("doc_id", "piece"), bucket: Column | None = None) -> DataFrame:

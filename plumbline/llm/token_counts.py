@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._scratch import ship
+from ._scratch import ship, tidy
 
 SPLIT_BYTES = 1 << 20
 
@@ -49,4 +49,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", keep: Sequ
                 np.add.at(n_tokens, of[a:b], counts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_bytes), pa.array(n_tokens)], names=[*kept, "n_bytes", "n_tokens"])
 
-    return narrow.mapInArrow(lengths, schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))
+    return narrow.mapInArrow(tidy(lengths), schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ._scratch import materialize, ship
+from ._scratch import materialize, ship, tidy
 
 MAGIC = b"PFR1"
 SEPARATOR = "\n--PFR1 segment ends--\n"
@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     yield from flush()
         yield from flush()
 
-    ordered.mapInArrow(write, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    ordered.mapInArrow(tidy(write), "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -222,7 +222,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     out.append(pa.array([bytes(x) for x in parts], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "file_no", "segment", "place", "before", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    return spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("segment")).mapInArrow(read, schema)
+    return spark.read.option("lineSep", SEPARATOR).text(path).select(F.col("value").cast("binary").alias("segment")).mapInArrow(tidy(read), schema)
 
 
 def document_starts(read: DataFrame) -> DataFrame:

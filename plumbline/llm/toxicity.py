@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._scratch import ship
+from ._scratch import ship, tidy
 
 MOST_TOXIC = 1500
 MOST_CLEAN = 3000
@@ -252,4 +252,4 @@ def score(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: Sequ
                     out.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("word", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(out, names=[*kept, "score"] + ["spans"] * with_spans)
 
-    return narrow.mapInArrow(tag, schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))
+    return narrow.mapInArrow(tidy(tag), schema).withColumnsRenamed(dict(zip(kept, keep, strict=True)))

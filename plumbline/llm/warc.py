@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._scratch import materialize, ship
+from ._scratch import materialize, ship, tidy
 
 DEDUP_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
@@ -140,7 +140,7 @@ def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BY
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    rows = marked.select("page_id", "url", "payload", "digest", "refers_to", "refers_to_url").mapInArrow(records, "record binary")
+    rows = marked.select("page_id", "url", "payload", "digest", "refers_to", "refers_to_url").mapInArrow(tidy(records), "record binary")
     rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, archive_bytes // segment_bytes)).option("compression", "gzip").text(path)
 
 
@@ -195,7 +195,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], RECORD_SCHEMA)
-    return files.mapInArrow(read, RECORD_SCHEMA)
+    return files.mapInArrow(tidy(read), RECORD_SCHEMA)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -245,6 +245,6 @@ def reassemble(records: DataFrame) -> DataFrame:
                 rows.append((x["record_type"], x["page_id"], x["url"], x["refers_to"], x["digest"], payload, n))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    single = records.filter("segment is null").select(*kept, "block").mapInArrow(whole, schema)
-    many = records.filter("segment is not null").groupBy("origin_id").agg(parts.alias("parts")).select("parts").mapInArrow(joined, schema)
+    single = records.filter("segment is null").select(*kept, "block").mapInArrow(tidy(whole), schema)
+    many = records.filter("segment is not null").groupBy("origin_id").agg(parts.alias("parts")).select("parts").mapInArrow(tidy(joined), schema)
     return single.unionByName(many).withColumnRenamed("digest", "payload_digest")
