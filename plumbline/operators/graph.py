@@ -133,21 +133,6 @@ def weak_components(edges: DataFrame, files: DataFrame) -> DataFrame:
     return found.join(found.join(sources, "node", "left_semi").select("component").distinct(), "component", "left_semi").select(F.col("node").alias("path"), "component")
 
 
-def coupling(import_edges: DataFrame, module_paths: DataFrame) -> DataFrame:
-    """Cross-module edges to modules that aren't stable, over all edges; and their entropy by module pair."""
-    m = module_paths.select("path", "module")
-    e = import_edges.join(m.withColumnsRenamed({"path": "from_file", "module": "from_module"}), "from_file").join(m.withColumnsRenamed({"path": "to_file", "module": "to_module"}), "to_file")
-    e = materialize(e.select("from_file", "to_file", "from_module", "to_module"))
-    cross = e.filter("from_module <> to_module")
-    stable = K.stable_modules(materialize(cross.select("from_module", "to_module").distinct()))
-    loose = cross.join(stable, cross["to_module"] == stable["module"], "left_anti")
-    pairs = loose.groupBy("from_module", "to_module").agg(F.count("*").alias("n"))
-    total = pairs.agg(F.sum("n").alias("s"), F.count("*").alias("pairs"))
-    bits = pairs.crossJoin(F.broadcast(total)).agg(F.coalesce(-F.sum(F.col("n") / F.col("s") * F.log2(F.col("n") / F.col("s"))), F.lit(0.0)).alias("bits"), F.coalesce(F.max("pairs"), F.lit(0)).alias("pairs"))
-    counts = e.agg(F.count("*").alias("edges")).crossJoin(cross.agg(F.count("*").alias("cross_edges"))).crossJoin(loose.agg(F.count("*").alias("cross_unstable"))).crossJoin(stable.agg(F.count("*").alias("stable_modules"))).crossJoin(bits)
-    return counts.select("cross_edges", "cross_unstable", "stable_modules", F.round(F.when(F.col("edges") == 0, 0.0).otherwise(F.col("cross_unstable") / F.col("edges")), 6).alias("coupling_score"), F.round(F.when(F.col("pairs") > 1, F.col("bits") / F.log2(F.col("pairs"))).otherwise(0.0), 6).alias("entropy"))
-
-
 def best_cycle_break(edges: DataFrame) -> DataFrame:
     """For each cycle the inner edge whose target has the smallest fan-in."""
     from pyspark.sql import Window as W
@@ -236,7 +221,6 @@ GRAPH: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {
     "dsm_stats": (dsm_stats, (CHAIN,), _with(CHAIN, _REACH, _SCC) + ", n as (select count(*) as size from nodes), m as (select count(*) as edge_count from @chain_edges), r as (select count(*) as reach from reach where s <> d) select size, edge_count, round(edge_count / cast(size * (size - 1) as double), 6) as density, round(reach / cast(size * (size - 1) as double), 6) as propagation_cost from n cross join m cross join r"),
     "dsm_clusters": (dsm_clusters, ("import_edges",), "with recursive b as (select x.from_file as s, x.to_file as d from @import_edges x join @import_edges y on x.from_file = y.to_file and x.to_file = y.from_file), r(s, d) as (select s, s from b union select r.s, b.d from r join b on b.s = r.d), c as (select s as node, min(d) as component from r group by s) select component, count(*) as size, SETJOIN(node) as members from c group by component"),
     "weak_components": (weak_components, (CHAIN, "files"), "with recursive b as (select from_file as s, to_file as d from @chain_edges union select to_file, from_file from @chain_edges), r(s, d) as (select s, s from b union select path, path from @files where not is_test union select r.s, b.d from r join b on b.s = r.d), c as (select s as path, min(d) as component from r group by s) select path, component from c where component in (select c.component from c join @files f on f.path = c.path where not f.is_test)"),
-    "coupling_score": (coupling, ("import_edges", "module_paths"), None),
     "stable_modules": (lambda pairs: K.stable_modules(materialize(pairs)), ("module_tree",), STABLE_SQL),
     "best_cycle_break": (best_cycle_break, (CHAIN,), _with(CHAIN, _REACH, _SCC) + ", f as (select to_file, count(*) as n from @chain_edges group by to_file), x as (select a.scc as cycle_id, e.from_file, e.to_file, f.n as fan_in, row_number() over (partition by a.scc order by f.n, e.from_file, e.to_file) as rk from @chain_edges e join sccs a on a.node = e.from_file join sccs b on b.node = e.to_file join f on f.to_file = e.to_file where a.scc = b.scc and e.from_file <> e.to_file) select cycle_id, from_file, to_file, fan_in from x where rk = 1"),
     "whatif_sequence": (lambda e: whatif_simulate(e, [("break_cycle",)]), (CHAIN,), None),

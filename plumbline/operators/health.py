@@ -53,8 +53,6 @@ def stable(dependency_edges: DataFrame, module_paths: DataFrame) -> DataFrame:
     return K.stable_modules(materialize(SqlOp("pairs", _PAIRS).run(dependency_edges=dependency_edges, module_paths=module_paths)))
 
 
-_GOD = f"select d.path, d.fan_out as value from ({DEGREES}) d join @files f on f.path = d.path where d.fan_out > {FAN_OUT} and not f.is_barrel and not exists (select 1 from @entry_points p where p.file = d.path)"
-_HOT = f"select d.path, d.fan_in as value from ({DEGREES}) d join @files f on f.path = d.path where d.fan_in > {FAN_IN} and not f.is_barrel and d.fan_out / cast(d.fan_in + d.fan_out as double) >= {LEAST_HOTSPOT_INSTABILITY}"
 #: One row of raw values, over relations that Spark holds as tables by now.
 _RAW = f"""
     with deg as ({DEGREES}), me as ({MODULE_EDGES}),
@@ -99,7 +97,7 @@ OPS: dict[str, SqlOp] = {
     "quality_signal": SqlOp("The five root-cause scores and their geometric mean with a floor of 0.01", f"select {', '.join(f'round({c}, 6) as {c}' for c in _CAUSES)}, round(quality_signal, 5) as quality_signal from @health"),
     "health_report": SqlOp("One row of counts, ratios and scores", "select code_files, total_functions, total_import_edges, cross_module_edges, cycle_count, max_depth, god_files, hotspot_files, complex_functions, long_functions, cog_complex_functions, high_param_functions, large_files, dead_functions, duplicate_functions, round(comment_ratio, 6) as comment_ratio, round(coupling_score, 6) as coupling_score, round(modularity_q, 6) as modularity_q, round(gini, 6) as gini, round(redundancy_ratio, 6) as redundancy_ratio, round(quality_signal, 5) as quality_signal from @health"),
     "module_metrics": SqlOp("Coupling to modules that aren't stable, its entropy by module pair scaled by coupling, depth and cycles", f"with c as (select from_module, to_module, count(*) as n from ({MODULE_EDGES}) e where from_module <> to_module and not exists (select 1 from @stable s where s.module = e.to_module) group by from_module, to_module), t as (select sum(n) as s, count(*) as pairs from c), b as (select coalesce(-sum(c.n / cast(t.s as double) * log2(c.n / cast(t.s as double))), 0) as bits, coalesce(max(t.pairs), 0) as pairs from c cross join t) select round(h.coupling_score, 6) as coupling_score, h.cross_module_edges, round(b.bits, 6) as entropy_bits, cast(b.pairs as bigint) as entropy_num_pairs, round(case when b.pairs > 1 then b.bits / log2(b.pairs) * least(1.0, h.coupling_score / {FULL_COUPLING}) else 0.0 end, 6) as entropy, h.max_depth, h.cycle_count from @health h cross join b"),
-    "stable_set": SqlOp("Stable modules of the import graph", "select module from @stable"),
+    "coupling_score": SqlOp("Cross-module edges to modules that are not stable, over all edges", "select h.cross_module_edges, (select count(*) from @stable) as stable_modules, round(h.coupling_score, 6) as coupling_score from @health h"),
     "import_levels": SqlOp("Component and level of each file of the import graph", "select path, scc, level from @levels"),
     "import_cycles": SqlOp("Components of more than one file of the import graph", "select scc as cycle_id, count(*) as size, SETJOIN(path) as members from @levels group by scc having count(*) > 1"),
     "arch_report": SqlOp("Levels, upward edges, and the surface that entry points open", "select (select max(level) from @levels) as max_level, (select count(*) from @upward) as upward_violations, round((select count(*) from @upward) / cast(nullif(h.total_import_edges, 0) as double), 6) as upward_ratio, h.graph_files as total_graph_files, h.cycle_count from @health h"),

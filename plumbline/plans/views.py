@@ -100,7 +100,7 @@ VIEWS: dict[str, str] = {
                case when event_id % 19 = 0 then 'failed' else 'completed' end as status, event_id % 3 > 0 as final_clean, case event_id % 5 when 0 then 'thrashing' when 1 then 'stalled' else 'converging' end as convergence
         from @events""",
     # One row a rule set; limits are data.
-    "constraints": "select cast(0.6 as double) as min_quality, cast(0.3 as double) as min_modularity, cast(0.5 as double) as min_acyclicity, cast(0.5 as double) as min_depth, cast(0.5 as double) as min_equality, cast(0.9 as double) as min_redundancy, cast(0.35 as double) as max_coupling_score, cast(0 as bigint) as max_cycles, cast(35 as bigint) as max_cc, cast(900 as bigint) as max_file_lines, cast(80 as bigint) as max_fn_lines, true as no_god_files, cast(0 as bigint) as max_upward_violations from @region where r_regionkey = 0",
+    "constraints": "select cast(0.6 as double) as min_quality, cast(0.9 as double) as min_modularity, cast(0.9 as double) as min_acyclicity, cast(1.0 as double) as min_depth, cast(0.95 as double) as min_equality, cast(0.9 as double) as min_redundancy, cast(0.35 as double) as max_coupling_score, cast(0 as bigint) as max_cycles, cast(35 as bigint) as max_cc, cast(900 as bigint) as max_file_lines, cast(80 as bigint) as max_fn_lines, true as no_god_files, cast(0 as bigint) as max_upward_violations from @region where r_regionkey = 0",
     "layers": "select * from (values ('ui', 'src/brand1/**', 0, 0), ('core', 'src/brand3/**', 1, 0), ('core', 'src/brand41/*', 1, 1), ('base', 'src/brand5/**', 2, 0)) l(layer, pattern, ord, nth)",
     "boundaries": "select * from (values ('src/brand1/**', 'src/brand2/**', 'one must not use two'), ('src/brand21/**', 'src/brand22/*', 'flat'), ('src/brand41/**/*', '*.test.ts', 'no tests')) b(from_glob, to_glob, reason)",
     "module_contracts": "select * from (values ('brands', 'src', true), ('loose', 'src/brand11', false)) c(id, root, forbid)",

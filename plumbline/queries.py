@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import tools
 from .operators import degrees, evolution, findings, graph, health, resolution, rules, sessions, structural
 from .plans.sqlops import SqlOp, relations_of
 from .plans.views import RELATIONS
@@ -14,7 +15,7 @@ from .streaming import events
 #: A fixed now for heat: later than every event of the test data.
 HEAT_NOW = 1_706_745_600
 
-FAMILIES = (evolution, degrees, health, rules, sessions, findings, structural)
+FAMILIES = (evolution, degrees, health, rules, sessions, findings, structural, tools)
 #: Families of functions: name to (operator, its relations in order, its DuckDB SQL or None).
 COMPUTED = graph.GRAPH | resolution.OPS
 
