@@ -157,7 +157,11 @@ class MemoEncoder:
         if counting:
             return counts, None
         starts = np.append((np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[at], 0)
-        out = self.pool[np.repeat(starts[unit] - ends[:-1], each) + np.arange(ends[-1])] if len(unit) else np.zeros(0, "<u4")
+        starts = starts[unit]
+        starts -= ends[:-1]
+        at = np.repeat(starts.astype(np.int32), each)  # a group has far fewer tokens than 2**31
+        at += np.arange(len(at), dtype=np.int32)
+        out = self.pool[at]
         if whole.any():
             merged, of_whole = np.empty(int(counts.sum()), "<u4"), np.repeat(whole, counts)
             merged[~of_whole] = out
@@ -170,6 +174,7 @@ class MemoEncoder:
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         for a, b in balanced(sizes, GROUP_BYTES):
             yield a, b, *self.group(texts.slice(a, b - a), counting)
+            pa.default_memory_pool().release_unused()
 
 
 def _parts(spec: dict, key: str, inner: str) -> list[dict]:
