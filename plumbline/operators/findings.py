@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..plans.ranking import global_rank
 from ..plans.sqlops import SqlOp
 from .degrees import DEGREES, FAN_IN, FAN_OUT, LARGE_FILE
 
@@ -30,20 +35,27 @@ def _place(value: str, names: list[str]) -> str:
 _BRIEF = f"{_RANK} desc, {_place(f'({_LEVERAGE})', LEVERAGES)}, {_place(f'({_PRESENTATION})', PRESENTATIONS)}, {_TRUST} desc, score desc, scope, kind, key"
 
 
-def _first(place: str, limit: int | None) -> str:
-    return "" if limit is None else f" where {place} <= {int(limit)}"
+def ranked(order: str, place: str, keep: str, rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """``keep`` columns of ``rows`` with their ``place`` in an SQL ``order``, or the caller's ``limit`` first; no task holds all rows."""
+    terms = [x.strip() for x in re.split(r",(?![^(]*\))", order)]
+    columns = [F.expr(x.removesuffix(" desc")).desc() if x.endswith(" desc") else F.expr(x).asc() for x in terms]
+    out = global_rank(rows, columns, place).select(*keep.split(), place)
+    return out if limit is None else out.filter(F.col(place) <= int(limit))
+
 
+def issue_ranking(found: DataFrame, limit: int | None = None) -> DataFrame:
+    return ranked(_ORDER, "rank_no", "key", found, limit)
 
-def brief_ranking(limit: int | None = None) -> SqlOp:
+
+def brief_ranking(found: DataFrame, limit: int | None = None) -> DataFrame:
     """All findings in brief order, or the caller's ``limit`` first."""
-    ranked = f"select key, kind, row_number() over (order by {_BRIEF}) as rank_no from @findings"
-    return SqlOp("Rank of each finding in brief order", f"select key, kind, rank_no from ({ranked}) x{_first('rank_no', limit)}")
+    return ranked(_BRIEF, "rank_no", "key kind", found, limit)
 
 
-def clone_hints(limit: int | None = None) -> SqlOp:
+def clone_hints(found: DataFrame, limit: int | None = None) -> DataFrame:
     """All hints in turn across kinds, or the caller's ``limit`` first."""
-    turns = "select kind, key, row_number() over (partition by kind order by score desc, key) as rk from @findings"
-    return SqlOp("Hints in turn across kinds", f"select key, hint_no from (select key, row_number() over (order by rk, kind) as hint_no from ({turns}) x) y{_first('hint_no', limit)}")
+    turn = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("score"), "key"))
+    return ranked("turn, kind", "hint_no", "key", found.select("key", "kind", "score").withColumn("turn", turn), limit)
 
 
 def _pressure(value: str, limit: int, most: int) -> str:
@@ -84,15 +96,12 @@ OPS: dict[str, SqlOp] = {
     "debt_signals": SqlOp("Concepts over 2500 and findings over 4000 elsewhere", "with c as (select concept, least(10000, 800 * count(*)) as score from @findings group by concept) select 'concept' as source, concept as scope, cast(score as bigint) as score from c where score >= 2500 union all select 'hotspot', file, score from @findings f where score >= 4000 and not exists (select 1 from c where c.concept = f.concept and c.score >= 2500)"),
     "check_signal_summary": SqlOp("Counts by family of kinds", "select cast(sum(case when kind like 'clone%' then 1 else 0 end) as bigint) as clones, cast(sum(case when kind in ('large_file', 'dependency_sprawl') then 1 else 0 end) as bigint) as size_kinds, cast(sum(case when kind = 'cycle_cluster' then 1 else 0 end) as bigint) as cycles from @findings"),
     "merge_findings": SqlOp("The 100 first of all findings in report order", f"select key, kind, severity, score from (select * from @findings union all select * from @baseline_findings) u order by {_ORDER} limit 100"),
-    "issue_ranking": SqlOp("Rank of each finding in report order", f"select key, row_number() over (order by {_ORDER}) as rank_no from @findings"),
-    "top_actions": SqlOp("The three first trusted findings", f"select key, row_number() over (order by {_ORDER}) as priority from @findings where trust = 'trusted' order by priority limit 3"),
-    "brief_ranking": brief_ranking(),
+    "top_actions": SqlOp("The three first trusted findings", f"select key, row_number() over (order by {_ORDER}) as priority from (select * from @findings where trust = 'trusted' order by {_ORDER} limit 3) x"),
     "unique_by_scope": SqlOp("First finding of each scope", f"select scope, key from (select *, row_number() over (partition by scope order by {_ORDER}) as rk from @findings) x where rk = 1"),
     "candidate_order": SqlOp("Place of each finding within its kind", "select kind, key, row_number() over (partition by kind order by score desc, key) as place from @findings"),
     "presentation_class": SqlOp("Presentation by the first case that fits", f"select key, {_PRESENTATION} as presentation from @findings"),
     "leverage_class": SqlOp("Leverage by the first case that fits", f"select key, {_LEVERAGE} as leverage from @findings"),
     "clone_family_signal": SqlOp("Clone families by trust", "select key, case when score >= 6500 then 'trusted' else 'watchpoint' end as tier from @findings where kind = 'clone_family'"),
-    "clone_hints": clone_hints(),
     "coordination_hotspot": SqlOp("Scores of at least 3000 with severity", "select file, score, case when score >= 6500 then 'high' else 'medium' end as severity from @findings where score >= 3000"),
     "watchpoints": SqlOp("Pressure by scope: concept and hotspot findings together", "select scope, count(*) as signals, max(score) as top_score from @findings where trust <> 'experimental' group by scope having count(*) >= 2"),
     "report_ranking": SqlOp("Additive ranking", f"select key, {_RANK} * 1000 + {_TRUST} * 200 + IDIV(score, 100) as ranking from @findings"),
@@ -112,3 +121,10 @@ OPS: dict[str, SqlOp] = {
     "scan_confidence": SqlOp("Kept over candidates and resolved over all, less penalties", "with c as (select count(*) as kept from @files where lang <> 'unknown'), a as (select count(*) as n from @files) select IDIV(cast(round(10000.0 * kept / n) as bigint) * 8, 10) as confidence from c cross join a"),
     "debounce": SqlOp("Last event of each burst: no other event of the path within the gap", "select path, ts, event_id, kind from (select *, lead(ts) over (partition by path order by ts, event_id) as next_ts from @file_events) e where next_ts is null or next_ts - ts >= 300"),
 }
+
+#: Ranks over all findings: (operator, its relations in order, its DuckDB SQL).
+RANKED = {
+    "issue_ranking": (issue_ranking, ("findings",), f"select key, row_number() over (order by {_ORDER}) as rank_no from @findings"),
+    "brief_ranking": (brief_ranking, ("findings",), f"select key, kind, row_number() over (order by {_BRIEF}) as rank_no from @findings"),
+    "clone_hints": (clone_hints, ("findings",), "select key, row_number() over (order by rk, kind) as hint_no from (select kind, key, row_number() over (partition by kind order by score desc, key) as rk from @findings) x"),
+}

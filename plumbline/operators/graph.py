@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.ranking import global_rank
 from ..plans.scratch import materialize
 from . import kernels as K
 
@@ -98,10 +100,7 @@ def dsm(edges: DataFrame) -> DataFrame:
     """The matrix in coordinates: rows and columns by level then path, and where each edge lies."""
     e = K.edges_of(edges)
     lv = K.levels(e)
-    from pyspark.sql import Window as W
-
-    at = lv.withColumn("idx", (F.row_number().over(W.orderBy(F.desc("level"), "node")) - 1).cast("long"))  # one row a file; a matrix is for people
-    at = materialize(at)
+    at = global_rank(lv, [F.desc("level"), F.asc("node")], "idx").withColumn("idx", F.col("idx") - 1)
     a = at.select(F.col("node").alias("src"), F.col("idx").alias("row"), F.col("level").alias("x"))
     b = at.select(F.col("node").alias("dst"), F.col("idx").alias("col"), F.col("level").alias("y"))
     side = F.when(F.col("x") == F.col("y"), "same").when(F.col("x") < F.col("y"), "above").otherwise("below")
@@ -202,6 +201,13 @@ _CA = "select to_module as module, count(*) as ca from @module_tree where from_m
 #: Three rounds, written out: in a tree a module is stable when all that it depends on is and two modules depend on it.
 STABLE_SQL = f"with p as (select from_module, to_module from @module_tree), c as ({_CA}), s1 as (select module from c where ca >= 2 and module not in (select from_module from p)), s2 as (select module from s1 union select c.module from c join p on p.from_module = c.module where c.ca >= 2 and p.to_module in (select module from s1)), s3 as (select module from s2 union select c.module from c join p on p.from_module = c.module where c.ca >= 2 and p.to_module in (select module from s2)) select module from s3"
 
+#: Both graphs under names of their own: reach2, sccs2 and lev2 belong to what is left without the best break of each cycle.
+_BREAK = "f as (select to_file, count(*) as n from @chain_edges group by to_file), x as (select e.from_file, e.to_file, row_number() over (partition by a.scc order by f.n, e.from_file, e.to_file) as rk from @chain_edges e join sccs a on a.node = e.from_file join sccs b on b.node = e.to_file join f on f.to_file = e.to_file where a.scc = b.scc and e.from_file <> e.to_file), after as (select distinct from_file, to_file from @chain_edges e where not exists (select 1 from x where x.rk = 1 and x.from_file = e.from_file and x.to_file = e.to_file))"
+_AFTER = ", ".join(p.format(e=CHAIN) for p in (_REACH, _SCC, _LEVELS)).replace(f"@{CHAIN}", "after")
+for _n in ("reach", "nodes", "sccs", "deps", "walk", "lev"):
+    _AFTER = re.sub(rf"\b{_n}\b", f"{_n}2", _AFTER)
+WHATIF_SQL = _with(CHAIN, _REACH, _SCC, _LEVELS) + f", {_BREAK}, {_AFTER}, v as (select (select count(*) from (select scc from sccs group by scc having count(*) > 1) z) as cycles_before, (select max(level) from lev) as depth_before, (select count(*) from (select distinct from_file, to_file from @chain_edges) d) as edges_before, (select count(*) from (select scc from sccs2 group by scc having count(*) > 1) z) as cycles_after, (select max(level) from lev2) as depth_after, (select count(*) from after) as edges_after) select *, not (cycles_after > cycles_before or depth_after > depth_before) and (cycles_after < cycles_before or depth_after < depth_before) as improved from v"
+
 #: name: (operator, its relations in order, its DuckDB SQL or None)
 GRAPH: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {
     "reachable": (lambda e, p: K.bfs(K.edges_of(e), p.select(F.col("file").alias("node"))).select(F.col("node").alias("path")), (DAG, "entry_points"), "with recursive r(path) as (select file from @entry_points union select e.to_file from r join @dag_edges e on e.from_file = r.path) select path from r"),
@@ -223,5 +229,5 @@ GRAPH: dict[str, tuple[Callable, tuple[str, ...], str | None]] = {
     "weak_components": (weak_components, (CHAIN, "files"), "with recursive b as (select from_file as s, to_file as d from @chain_edges union select to_file, from_file from @chain_edges), r(s, d) as (select s, s from b union select path, path from @files where not is_test union select r.s, b.d from r join b on b.s = r.d), c as (select s as path, min(d) as component from r group by s) select path, component from c where component in (select c.component from c join @files f on f.path = c.path where not f.is_test)"),
     "stable_modules": (lambda pairs: K.stable_modules(materialize(pairs)), ("module_tree",), STABLE_SQL),
     "best_cycle_break": (best_cycle_break, (CHAIN,), _with(CHAIN, _REACH, _SCC) + ", f as (select to_file, count(*) as n from @chain_edges group by to_file), x as (select a.scc as cycle_id, e.from_file, e.to_file, f.n as fan_in, row_number() over (partition by a.scc order by f.n, e.from_file, e.to_file) as rk from @chain_edges e join sccs a on a.node = e.from_file join sccs b on b.node = e.to_file join f on f.to_file = e.to_file where a.scc = b.scc and e.from_file <> e.to_file) select cycle_id, from_file, to_file, fan_in from x where rk = 1"),
-    "whatif_sequence": (lambda e: whatif_simulate(e, [("break_cycle",)]), (CHAIN,), None),
+    "whatif_sequence": (lambda e: whatif_simulate(e, [("break_cycle",)]), (CHAIN,), WHATIF_SQL),
 }

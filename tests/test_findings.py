@@ -17,8 +17,8 @@ def order(df, place):
 
 def test_brief_ranking_keeps_all_findings(spark):
     df = frame(spark, [(f"f{i:02}", "large_file", "low", 9000 - i, "trusted", "s") for i in range(25)])
-    assert order(findings.OPS["brief_ranking"].run(findings=df), "rank_no") == [f"f{i:02}" for i in range(25)]
-    assert order(findings.brief_ranking(4).run(findings=df), "rank_no") == ["f00", "f01", "f02", "f03"]
+    assert order(findings.brief_ranking(df), "rank_no") == [f"f{i:02}" for i in range(25)]
+    assert order(findings.brief_ranking(df, 4), "rank_no") == ["f00", "f01", "f02", "f03"]
 
 
 def test_brief_ranking_orders_by_leverage_and_presentation_before_trust_and_score(spark):
@@ -34,11 +34,11 @@ def test_brief_ranking_orders_by_leverage_and_presentation_before_trust_and_scor
         ("high", "large_file", "high", 10, "trusted", "a"),
     ]
     want = ["high", "cycle", "clone", "watched_clone", "small_clone", "secondary", "hardening", "experimental", "low"]
-    assert order(findings.OPS["brief_ranking"].run(findings=frame(spark, rows)), "rank_no") == want
+    assert order(findings.brief_ranking(frame(spark, rows)), "rank_no") == want
 
 
 def test_clone_hints_go_round_all_hints(spark):
     rows = [(f"a{i}", "clone_family", "low", 100 - i, "trusted", "s") for i in range(6)] + [("b0", "large_file", "low", 1, "trusted", "s"), ("b1", "large_file", "low", 0, "trusted", "s")]
     df = frame(spark, rows)
-    assert order(findings.OPS["clone_hints"].run(findings=df), "hint_no") == ["a0", "b0", "a1", "b1", "a2", "a3", "a4", "a5"]
-    assert order(findings.clone_hints(3).run(findings=df), "hint_no") == ["a0", "b0", "a1"]
+    assert order(findings.clone_hints(df), "hint_no") == ["a0", "b0", "a1", "b1", "a2", "a3", "a4", "a5"]
+    assert order(findings.clone_hints(df, 3), "hint_no") == ["a0", "b0", "a1"]
