@@ -56,11 +56,25 @@ def drop_scratch() -> None:
             pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, cutting its lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, cutting its lineage.
+
+    A ``small`` table, as one of a loop's rounds, is written in as few files as its size asks for, not in one for
+    each core: file creation is what such a round costs most.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(_PARALLEL)
+    try:
+        if small:
+            spark.conf.set(_PARALLEL, False)
+        df.write.parquet(path)
+    finally:
+        if small:
+            spark.conf.set(_PARALLEL, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker. Spark's own default, 64 MB, is held several times over on either side.

@@ -204,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars, with narrow rows, grouped minima and joins only.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars", small=True)
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -216,7 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        now = materialize(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        now = materialize(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars", small=True)
 
 
 def open_buckets(active: DataFrame, percent: int, size: int, rows: int, least_agreeing: int, exact: bool) -> DataFrame:
@@ -327,11 +327,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of = sizes.select("id", "n")
     met = met.join(of.withColumnsRenamed({"id": "member", "n": "x"}), "member").join(of.withColumnsRenamed({"id": "centre", "n": "y"}), "centre").filter(f"100 * least(x, y) >= {percent} * greatest(x, y)")
     pairs = met.groupBy("member").agg(F.max(F.struct("k", (-F.col("centre")).alias("c")))["c"].alias("c")).select("member", (-F.col("c")).alias("centre"))
-    links = confirm(materialize(pairs, "pairs"), docs, text, doc_id, size, percent).select(F.col("member").alias("a"), F.col("centre").alias("b"))
+    links = confirm(materialize(pairs, "pairs", small=True), docs, text, doc_id, size, percent).select(F.col("member").alias("a"), F.col("centre").alias("b"))
     # A document with several texts stands in several nodes.
     several = there.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").select("doc_id")
     own = having(there.select("doc_id", "digest"), several, "doc_id").join(nodes.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    found = materialize(components(links.unionByName(own)), "components")
+    found = materialize(components(links.unionByName(own)), "components", small=True)
     # Buckets whose members are apart still.
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
@@ -342,7 +342,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     needed = materialize(open_buckets(active, percent, size, rows, least_agreeing, exact=False), "needed-texts")
     texts = having(_texts(docs, text, doc_id, "id"), needed.select("id"), "id")
     joined = open_buckets(active.join(needed, ["bucket", "id"]).join(texts, "id"), percent, size, rows, least_agreeing, exact=True)
-    merged = materialize(components(joined), "components").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    merged = materialize(components(joined), "components", small=True).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     classes = nodes.select("digest", "id", "rows").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(merged, "component", "left")
     classes = classes.withColumn("component_id", F.coalesce("whole", "component")).filter("rows > 1 or component_id <> id or whole is not null").select(F.col("digest").alias("_digest"), "component_id")
     out = sketched.select("doc_id", "n_shingles", "digest").join(classes, F.col("digest") == F.col("_digest"), "left")
