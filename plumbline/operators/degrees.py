@@ -10,13 +10,11 @@ STABLE_INSTABILITY, STABLE_FAN_IN, LEAST_HOTSPOT_INSTABILITY, FOUNDATION = 0.15,
 #: Functions that frameworks call.
 IMPLICIT_ENTRIES = "main new default init setup teardown run start stop build configure register update draw render getDerivedStateFromError componentDidCatch serialize deserialize".split()
 
-#: Structural metrics leave out edges that only declare modules.
-EDGES = "select from_file, to_file from @dependency_edges union select from_file, to_file from @call_edges"
-DEGREES = f"""
-    select coalesce(o.path, i.path) as path, coalesce(o.n, 0) as fan_out, coalesce(i.n, 0) as fan_in
-    from (select from_file as path, count(*) as n from ({EDGES}) e group by from_file) o full outer join (select to_file as path, count(*) as n from ({EDGES}) e group by to_file) i on o.path = i.path"""
+#: Distinct edges of imports and calls; structural metrics leave out edges that only declare modules.
+EDGES = "select from_file, to_file from @edges"
+DEGREES = "select path, fan_out, fan_in from @degrees"
 CODE = "select * from @files where not is_dir and lang <> '' and lang <> 'unknown'"
-MODULE_EDGES = "select a.module as from_module, b.module as to_module, e.from_file, e.to_file from @dependency_edges e join @module_paths a on a.path = e.from_file join @module_paths b on b.path = e.to_file"
+MODULE_EDGES = "select from_module, to_module, from_file, to_file from @module_edges"
 DEAD = "select f.path, f.name, f.ln from @functions f where not f.is_public and not f.is_method and coalesce(f.same_file_ref_count, 0) <= 0 and f.name not in (" + ", ".join(f"'{x}'" for x in IMPLICIT_ENTRIES) + ") and not STARTS(f.name, 'test_') and not HAS(f.name, '::') and not HAS(f.path, 'test') and not exists (select 1 from @calls c where c.callee = f.name)"
 DUPLICATES = "select bh, count(*) as n from @functions where bh is not null and bh <> 0 group by bh having count(*) > 1"
 #: By distinct value, so the window runs over values, not over functions; without functions, lines of code files stand in.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.scratch import materialize
-from ..plans.sqlops import SqlOp
+from ..plans.sqlops import SqlOp, relations_of
 from ..plans.views import RELATIONS
 from . import kernels as K
 from .degrees import CC_HIGH, COG_HIGH, DEAD, DEGREES, DUPLICATES, FAN_IN, FAN_OUT, FUNC_LENGTH, GINI, LARGE_FILE, LEAST_HOTSPOT_INSTABILITY, MODULARITY, MODULE_EDGES, PARAM_HIGH
@@ -48,9 +48,9 @@ def _stable_sql(rounds: int) -> str:
     return f"with {', '.join(ctes)} select module from s{rounds}"
 
 
-def stable(dependency_edges: DataFrame, module_paths: DataFrame) -> DataFrame:
+def stable(module_edges: DataFrame) -> DataFrame:
     """(module) of stable modules."""
-    return K.stable_modules(materialize(SqlOp("pairs", _PAIRS).run(dependency_edges=dependency_edges, module_paths=module_paths)))
+    return K.stable_modules(materialize(SqlOp("pairs", _PAIRS).run(module_edges=module_edges)))
 
 
 #: One row of raw values, over relations that Spark holds as tables by now.
@@ -84,12 +84,12 @@ def health(**relations: DataFrame) -> DataFrame:
     return materialize(SqlOp("health", HEALTH_SQL).run(**relations))
 
 
-_INPUTS = ("files", "functions", "calls", "dependency_edges", "call_edges", "module_paths", "entry_points", "levels", "stable")
+_INPUTS = tuple(relations_of(HEALTH_SQL))
 RELATIONS.computed |= {
     "levels": (levels, ("dependency_edges",), LEVELS_SQL),
     "upward": (lambda e, lv: SqlOp("upward", UPWARD_SQL).run(dependency_edges=e, levels=lv), ("dependency_edges", "levels"), UPWARD_SQL),
-    "stable": (stable, ("dependency_edges", "module_paths"), _stable_sql(4)),
-    "health": (lambda *frames: health(**dict(zip(_INPUTS, (materialize(f) if n in ("files", "functions", "dependency_edges", "call_edges") else f for n, f in zip(_INPUTS, frames, strict=True)), strict=True))), _INPUTS, HEALTH_SQL),
+    "stable": (stable, ("module_edges",), _stable_sql(4)),
+    "health": (lambda *frames: health(**dict(zip(_INPUTS, (materialize(f) if n in ("files", "functions") else f for n, f in zip(_INPUTS, frames, strict=True)), strict=True))), _INPUTS, HEALTH_SQL),
 }
 
 _CAUSES = ("modularity", "acyclicity", "depth", "equality", "redundancy")

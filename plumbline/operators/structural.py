@@ -26,8 +26,6 @@ SUPPORT = r"^(\.github|docs|examples|samples|fixtures|test|tests|testdata)/|/(ex
 #: A fixed now for ages: within the dates of the test data.
 NOW = 902_000_000
 
-_LITERAL = "'{}'"
-
 
 def _hits(patterns: list[str], most: int) -> str:
     return " + ".join(f"least({most}, IDIV(length(code) - length(replace(code, '{p}', '')), {len(p)}))" for p in patterns)

@@ -13,10 +13,13 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import materialize
+
 MACROS = {
     "EPOCH": ("unix_timestamp(cast({0} as timestamp))", "cast(floor(epoch({0})) as bigint)"),
     "IDIV": ("(({0}) div ({1}))", "(({0}) // ({1}))"),
@@ -99,25 +102,41 @@ class Relations:
     function, the relations that it takes in order, and a SELECT that DuckDB gets the same rows by.
     """
 
-    def __init__(self, views: dict[str, str], computed: dict[str, tuple] | None = None):
-        self.views, self.computed = views, computed if computed is not None else {}
-
-    def frame(self, spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataFrame] | None = None) -> DataFrame:
+    def __init__(self, views: dict[str, str], computed: dict[str, tuple] | None = None, written: frozenset[str] = frozenset()):
+        self.views, self.computed, self.written = views, computed if computed is not None else {}, written
+
+    def often(self, text: str) -> frozenset[str]:
+        """The costly relations (``written``) that a SELECT reads more than once, by way of other relations too."""
+        counts: Counter[str] = Counter()
+        todo, done = [text], set()
+        while todo:
+            for name in re.findall(r"@(\w+)", todo.pop()):
+                counts[name] += 1
+                if name not in done:
+                    done.add(name)
+                    todo.append(" ".join(f"@{n}" for n in self.computed[name][1]) if name in self.computed else self.views.get(name, ""))
+        return frozenset(n for n in self.written if counts[n] > 1)
+
+    def frame(self, spark: SparkSession, sf_dir: str, name: str, seen: dict[str, DataFrame] | None = None, often: frozenset[str] = frozenset()) -> DataFrame:
+        """A relation, and into ``seen`` all that it needed; those in ``often`` are written once rather than planned in each place."""
         seen = {} if seen is None else seen
         if name not in seen:
             if name in self.computed:
                 f, names, _ = self.computed[name]
-                seen[name] = f(*(self.frame(spark, sf_dir, n, seen) for n in names))
+                seen[name] = f(*(self.frame(spark, sf_dir, n, seen, often) for n in names))
             elif name in self.views:
                 op = SqlOp(name, self.views[name])
-                seen[name] = op.run(spark, **{n: self.frame(spark, sf_dir, n, seen) for n in relations_of(op.sql)})
+                made = op.run(spark, **{n: self.frame(spark, sf_dir, n, seen, often) for n in relations_of(op.sql)})
+                seen[name] = materialize(made) if name in often else made
             else:
                 seen[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return seen[name]
 
-    def frames(self, spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:
+    def frames(self, spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFrame]:
+        """The relations that a SELECT names."""
         seen: dict[str, DataFrame] = {}
-        return {n: self.frame(spark, sf_dir, n, seen) for n in names}
+        often = self.often(text)
+        return {n: self.frame(spark, sf_dir, n, seen, often) for n in relations_of(text)}
 
     def ctes(self, names: list[str]) -> list[str]:
         out: dict[str, str] = {}

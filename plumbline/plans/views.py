@@ -68,6 +68,11 @@ VIEWS: dict[str, str] = {
     "dependency_edges": f"""
         select from_file, to_file from (select from_file, to_file, DIR(from_file) as a, DIR(to_file) as b, NAME(from_file) as n from @import_edges) e
         where not (n in ({', '.join(f"'{x}'" for x in MODULE_FILES)}) and a <> '' and (a = b or (STARTS(b, a || '/') and not HAS(substr(b, length(a) + 2), '/'))))""",
+    "edges": "select from_file, to_file from @dependency_edges union select from_file, to_file from @call_edges",
+    "degrees": """
+        select coalesce(o.path, i.path) as path, coalesce(o.n, 0) as fan_out, coalesce(i.n, 0) as fan_in
+        from (select from_file as path, count(*) as n from @edges group by from_file) o full outer join (select to_file as path, count(*) as n from @edges group by to_file) i on o.path = i.path""",
+    "module_edges": "select a.module as from_module, b.module as to_module, e.from_file, e.to_file from @dependency_edges e join @module_paths a on a.path = e.from_file join @module_paths b on b.path = e.to_file",
     "entry_points": "select path as file from @files where k % 50 = 1",
     # Out-degree of at most one: long chains and cycles.
     "chain_edges": """
@@ -129,4 +134,5 @@ VIEWS: dict[str, str] = {
 }
 
 #: Relations that need a kernel are added by ``operators.health``.
-RELATIONS = Relations(VIEWS)
+#: Dependencies and the positions that they come from are written once where a query reads them several times.
+RELATIONS = Relations(VIEWS, written=frozenset({"line_positions", "import_edges", "call_edges", "dependency_edges", "edges", "degrees", "module_edges"}))

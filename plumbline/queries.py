@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import tools
 from .operators import contracts, degrees, evolution, findings, graph, health, resolution, rules, sessions, structural
-from .plans.sqlops import SqlOp, relations_of
+from .plans.sqlops import SqlOp
 from .plans.views import RELATIONS
 from .streaming import events
 
@@ -21,12 +21,12 @@ COMPUTED = graph.GRAPH | resolution.OPS | contracts.COMPUTED | findings.RANKED
 
 
 def _bound(op: SqlOp) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: op.run(spark, **RELATIONS.frames(spark, sf_dir, relations_of(op.sql)))
+    return lambda spark, sf_dir: op.run(spark, **RELATIONS.frames(spark, sf_dir, op.sql))
 
 
 def _kernel(f: Callable[..., DataFrame], names: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frames = RELATIONS.frames(spark, sf_dir, list(names))
+        frames = RELATIONS.frames(spark, sf_dir, " ".join(f"@{n}" for n in names))
         return f(*(frames[n] for n in names))
 
     return run

@@ -10,14 +10,31 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.ranking import global_rank
+from ..plans.scratch import ship
+
 MOST_HEAT = 5.0
 LEAST_HEAT = 0.01
 HALF_LIFE = 3600.0
 DEBOUNCE = 300
 EVENT_SCHEMA = "path string, ts long, event_id long, kind string"
+#: Directories whose events are noise.
+IGNORED = r"(^|/)(\.git|node_modules|target|dist|build|__pycache__)/"
+
+
+def file_event_stream(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
+    """A stream of the JSON events that appear in ``folder``, without ignored directories; a batch takes so many files, the rest waits."""
+    events = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_a_batch).json(folder)
+    return events.filter(F.col("path").isNotNull() & ~F.col("path").rlike(IGNORED))
+
+
+def shed(events: DataFrame, most: int) -> DataFrame:
+    """For a consumer that can't keep up: each path's last event, and of these the ``most`` newest; the rest is dropped, as the feature asks."""
+    last = events.groupBy("path").agg(F.max_by(F.struct("ts", "event_id", "kind"), F.struct("ts", "event_id")).alias("e")).select("path", "e.*")
+    return global_rank(last, [F.desc("ts"), F.desc("event_id"), F.asc("path")], "place").filter(F.col("place") <= most).drop("place")
 
 
 def heat_after(heat: float, seconds: float, half_life: float = HALF_LIFE) -> float:
@@ -28,10 +45,11 @@ def heat_after(heat: float, seconds: float, half_life: float = HALF_LIFE) -> flo
 def heat(events: DataFrame, now: int, half_life: float = HALF_LIFE) -> DataFrame:
     """(path, heat, last_ts) at ``now``: the fold of each path's events in order, decayed; cold paths are evicted.
 
-    Rows are sorted by path and time within tasks and folded as they stream, so a hot path needs no
+    Events without a path are left out. Rows are sorted by path and time within tasks and folded as they stream, so a hot path needs no
     list of its events in memory.
     """
-    ordered = events.select("path", F.col("ts").cast("long").alias("ts"), F.col("event_id").cast("long").alias("event_id")).repartition("path").sortWithinPartitions("path", "ts", "event_id")
+    ship(events.sparkSession)
+    ordered = events.filter("path is not null").select("path", F.col("ts").cast("long").alias("ts"), F.col("event_id").cast("long").alias("event_id")).repartition("path").sortWithinPartitions("path", "ts", "event_id")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         path, value, last = None, 0.0, 0

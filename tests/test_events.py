@@ -50,3 +50,20 @@ def test_incremental_rescan(spark):
     changed = spark.createDataFrame([("b", 30), ("new", 5)], "path string, lines long")
     got = E.incremental_rescan(files, changed, spark.createDataFrame([("a",)], "path string"))
     assert sorted(map(tuple, got.collect())) == [("ab", 4), ("b", 30), ("new", 5)]
+
+
+def test_shed_keeps_the_newest_of_the_last_events(spark):
+    df = spark.createDataFrame(ROWS, E.EVENT_SCHEMA)
+    assert sorted(map(tuple, E.shed(df, 2).collect())) == [("a", 1000, 4, "d"), ("b", 300, 5, "m")]
+    assert E.shed(df, 9).count() == 3 and E.shed(df.limit(0), 5).count() == 0
+
+
+def test_file_events_are_read_in_bounded_batches(spark, tmp_path):
+    source, checkpoint = tmp_path / "events", tmp_path / "checkpoint"
+    source.mkdir()
+    for i, path in enumerate(["src/a.ts", "node_modules/x.js", "src/b.ts"]):
+        (source / f"{i}.json").write_text(f'{{"path": "{path}", "ts": {i}, "event_id": {i}, "kind": "modified"}}\n')
+    query = E.file_event_stream(spark, str(source), files_a_batch=1).writeStream.format("memory").queryName("seen_events").option("checkpointLocation", str(checkpoint)).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(r["path"] for r in spark.table("seen_events").collect()) == ["src/a.ts", "src/b.ts"]
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 3
