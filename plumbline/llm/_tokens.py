@@ -212,6 +212,19 @@ def balanced(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def regrouped(batches: Iterator, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches brought together to about ``most`` bytes, for work that costs as much on few rows as on many."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def safe_pieces(text: bytes, most: int, drops_space: bool) -> list[bytes]:
     """Cut a long text where any of the two kinds of tokenizers cuts: before a white space after a letter or digit of ASCII."""
     pieces, at = [], 0

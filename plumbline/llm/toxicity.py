@@ -34,6 +34,8 @@ EVIDENCE = 14.0
 #: Share of the toxic documents of the sample that a marking feature must stand in.
 LEAST_SHARE = 0.01
 EPOCHS = 30
+#: Words whose scores a worker keeps, about 30 MB.
+MEMO_WORDS = 200_000
 GROUP_BYTES = 16 << 20
 
 _LETTERS = r"[^\pL]+"
@@ -119,11 +121,20 @@ class Tagger:
     def marginals(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of each token, and the ends of each text's tokens."""
         codes, ends, words = words_of(texts)
-        score = self.weights[features(words)].sum(axis=1) + self.bias if words else np.zeros(0)
-        emit = np.exp(np.clip(score, -30, 30))[codes] if len(codes) else np.zeros(0)
+        emit = np.exp(np.clip(self.word_scores(words), -30, 30))[codes] if len(codes) else np.zeros(0)
         f, b = ratios(emit, ends, self.chain)
         return f * b / (1 + f * b), ends
 
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """The weights' sum of each word; words seen before are looked up, in a memo that starts anew when it is full."""
+        memo = self.__dict__.setdefault("memo", {})
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        fresh = [w for w in words if w not in memo]
+        if fresh:
+            memo.update(zip(fresh, (self.weights[features(fresh)].sum(axis=1) + self.bias).tolist(), strict=True))
+        return np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+
     def scores(self, p: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A document's score from its marginals; 0 without words."""
         out = np.zeros(len(ends) - 1)
@@ -233,10 +244,10 @@ def score(docs: DataFrame, tagger: Tagger | None, text: str = "text", keep: Sequ
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from plumbline.llm._tokens import balanced
+        from plumbline.llm._tokens import balanced, regrouped
 
         tagger = model.value
-        for batch in batches:
+        for batch in regrouped(batches, GROUP_BYTES):  # the ratios step through the longest text of a group
             column = batch.column(batch.num_columns - 1)
             for a, b in balanced(pc.fill_null(pc.binary_length(column), 0).to_pylist(), GROUP_BYTES):
                 texts = column.slice(a, b - a)
