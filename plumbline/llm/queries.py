@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, minhash, mixing, packing, pii, quality, token_counts, token_files, toxicity, warc
+from . import ann, conversation_trie, cover_tree, filter_audit, minhash, mixing, packing, pii, quality, token_counts, token_files, toxicity, warc
 from ._scratch import materialize, scratch_path
 
 #: Folder of the public tokenizer files; each executor has them.
@@ -84,8 +84,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_trie.prefixes(table(spark, sf_dir, "conversations"))
+    return conversation_trie.trie(conversation_trie.graft(found, lambda c: c - c % 100, lambda c: F.crc32(c.cast("string").cast("binary")) % 6, most=5))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest_neighbours, op2_toxicity, op3_token_counts, op4_quality_rules, op5_source_mixing, op6_pseudonyms, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc)}
+    return {f.__name__: f for f in (op1_nearest_neighbours, op2_toxicity, op3_token_counts, op4_quality_rules, op5_source_mixing, op6_pseudonyms, op7_near_duplicates, op8_best_fit_packing, op9_token_files, op10_warc, op11_conversation_trie, op12_filter_audit, op13_embedding_duplicates)}
 
 
 OP4_SQL = r"""
@@ -120,6 +133,41 @@ FROM p LEFT JOIN g ON g.d = p.d AND p.n >= 1000
 """
 
 
+OP11_SQL = """
+WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) AS i, {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, list(x ORDER BY i) AS l FROM o GROUP BY conv_id),
+z AS (SELECT conv_id, l, list_reduce(list_concat([4294967295::bigint], flatten([[ord(b)::bigint, -1, -1, -1, -1, -1, -1, -1] for b in string_split(conv_id::varchar, '')])), lambda a, e: xor(xor(a, greatest(e, 0::bigint)) // 2, 3988292384 * (xor(a, greatest(e, 0::bigint)) % 2))) AS c FROM g),
+h AS (SELECT conv_id, l, xor(c, 4294967295::bigint) % 6 AS h FROM z),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.l[1:h.h], []), h.l[h.h + 1:]) AS l FROM h LEFT JOIN g b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, md5(l[1:d]::json::varchar) AS k, CASE WHEN d > 0 THEN md5(l[1:d - 1]::json::varchar) END AS u, CASE WHEN d > 0 THEN length(l[d].t) ELSE 0 END AS n, d = len(l) AS e FROM r, unnest(range(0, len(l) + 1)) v(d)),
+n AS (SELECT d, k, min(u) AS u, min(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (WHERE e), '')) AS ends_sha256 FROM p GROUP BY d, k),
+c AS (SELECT d - 1 AS d, u AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM n LEFT JOIN c USING (d, k)),
+s AS (SELECT a.d, a.k, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END)::bigint AS n_leaves, sum((m.n_convs - 1) * m.n)::bigint AS saved_tokens FROM m JOIN p a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.d, a.k)
+SELECT m.conv_id, m.d AS depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256 FROM m JOIN s USING (d, k) LEFT JOIN n q ON q.d = m.d - 1 AND q.k = m.u
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS x FROM d LEFT JOIN l ON l.doc_id = d.doc_id),
+g AS (SELECT part, good, toxic, x, count(*) AS n FROM f GROUP BY part, good, toxic, x),
+i AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, i AS step, o[i] AS f, o[1:i - 1] AS before FROM o, i),
+r AS (SELECT part, array_to_string([chr((64 + k)::int) for k in o], '') AS filter_order, step, f, n, good, toxic, x[f] AS fails, len([k for k in before if x[k]]) > 0 AS gone, len([k for k in x if k]) = 1 AS alone FROM s, g),
+q AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::bigint AS kept, sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::bigint AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::bigint AS redundant, sum(CASE WHEN fails AND alone THEN n ELSE 0 END)::bigint AS unique_fails, sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END)::bigint AS good_lost, sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END)::bigint AS toxic_lost FROM r GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::int AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::bigint AS shapley FROM q
+"""
+
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::double[] AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.c AS component_id, e.vec_id = c.c AS kept FROM embeddings e JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other queries tokenize, hash, permute or learn; they are tested against brute force."""
-    return {"op4_quality_rules": OP4_SQL, "op7_near_duplicates": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_near_duplicates": OP7_SQL, "op10_warc": OP10_SQL, "op11_conversation_trie": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_embedding_duplicates": OP13_SQL}
