@@ -30,8 +30,9 @@ from .ann import _matrix, usable
 from .minhash import components
 
 LEAST = 0.98
-#: Members that one task holds of a leaf.
-LEAF_ROWS = 4096
+#: Members that one task holds of a leaf, and their bytes: each leaf meets all leaves in reach, so large ones are sent about least.
+LEAF_ROWS = 16_384
+LEAF_BYTES = 8 << 20
 #: Members that a node's children are chosen from, about; twice as many at most.
 SAMPLE_ROWS = 256
 #: Children of a node, at most.
@@ -206,14 +207,16 @@ def _level(members: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
     def chosen(sample: pa.Table) -> pa.Table:
         v = _matrix(sample.column("v").combine_chunks())
         v = v[np.lexsort(v.T[::-1])]
-        kids = net(v, FAN_OUT) if sample.column("split")[0].as_py() else []
+        fan = sample.column("fan")[0].as_py()
+        kids = net(v, fan) if fan > 1 else []
         kids = v[kids].tolist() if len(kids) > 1 else []
         return pa.table({"cell": [sample.column("cell")[0].as_py()], "centre": [v.mean(axis=0).tolist()], "kids": pa.array([kids], pa.list_(pa.list_(pa.float64())))})
 
     every = F.greatest(F.floor(F.col("members") / SAMPLE_ROWS), F.lit(1))
-    split = (F.col("members") > LEAF_ROWS) & F.lit(level < LEVELS)
-    of = sizes.select("cell", every.alias("every"), split.alias("split"))
-    sample = members.join(of, "cell").filter(F.pmod(F.xxhash64("key", F.lit(level)), F.col("every")) == 0).select("cell", "split", "v")
+    # As many children as make leaves of half the size that they may have, so that few have to be split once more.
+    fan = F.when((F.col("members") > F.col("most")) & F.lit(level < LEVELS), F.least(F.lit(FAN_OUT), F.ceil(2 * F.col("members") / F.col("most")))).otherwise(0).cast("int")
+    of = sizes.select("cell", every.alias("every"), fan.alias("fan"))
+    sample = members.join(of, "cell").filter(F.pmod(F.xxhash64("key", F.lit(level)), F.col("every")) == 0).select("cell", "fan", "v")
     return sample.groupBy("cell").applyInArrow(chosen, "cell string, centre array<double>, kids array<array<double>>")
 
 
@@ -252,12 +255,13 @@ def upper_levels(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, leaves): nodes are cell, parent, centre, radius, members, weight, least (id) and leaf; leaves are the members by leaf cell."""
     nodes, leaves, level = [], [], 0
     while True:
-        sizes = materialize(members.groupBy("cell").agg(F.count("*").alias("members"), F.sum("weight").alias("weight"), F.min("rep").alias("least")), "cells", small=True)
+        most = F.greatest(F.lit(2), F.least(F.lit(LEAF_ROWS), F.floor(F.lit(LEAF_BYTES) / (8 * F.max(F.size("v"))))))
+        sizes = materialize(members.groupBy("cell").agg(F.count("*").alias("members"), F.sum("weight").alias("weight"), F.min("rep").alias("least"), most.alias("most")), "cells", small=True)
         chosen = materialize(_level(members, sizes, level), "cell-centres", small=True)
         placed = materialize(_placed(members, chosen, sizes), "placed-members")
         radii = placed.groupBy("cell").agg(F.max("far").alias("radius"))
         parent = F.when(F.lit(level > 0), F.regexp_replace("cell", "/[0-9]+$", ""))
-        nodes.append(materialize(sizes.join(chosen, "cell").join(radii, "cell").select("cell", parent.alias("parent"), "centre", "radius", "members", "weight", "least", (F.size("kids") == 0).alias("leaf")), "cell-nodes", small=True))
+        nodes.append(materialize(sizes.join(chosen, "cell").join(radii, "cell").select("cell", parent.alias("parent"), "centre", "radius", "members", "most", "weight", "least", (F.size("kids") == 0).alias("leaf")), "cell-nodes", small=True))
         leaves.append(placed.filter("kid < 0").select("cell", "key", "v", "weight", "rep"))
         members = placed.filter("kid >= 0").select(F.concat_ws("/", "cell", "kid").alias("cell"), "key", "v", "weight", "rep")
         level += 1
@@ -314,7 +318,7 @@ def _whole_links(nodes: DataFrame, leaves: DataFrame, pairs: DataFrame) -> tuple
 
 def _compared(leaves: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """key, n (links), a and b (an edge, or null) of members of the ``pairs`` (x, y) of leaves, compared in tasks."""
-    parts = nodes.filter("leaf").select("cell", F.ceil(F.col("members") / LEAF_ROWS).cast("int").alias("parts"))
+    parts = nodes.filter("leaf").select("cell", F.ceil(F.col("members") / F.col("most")).cast("int").alias("parts"))
     rows = leaves.join(parts.filter("parts > 1"), "cell", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     hosts = parts.select(F.col("cell").alias("x"), "parts")
     asked = pairs.filter("x <> y").join(hosts, "x").select(F.col("y").alias("cell"), F.col("x").alias("to"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("to_part"))
