@@ -3,9 +3,11 @@
 Numbers are found by one pattern, validated, and permuted with a key within their own format, so a
 value becomes the same pseudonym in every document and two values of a kind never become one:
 
-* card numbers (13 to 19 digits that pass the Luhn check, between group boundaries of a run of digits):
-  all digits but the last are permuted, the last is the new check digit; spaces and hyphens stay;
-* North American phone numbers: area, exchange and line within their valid ranges; other phone
+* card numbers that pass the Luhn check: one group of 13 to 19 digits; four groups of four, or 4, 6 and 4 or 5, with one
+  separator, where four groups of four begin as an issuer's numbers do and no further group of four stands beside them (so a table of numbers isn't taken for cards); two or
+  three cards of four groups in a row; and in runs of few groups, where an issuer's prefix tells, four groups of four beside
+  others and other groupings of a whole run. All digits but the last are permuted, the last is the new check digit; spaces and hyphens stay;
+* North American phone numbers, but groups joined by spaces only with a number beside them: area, exchange and line within their valid ranges; other phone
   numbers after a + : all digits but the country code's first;
 * social security numbers, within the valid areas, groups and serials;
 * IPv4 addresses, within 32 bits;
@@ -28,25 +30,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .quality import let
 
 ROUNDS = 8
-#: The patterns, tried in this order at each place.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: The patterns, tried in this order at each place. What repeats without bound is possessive: it takes no stack, however long the text.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 TOKEN = r"(?<![A-Za-z0-9_-])(?:ghp_|sk-)[A-Za-z0-9]{20,64}(?![A-Za-z0-9_-])"
 IPV4 = r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)"
 ISO_DATE = r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])"
 DAY_DATE = r"(?<![\w./])(?:0[1-9]|[12]\d|3[01])([./])(?:0[1-9]|1[0-2])\1(?:19|20)\d\d(?![\w/]|\.\d)"
 SSN = r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w|-\d)"
+#: With spaces only, and a number before or after it, three groups of digits are cells of a table.
+_CELLS = r"(?:1 ?)?[2-9]\d\d [2-9]\d\d \d{4}"
+PHONE = rf"(?<![\w+])(?!(?:(?<=\d )|(?={_CELLS} \d)){_CELLS})" + r"(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w|-\d)"
 WORLD_PHONE = r"(?<![\w+])\+[1-9](?:[ .()-]{0,2}\d){7,14}(?!\w)"
 #: The date pattern's group would shift with others before it, so it is written out for the joined pattern.
 _DAY_DATE = DAY_DATE.replace(r"([./])", "[./]").replace(r"\1", "[./]")
 OTHER = "|".join(f"(?:{p})" for p in (EMAIL, ACCESS_KEY, TOKEN, IPV4, ISO_DATE, _DAY_DATE, SSN, PHONE, WORLD_PHONE))
 #: What starts with a group of digits and goes on with other characters; a run of digits ends before it.
-_MIXED = rf"{EMAIL}|{IPV4}|{_DAY_DATE}|(?:1[ .-])?[2-9]\d\d(?:\.[2-9]\d\d[ .-]|[ -][2-9]\d\d\.)\d{{4}}(?!\w|-\d)"
+_MIXED = rf"{EMAIL}|{IPV4}|{ISO_DATE}|{_DAY_DATE}|(?:1[ .-])?[2-9]\d\d(?:\.[2-9]\d\d[ .-]|[ -][2-9]\d\d\.)\d{{4}}(?!\w|-\d)"
 #: All groups of digits that one space or hyphen joins, 13 digits or more; possessive, as its length has no bound.
 RUN = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}})\d++(?!\w)(?:[ -](?!{_MIXED})\d++(?!\w))*+"
-#: How cards are usually written; such a span comes before others that pass the Luhn check.
-CARD_LAYOUT = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+#: First digits of cards by their length.
+_ISSUED = r"(?:4|5[1-5]|2[2-7]|3[0-9]|6[0-9])"
+_GROUPS = r"\d{4}(?<SEP>[ -])\d{4}\k<SEP>\d{4}\k<SEP>\d{4}(?!\d)"
+#: The shapes of cards in a run of digits.
+CARD_SHAPES = "|".join((
+    r"(?<!\d)\d{13,19}(?!\d)",
+    rf"(?<!\d)(?<!(?<!\d)\d{{4}}[ -])(?={_ISSUED})" + _GROUPS.replace("SEP", "a") + r"(?:[ -]\d{4}\k<a>\d{4}\k<a>\d{4}\k<a>\d{4}(?!\d)){0,2}+(?![ -]\d{4}(?!\d))",
+    r"(?<!\d)\d{4}(?<b>[ -])\d{6}\k<b>\d{4,5}(?!\d)",
+    rf"(?<=^|^\d{{1,6}}[ -])(?={_ISSUED})" + _GROUPS.replace("SEP", "c") + r"(?=(?:[ -]\d{1,6}){0,2}$)",
+    rf"^(?={_ISSUED})(?=(?:\d[ -]?){{13,19}}$)\d+(?:[ -]\d+){{1,4}}$",
+))
 ANY = f"{OTHER}|(?:{RUN})"
 #: Days from 1900-01-01 to 2099-12-31, the product of two numbers.
 DATE_SIDES = (4297, 17)
@@ -142,12 +155,18 @@ def luhn_digit(digits: Column) -> Column:
     return let(digits, summed)
 
 
+def _chunks(digits: Column) -> Column:
+    """The digits of each card of a match: 16 of several in a row, else all."""
+    many = (F.length(digits) > 19) & (F.length(digits) % 16 == 0)
+    size = F.when(many, F.lit(16)).otherwise(F.length(digits))
+    return F.transform(F.sequence(F.lit(0), F.when(many, F.floor(F.length(digits) / 16)).otherwise(F.lit(1)) - 1), lambda i: F.substr(digits, (i * size + 1).cast("int"), size.cast("int")))
+
+
 def _card(m: Column, key: str) -> Column:
-    def of(d: Column) -> Column:
-        new = let(permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda b: F.concat(b, luhn_digit(b)))
-        return write_back(m, "0-9", new)
+    def new(d: Column) -> Column:
+        return let(permuted_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), lambda b: F.concat(b, luhn_digit(b)))
 
-    return let(_digits(m), of)
+    return let(_digits(m), lambda d: write_back(m, "0-9", F.array_join(F.transform(_chunks(d), new), "")))
 
 
 def _passes_luhn(digits: Column) -> Column:
@@ -155,49 +174,9 @@ def _passes_luhn(digits: Column) -> Column:
 
 
 def card_pieces(run: Column) -> Column:
-    """The pieces (t, kind) of a run of digits in order: its cards have the kind card, the text between them none.
-
-    Left to right, from each group the usual layout or else the longest span that passes the Luhn check; a span
-    gives way to a card of usual layout that begins within it.
-    """
-    group = "struct<n: int, usual: boolean>"
-    made = "struct<pieces: array<struct<t: string, kind: string>>, gap: string, until: int>"
-
-    def spans(tokens: Column, i: Column) -> Column:
-        """The (n, usual) of the spans from group i that pass."""
-        lengths = F.filter(F.sequence(F.lit(1), F.least(F.lit(19), F.size(tokens) - i + 1)), lambda n: F.length(_digits(F.array_join(F.slice(tokens, i, n), ""))).between(13, 19))
-        written = F.transform(lengths, lambda n: F.struct(n.alias("n"), F.regexp_replace(F.array_join(F.slice(tokens, i, n), ""), "^[ -]", "").alias("t")))
-        passed = F.filter(written, lambda x: _passes_luhn(_digits(x["t"])))
-        return F.transform(passed, lambda x: F.struct(x["n"].cast("int").alias("n"), x["t"].rlike(CARD_LAYOUT).alias("usual")))
-
-    def cut(x: Column) -> Column:
-        tokens, found = x["tokens"], x["spans"]
-        usual_at = lambda k: F.exists(F.element_at(found, k), lambda c: c["usual"])
-        clear = lambda i, n: (n == 1) | ~F.exists(F.sequence(i + 1, i + F.greatest(n - 1, F.lit(1))), lambda k: (k < i + n) & usual_at(F.least(k, F.size(found))))
-
-        def step(v: Column, i: Column) -> Column:
-            token = F.element_at(tokens, i)
-            mine = F.filter(F.element_at(found, i), lambda c: c["usual"] | clear(i, c["n"]))
-            best = F.array_max(F.transform(mine, lambda c: F.struct(c["usual"].alias("usual"), c["n"].alias("n"))))
-
-            def take(b: Column) -> Column:
-                card = F.array_join(F.slice(tokens, i, F.coalesce(b["n"], F.lit(1))), "")
-                gap = F.concat(v["gap"], F.regexp_extract(token, "^[ -]?", 0))
-                pieces = F.concat(v["pieces"], F.array(F.struct(gap.alias("t"), F.lit(None).cast("string").alias("kind")), F.struct(F.regexp_replace(card, "^[ -]", "").alias("t"), F.lit("card").alias("kind"))))
-                taken = F.struct(pieces.alias("pieces"), F.lit("").alias("gap"), (i + b["n"]).alias("until")).cast(made)
-                left = F.struct(v["pieces"].alias("pieces"), F.concat(v["gap"], token).alias("gap"), v["until"].alias("until")).cast(made)
-                return F.when(b.isNull(), left).otherwise(taken)
-
-            return F.when(i < v["until"], v).otherwise(let(best, take))
-
-        start = F.struct(F.array().cast("array<struct<t: string, kind: string>>").alias("pieces"), F.lit("").alias("gap"), F.lit(1).alias("until")).cast(made)
-        return F.aggregate(F.sequence(F.lit(1), F.size(tokens)), start, step, lambda v: F.array_append(v["pieces"], F.struct(v["gap"].alias("t"), F.lit(None).cast("string").alias("kind"))))
-
-    def searched(tokens: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: spans(tokens, i)).cast(f"array<array<{group}>>")
-        return let(F.struct(tokens.alias("tokens"), found.alias("spans")), cut)
-
-    return let(F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0)), searched)
+    """The pieces (t, kind) of a run of digits in order: its cards have the kind card, the text between them none. One pass over the run, however long it is."""
+    valid = lambda m: let(_digits(m), lambda d: F.forall(_chunks(d), _passes_luhn))
+    return pieces_of(run, CARD_SHAPES, lambda m: F.when(valid(m), F.lit("card")))
 
 
 def pieces_of(text: Column, pattern: str, kind) -> Column:
@@ -302,7 +281,9 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", found: str | Non
     def changed(s: Column) -> Column:
         def parts(p: Column) -> Column:
             between = lambda q: F.when(q["kind"].isNull() & (q["t"] != ""), pieces_of(q["t"], OTHER, kind_of)).otherwise(F.array(q))
-            return F.when(p["kind"] == "run", F.flatten(F.transform(card_pieces(p["t"]), between))).otherwise(F.array(p))
+            alone = F.struct(p["t"].alias("t"), F.lit(None).cast("string").alias("kind"))  # a run without a card
+            cards = let(card_pieces(p["t"]), lambda c: F.flatten(F.transform(F.when(F.exists(c, lambda q: q["kind"].isNotNull()), c).otherwise(F.array(alone)), between)))
+            return F.when(p["kind"] == "run", cards).otherwise(F.array(p))
 
         def joined(rows: Column) -> Column:
             whole = F.array_join(F.transform(rows, lambda r: r["pseudonym"]), "")
