@@ -172,7 +172,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str, size: int
     stars = pairs.groupBy("centre").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("salts"))
     members = pairs.join(stars, "centre").select("centre", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("member").alias("id"))
     centres = stars.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("centre").alias("id"))
-    asked = materialize(members.unionByName(centres), "asked-texts")
+    asked = materialize(members.unionByName(centres), "asked-texts", small=True)
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
     rows = _texts(docs, text, doc_id, "id").join(asked, "id").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "kind").select("centre", "kind", "id", "t")
 
@@ -315,13 +315,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     texts is. Without doc_id a row is linked with nothing: component_id is null and it is kept. An empty
     table gives an empty one; other columns are never read.
     """
-    sketched = materialize(sketches(docs, text, doc_id, size), "sketches")
+    sketched = materialize(sketches(docs, text, doc_id, size), "sketches", small=True)
     there = sketched.filter("doc_id is not null and digest is not null")
-    nodes = materialize(there.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"), F.count("*").alias("rows")), "nodes")
+    nodes = materialize(there.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bins").alias("bins"), F.first("n_shingles").alias("n"), F.count("*").alias("rows")), "nodes", small=True)
     dealt = nodes.select("id", F.inline(bucket_numbers(F.col("bins"), rows)))
     buckets = dealt.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("k")).filter("k > 1")
-    members = materialize(dealt.join(buckets, "bucket").select("bucket", "band", "id", "centre", F.col("k").cast("int").alias("k")), "buckets")
-    sizes = materialize(having(nodes.select("id", "n", "bins"), members.select("id"), "id"), "member-sketches")
+    members = materialize(dealt.join(buckets, "bucket").select("bucket", "band", "id", "centre", F.col("k").cast("int").alias("k")), "buckets", small=True)
+    sizes = materialize(having(nodes.select("id", "n", "bins"), members.select("id"), "id"), "member-sketches", small=True)
     # A member is first compared with the centre that it meets most often; the rest is left to the buckets below.
     met = members.filter("id <> centre").groupBy(F.col("id").alias("member"), "centre").agg(F.count("*").alias("k"))
     of = sizes.select("id", "n")
@@ -335,11 +335,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # Buckets whose members are apart still.
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    placed = materialize(placed.join(apart, "bucket"), "open-buckets")
+    placed = materialize(placed.join(apart, "bucket"), "open-buckets", small=True)
     ks = placed.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("m"))  # one entry a band at most
     ks = ks.select("id", F.transform(F.sequence(F.lit(0), F.lit(BINS // rows - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("ks"))
     active = placed.select("bucket", "band", "id", "component").join(ks, "id").join(sizes, "id")
-    needed = materialize(open_buckets(active, percent, size, rows, least_agreeing, exact=False), "needed-texts")
+    needed = materialize(open_buckets(active, percent, size, rows, least_agreeing, exact=False), "needed-texts", small=True)
     texts = having(_texts(docs, text, doc_id, "id"), needed.select("id"), "id")
     joined = open_buckets(active.join(needed, ["bucket", "id"]).join(texts, "id"), percent, size, rows, least_agreeing, exact=True)
     merged = materialize(components(joined), "components", small=True).select(F.col("node").alias("component"), F.col("component").alias("whole"))
@@ -360,7 +360,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows, key, body = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in inner.items()]), inner[doc_id], inner[text]
     found = near_duplicates(docs, text, doc_id, size, percent).select("doc_id", "kept").filter("doc_id is not null")
-    found = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "kept-ids")
+    found = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "kept-ids", small=True)
     few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     by_id = lambda condition, how: rows.join(few(found.filter(condition).select(F.col("doc_id").alias("found_id"))), F.col(key).cast("long") == F.col("found_id"), how)
     single = by_id("not kept or n > 1", "left_anti")  # rows without id too
