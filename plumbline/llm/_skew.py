@@ -10,7 +10,7 @@ LOAD = 512
 BROADCAST_KEYS = 1_000_000
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], load: str, by: str) -> DataFrame:
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], load: str, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``lookup`` (unique in ``keys``) on ``keys``; ``load`` is the count of rows that ask for a key, ``by`` a column that spreads them.
 
     ``lookup`` is read twice, so it should be a written table.
@@ -20,4 +20,4 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], load: str,
     few = heavy.count() <= BROADCAST_KEYS
     salted = rows.join(F.broadcast(heavy) if few else heavy, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
-    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -22,14 +22,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._scratch import materialize, ship, tidy
+from ._skew import salted_join
 
 DEDUP_BYTES = 1000
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 4096
-#: Bytes of an archive before compression, about; a record's block has at most SEGMENT_BYTES, so this bounds the records of a file.
+#: Bytes of an archive before compression, about, and of the records that one row brings to the writer.
 ARCHIVE_BYTES = 64 << 20
-#: A payload of at least one in so many pages is hot. There are at most as many, which bounds their broadcast; all others share few enough pages for one task.
-HOT_SHARE = 1000
+ROW_BYTES = 2 << 20
+#: Groups of copies that are broadcast, some 200 bytes each, so that no payload is shuffled; beyond, payloads are joined by salts, so many of a group to a task.
+BROADCAST_GROUPS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 
 RECORD_SCHEMA = "record_id string, origin_id string, segment int, total_length long, record_type string, page_id long, url string, refers_to long, refers_to_url string, digest string, block binary"
@@ -39,27 +41,19 @@ def mark_revisits(pages: DataFrame, least: int = DEDUP_BYTES) -> DataFrame:
     """page_id, url, payload (null html: empty), digest, ``refers_to`` and ``refers_to_url``; the last two are null for responses.
 
     Rows without page_id count as the smallest; where none of a group has one, all are responses.
-    Every row that repeats the largest page_id of its group is a response. Small payloads pass by the lookup
-    and hot ones find theirs by broadcast, so only the others are shuffled. Other columns are never read; an
+    Every row that repeats the largest page_id of its group is a response. Other columns are never read; an
     empty table gives an empty one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
-    long = F.octet_length("payload") >= least
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.filter(long).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("last")).filter("n > 1 and last.page_id is not null")
-    groups = materialize(groups, "warc-groups")
-    many = F.lit(max(2, pages.count() // HOT_SHARE))
-    lookup = lambda condition, names: groups.filter(condition).select(F.col("digest").alias(names[0]), F.col("last").alias(names[1]))
-    big = rows.filter(long).join(F.broadcast(lookup(F.col("n") > many, ("hot_digest", "hot"))), F.col("digest") == F.col("hot_digest"), "left")
-    # What a hot lookup has found is dealt at random; salt 0 is for the others.
-    found = F.col("hot_digest").isNotNull()
-    big = big.withColumn("k", F.when(~found, F.col("digest"))).withColumn("salt", F.when(found, F.pmod(F.xxhash64("page_id", "url"), F.lit(HOT_SHARE)).cast("int")).otherwise(0))
-    cold = lookup(F.col("n") <= many, ("cold_digest", "cold")).withColumn("cold_salt", F.lit(0))
-    big = big.join(cold, (F.col("k") == F.col("cold_digest")) & (F.col("salt") == F.col("cold_salt")), "left")
-    last = F.coalesce("hot", "cold")
+    rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
+    # Groups are found on narrow rows.
+    groups = rows.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("last")).filter("n > 1 and last.page_id is not null")
+    groups = materialize(groups, "warc-groups", small=True)
+    few = groups.count() <= BROADCAST_GROUPS
+    found = rows.join(F.broadcast(groups), "digest", "left") if few else salted_join(rows, groups, ["digest"], "n", "page_id", "left")
+    last = F.col("last")
     revisit = last.isNotNull() & ~F.col("page_id").eqNullSafe(last["page_id"])
-    marked = big.select("page_id", "url", "payload", "digest", F.when(revisit, last["page_id"]).alias("refers_to"), F.when(revisit, last["url"]).alias("refers_to_url"))
-    return marked.unionByName(rows.filter(~long).select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_to_url")))
+    return found.select("page_id", "url", "payload", F.coalesce("digest", F.sha1("payload")).alias("digest"), F.when(revisit, last["page_id"]).alias("refers_to"), F.when(revisit, last["url"]).alias("refers_to_url"))
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -122,26 +116,28 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str
 def write_archives(marked: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES, date: str = DATE) -> None:
     """Write the rows of ``mark_revisits`` as archives below ``path``. An empty table writes no record."""
     ship(marked.sparkSession)
+    row_bytes = min(ROW_BYTES, archive_bytes)
 
     def records(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, row = TaskContext.get().partitionId(), 0
+        part, row, out, held = TaskContext.get().partitionId(), 0, [], 0
+        joined = lambda: pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(out)], pa.binary())], names=["records"])
         for batch in batches:
-            out, held = [], 0
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 row += 1
                 for r in records_of(*values, f"{part}-{row}", segment_bytes, date):
                     out.append(r)
-                    held += len(r)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-                    out, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-    rows = marked.select("page_id", "url", "payload", "digest", "refers_to", "refers_to_url").mapInArrow(tidy(records), "record binary")
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, archive_bytes // segment_bytes)).option("compression", "gzip").text(path)
+                    held += len(r) + 4
+                    if held >= row_bytes:
+                        yield joined()
+                        out, held = [], 0
+        if out:
+            yield joined()
+
+    rows = marked.select("page_id", "url", "payload", "digest", "refers_to", "refers_to_url").mapInArrow(tidy(records), "records binary")
+    rows.select(F.col("records").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, archive_bytes // row_bytes)).option("compression", "gzip").text(path)
 
 
 def parse(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
