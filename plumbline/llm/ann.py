@@ -9,8 +9,8 @@ inequality gives exceeds the distance of its k-th nearest so far: factor 1 is ex
 one trades recall for time. Scores are inner products of the original vectors in double precision.
 
 Shards are the leaves of one more such tree, whose vantage points and medians come from a bounded sample
-and whose distance ranges come from all vectors. A query first searches the shard with the smallest lower
-bound; its k-th nearest there, by the same rule, says which other shards it is sent to. A shard of more
+and whose distance ranges come from all vectors. A query first searches the shard that the smaller lower
+bounds lead to; its k-th nearest there, by the same rule, says which other shards it is sent to. A shard of more
 rows than a task shall hold, as one of many equal vectors, is dealt over several parts. A task holds one
 part and streams blocks of queries past it, so memory doesn't grow with the number of queries.
 """
@@ -36,6 +36,8 @@ SHARD_BYTES = 64 << 20
 SAMPLE_ROWS = 16_384
 LEAF_ROWS = 256
 QUERY_ROWS = 2048
+#: Queries that go down the shards' tree together.
+ROUTED_ROWS = 512
 
 
 def usable(vector: Column) -> Column:
@@ -155,8 +157,7 @@ class Router:
             self.cuts[node] = np.median(far[inside])
             left = far <= self.cuts[node]
             rows[2 * node + 1], rows[2 * node + 2] = np.flatnonzero(inside & left), np.flatnonzero(inside & ~left)
-        #: Leaf number: (lo, hi) of the distances from each vantage point of its path, over all vectors.
-        self.ranges: dict[int, np.ndarray] = {}
+        self.low = self.high = np.zeros(0)
 
     def members(self, space: np.ndarray, node: int) -> np.ndarray:
         """Which rows come to ``node``, whose ancestors are cut already."""
@@ -183,21 +184,45 @@ class Router:
             node = 2 * node + 1 + (far[:, level] > self.cuts[node])
         return node - len(self.points), far
 
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Leaves that hold vectors; for each (query, leaf) a lower bound of all its distances; the queries' norms."""
-        leaves = np.array(sorted(self.ranges), np.int64)
-        norms = _norms(queries)
-        out = np.zeros((len(queries), len(leaves)))
-        if self.depth:
-            dots = queries @ self.points[:, :-1].T * (self.top / norms)[:, None]
-            d = np.sqrt(np.maximum(self.top**2 + (self.points**2).sum(axis=1) - 2 * dots, 0))
-            for j, leaf in enumerate(leaves.tolist()):
-                node = leaf + len(self.points)
-                for level in range(self.depth - 1, -1, -1):
-                    node = (node - 1) // 2
-                    lo, hi = self.ranges[leaf][level]
-                    np.maximum(out[:, j], np.maximum(lo - d[:, node], d[:, node] - hi), out=out[:, j])
-        return leaves, out, norms
+    def measured(self, ranges: dict[int, np.ndarray]) -> None:
+        """Take each leaf's ranges; a node's range of distances from its parent's point is that of all leaves below it, and empty nodes are never gone to."""
+        self.low, self.high = np.full(2 ** (self.depth + 1) - 1, np.inf), np.full(2 ** (self.depth + 1) - 1, -np.inf)
+        for leaf, spread in ranges.items():
+            node = leaf + len(self.points)
+            for lo, hi in spread[::-1]:
+                self.low[node], self.high[node] = min(self.low[node], lo), max(self.high[node], hi)
+                node = (node - 1) // 2
+
+    def _distances(self, queries: np.ndarray, scale: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """From each query to its own row of ``points``, or to one point."""
+        return np.sqrt(np.maximum(self.top**2 + (points**2).sum(axis=-1) - 2 * (queries * points[..., :-1]).sum(axis=-1) * scale, 0))
+
+    def home(self, queries: np.ndarray) -> np.ndarray:
+        """The leaf that each query comes to by the smaller lower bound, on ties by its side of the cut."""
+        scale, node, low = self.top / _norms(queries), np.zeros(len(queries), np.int64), np.zeros(len(queries))
+        for _ in range(self.depth):
+            d = self._distances(queries, scale, self.points[node])
+            left, right = (np.maximum(low, np.where(np.isfinite(self.low[c]), np.maximum(self.low[c] - d, d - self.high[c]), np.inf)) for c in (2 * node + 1, 2 * node + 2))
+            go = (right < left) | ((right == left) & (d > self.cuts[node]))
+            low, node = np.where(go, right, left), 2 * node + 1 + go
+        return node - len(self.points)
+
+    def within(self, queries: np.ndarray, reach: np.ndarray, factor: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows of queries) of all leaves whose lower bound times ``factor`` is within a query's reach; subtrees out of reach aren't entered."""
+        scale = self.top / _norms(queries)
+        todo = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
+        while todo:
+            node, rows, low = todo.pop()
+            if node >= len(self.points):
+                yield node - len(self.points), rows
+                continue
+            d = self._distances(queries[rows], scale[rows], self.points[node])
+            for child in (2 * node + 1, 2 * node + 2):
+                if np.isfinite(self.low[child]):
+                    bound = np.maximum(low, np.maximum(self.low[child] - d, d - self.high[child]))
+                    near = factor * bound <= reach[rows]
+                    if near.any():
+                        todo.append((child, rows[near], bound[near]))
 
 
 def _norms(vectors: np.ndarray) -> np.ndarray:
@@ -258,8 +283,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
     placed = materialize(placed.unionByName(others).withColumn("dim", F.size("v")), "vectors")
     spread = [x for i in range(router.depth) for x in (F.min(F.get("far", i)).alias(f"lo{i}"), F.max(F.get("far", i)).alias(f"hi{i}"))]
     sizes = materialize(placed.groupBy("shard", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"), *spread), "shards")
-    for r in sizes.filter("shard >= 0").collect():  # one row a shard
-        router.ranges[r["shard"]] = np.array([(r[f"lo{i}"], r[f"hi{i}"]) for i in range(router.depth)])
+    router.measured({r["shard"]: np.array([(r[f"lo{i}"], r[f"hi{i}"]) for i in range(router.depth)]).reshape(-1, 2) for r in sizes.filter("shard >= 0").collect()})  # one row a shard
     parts = sizes.select(F.col("shard").alias("s"), F.col("dim").alias("d"), "parts")
 
     def in_parts(df: DataFrame) -> DataFrame:
@@ -308,24 +332,29 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
         return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
+    def blocks(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROUTED_ROWS):
+                part = batch.slice(at, ROUTED_ROWS)
+                yield part, _matrix(part.column(1))
+
     def home(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            leaves, lower, _ = router.bounds(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(leaves[lower.argmin(axis=1)]), batch.column(0), batch.column(1)], names=["shard", "id", "v"])
+        for part, v in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(router.home(v)), part.column(0), part.column(1)], names=["shard", "id", "v"])
 
     def beyond(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            leaves, lower, norms = router.bounds(_matrix(batch.column(1)))
-            least = batch.column(2).fill_null(-np.inf).to_numpy()
-            reach = np.where(least > -np.inf, np.sqrt(np.maximum(2 * top * top - 2 * top * np.where(least > -np.inf, least, 0) / norms, 0)), np.inf)
-            sent = factor * lower <= reach[:, None] + 1e-6 * top
-            sent[np.arange(len(sent)), lower.argmin(axis=1)] = False
-            q, s = np.nonzero(sent)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves[s]), batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q))], names=["shard", "id", "v"])
+        for part, v in blocks(batches):
+            least, own = part.column(2).fill_null(-np.inf).to_numpy(), router.home(v)
+            known = least > -np.inf
+            reach = np.where(known, np.sqrt(np.maximum(2 * top * top - 2 * top * np.where(known, least, 0) / _norms(v), 0)), np.inf) + 1e-6 * top
+            for leaf, rows in router.within(v, reach, factor):
+                rows = pa.array(rows[own[rows] != leaf])
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), part.column(0).take(rows), part.column(1).take(rows)], names=["shard", "id", "v"])
 
     asked = materialize(asked, "queries")
     routed = "shard long, id long, v array<double>"

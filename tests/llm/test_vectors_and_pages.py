@@ -62,20 +62,40 @@ def test_one_vector_may_be_a_third_of_all(spark):
     assert got == {q: [i for i, _ in v] for q, v in brute(rows, set(range(0, 900, 50)), 8).items()}
 
 
+def test_routing_over_4096_shards_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(16_384, 16))
+    router = ann.Router(v, float(np.linalg.norm(v, axis=1).max()), 4096)
+    leaf, far = router.place(v)
+    router.measured({x: np.column_stack([far[leaf == x].min(axis=0), far[leaf == x].max(axis=0)]) for x in np.unique(leaf).tolist()})
+    q = v[:512]
+    tracemalloc.start()
+    home = router.home(q)
+    found = {(leaf, int(r)) for leaf, rows in router.within(q, np.full(512, 0.5), 1.0) for r in rows}
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert set(home.tolist()) <= set(leaf.tolist())
+    near = np.sqrt(np.maximum(((router.lifted(v)[:, None] - np.column_stack([q * (router.top / ann._norms(q))[:, None], np.zeros(512)])[None, :40]) ** 2).sum(axis=2), 0)) <= 0.5
+    assert {(int(leaf[i]), int(j)) for i, j in np.argwhere(near)} <= found
+
+
 def test_recall_at_production_factor(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     q = df.filter("vec_id % 20 = 0")
     assert ann.measured_recall(ann.nearest(df, q), ann.nearest(df, q, factor=1.0)) >= 0.9
 
 
-@pytest.mark.parametrize("hot_share", [1000, 5])
-def test_warc_round_trip(spark, monkeypatch, hot_share):
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_warc_round_trip(spark, monkeypatch, broadcast):
     rng = random.Random(1)
     big = "".join(rng.choice("abc<>\r\n é") for _ in range(200_000))
     same = "x" * 1500
     rows = [(1, "http://a/1", None), (2, None, ""), (3, "http://a/3", "short"), (4, "u", "short"), (5, "u v\r\nX: y", same), (9, "u", same), (7, "u", same), (9, "u", same), (10, "u", big), (11, "u", big), (12, "u", big + "!"), (None, "u", same), (None, "u", "z" * 2000), (None, "u", "z" * 2000), (20, "u", "WARC/1.1\r\n\r\n0\r\n\r\n" * 200)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    monkeypatch.setattr(warc, "HOT_SHARE", hot_share)
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr("plumbline.llm._skew.LOAD", 2)
     path = scratch_path(spark, "test-warc")
     warc.write_archives(warc.mark_revisits(df), path, segment_bytes=5000, archive_bytes=100_000)
     records = warc.read_records(spark, path)
