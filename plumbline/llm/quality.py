@@ -36,10 +36,21 @@ def repeated_words(words: Column, size: int = 3) -> Column:
     """Words that stand in a window of ``size`` words found twice or more in ``words``."""
 
     def covered(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.struct(F.array_join(F.slice(w, i, size), " ").alias("w"), i.alias("i")))
+        # A window's words are referred to, not copied: its hash sorts it, and the words themselves tell equal hashes apart.
+        def window(i: Column) -> Column:
+            parts = [F.element_at(w, (i + k).cast("int")) for k in range(size)]
+            return F.struct(F.xxhash64(*parts).alias("h"), *[p.alias(f"w{k}") for k, p in enumerate(parts)], i.alias("i"))
+
+        windows = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), window)
+
+        def equal(x: Column, y: Column) -> Column:
+            out = x["h"] == y["h"]
+            for k in range(size):
+                out = out & (x[f"w{k}"] == y[f"w{k}"])
+            return F.coalesce(out, F.lit(False))
 
         def among(s: Column) -> Column:
-            hits = F.filter(F.transform(s, lambda x, i: F.when((F.get(s, i - 1)["w"] == x["w"]) | (F.get(s, i + 1)["w"] == x["w"]), x["i"])), lambda x: x.isNotNull())
+            hits = F.filter(F.transform(s, lambda x, i: F.when(equal(F.get(s, i - 1), x) | equal(F.get(s, i + 1), x), x["i"])), lambda x: x.isNotNull())
             return F.size(F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(i, i + (size - 1))))))
 
         return let(F.sort_array(windows), among)
