@@ -226,16 +226,17 @@ def regrouped(batches: Iterator, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def safe_pieces(text: bytes, most: int, drops_space: bool) -> list[bytes]:
-    """Cut a long text where any of the two kinds of tokenizers cuts: before a white space after a letter or digit of ASCII."""
+    """Cut a long text where any of the two kinds of tokenizers cuts: before a white space after a letter or digit of ASCII, and after a Han character before one of its full-width marks."""
     pieces, at = [], 0
     while len(text) - at > most:
         m = _SAFE.search(text, at + most)
         if not m:
             break
-        pieces.append(text[at : m.start() + 1])
-        at = m.start() + 1
+        pieces.append(text[at : m.end()])
+        at = m.end()
     pieces.append(text[at:])
     return pieces
 
 
-_SAFE = re.compile(rb"[0-9A-Za-z](?=[\t\n\v\f\r ])")
+#: The marks: ideographic comma and full stop, full-width ! , : ; ?
+_SAFE = re.compile(rb"[0-9A-Za-z](?=[\t\n\v\f\r ])|[\xe4-\xe9][\x80-\xbf]{2}(?=\xe3\x80[\x81\x82]|\xef\xbc[\x81\x8c\x9a\x9b\x9f])")
