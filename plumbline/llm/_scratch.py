@@ -105,7 +105,7 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if int(spark.conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, BATCH_BYTES)
-    if getattr(sc, "_plumbline_shipped", False):
+    if getattr(sc, "_plumbline_corpus_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
     folder = tempfile.mkdtemp(prefix="plumbline-code-")
@@ -114,4 +114,4 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(target)
-    sc._plumbline_shipped = True
+    sc._plumbline_corpus_shipped = True

@@ -16,7 +16,7 @@ from .test_documents import WORD, base, brute_components, water_fill  # noqa: E4
 from .test_tokens import check_packing, library_ids  # noqa: E402
 from .test_vectors_and_pages import brute  # noqa: E402
 
-TABLES = "documents embeddings pages labels".split()
+TABLES = "documents embeddings pages labels conversations".split()
 
 
 @pytest.fixture(scope="module")
@@ -25,10 +25,11 @@ def tables(spark, awkward, tmp_path_factory):
     full, empty = (str(tmp_path_factory.mktemp(x)) for x in ("full", "empty"))
     frames = {
         "documents": awkward,
-        "embeddings": spark.createDataFrame([(i, [float(i % 7), 1.0, -float(i % 3)], i) for i in range(61)] + [(20, [1.0, 1.0, 1.0], 0), (20, [1.0, 1.0, 1.0], 0), (30, None, None), (None, [1.0, 2.0, 3.0], 1)], "vec_id long, embedding array<float>, id int"),
+        "embeddings": spark.createDataFrame([(i, [float(i % 7), 1.0, -float(i % 3)], i) for i in range(61)] + [(20, [1.0, 1.0, 1.0], 0), (20, [1.0, 1.0, 1.0], 0), (30, None, None), (None, [1.0, 2.0, 3.0], 1)], "vec_id long, embedding array<float>, id int").selectExpr("*", "id % 3 as label", "'x' as cell"),
         "pages": spark.createDataFrame([(1, "u", "x" * 1200, 1), (2, "u", "x" * 1200, 2), (3, None, "x", 3), (4, "u", "x", None), (None, "u", None, 5)], "page_id long, url string, html string, digest int"),
         "labels": spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(None, None, 1), (3, 1, None)], "doc_id long, quality int, toxic int"),
     }
+    frames["conversations"] = spark.createDataFrame([(c, t, "user" if t else None, f"turn {t}" if t else None, "x") for c in (0, 1, 7, 100, 101, 250) for t in (None, 1, 2, 3, 3)] + [(None, 1, "user", "x", "y"), (5, 1, None, "", None)], "conv_id long, turn long, role string, text string, depth string")
     for name, df in frames.items():
         df.write.parquet(f"{full}/{name}.parquet")
         df.limit(0).write.parquet(f"{empty}/{name}.parquet")
@@ -116,7 +117,7 @@ def test_op9(spark, tables, texts):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in TABLES:
         con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     got = con.execute(registry.oracle_sql()[name])
     names = [c[0] for c in got.description]
