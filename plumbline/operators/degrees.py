@@ -8,7 +8,7 @@ from ..plans.sqlops import SqlOp
 CC_HIGH, FUNC_LENGTH, COG_HIGH, PARAM_HIGH, FAN_OUT, FAN_IN, LARGE_FILE = 15, 50, 15, 4, 15, 20, 500
 STABLE_INSTABILITY, STABLE_FAN_IN, LEAST_HOTSPOT_INSTABILITY, FOUNDATION = 0.15, 3, 0.15, 0.30
 #: Functions that frameworks call.
-IMPLICIT_ENTRIES = "main new default init setup teardown run start stop build configure register update draw render getDerivedStateFromError componentDidCatch serialize deserialize".split()
+IMPLICIT_ENTRIES = ["main", "new", "default", "init", "setup", "teardown", "run", "start", "stop", "build", "configure", "register", "update", "draw", "render", "getDerivedStateFromError", "componentDidCatch", "serialize", "deserialize"]
 
 #: Distinct edges of imports and calls; structural metrics leave out edges that only declare modules.
 EDGES = "select from_file, to_file from @edges"

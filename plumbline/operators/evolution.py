@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..plans.sqlops import SqlOp
+from ..plans.views import NOW
 
 MOST_FILES_A_COMMIT = 50
 LEAST_CO_CHANGES = 3
@@ -23,13 +24,13 @@ def _pairs(least: int) -> str:
 
 
 OPS: dict[str, SqlOp] = {
-    "git_log_source": SqlOp("Commits in scope: no merges, from 1 to 50 files, not older than the cutoff", f"select c.commit_id, c.author, c.epoch, count(*) as n_files from @commits c join @commit_files f on f.commit_id = c.commit_id where c.parents <= 1 and c.epoch >= 800000000 group by c.commit_id, c.author, c.epoch having count(*) <= {MOST_FILES_A_COMMIT}"),
+    "git_log_source": SqlOp("Commits in scope: no merges, from 1 to 50 files, not older than the cutoff", f"select c.commit_id, c.author, c.epoch, count(*) as n_files from @commits c join @commit_files f on f.commit_id = c.commit_id where c.parents <= 1 and c.epoch >= {NOW} group by c.commit_id, c.author, c.epoch having count(*) <= {MOST_FILES_A_COMMIT}"),
     "churn": SqlOp("Commits, lines added and removed of each known file", _CHURN),
     "co_change_counts": SqlOp("Commits that two known files share, among the first 50 of each commit", f"with placed as ({_PLACED}) select a.path as file_a, b.path as file_b, count(*) as co_change_count from placed a join placed b on a.commit_id = b.commit_id and a.path < b.path where a.nth <= {MOST_FILES_A_COMMIT} and b.nth <= {MOST_FILES_A_COMMIT} group by a.path, b.path"),
     "change_coupling": SqlOp("The 50 strongest pairs of at least 3 shared commits, by Jaccard", f"{_pairs(LEAST_CO_CHANGES)} order by coupling_strength desc, file_a, file_b limit 50"),
     "change_coupling_min2": SqlOp("The 50 strongest pairs of at least 2 shared commits", f"{_pairs(2)} order by coupling_strength desc, file_a, file_b limit 50"),
     "last_modified": SqlOp("Newest commit of each known file", f"select path, max(epoch) as last_epoch from ({_KNOWN}) h group by path"),
-    "code_age_days": SqlOp("Whole days since each file's newest commit at a fixed now, 0 if in the future", f"select path, cast(greatest(0, IDIV(greatest(0, 800000000 - max(epoch)), 86400)) as bigint) as age_days from ({_KNOWN}) h group by path"),
+    "code_age_days": SqlOp("Whole days since each file's newest commit at a fixed now, 0 if in the future", f"select path, cast(greatest(0, IDIV(greatest(0, {NOW} - max(epoch)), 86400)) as bigint) as age_days from ({_KNOWN}) h group by path"),
     "bus_factor": SqlOp("Authors of each file, the main one (ties by name) and its share", f"""
         with a as (select path, author, count(*) as n from ({_KNOWN}) h group by path, author),
         r as (select *, row_number() over (partition by path order by n desc, author) as rk, sum(n) over (partition by path) as total, count(*) over (partition by path) as authors from a)

@@ -23,9 +23,9 @@ _TRUST = "case trust when 'trusted' then 2 when 'watchpoint' then 1 else 0 end"
 _ORDER = f"{_RANK} desc, {_TRUST} desc, score desc, scope, kind, key"
 _PRESENTATION = "case when trust = 'experimental' then 'experimental' when trust = 'watchpoint' then 'watchpoint' when score < 2000 then 'hardening_note' else 'structural_debt' end"
 _LEVERAGE = "case when trust = 'experimental' then 'experimental' when kind = 'cycle_cluster' and score >= 5000 then 'architecture_signal' when kind = 'clone_family' then 'local_refactor_target' when severity = 'high' then 'architecture_signal' when score < 2000 then 'hardening_note' else 'secondary_cleanup' end"
-#: Orders of leverage and presentation as the reference's docs/v2/validation-loop.md lists them; its policy file isn't in the tree.
-LEVERAGES = "architecture_signal local_refactor_target boundary_discipline regrowth_watchpoint secondary_cleanup hardening_note tooling_debt experimental".split()
-PRESENTATIONS = "structural_debt guarded_facade watchpoint hardening_note tooling_debt experimental".split()
+#: Orders of leverage and presentation as its documents list them; the policy file isn't public.
+LEVERAGES = ["architecture_signal", "local_refactor_target", "boundary_discipline", "regrowth_watchpoint", "secondary_cleanup", "hardening_note", "tooling_debt", "experimental"]
+PRESENTATIONS = ["structural_debt", "guarded_facade", "watchpoint", "hardening_note", "tooling_debt", "experimental"]
 
 
 def _place(value: str, names: list[str]) -> str:
@@ -47,6 +47,11 @@ def issue_ranking(found: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked(_ORDER, "rank_no", "key", found, limit)
 
 
+def merge_findings(found: DataFrame, others: DataFrame, limit: int | None = None) -> DataFrame:
+    """Findings of two sources, equal ones once, by severity, leverage, presentation, trust and score; or the caller's ``limit`` first."""
+    return ranked(_BRIEF, "rank_no", "key kind severity score", found.unionByName(others).distinct(), limit)
+
+
 def brief_ranking(found: DataFrame, limit: int | None = None) -> DataFrame:
     """All findings in brief order, or the caller's ``limit`` first."""
     return ranked(_BRIEF, "rank_no", "key kind", found, limit)
@@ -72,7 +77,7 @@ _DEBT = f"""
 OPS: dict[str, SqlOp] = {
     "symbol_prefix_join": SqlOp("Symbols of each concept: equal to a target or below it", f"select concept, symbol, count(*) as reads from ({_READS}) w group by concept, symbol"),
     "multi_writer": SqlOp("Concepts that more than one production file writes", f"select concept, count(distinct w.path) as writers, 'high' as severity from ({_WRITES}) w join @files f on f.path = w.path where not f.is_test group by concept having count(distinct w.path) > 1"),
-    "writer_policy": SqlOp("Forbidden writers, then writers outside the allowed ones", f"with w as (select w.*, coalesce(max(case when a.forbidden and w.path like a.pattern then 1 else 0 end), 0) as bad, coalesce(max(case when not a.forbidden and w.path like a.pattern then 1 else 0 end), 0) as good from ({_WRITES}) w left join @allowed_writers a on a.concept = w.concept group by w.concept, w.symbol, w.path, w.line) select concept, path, case when bad = 1 then 'forbidden_writer' else 'writer_outside_allowlist' end as kind from w where bad = 1 or good = 0"),
+    "writer_policy": SqlOp("Forbidden writers, then writers outside the allowed ones", f"with p as (select a.concept, h.path, max(case when a.forbidden then 1 else 0 end) as bad, max(case when a.forbidden then 0 else 1 end) as good from @writer_hits h join @allowed_writers a on a.pattern = h.pattern group by a.concept, h.path), l as (select distinct concept from @allowed_writers where not forbidden) select w.concept, w.path, w.symbol, case when p.bad = 1 then 'forbidden_writer' else 'writer_outside_allowlist' end as kind from ({_WRITES}) w left join p on p.concept = w.concept and p.path = w.path left join l on l.concept = w.concept where p.bad = 1 or (coalesce(p.good, 0) = 0 and l.concept is not null)"),
     "forbidden_raw_read": SqlOp("Raw reads of a concept's fields by file", f"select concept, path, count(*) as n, SETJOIN(symbol) as symbols, 'medium' as severity from ({_READS}) r where ENDS(symbol, '.field') group by concept, path"),
     "domain_concept_join": SqlOp("Sites and variants of each domain", "select domain, count(distinct site) as sites, count(distinct variant) as variants from @sites group by domain"),
     "domain_obligation": SqlOp("Required, satisfied and missing variants of each site", _OBLIGATION),
@@ -95,7 +100,6 @@ OPS: dict[str, SqlOp] = {
     "concept_debt": SqlOp("Findings by concept with a capped score", f"select concept, count(*) as findings, cast(sum(case when severity = 'high' then 1 else 0 end) as bigint) as high, cast(least(10000, 800 * count(*) + 1500 * sum(case when severity = 'high' then 1 else 0 end)) as bigint) as score from @findings group by concept"),
     "debt_signals": SqlOp("Concepts over 2500 and findings over 4000 elsewhere", "with c as (select concept, least(10000, 800 * count(*)) as score from @findings group by concept) select 'concept' as source, concept as scope, cast(score as bigint) as score from c where score >= 2500 union all select 'hotspot', file, score from @findings f where score >= 4000 and not exists (select 1 from c where c.concept = f.concept and c.score >= 2500)"),
     "check_signal_summary": SqlOp("Counts by family of kinds", "select cast(sum(case when kind like 'clone%' then 1 else 0 end) as bigint) as clones, cast(sum(case when kind in ('large_file', 'dependency_sprawl') then 1 else 0 end) as bigint) as size_kinds, cast(sum(case when kind = 'cycle_cluster' then 1 else 0 end) as bigint) as cycles from @findings"),
-    "merge_findings": SqlOp("The 100 first of all findings in report order", f"select key, kind, severity, score from (select * from @findings union all select * from @baseline_findings) u order by {_ORDER} limit 100"),
     "top_actions": SqlOp("The three first trusted findings", f"select key, row_number() over (order by {_ORDER}) as priority from (select * from @findings where trust = 'trusted' order by {_ORDER} limit 3) x"),
     "unique_by_scope": SqlOp("First finding of each scope", f"select scope, key from (select *, row_number() over (partition by scope order by {_ORDER}) as rk from @findings) x where rk = 1"),
     "candidate_order": SqlOp("Place of each finding within its kind", "select kind, key, row_number() over (partition by kind order by score desc, key) as place from @findings"),
@@ -109,8 +113,7 @@ OPS: dict[str, SqlOp] = {
     "module_of": SqlOp("Module of each path", "select path, module from @module_paths"),
     "is_test_file": SqlOp("Test files by name", "select path from @files where MATCHES(path, '(^|/)(test|tests|__tests__)/|\\.(test|spec)\\.|_test\\.|(Test|Tests|Spec)\\.')"),
     "is_package_index": SqlOp("Barrel files", "select path from @files where ENDS(path, '/index.ts') or ENDS(path, '/__init__.py') or ENDS(path, '/mod.rs')"),
-    "path_role_tags": SqlOp("Role of each path", "select path, case when HAS(path, '/api/') then 'api' when is_barrel then 'barrel' when is_test then 'test' else 'module' end as role from @files"),
-    "path_category": SqlOp("First component below src/", "select path, split_part(replace(path, 'src/', ''), '/', 1) as category from @files"),
+    "path_category": SqlOp("First component below src/", "select path, case when STARTS(path, 'src/') then split_part(path, '/', 2) else split_part(path, '/', 1) end as category from @files"),
     "ext_filter": SqlOp("Files that aren't assets", "select path from @files where not MATCHES(path, '\\.(png|jpg|jpeg|gif|ico|pdf|zip|gz|woff|woff2|ttf|mp4|lock)$')"),
     "dir_filter": SqlOp("Files below no ignored directory", "select path from @files where not MATCHES(path, '(^|/)(node_modules|target|dist|build|vendor|deep)/')"),
     "exclusion_bucket": SqlOp("Excluded files by reason", "select case when HAS(path, '/deep/') then 'vendor' when HAS(path, '.test.') then 'fixture' else 'kept' end as bucket, count(*) as n from @files group by 1"),
@@ -124,6 +127,7 @@ OPS: dict[str, SqlOp] = {
 
 #: Ranks over all findings: (operator, its relations in order, its DuckDB SQL).
 RANKED = {
+    "merge_findings": (merge_findings, ("findings", "baseline_findings"), f"select key, kind, severity, score, row_number() over (order by {_BRIEF}) as rank_no from (select distinct * from (select * from @findings union all select * from @baseline_findings) a) u"),
     "issue_ranking": (issue_ranking, ("findings",), f"select key, row_number() over (order by {_ORDER}) as rank_no from @findings"),
     "brief_ranking": (brief_ranking, ("findings",), f"select key, kind, row_number() over (order by {_BRIEF}) as rank_no from @findings"),
     "clone_hints": (clone_hints, ("findings",), "select key, row_number() over (order by rk, kind) as hint_no from (select kind, key, row_number() over (partition by kind order by score desc, key) as rk from @findings) x"),

@@ -1,27 +1,28 @@
-"""Graph kernels over edges (src, dst); every round of a loop is written out, never kept in executors alone.
-
-Each kernel has two plans with one result. A graph of at most ``SMALL_EDGES`` edges, counted first, is
-handed to one task, where linear algorithms run on integer arrays: dependency graphs of source files
-are of that size. Beyond, DataFrame loops run over narrow node tables: components by trimming and
-colouring, levels and breadth-first search by fronts. Only ``reach_counts`` needs pairs of nodes, and
-only beyond ``SMALL_NODES``.
+"""Graph kernels over edges (src, dst), as plans over DataFrames; every round of a loop is written out, never kept in executors alone.
+
+Long ways are what loops over fronts are slow on, and in dependency graphs most nodes of a long way have one edge out.
+Each kernel first deals with those: where a node's only edge leads is found for 2, 4, 8, .. steps by joining
+a table of steps with itself, so a way of n steps takes log n rounds. What such a node gets from others, as a mark, a depth, a
+sum or a set, is passed on by the same tables. The rest, whose nodes have two edges out or more, is what fronts
+or colours run on: components by colouring, levels by counters of open dependencies, depths by relaxed fronts, and who
+reaches whom in words of 64 nodes each, never in pairs of nodes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.scratch import free, materialize, ship
+from ..plans.ranking import global_rank
+from ..plans.scratch import free, materialize
 
-#: Edges that one task holds as two 32-bit numbers each, beside the nodes' names.
-SMALL_EDGES = 2_000_000
-#: Nodes whose reach one task holds as bits: the square of it in bits, 50 MB.
-SMALL_NODES = 20_000
 #: Nodes that are trimmed in one written round.
 TRIMS_A_ROUND = 3
+#: Where fewer than one in so many nodes have one edge out, their ways aren't dealt with apart.
+FEW_SINGLE = 4
+#: Words of 64 nodes that a row holds.
+WORDS = 16
 
 
 def edges_of(df: DataFrame, src: str = "from_file", dst: str = "to_file") -> DataFrame:
@@ -33,172 +34,141 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-def is_small(edges: DataFrame) -> bool:
-    return edges.count() <= SMALL_EDGES
+def _round(df: DataFrame) -> DataFrame:
+    return materialize(df, small=True)
 
 
-def in_one_task(edges: DataFrame, run: Callable[[int, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], columns: str, seeds: DataFrame | None = None) -> DataFrame:
-    """(node, ``columns``) of a small graph: ``run`` gets the number of nodes, numbered in name order, both ends of all edges, and the seeds (node)."""
-    ship(edges.sparkSession)
-    rows = edges.select("src", "dst")
-    if seeds is not None:
-        rows = rows.union(seeds.select(F.lit(None).cast("string").alias("src"), F.col("node").alias("dst")))
-    fields = [c.split() for c in columns.split(", ")]
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
-    def task(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        src, dst = (pa.concat_arrays([b.column(i).cast(pa.string()) for b in held]) for i in range(2))
-        names = pc.unique(pa.concat_arrays([src, dst])).drop_null()
-        names = names.take(pc.sort_indices(names))
-        a, b = (pc.index_in(x, value_set=names).fill_null(-1).to_numpy().astype(np.int64) for x in (src, dst))
-        found = run(len(names), a[a >= 0], b[a >= 0], b[a < 0])
-        arrays = [names.take(pa.array(x)) if kind == "string" else pa.array(x, pa.int64()) for x, (_, kind) in zip(found, fields, strict=True)]
-        for at in range(0, len(names), 50_000):
-            yield pa.RecordBatch.from_arrays([names.slice(at, 50_000), *(x.slice(at, 50_000) for x in arrays)], names=["node", *(n for n, _ in fields)])
+@dataclass
+class Forest:
+    """The nodes with one edge out. ``steps[k]``: (node, next, dist), 2^k steps on or where the way ends; ``tops``: (node, top, dist), the way's end, a node with none or several edges out; ``turning``: nodes whose ways lead into a cycle of such nodes; ``cycles``: the nodes of those."""
 
-    return rows.repartition(1).mapInArrow(task, f"node string, {columns}")
+    steps: list[DataFrame]
+    tops: DataFrame
+    turning: DataFrame
+    cycles: DataFrame
 
+    def nodes(self) -> DataFrame:
+        return self.steps[0].select("node")
 
-def rows_of(n: int, src: np.ndarray, dst: np.ndarray) -> list[list[int]]:
-    """The targets of each node, in rising order."""
-    order = np.lexsort([dst, src])
-    cuts = np.cumsum(np.bincount(src, minlength=n))[:-1]
-    return [x.tolist() for x in np.split(dst[order], cuts)]
+    def pushed(self, start: DataFrame, value: list[Column], merge: list[Column]) -> DataFrame:
+        """``start`` (node, ..) passed on along all ways: a node gets ``value`` (over a step's row) of each node before it, merged with its own by ``merge``."""
+        now = start
+        for k, step in enumerate(self.steps):
+            now = _round(now) if k % 2 == 0 else now  # two steps a written round
+            sent = now.join(step.filter(F.col("dist") == 1 << k), "node").select(F.col("next").alias("node"), *value).join(self.nodes(), "node", "left_semi")
+            keys = ["node"] + (["block"] if "block" in now.columns else [])
+            now = now.unionByName(sent).groupBy(*keys).agg(*merge)
+        return _round(now)
 
 
-def tarjan(n: int, targets: list[list[int]]) -> tuple[list[int], list[int]]:
-    """Component of each node, numbered so that a component comes after all that it reaches, and the smallest node of each component."""
-    index, low, component, smallest = [0] * n, [0] * n, [-1] * n, []
-    count, stack, on = 0, [], [False] * n
-    for root in range(n):
-        if index[root]:
-            continue
-        work = [(root, 0)]
-        while work:
-            v, i = work.pop()
-            if i == 0:
-                count += 1
-                index[v] = low[v] = count
-                stack.append(v)
-                on[v] = True
-            row = targets[v]
-            while i < len(row):
-                w = row[i]
-                i += 1
-                if not index[w]:
-                    work += [(v, i), (w, 0)]
-                    break
-                if on[w] and index[w] < low[v]:
-                    low[v] = index[w]
-            else:
-                if low[v] == index[v]:
-                    members = []
-                    while True:
-                        w = stack.pop()
-                        on[w] = False
-                        component[w] = len(smallest)
-                        members.append(w)
-                        if w == v:
-                            break
-                    smallest.append(min(members))
-                if work and low[v] < low[work[-1][0]]:
-                    low[work[-1][0]] = low[v]
-    return component, smallest
-
-
-def _levels(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
-    component, smallest = tarjan(n, rows_of(n, src, dst))
-    component = np.array(component, np.int64)
-    a, b = component[src], component[dst]
-    deps = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-    level = [0] * len(smallest)
-    for x, y in deps.tolist():  # by rising component: what it depends on is done
-        if level[y] >= level[x]:
-            level[x] = level[y] + 1
-    return [np.array(smallest, np.int64)[component], np.array(level, np.int64)[component]]
-
-
-def _reach(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
-    """How many other nodes reach each node."""
-    component, smallest = tarjan(n, rows_of(n, dst, src))
-    members: list[list[int]] = [[] for _ in smallest]
-    for v, c in enumerate(component):
-        members[c].append(v)
-    component = np.array(component, np.int64)
-    a, b = component[dst], component[src]
-    deps = rows_of(len(smallest), *(np.unique(np.stack([a, b], axis=1)[a != b], axis=0).T if (a != b).any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))))
-    bits = []
-    for c, mine in enumerate(members):
-        own = 0
-        for v in mine:
-            own |= 1 << v
-        for d in deps[c]:
-            own |= bits[d]
-        bits.append(own)
-    counts = np.array([x.bit_count() - 1 for x in bits], np.int64)
-    return [counts[component]]
-
-
-def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) with a path of at least one edge, by path doubling."""
-    reach, n = materialize(edges.select("src", "dst").distinct()), -1
-    while (now := reach.count()) != n:
-        n, old = now, reach
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        reach = materialize(reach.union(step).distinct())
-        free(old)
-    return reach
+def forest(edges: DataFrame, far: bool = False) -> Forest:
+    """By doubling; ``edges`` are distinct and no loops of one node. Where ways turn in cycles, ``far`` asks for steps as long as the cycles."""
+    first = _round(edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("next")).filter("n = 1").select("node", "next", F.lit(1).cast("long").alias("dist")))
+    steps, going = [first], -1
 
+    def doubled(a: DataFrame) -> DataFrame:
+        b = a.select(F.col("node").alias("next"), F.col("next").alias("further"), F.col("dist").alias("more"))
+        return a.join(b, "next", "left").select("node", F.coalesce("further", "next").alias("next"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.when(F.col("further").isNotNull(), F.col("next")).alias("by"))
 
-def reach_counts(edges: DataFrame) -> DataFrame:
-    """(node, n): how many other nodes reach it."""
-    if is_small(edges) and nodes_of(edges).count() <= SMALL_NODES:
-        return in_one_task(edges, _reach, "n bigint")
-    hit = closure(edges).filter("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n"))
-    return nodes_of(edges).join(hit, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n"))
+    while True:  # two doublings a written round
+        once = doubled(steps[-1])
+        b = once.select(F.col("node").alias("next"), F.col("next").alias("further"), F.col("dist").alias("more"))
+        both = once.withColumnRenamed("dist", "d").join(b, "next", "left")
+        both = both.select("node", "next", F.col("d").alias("dist"), F.coalesce("further", "next").alias("next2"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("dist2"), F.when(F.col("further").isNotNull(), F.col("next")).alias("by"))
+        both = _round(both)
+        joined = both.select("node", F.col("next2").alias("next"), F.col("dist2").alias("dist"), "by")
+        were, going, nodes = going, *joined.agg(F.count_distinct("by"), F.count("*")).first()
+        steps.append(both.select("node", "next", "dist"))
+        if not going:
+            turning = first.limit(0).select("node")
+            return Forest(steps, joined.select("node", F.col("next").alias("top"), "dist"), turning, turning)
+        steps.append(joined.select("node", "next", "dist"))
+        # The nodes that ways of 2^k steps come to become fewer until only those of cycles are left.
+        if going == were and (not far or 1 << len(steps) > 2 * nodes):
+            return Forest(steps, joined.filter("by is null").select("node", F.col("next").alias("top"), "dist"), joined.filter("by is not null").select("node"), _round(joined.select(F.col("by").alias("node")).dropna().distinct()))
 
 
-def _depths(n: int, src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
-    targets, depth = rows_of(n, src, dst), np.full(n, -1, np.int64)
-    front, at = np.unique(seeds).tolist(), 0
-    depth[front] = 0
-    while front:
-        at += 1
-        front = list({w for v in front for w in targets[v] if depth[w] < 0})
-        depth[front] = at
-    return [depth]
+def _relaxed(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, depth): the shortest ways over ``edges`` (src, dst, length) from ``start`` (node, depth), by rounds of what has become shorter."""
+    seen = front = _round(start.groupBy("node").agg(F.min("depth").alias("depth")))
+    while not front.isEmpty():
+        step = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("depth") + F.col("length")).alias("new"))
+        merged = _round(seen.join(step, "node", "full").select("node", F.least("depth", "new").alias("depth"), (F.coalesce(F.col("new") < F.col("depth"), F.col("depth").isNull())).alias("shorter")))
+        front, seen = merged.filter("shorter").select("node", "depth"), merged.select("node", "depth")
+    return seen
 
 
-def bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, depth): edges from the nearest seed, seeds (node) at 0. In loops each front is one written table; none is written twice."""
-    seeds = seeds.select("node").dropna().distinct()
-    if is_small(edges) and seeds.count() <= SMALL_EDGES:
-        return materialize(in_one_task(edges, _depths, "depth bigint", seeds).filter("depth >= 0"))
-    seen = front = materialize(seeds.withColumn("depth", F.lit(0).cast("long")))
-    depth = 0
+def _reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): what ``seeds`` (node) reach, themselves too, by fronts."""
+    seen = front = _round(seeds)
     while not front.isEmpty():
-        depth += 1
-        step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = materialize(step.withColumn("depth", F.lit(depth).cast("long")))
-        seen = seen.union(front)
+        front = _round(front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"))
+        seen = seen.unionByName(front)
     return seen
 
 
+def bfs(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, depth): edges from the nearest seed, seeds (node) at 0."""
+    seeds = _round(seeds.select("node").dropna().distinct())
+    real = edges.filter("src <> dst")
+    trees = forest(real, far=True)
+    tops = trees.tops.select(F.col("node").alias("dst"), "top", "dist")
+    core = real.join(trees.nodes().withColumnRenamed("node", "src"), "src", "left_anti")
+    zero = F.lit(0).cast("long")
+    ways = _round(core.join(tops, "dst", "left").join(trees.turning.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", F.coalesce("top", "dst").alias("dst"), (F.coalesce("dist", F.lit(0)) + 1).alias("length")))
+    start = seeds.join(tops.withColumnRenamed("dst", "node"), "node", "left").join(trees.turning, "node", "left_anti").select(F.coalesce("top", "node").alias("node"), F.coalesce("dist", zero).alias("depth"))
+    far = _relaxed(ways, start)
+    entered = core.join(far, core["src"] == far["node"]).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
+    begun = entered.unionByName(seeds.select("node", zero.alias("depth"))).join(trees.nodes(), "node", "left_semi").groupBy("node").agg(F.min("depth").alias("depth"))
+    inside = trees.pushed(begun, [(F.col("depth") + F.col("dist")).alias("depth")], [F.min("depth").alias("depth")])
+    return _round(far.unionByName(inside))
+
+
+def _joint(edges: DataFrame, tried: bool = False) -> DataFrame:
+    """(node, root): the components of more than one node, ``edges`` distinct and no loops; root is one of its nodes."""
+    none = edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("root"))
+    single, sources = edges.groupBy("src").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") == 1), F.count("*")).first()
+    if not sources:
+        return none
+    if single * FEW_SINGLE < sources:  # short ways: fronts and colours are quick
+        return coloured(edges) if tried else _joint(_round(turned(edges)), tried=True)
+    trees = forest(edges)
+    around = edges.join(trees.cycles.withColumnRenamed("node", "src"), "src", "left_semi")
+    found = connected(around).withColumnRenamed("component", "root") if not trees.cycles.isEmpty() else none
+    # What leads into such a cycle, or nowhere, can't come back.
+    core = edges.join(trees.nodes().withColumnRenamed("node", "src"), "src", "left_anti")
+    sources = _round(core.select("src").distinct())
+    if sources.isEmpty():
+        return found
+    tops = _round(trees.tops.join(sources.withColumnRenamed("src", "top"), "top", "left_semi").select("node", "top"))
+    led = core.join(tops.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", F.coalesce("top", "dst").alias("to"))
+    led = _round(led.join(sources.withColumnRenamed("src", "to"), "to", "left_semi"))
+    inner = _joint(_round(led.filter("src <> to").select(F.col("to").alias("src"), F.col("src").alias("dst")).distinct()))
+    of = lambda side: inner.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    # A node on the way to a top is in the top's component if some node of that component leads to it.
+    back = led.filter("dst <> to").join(of("src"), "src", "left").join(of("to"), "to", "left").filter(F.coalesce("src_root", "src") == F.coalesce("to_root", "to"))
+    marked = trees.pushed(back.select(F.col("dst").alias("node"), F.lit(1).alias("m")).distinct(), ["m"], [F.max("m").alias("m")]).select("node") if not back.isEmpty() else none.select("node")
+    ways = _round(marked.join(tops, "node").join(inner.withColumnsRenamed({"node": "top", "root": "known"}), "top", "left").select("node", "top", F.coalesce("known", "top").alias("root")))
+    return _round(found.unionByName(inner).unionByName(ways.select("node", "root")).unionByName(ways.select(F.col("top").alias("node"), "root")).distinct())
+
+
+def _named(edges: DataFrame, found: DataFrame) -> DataFrame:
+    named = found.join(found.groupBy("root").agg(F.min("node").alias("scc")), "root").select("node", "scc")
+    return _round(nodes_of(edges).join(named, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")))
+
+
 def scc(edges: DataFrame) -> DataFrame:
     """(node, scc): the smallest node that is reachable both ways, itself included."""
-    if is_small(edges):
-        return materialize(in_one_task(edges, lambda *graph: _levels(*graph)[:1], "scc string"))
-    return coloured(edges)
+    return _named(edges, _joint(edges.filter("src <> dst")))
 
 
 def coloured(edges: DataFrame) -> DataFrame:
-    """``scc`` by loops: nodes without in- or out-edges are trimmed; in what is left the largest name that
-    reaches a node is its colour, and what reaches the colour's own node back within the colour is its component.
+    """(node, root) of components of more than one node: nodes without in- or out-edges are trimmed; in what is left the largest
+    name that reaches a node is its colour, and what reaches the colour's own node back within the colour is its component.
     """
     nodes = nodes_of(edges)
     active = materialize(edges.filter("src <> dst"))
@@ -221,30 +191,131 @@ def coloured(edges: DataFrame) -> DataFrame:
         a, b = colour.withColumnsRenamed({"node": "src", "colour": "x"}), colour.withColumnsRenamed({"node": "dst", "colour": "y"})
         inner = materialize(active.join(a, "src").join(b, "dst").filter("x = y").select("src", "dst"))
         roots = colour.filter("node = colour").select("node")
-        back = bfs(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots).select("node").join(colour, "node").select("node", F.col("colour").alias("root"))
+        back = _reached(turned(inner), roots).select("node").join(colour, "node").select("node", F.col("colour").alias("root"))
         back = materialize(back)
         done = done.union(back)
         gone = back.select("node")
         active = materialize(inner.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    named = done.join(done.groupBy("root").agg(F.min("node").alias("scc")), "root").select("node", "scc")
-    return materialize(nodes.join(named, "node", "left").select("node", F.coalesce("scc", "node").alias("scc")))
+    return _round(done.join(done.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1"), "root", "left_semi").select("node", "root"))
+
+
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame, Forest]:
+    """Components (node, scc), the distinct edges (src, dst) between them, and the forest of those."""
+    real = edges.filter("src <> dst")
+    found = _joint(real)
+    sccs = _named(edges, found)
+    if found.isEmpty():  # each node is a component
+        return sccs, real, forest(real)
+    a, b = sccs.withColumnsRenamed({"node": "src", "scc": "a"}), sccs.withColumnsRenamed({"node": "dst", "scc": "b"})
+    deps = _round(real.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+    return sccs, deps, forest(deps)
+
+
+def _core_levels(ways: DataFrame) -> DataFrame:
+    """(node, level) of all nodes of ``ways`` (src, dst, length) without cycles: counters of open dependencies, each edge is heard once."""
+    open_ = _round(ways.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"), F.lit(0).cast("long").alias("level")))
+    front = _round(ways.select(F.col("dst").alias("node")).distinct().join(open_, "node", "left_anti").withColumn("level", F.lit(0).cast("long")))
+    done = [front]
+    while not front.isEmpty():
+        heard = front.join(ways, front["node"] == ways["dst"]).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"), F.max(F.col("level") + F.col("length")).alias("up"))
+        now = _round(open_.join(heard, "node", "left").select("node", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
+        front, open_ = now.filter("open = 0").select("node", "level"), now.filter("open > 0")
+        done = [*done, front] if len(done) < 32 else [_round(_union(done)), front]
+    return _round(_union(done))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def dag_levels(deps: DataFrame, trees: Forest) -> DataFrame:
+    """(node, level) of every node of ``deps``, which have no cycle; ``trees`` is their forest."""
+    tops = trees.tops.select(F.col("node").alias("dst"), "top", "dist")
+    core = deps.join(trees.nodes().withColumnRenamed("node", "src"), "src", "left_anti")
+    ways = core.join(tops, "dst", "left").groupBy("src", F.coalesce("top", "dst").alias("to")).agg(F.max(F.coalesce("dist", F.lit(0)) + 1).alias("length")).select("src", F.col("to").alias("dst"), "length")
+    ways = _round(ways)
+    if ways.isEmpty():
+        ends = trees.tops.select(F.col("top").alias("node"), F.lit(0).cast("long").alias("level")).distinct()
+        return ends.unionByName(trees.tops.select("node", F.col("dist").alias("level")))
+    high = _core_levels(ways)
+    ends = _round(trees.tops.select(F.col("top").alias("node")).distinct().join(high, "node", "left").select("node", F.coalesce("level", F.lit(0).cast("long")).alias("level")))
+    inside = trees.tops.join(ends.withColumnRenamed("node", "top"), "top").select("node", (F.col("level") + F.col("dist")).alias("level"))
+    return _round(high.unionByName(ends.join(high, "node", "left_anti")).unionByName(inside))
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, scc, level): 1 more than the highest level that its component depends on, leaves 0."""
-    if is_small(edges):
-        return materialize(in_one_task(edges, _levels, "scc string, level bigint"))
-    sccs = coloured(edges)
-    a, b = sccs.withColumnsRenamed({"node": "src", "scc": "a"}), sccs.withColumnsRenamed({"node": "dst", "scc": "b"})
-    deps = materialize(edges.join(a, "src").join(b, "dst").filter("a <> b").select("a", "b").distinct())
-    now = materialize(sccs.select("scc", F.lit(0).cast("long").alias("level")).distinct())
-    while True:
-        up = deps.join(now, deps["b"] == now["scc"]).groupBy("a").agg((F.max("level") + 1).alias("up"))
-        new = materialize(now.join(up, now["scc"] == up["a"], "left").select("scc", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        if new.agg(F.sum("level")).first()[0] == now.agg(F.sum("level")).first()[0]:
-            return materialize(sccs.join(new, "scc").select("node", "scc", "level"))
-        free(now)
-        now = new
+    sccs, deps, trees = condensed(edges)
+    high = dag_levels(deps, trees).withColumnRenamed("node", "scc")
+    return _round(sccs.join(high, "scc", "left").select("node", "scc", F.coalesce("level", F.lit(0).cast("long")).alias("level")))
+
+
+def _bits() -> list[str]:
+    return [f"w{i}" for i in range(WORDS)]
+
+
+def _merged() -> list[Column]:
+    return [F.bit_or(w).alias(w) for w in _bits()]
+
+
+def _ancestors(ways: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, block, w0, ..): for each node of ``ways`` (src, dst) without cycles, the nodes of ``ids`` (node, id) that reach it or that it is, as bits; a node is passed on when all before it are."""
+    bit = lambda i: F.when(F.floor(F.col("id") / 64) % WORDS == i, F.expr("shiftleft(1L, cast(id % 64 as int))")).otherwise(F.lit(0).cast("long")).alias(f"w{i}")
+    own = ids.select("node", F.floor(F.col("id") / (64 * WORDS)).alias("block"), *[bit(i) for i in range(WORDS)])
+    open_ = _round(ways.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("open")))
+    front = _round(ways.select(F.col("src").alias("node")).distinct().join(open_, "node", "left_anti"))
+    sets, done = _round(own), []
+    while not front.isEmpty():
+        ready = _round(sets.join(front, "node", "left_semi"))
+        done = [*done, ready] if len(done) < 32 else [_round(_union(done)), ready]
+        to = _round(front.join(ways, front["node"] == ways["src"]).select("node", "dst"))
+        sent = to.join(ready, "node").drop("node").withColumnRenamed("dst", "node").groupBy("node", "block").agg(*_merged())
+        sets = _round(sets.join(front, "node", "left_anti").unionByName(sent).groupBy("node", "block").agg(*_merged()))
+        now = _round(open_.join(to.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k")), "node", "left").select("node", (F.col("open") - F.coalesce("k", F.lit(0))).alias("open")))
+        front, open_ = now.filter("open = 0").select("node"), now.filter("open > 0")
+    return _round(_union(done)) if done else own.limit(0)
+
+
+def _weighed(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, n): the sum of the weights of each node's bits; ``ids`` are (node, id, weight). A weight's binary digits are masks over a block, so bits are counted, not listed."""
+    digits = F.explode(F.filter(F.sequence(F.lit(0), F.lit(40)), lambda j: F.floor(F.col("weight") / F.pow(F.lit(2.0), j)) % 2 == 1))
+    bit = lambda i: F.bit_or(F.when(F.floor(F.col("id") / 64) % WORDS == i, F.expr("shiftleft(1L, cast(id % 64 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"m{i}")
+    masks = _round(ids.select("id", digits.alias("j")).groupBy(F.floor(F.col("id") / (64 * WORDS)).alias("block"), "j").agg(*[bit(i) for i in range(WORDS)]))
+    ones = sum((F.bit_count(F.col(f"w{i}").bitwiseAND(F.col(f"m{i}"))) for i in range(WORDS)), F.lit(0))
+    return sets.join(masks, "block").groupBy("node").agg(F.sum(ones.cast("long") * F.pow(F.lit(2.0), F.col("j")).cast("long")).alias("n"))
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(node, n): how many other nodes reach it.
+
+    On the condensation, where a component weighs its nodes. A node with one edge out reaches what its way's end
+    reaches; so such nodes are counted with the end, by sums along the ways, and only the others are kept in sets.
+    """
+    sccs, deps, trees = condensed(edges)
+    weights = _round(sccs.groupBy(F.col("scc").alias("node")).agg(F.count("*").alias("weight")))
+    below = trees.pushed(trees.nodes().join(weights, "node").select("node", F.col("weight").alias("s")), ["s"], [F.sum("s").alias("s")])
+    hung = trees.tops.join(weights, "node").groupBy(F.col("top").alias("node")).agg(F.sum("weight").alias("hung"))
+    core = _round(deps.join(trees.nodes().withColumnRenamed("node", "src"), "src", "left_anti"))
+    own = weights.join(trees.nodes(), "node", "left_anti").join(hung, "node", "left").select("node", F.coalesce("hung", F.lit(0)).alias("hung"), "weight")
+    own = _round(own)
+    counts = below.select("node", "s").unionByName(own.select("node", (F.col("hung") + F.col("weight")).alias("s")))
+    if not core.isEmpty():
+        # Components with several edges out, numbered; each stands for itself and all that hangs on it.
+        numbered = global_rank(own.join(core.select(F.col("src").alias("node")).distinct(), "node", "left_semi"), [F.asc("node")], "id")
+        ids = _round(numbered.select("node", (F.col("id") - 1).alias("id"), (F.col("hung") + F.col("weight")).alias("weight")))
+        ways = _round(core.join(trees.tops.select(F.col("node").alias("dst"), "top"), "dst", "left").select("src", F.coalesce("top", "dst").alias("dst")).distinct())
+        sets = _ancestors(ways, ids)
+        inner = _weighed(sets, ids).join(own.select("node", "hung", "weight"), "node").join(ids.select("node", F.lit(1).alias("numbered")), "node", "left")
+        # The set of a node with edges out holds itself, with what hangs on it; that of another doesn't.
+        inner = inner.select("node", F.when(F.col("numbered").isNull(), F.col("n") + F.col("hung") + F.col("weight")).otherwise(F.col("n")).alias("s"))
+        entered = core.select("src", F.col("dst").alias("node")).join(trees.nodes(), "node", "left_semi").join(sets.withColumnRenamed("node", "src"), "src").drop("src").groupBy("node", "block").agg(*_merged())
+        passed = trees.pushed(entered, ["block", *_bits()], _merged())
+        more = _weighed(passed, ids).withColumnRenamed("n", "s")
+        counts = below.unionByName(more).groupBy("node").agg(F.sum("s").alias("s")).unionByName(inner).unionByName(own.join(inner, "node", "left_anti").select("node", (F.col("hung") + F.col("weight")).alias("s")))
+    return _round(sccs.join(counts.withColumnRenamed("node", "scc"), "scc").select("node", (F.col("s") - 1).alias("n")))
 
 
 def connected(edges: DataFrame) -> DataFrame:

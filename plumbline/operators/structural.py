@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.scratch import materialize, ship
 from ..plans.sqlops import SqlOp
-from ..plans.views import RELATIONS
+from ..plans.views import NOW, RELATIONS
 from . import kernels as K
+from .bridges import removals
 from .findings import _DEBT, _SEVERITY
 
 #: Literals that tell of side effects, of timers and retries, and of asynchronous branches, with the most that count of each.
@@ -23,8 +23,6 @@ MOST_HITS = (3, 4, 6)
 NOT_CODE = r"""//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?|`(?s:\\.|[^`\\])*`?"""
 RECENT_DAYS, LEAST_CLONE_LINES, LEAST_SHARED_FILES = 30, 3, 2
 SUPPORT = r"^(\.github|docs|examples|samples|fixtures|test|tests|testdata)/|/(examples|samples|fixtures|test|tests|testdata)/"
-#: A fixed now for ages: within the dates of the test data.
-NOW = 902_000_000
 
 
 def _hits(patterns: list[str], most: int) -> str:
@@ -59,34 +57,11 @@ _REACH = "reach(s, d) as (select from_file, to_file from @chain_edges union sele
 CYCLES_SQL = f"with recursive {_REACH}, b as (select a.s, min(a.d) as scc from reach a join reach b on a.s = b.d and a.d = b.s group by a.s), z as (select scc, count(*) as size from b group by scc having count(*) > 1) select b.s as path, b.scc, z.size from b join z on z.scc = b.scc"
 
 
-def cyclic_sizes(targets: list[list[int]]) -> tuple[int, int]:
-    """The largest cyclic component and the nodes of all cyclic components."""
-    component, smallest = K.tarjan(len(targets), targets)
-    sizes = np.bincount(component, minlength=len(smallest))
-    own = {component[v] for v, row in enumerate(targets) if v in row}
-    cyclic = [int(n) for c, n in enumerate(sizes) if n > 1 or c in own]
-    return max(cyclic, default=0), sum(cyclic)
-
-
-def _reaches(targets: list[list[int]], source: int, target: int) -> bool:
-    """Whether ``target`` is reached from ``source`` without the edge between them."""
-    seen, todo = {source}, [w for w in targets[source] if w != target]
-    while todo:
-        v = todo.pop()
-        if v == target:
-            return True
-        if v not in seen:
-            seen.add(v)
-            todo += targets[v]
-    return False
-
-
 def cut_effects(cycles: DataFrame, candidates: DataFrame, others: DataFrame) -> DataFrame:
     """(scc, from_file, to_file, remaining, reduction) of each import edge within a cycle whose removal frees files of it.
 
-    ``candidates`` are import edges, ``others`` call edges; the graph measured has both. An edge with another way
-    round leaves its component whole, so only the others are measured again. One task streams over components;
-    a component's edges are in its memory at a time.
+    ``candidates`` are import edges, ``others`` call edges; the graph measured has both. All edges of a component are
+    measured at once, in time nearly linear in them (see ``bridges``); a task holds one component's edges at a time.
     """
     ship(cycles.sparkSession)
     m = cycles.select("path", "scc")
@@ -98,23 +73,11 @@ def cut_effects(cycles: DataFrame, candidates: DataFrame, others: DataFrame) ->
         held: list[pd.DataFrame] = []
 
         def measured() -> pd.DataFrame:
-            rows = pd.concat(held)
-            names = sorted({*rows["from_file"], *rows["to_file"]})
-            number = {n: i for i, n in enumerate(names)}
-            targets: list[list[int]] = [[] for _ in names]
-            for s, d in zip(rows["from_file"], rows["to_file"], strict=True):
-                targets[number[s]].append(number[d])
-            out = []
-            for s, d, c in zip(rows["from_file"], rows["to_file"], rows["c"], strict=True):
-                u, v = number[s], number[d]
-                if not c or (u != v and _reaches(targets, u, v)):
-                    continue
-                targets[u].remove(v)
-                remaining, still = cyclic_sizes(targets)
-                targets[u].append(v)
-                if still < len(names):
-                    out.append((rows["scc"].iloc[0], s, d, remaining, len(names) - still))
-            return pd.DataFrame(out, columns=["scc", "from_file", "to_file", "remaining", "reduction"])
+            rows = pd.concat(held, ignore_index=True)
+            codes, names = pd.factorize(pd.concat([rows["from_file"], rows["to_file"]]))
+            remaining, reduction = removals(len(names), codes[: len(rows)], codes[len(rows) :])
+            rows = rows.assign(remaining=remaining, reduction=reduction)
+            return rows[(rows["c"] == 1) & (rows["reduction"] > 0)][["scc", "from_file", "to_file", "remaining", "reduction"]]
 
         for pdf in batches:
             for scc, part in pdf.groupby("scc", sort=False):
@@ -140,23 +103,25 @@ EFFECTS_SQL = f"""
 
 _CATEGORY = "case when STARTS({0}, 'src/') then split_part({0}, '/', 2) else split_part({0}, '/', 1) end"
 _HINT = "MATCHES(lower({0}), 'contract|schema|types|state|model')"
-_SEAM = f"case when ({_CATEGORY.format('e.from_file')} = 'app' and {_CATEGORY.format('e.to_file')} = 'store') or ({_CATEGORY.format('e.from_file')} = 'store' and {_CATEGORY.format('e.to_file')} = 'app') then 'app_store_boundary' when {_HINT.format('e.from_file')} or {_HINT.format('e.to_file')} then 'contract_or_type_extraction' when {_CATEGORY.format('e.from_file')} <> {_CATEGORY.format('e.to_file')} then 'cross_layer_boundary' else 'local_module_split' end"
+_SEAM = f"case when coalesce(gs.guarded, 0) + coalesce(gt.guarded, 0) > 0 then case when ({_CATEGORY.format('e.from_file')} = 'app' and {_CATEGORY.format('e.to_file')} = 'store') or ({_CATEGORY.format('e.from_file')} = 'store' and {_CATEGORY.format('e.to_file')} = 'app') then 'guarded_app_store_boundary' else 'guarded_boundary_cut' end when coalesce(gs.facade, 0) + coalesce(gt.facade, 0) > 0 then 'facade_owner_boundary' when ({_CATEGORY.format('e.from_file')} = 'app' and {_CATEGORY.format('e.to_file')} = 'store') or ({_CATEGORY.format('e.from_file')} = 'store' and {_CATEGORY.format('e.to_file')} = 'app') then 'app_store_boundary' when {_HINT.format('e.from_file')} or {_HINT.format('e.to_file')} then 'contract_or_type_extraction' when {_CATEGORY.format('e.from_file')} <> {_CATEGORY.format('e.to_file')} then 'cross_layer_boundary' else 'local_module_split' end"
 _CUTS = f"""
     with o as (select from_file, count(*) as n from @chain_edges group by from_file), i as (select to_file, count(*) as n from @chain_edges group by to_file),
+    g as (select path, max(case when role = 'guarded_boundary' then 1 else 0 end) as guarded, max(case when role = 'facade_with_extracted_owners' then 1 else 0 end) as facade from @own_roles group by path),
     x as (select e.scc, e.from_file, e.to_file, e.remaining, e.reduction, c.size, {_SEAM} as seam, o.n as outs, i.n as ins
-          from @cut_effects e join (select distinct scc, size from @cycles) c on c.scc = e.scc join o on o.from_file = e.from_file join i on i.to_file = e.to_file),
-    y as (select *, cast(least(10000, 2000 + round(reduction / cast(size as double) * 4500) + case seam when 'app_store_boundary' then 1800 when 'contract_or_type_extraction' then 1500 when 'cross_layer_boundary' then 1200 else 700 end + least(1800, (outs + ins) * 180) + least(1200, greatest(0, size - remaining) * 120)) as bigint) as score from x),
+          from @cut_effects e join (select distinct scc, size from @cycles) c on c.scc = e.scc join o on o.from_file = e.from_file join i on i.to_file = e.to_file left join g gs on gs.path = e.from_file left join g gt on gt.path = e.to_file),
+    y as (select *, cast(least(10000, 2000 + round(reduction / cast(size as double) * 4500) + case seam when 'guarded_app_store_boundary' then 2200 when 'guarded_boundary_cut' then 2000 when 'facade_owner_boundary' then 1900 when 'app_store_boundary' then 1800 when 'contract_or_type_extraction' then 1500 when 'cross_layer_boundary' then 1200 else 700 end + least(1800, (outs + ins) * 180) + least(1200, greatest(0, size - remaining) * 120)) as bigint) as score from x),
     r as (select *, row_number() over (partition by scc order by score desc, reduction desc, from_file, to_file) as place from y)
     select scc as cycle_id, place, from_file, to_file, seam, score, reduction, remaining from r where place <= 3"""
 _BASIS = "select c.scc, count(case when e.c = 1 then 1 end) as imports, count(case when e.c = 0 then 1 end) as calls from (select distinct from_file, to_file, 1 as c from @chain_edges union all select distinct from_file, to_file, 0 from @dag_edges) e join @cycles c on c.path = e.from_file join @cycles d on d.path = e.to_file and d.scc = c.scc group by c.scc"
 _CLUSTER = f"""
     with cuts as ({_CUTS}), best as (select * from cuts where place = 1), n as (select cycle_id, count(*) as cuts from cuts group by cycle_id), basis as ({_BASIS}),
-    z as (select c.scc, max(c.size) as size, coalesce(sum(f.lines), 0) as lines, SETJOIN(c.path) as files, max(case when f.is_barrel then 1 else 0 end) as barrel from @cycles c left join @files f on f.path = c.path group by c.scc),
-    s as (select z.scc, z.size, z.lines, z.files, coalesce(n.cuts, 0) as cuts, coalesce(b.remaining, z.size) as remaining, case when q.calls > 0 and q.imports > 0 then 'mixed' when q.calls > 0 then 'interaction/call-only' else 'import-only' end as basis,
-                 least(10000, 2400 + least(3200, z.size * 800) + least(1800, IDIV(z.lines, 14)) + z.barrel * 1700 + case when b.cycle_id is null then 0 else case b.seam when 'app_store_boundary' then 700 when 'contract_or_type_extraction' then 600 when 'cross_layer_boundary' then 500 else 300 end + least(1100, b.reduction * 160) + round(b.reduction / cast(z.size as double) * 1500) + greatest(0, 700 - round(b.remaining / cast(z.size as double) * 700)) end) as base
-          from z left join best b on b.cycle_id = z.scc left join n on n.cycle_id = z.scc left join basis q on q.scc = z.scc),
+    z as (select c.scc, max(c.size) as size, coalesce(sum(f.lines), 0) as lines, min(c.path) as first_file from @cycles c left join @files f on f.path = c.path group by c.scc),
+    r as (select scc, sum(bonus) as roles from (select distinct c.scc, case t.role when 'component_barrel' then 1700 when 'guarded_boundary' then 1500 when 'composition_root' then 500 when 'entry_surface' then 400 end as bonus from @cycles c join @role_tags t on t.path = c.path) y group by scc),
+    s as (select z.scc, z.size, z.lines, z.first_file, coalesce(n.cuts, 0) as cuts, coalesce(b.remaining, z.size) as remaining, case when q.calls > 0 and q.imports > 0 then 'mixed' when q.calls > 0 then 'interaction/call-only' else 'import-only' end as basis,
+                 least(10000, 2400 + least(3200, z.size * 800) + least(1800, IDIV(z.lines, 14)) + least(2800, coalesce(r.roles, 0)) + case when b.cycle_id is null then 0 else case b.seam when 'guarded_app_store_boundary' then 1300 when 'guarded_boundary_cut' then 1100 when 'facade_owner_boundary' then 900 when 'app_store_boundary' then 700 when 'contract_or_type_extraction' then 600 when 'cross_layer_boundary' then 500 else 300 end + least(1100, b.reduction * 160) + round(b.reduction / cast(z.size as double) * 1500) + greatest(0, 700 - round(b.remaining / cast(z.size as double) * 700)) end) as base
+          from z left join r on r.scc = z.scc left join best b on b.cycle_id = z.scc left join n on n.cycle_id = z.scc left join basis q on q.scc = z.scc),
     t as (select *, cast(case basis when 'import-only' then least(10000, base + 300) when 'mixed' then least(7800, greatest(0, base - 1200)) else least(4900, greatest(0, base - 2400)) end as bigint) as score from s)
-    select scc as cycle_id, size, cast(lines as bigint) as lines, files, cuts, remaining as largest_after_best_cut, basis, score, {_SEVERITY.format('score')} as severity from t"""
+    select scc as cycle_id, size, cast(lines as bigint) as lines, first_file, cuts, remaining as largest_after_best_cut, basis, score, {_SEVERITY.format('score')} as severity from t"""
 
 _ROOTS = "select path from (select p.file as path from @entry_points p union select path from @files where is_barrel) r where exists (select 1 from @files f where f.path = r.path and not f.is_test)"
 #: Where nothing marks a root: files that only tests depend on, with dependencies or public functions of their own.

@@ -28,13 +28,27 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back; survives lost executors, unlike cached blocks."""
+_PARALLEL = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
+
+def materialize(df: DataFrame, small: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back; survives lost executors, unlike cached blocks.
+
+    A ``small`` table, as one of a loop's rounds, is written in as few files as its size asks for, not in one a core.
+    """
     path = f"{scratch_root(df.sparkSession)}/plumbline/step-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(free)
     _made[path] = df.sparkSession
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_PARALLEL)
+    try:
+        if small:
+            conf.set(_PARALLEL, False)
+        df.write.parquet(path)
+    finally:
+        if small:
+            conf.set(_PARALLEL, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +67,7 @@ def free(*tables: DataFrame) -> None:
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per Spark context."""
     sc = spark.sparkContext
-    if getattr(sc, "_plumbline_shipped", False):
+    if getattr(sc, "_plumbline_engine_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
     target = os.path.join(tempfile.mkdtemp(prefix="plumbline-code-"), "plumbline_code.zip")
@@ -61,4 +75,4 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(package.rglob("*.py")):
             z.write(p, p.relative_to(package.parent))
     sc.addPyFile(target)
-    sc._plumbline_shipped = True
+    sc._plumbline_engine_shipped = True

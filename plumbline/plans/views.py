@@ -11,6 +11,10 @@ from .sqlops import Relations
 #: Files that declare modules.
 MODULE_FILES = ["mod.rs", "lib.rs", "main.rs"]
 
+#: The one clock of all ages and expiries: a fixed now within the dates of the test data.
+NOW = 902_000_000
+TODAY = "1998-08-01"
+
 VIEWS: dict[str, str] = {
     # One path a part: some are barrels, some are tests.
     "paths": """
@@ -39,8 +43,8 @@ VIEWS: dict[str, str] = {
                cast((f.k * 3 + f.i) % 33 as bigint) as cog, cast((f.k + f.i) % 8 as bigint) as pc, case when f.k % 4 = 0 then cast(0 as bigint) else cast((f.k % (case when f.i = 3 then 74 else 37 end)) * 10 + f.i as bigint) end as bh,
                (f.k + f.i) % 7 = 0 as is_public, (f.k + f.i) % 5 = 0 as is_method, cast((f.k * f.i) % 6 - 3 as bigint) as same_file_ref_count
         from (select * from @files UNNEST(LIST(1, 2, 3), u, i)) f""",
-    "calls": "select path, name as func, 'fn' || cast((cast(substr(name, 3) as bigint) * 2) % 400 as string) as callee, sl + 1 as line from @functions where pc > 2",
-    "classes": "select path, 'Class' || cast(k % 60 as string) as name, 'Class' || cast((k * 5) % 60 as string) as base from @files where k % 3 = 0",
+    "calls": "select path, name as func, 'fn' || cast((cast(substr(name, 3) as bigint) * 2) % 400 as string) as callee, sl + 1 as line from @functions",
+    "classes": "select path, 'Class' || cast(k % 60 as string) as name, 'Class' || cast((k * 5) % 60 as string) as base from @files",
     # Positions of an order's lines; l_linenumber repeats within an order.
     "line_positions": """
         select l_orderkey as commit_id, l_partkey as k, cast(l_quantity as bigint) as added, cast(floor(l_discount * 100) as bigint) as removed,
@@ -51,10 +55,13 @@ VIEWS: dict[str, str] = {
         select l.commit_id, p.path, min(l.pos) as pos, cast(sum(l.added) as bigint) as added, cast(sum(l.removed) as bigint) as removed
         from @line_positions l join @paths p on p.k = l.k group by l.commit_id, p.path""",
     "known_files": "select path from @files where not is_test",
-    "import_edges": """
-        select distinct p.path as from_file, q.path as to_file
-        from @line_positions a join @line_positions b on a.commit_id = b.commit_id and b.pos = a.pos + 1 join @paths p on p.k = a.k join @paths q on q.k = b.k
-        where a.k <> b.k""",
+    # Lines that follow each other. Files of some numbers are above the others: their edges lead to smaller ones of them or down, so they are on no cycle.
+    "import_pairs": """
+        select distinct case when down then a_k else b_k end as a_k, case when down then b_k else a_k end as b_k
+        from (select a_k, b_k, case when ra <> rb then ra > rb when ra > 0 then a_k > b_k else true end as down
+              from (select a_k, b_k, case when a_k % 18 = 0 then 1 else 0 end as ra, case when b_k % 18 = 0 then 1 else 0 end as rb
+                    from (select distinct a.k as a_k, b.k as b_k from @line_positions a join @line_positions b on a.commit_id = b.commit_id and b.pos = a.pos + 1 where a.k <> b.k) x) y) z""",
+    "import_edges": "select p.path as from_file, q.path as to_file from @import_pairs e join @paths p on p.k = e.a_k join @paths q on q.k = e.b_k",
     "call_edges": """
         select distinct p.path as from_file, q.path as to_file
         from @line_positions a join @line_positions b on a.commit_id = b.commit_id and b.pos = a.pos + 2 join @paths p on p.k = a.k join @paths q on q.k = b.k
@@ -119,7 +126,7 @@ VIEWS: dict[str, str] = {
     "reads": "select 'store.' || lower(n.n_name) || '.field' as symbol, f.path, cast(c.c_custkey as bigint) as line from @customer c join @nation n on n.n_nationkey = c.c_nationkey join @files f on f.k = c.c_custkey",
     "concepts": "select lower(r_name) as concept, case when r_regionkey % 2 = 0 then 'critical' else 'normal' end as priority, r_regionkey as rk from @region",
     "concept_targets": "select c.concept, 'store.' || lower(n.n_name) as target, n.n_nationkey as nk from @concepts c join @nation n on n.n_regionkey = c.rk",
-    "allowed_writers": "select c.concept, 'src/brand' || cast(c.rk + 1 as string) || '%' as pattern, false as forbidden from @concepts c union all select c.concept, 'src/brand' || cast(c.rk + 2 as string) || '1%', true from @concepts c",
+    "allowed_writers": "select c.concept, 'src/brand' || cast(c.rk + 1 as string) || '/**' as pattern, false as forbidden from @concepts c where c.rk <> 4 union all select c.concept, 'src/brand' || cast(c.rk + 2 as string) || '1/*', true from @concepts c",
     "findings": """
         select 'f' || cast(p_partkey as string) as key, case p_partkey % 4 when 0 then 'large_file' when 1 then 'dependency_sprawl' when 2 then 'clone_family' else 'cycle_cluster' end as kind,
                case when p_size >= 35 then 'high' when p_size >= 15 then 'medium' else 'low' end as severity, p_brand as concept, 'src/' || lower(replace(p_brand, '#', '')) || '/f' || cast(p_partkey as string) || '.ts' as file,
@@ -128,11 +135,11 @@ VIEWS: dict[str, str] = {
     "baseline_findings": "select * from @findings where score % 3 <> 0 union all select 'gone' || key, kind, severity, concept, file, score, trust, scope from @findings where score % 11 = 0",
     "file_hashes": "select path, lines * 31 + comments as hash from @files where k % 7 <> 0",
     "baseline_hashes": "select path, lines * 31 + case when k % 5 = 0 then comments + 1 else comments end as hash from @files where k % 6 <> 0",
-    "suppressions": "select 'large_file' as kind, 'Brand#1%' as file_like, '2020-01-01' as expires union all select '*', 'Brand#21%', '2999-01-01' union all select 'cycle_cluster', '%', cast(null as string)",
+    "suppressions": "select * from (values ('large_file', null, 'src/brand1/**', '1998-01-01'), ('*', null, 'src/brand21/*', '2999-01-01'), ('cycle_cluster', 'Brand#13', null, null), ('*', 'Brand#22', 'src/brand22/**/*', '1998-08-01'), ('clone_family', null, 'src/brand31', null), ('clone_family', 'Brand#41', '*.py', null)) s(kind, concept, file_glob, expires)",
     "samples": "select cast(l_orderkey % 5 as bigint) as sample, 'metric' || cast(l_linenumber as string) as metric, cast(sum(l_quantity) as double) as elapsed from @lineitem group by 1, 2",
     "file_events": "select EPOCH(ts) as ts, event_id, user_id, 'src/u' || cast(user_id % 40 as string) || '.ts' as path, event_type as kind from @events",
 }
 
 #: Relations that need a kernel are added by ``operators.health``.
 #: Dependencies and the positions that they come from are written once where a query reads them several times.
-RELATIONS = Relations(VIEWS, written=frozenset({"line_positions", "import_edges", "call_edges", "dependency_edges", "edges", "degrees", "module_edges"}))
+RELATIONS = Relations(VIEWS, written=frozenset({"line_positions", "import_pairs", "layer_of", "own_roles", "role_tags", "import_edges", "call_edges", "dependency_edges", "edges", "degrees", "module_edges"}))

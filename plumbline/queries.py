@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import tools
-from .operators import contracts, degrees, evolution, findings, graph, health, resolution, rules, sessions, structural
+from .operators import contracts, degrees, evolution, findings, graph, guardrails, health, resolution, rules, sessions, structural
 from .plans.sqlops import SqlOp
 from .plans.views import RELATIONS
 from .streaming import events
@@ -15,9 +15,9 @@ from .streaming import events
 #: A fixed now for heat: later than every event of the test data.
 HEAT_NOW = 1_706_745_600
 
-FAMILIES = (evolution, degrees, health, rules, sessions, findings, structural, contracts, tools)
+FAMILIES = (evolution, degrees, health, rules, sessions, findings, guardrails, structural, contracts, tools)
 #: Families of functions: name to (operator, its relations in order, its DuckDB SQL or None).
-COMPUTED = graph.GRAPH | resolution.OPS | contracts.COMPUTED | findings.RANKED
+COMPUTED = graph.GRAPH | resolution.OPS | contracts.COMPUTED | findings.RANKED | guardrails.COMPUTED
 
 
 def _bound(op: SqlOp) -> Callable[[SparkSession, str], DataFrame]:

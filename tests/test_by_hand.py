@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from plumbline import queries as engine
 from plumbline.functions import paths as P
-from plumbline.operators import contracts, degrees, evolution, resolution, rules, sessions, structural
+from plumbline.operators import contracts, degrees, evolution, globs, resolution, rules, sessions, structural
 from plumbline.plans.ranking import global_rank
 from plumbline.plans.sqlops import SqlOp, relations_of
-from plumbline.plans.views import RELATIONS
+from plumbline.plans.views import NOW, RELATIONS
 
 
 def run(spark, op, **frames):
@@ -26,9 +26,47 @@ GLOBS = [
 
 def test_globs(spark):
     df = spark.createDataFrame(GLOBS, "pattern string, path string, want boolean")
-    assert df.withColumn("got", F.expr(SqlOp("", rules._glob("path", "pattern")).sql.replace("ENDS(", "endswith(").replace("STARTS(", "startswith(").replace("HAS(", "contains("))).filter("got <> want").collect() == []
+    assert df.withColumn("got", F.expr(SqlOp("", globs.glob_sql("path", "pattern")).sql.replace("ENDS(", "endswith(").replace("STARTS(", "startswith(").replace("HAS(", "contains("))).filter("got <> want").collect() == []
     for pattern, path, want in GLOBS:
         assert df.limit(1).select(P.glob_match(pattern, F.lit(path))).first()[0] == want, (pattern, path)
+    hits = globs.glob_hits(df, df.union(spark.createDataFrame([(None, None, None)], df.schema)))
+    assert {(p, q) for q, p in hits.collect()} >= {(p, q) for p, q, want in GLOBS if want} and not {(p, q) for q, p in hits.collect()} & {(p, q) for p, q, want in GLOBS if not want}
+    assert globs.glob_hits(df, df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["glob_predicate", "scoped_glob_join", "writer_policy", "suppression_anti_join", "suppression_hits", "layer_direction", "boundary_rule", "module_contract", "import_bypass"])
+def test_no_rule_tries_every_pattern_on_every_path(spark, sf_dir, name):
+    """Also in the plans of the relations that a rule reads."""
+    plans = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # a broadcast of any kind would have to be asked for
+    try:
+        seen = {}
+        for relation in [*rules.RELATIONS.computed]:
+            if relation.endswith(("_hits", "_by_file")) and relation != "guardrail_evidence":
+                f, names, _ = RELATIONS.computed[relation]
+                both = [RELATIONS.frame(spark, sf_dir, n, seen) for n in names]
+                column = [{"files": "path", "reads": "path", "findings": "file"}[names[0]], next(c for c in both[1].columns if c in ("pattern", "path_pattern", "file_glob", "root"))]
+                plans.append(globs.glob_hits(both[0].select(F.col(column[0]).alias("path")), both[1].select(F.col(column[1]).alias("pattern")))._jdf.queryExecution().executedPlan().toString())
+        plans.append(engine.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [p for p in plans if "NestedLoop" in p or "Cartesian" in p]
+
+
+def test_suppressions_need_kind_concept_and_file(spark):
+    found = [("a", "large_file", "x", "src/ui/a.ts"), ("b", "large_file", "y", "src/ui/b.ts"), ("c", "clone", None, "src/db/c.ts"), ("d", "clone", "y", "lib/d.ts"), ("e", "cycle", "z", "lib/e.ts")]
+    rules_ = [("large_file", "x", "src/ui/**", None), ("*", None, "src/db/*", "2999-01-01"), ("*", "y", None, "1990-01-01"), ("cycle", "q", None, None), ("clone", None, "*.py", None)]
+    frames = {"findings": spark.createDataFrame(found, "key string, kind string, concept string, file string"), "suppressions": spark.createDataFrame(rules_, "kind string, concept string, file_glob string, expires string")}
+    assert {r["key"] for r in run(spark, rules.OPS["suppression_anti_join"], **frames).collect()} == {"b", "d", "e"}
+    hits = {(r["kind"], r["concept"], r["file_glob"]): (r["expired"], r["hits"]) for r in run(spark, rules.OPS["suppression_hits"], **frames).collect()}
+    assert hits == {("large_file", "x", "src/ui/**"): (False, 1), ("*", "", "src/db/*"): (False, 1), ("*", "y", ""): (True, 2), ("cycle", "q", ""): (False, 0), ("clone", "", "*.py"): (False, 0)}
+
+
+def test_a_family_takes_its_gravest_severity(spark):
+    clones = spark.createDataFrame([(1, "low", 5), (2, "high", 3), (3, "medium", 9), (4, "medium", 2), (5, "low", 1)], "bh long, severity string, risk long")
+    families = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (5, 3)], "bh long, family long")
+    got = {(r["kind"], r["id"]): r["severity"] for r in run(spark, contracts.OPS["clone_report"], clones=clones, clone_families=families).collect()}
+    assert got == {("clone_family", 1): "high", ("clone_family", 3): "medium", ("exact_clone_group", 4): "medium"}
 
 
 def test_test_files(spark):
@@ -74,7 +112,7 @@ def test_promotion_recommendation(spark):
 def test_age_is_0_in_the_future(spark):
     day = 86400
     files = spark.createDataFrame([(1, "a", 0, 1, 1), (2, "a", 0, 1, 1), (3, "b", 0, 1, 1)], "commit_id long, path string, pos long, added long, removed long")
-    commits = spark.createDataFrame([(1, "x", 800_000_000 - 9 * day), (2, "x", 800_000_000 - 5 * day), (3, "y", 800_000_000 + 7 * day)], "commit_id long, author string, epoch long")
+    commits = spark.createDataFrame([(1, "x", NOW - 9 * day), (2, "x", NOW - 5 * day), (3, "y", NOW + 7 * day)], "commit_id long, author string, epoch long")
     got = run(spark, evolution.OPS["code_age_days"], commit_files=files, commits=commits, known_files=spark.createDataFrame([("a",), ("b",)], "path string")).collect()
     assert {r["path"]: r["age_days"] for r in got} == {"a": 5, "b": 0}
 
@@ -115,9 +153,10 @@ def test_import_resolution(spark):
 
 
 def test_closest_prefers_shared_directories_then_names(spark):
-    rows = [("a/b/x", "a/c/1"), ("a/b/x", "a/b/2"), ("a/b/x", "z/0"), ("q", "m/1"), ("q", "b/1")]
-    got = resolution.closest(spark.createDataFrame(rows, "file string, path string"), ("file",)).collect()
-    assert {r["file"]: r["path"] for r in got} == {"a/b/x": "a/b/2", "q": "b/1"}
+    index = [("one", "a/c/1"), ("one", "a/b/2"), ("one", "z/0"), ("one", "a/b/x"), ("two", "m/1"), ("two", "b/1"), ("alone", "a/b/2")]
+    asked = [("a/b/x", "one"), ("z/0", "one"), ("q", "two"), ("a/b/2", "alone")]
+    got = resolution.closest(spark.createDataFrame(asked, "file string, name string"), spark.createDataFrame(index, "name string, path string"), "name").collect()
+    assert {r["file"]: r["path"] for r in got} == {"a/b/x": "a/b/2", "z/0": "a/b/2", "q": "b/1"}
 
 
 def test_cut_effects(spark):
