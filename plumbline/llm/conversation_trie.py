@@ -148,7 +148,7 @@ def graft(found: DataFrame, base: Callable[[Column], Column], head: Callable[[Co
     own = own.groupBy("conv_id", "h").agg(F.max("depth").alias("turns"), F.max(F.when(F.col("depth") == F.col("h"), at)).alias("cut"))
     heads = found.filter(F.col("depth") <= most).groupBy(c.alias("base")).agg(F.sort_array(F.collect_list(F.struct("depth", "a", "b", "pa", "pb", "chars_to", "chars"))).alias("heads"))  # at most ``most`` turns each
     own = own.withColumn("base", base(c)).join(heads, "base", "left").withColumn("heads", F.slice(F.coalesce("heads", F.array()), F.lit(1), F.col("h")))
-    own = own.withColumn("k", F.size("heads")).withColumn("joint", F.coalesce(F.element_at(F.transform("heads", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["chars_to"].alias("chars_to"))), F.nullif(F.col("k"), F.lit(0))), none)).withColumn("cut", F.coalesce("cut", none))
+    own = own.withColumn("k", F.greatest(F.size("heads"), F.lit(0))).withColumn("joint", F.coalesce(F.get(F.transform("heads", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["chars_to"].alias("chars_to"))), F.col("k") - 1), none)).withColumn("cut", F.coalesce("cut", none))
     own = materialize(own, "rebuilt-conversations")
     narrow = own.select("conv_id", "turns", "h", "k", "cut", "joint").withColumnRenamed("conv_id", "c")
     rest = found.join(narrow, (found["conv_id"] == F.col("c")) & (F.col("depth") > F.col("h")))
