@@ -231,7 +231,7 @@ RELATIONS.views |= {"app_roots": APP_ROOTS, "clones": _CLONES, "cycle_clusters":
 
 OPS: dict[str, SqlOp] = {
     "cycle_cut_candidates": SqlOp("The three best edges of each cycle by which to cut it", _CUTS),
-    "cycle_cluster": SqlOp("Each cycle's size, lines, edge basis, cuts and score", _CLUSTER),
+    "cycle_cluster": SqlOp("Each cycle's files, size, lines, edge basis, cuts and score", f"select k.*, m.files from ({_CLUSTER}) k join (select scc, SETJOIN(path) as files from @cycles group by scc) m on m.scc = k.cycle_id"),
     "cycle_edge_basis": SqlOp("Import and call edges within each cycle", f"select scc as cycle_id, imports, calls, case when imports > 0 and calls > 0 then 'mixed' when calls > 0 then 'interaction/call-only' else 'import-only' end as basis from ({_BASIS}) b"),
     "app_roots": SqlOp("Entry points, entry surfaces and barrels that are no tests; without any, tops of the graph", APP_ROOTS),
     "dead_island": SqlOp("Components that no application root reaches and nothing public opens, with a score", _DEAD_ISLAND),
