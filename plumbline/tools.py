@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from .operators import evolution, findings, graph, health, rules
+from .plans.ranking import global_rank
 from .plans.scratch import materialize
 from .plans.sqlops import SqlOp
+from .plans.views import RELATIONS
 from .sources import repository
 from .workspace import Workspace, scan
 
@@ -35,6 +37,19 @@ DSM = "select (select count(*) from @levels) as size, (select count(*) from @dep
 #: Tools whose answer is one SELECT: registered as queries too.
 SELECTS = {"tool_scan": SCAN, "tool_health": HEALTH, "tool_check": rules.OPS["check_verdict"].sql, "tool_gate": GATE, "tool_agent_brief": BRIEF, "tool_explain_concept": CONCEPT, "tool_trace_symbol": findings.OPS["trace_symbol"].sql, "tool_git_stats": evolution.OPS["churn"].sql, "tool_dsm": DSM}
 OPS = {name: SqlOp(f"The answer of {name}", sql) for name, sql in SELECTS.items()}
+RELATIONS.views["debt_reports"] = DEBT
+
+
+def brief(reports: DataFrame) -> DataFrame:
+    """The rows of ``tool_agent_brief``: places within a severity from ranks by ranges, as one severity may hold most of the reports."""
+    order = [F.asc("severity"), F.desc("score"), F.asc("kind"), F.asc("scope")]
+    ranked = materialize(global_rank(reports, order, "nth"))
+    first = ranked.groupBy("severity").agg(F.min("nth").alias("first"))
+    return ranked.join(F.broadcast(first), "severity").select("kind", "scope", "score", "severity", (F.col("nth") - F.col("first") + 1).cast("int").alias("place"))
+
+
+#: Answers that Spark gets by a function: (operator, its relations in order, None, as DuckDB gets the SELECT).
+COMPUTED = {"tool_agent_brief": (brief, ("debt_reports",), None)}
 
 
 def tool_scan(w: Workspace) -> Result:
@@ -100,7 +115,7 @@ def tool_session_end(w: Workspace, path: str) -> Result:
 def tool_agent_brief(w: Workspace, limit: int = 3) -> Result:
     """The worst findings, and what to check first. The limit is the reader's."""
     order = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    return {"brief": w.run(OPS["tool_agent_brief"]).orderBy(order.desc(), F.desc("score"), "kind", "scope").limit(limit), "health": w.run(OPS["tool_health"])}
+    return {"brief": w.call(brief, "debt_reports").orderBy(order.desc(), F.desc("score"), "kind", "scope").limit(limit), "health": w.run(OPS["tool_health"])}
 
 
 def tool_explain_concept(w: Workspace, concept: str | None = None) -> Result:
