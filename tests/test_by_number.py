@@ -29,3 +29,10 @@ def test_modularity_writes_no_edges_by_name():
 def test_edges_that_names_are_read_of_are_written():
     assert "dependency_edges" in RELATIONS.often("@module_flows @node_degrees @dependency_edges")
     assert "next_lines" in RELATIONS.often("@module_flows")
+
+
+def test_files_are_looked_up_once(spark, sf_dir, monkeypatch):
+    files, asked = RELATIONS.frame(spark, sf_dir, "module_paths"), []
+    kind, agg = type(files), type(files).agg
+    monkeypatch.setattr(kind, "agg", lambda *a: (asked.append(1), agg(*a))[1])
+    assert by_number(files) and by_number(files) and len(asked) == 1
