@@ -19,3 +19,12 @@ def test_import_edges_come_from_every_order(spark, tmp_path):
 
 def test_call_edges_come_from_every_order(spark, tmp_path):
     assert edges(spark, tmp_path, "call_edges") == [(2, 4), (4, 3)]
+
+
+def test_chain_edges_form_no_pairs_of_all_files(spark, tmp_path):
+    spark.createDataFrame([(0, 3, "Brand#11"), (1, 2, "Brand#11"), (2, 9, "Brand#12"), (3, None, "Brand#12")], "p_partkey long, p_size int, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    chain = RELATIONS.frame(spark, str(tmp_path), "chain_edges")
+    plan = chain._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan or "SortMergeJoin" in plan or "ShuffledHashJoin" in plan  # between files; the count alone is sent whole
+    number = lambda p: int(p.rpartition("f")[2].split(".")[0]) if p.endswith(".ts") and "/x" not in p else 0
+    assert sorted((number(a), number(b)) for a, b in chain.collect()) == [(0, 3), (2, 3)] and plan.count("NestedLoop") == 1
