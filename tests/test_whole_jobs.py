@@ -2,7 +2,7 @@
 
 import pytest
 
-from plumbline.operators import evolution
+from plumbline.operators import evolution, findings
 
 
 @pytest.mark.parametrize("name", ["change_coupling", "change_coupling_min2"])
@@ -15,3 +15,20 @@ def test_files_beyond_the_fiftieth_of_a_commit_are_coupled(spark, name):
     }
     got = [tuple(r) for r in evolution.OPS[name].run(**frames).collect()]
     assert len(got) == 50 and got[0] == ("a.ts", "b.ts", 3, 1.0) and got[1] == ("a.ts", "m00.ts", 3, 1.0)
+
+
+@pytest.fixture
+def large(spark):
+    """a.ts has many functions, one of much cognitive complexity, dependencies and a guardrail test; b.ts has next to nothing."""
+    functions = [("a.ts", f"f{i}", 10, None, 45 if i == 3 else 1, False, False, 0) for i in range(25)] + [("b.ts", "g", 10, 10, None, True, False, 0)]
+    return {
+        "files": spark.createDataFrame([("a.ts", "typescript", 600), ("b.ts", "typescript", 600), ("c.ts", "unknown", 900)], "path string, lang string, lines long"),
+        "functions": spark.createDataFrame(functions, "path string, name string, ln long, cc long, cog long, is_public boolean, is_method boolean, same_file_ref_count long"),
+        "degrees": spark.createDataFrame([("a.ts", 2, 0), ("b.ts", 1, 0)], "path string, fan_out long, fan_in long"),
+        "role_tags": spark.createDataFrame([("a.ts", "guarded_seam"), ("a.ts", "service_layer"), ("b.ts", "service_layer")], "path string, role string"),
+    }
+
+
+def test_a_large_file_scores_by_its_first_cut_too(large):
+    # 2400, 720 for a fifth over the limit, 2400 for complexity 45, and a twelfth of 1200 + 1800 + 2000 + 1600 + 1700 + 1000.
+    assert sorted(map(tuple, findings.OPS["large_file_report"].run(**large).collect())) == [("a.ts", 6295), ("b.ts", 3220)]
