@@ -227,7 +227,7 @@ RELATIONS.computed |= {
     "clone_families": (lambda f, c: materialize(clone_families(SqlOp("links", _CLONE_LINKS).run(functions=f, clones=c))), ("functions", "clones"), _FAMILIES_SQL),
     "debt_components": (debt_components, ("debt_signal_files",), _CLUSTERS_SQL),
 }
-RELATIONS.views |= {"app_roots": APP_ROOTS, "clones": _CLONES, "cycle_clusters": _CLUSTER, "debt_signal_files": _SIGNALS}
+RELATIONS.views |= {"app_roots": APP_ROOTS, "clones": _CLONES, "cycle_clusters": _CLUSTER, "dead_islands": _DEAD_ISLAND, "debt_signal_files": _SIGNALS}
 
 OPS: dict[str, SqlOp] = {
     "cycle_cut_candidates": SqlOp("The three best edges of each cycle by which to cut it", _CUTS),
