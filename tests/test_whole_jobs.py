@@ -2,7 +2,7 @@
 
 import pytest
 
-from plumbline.operators import evolution, findings
+from plumbline.operators import evolution, findings, health
 
 
 @pytest.mark.parametrize("name", ["change_coupling", "change_coupling_min2"])
@@ -46,3 +46,24 @@ def test_structural_debt_has_six_kinds(spark, large):
         ("large_file", "a.ts"): (6295, "medium"), ("large_file", "b.ts"): (3220, "medium"), ("dead_private_code_cluster", "a.ts"): (7900, "high"),
         ("cycle_cluster", "cycle:p.ts"): (7000, "high"), ("dead_island", "island:q.ts"): (2900, "low"),
     }
+
+
+@pytest.mark.parametrize("numbered", [True, False])
+def test_arch_report_has_blast_surface_and_distance(spark, numbered):
+    names = {1: "a.ts", 2: "b.ts", 3: "c.ts", 4: "d.ts"}
+    edges = [(1, 2), (2, 1), (2, 3), (4, 2)]
+    if numbered:  # with repeats, and numbers that no file has
+        graph = spark.createDataFrame([*edges, (4, 2), (1, 99), (99, 4)], "src long, dst long")
+    else:
+        graph = spark.createDataFrame([(names[a], names[b]) for a, b in edges], "src string, dst string")
+    levels = spark.createDataFrame([(p, k, 1, "a.ts" if k < 3 else p) for k, p in names.items()], "path string, node long, level long, scc string")
+    points = spark.createDataFrame([("b.ts",), ("elsewhere.ts",)], "file string")
+    blast, surface = health.import_dependants(graph, levels), health.import_surface(graph, levels, points)
+    assert sorted(map(tuple, blast.collect())) == [("a.ts", 2), ("b.ts", 2), ("c.ts", 3), ("d.ts", 0)] and sorted(r[0] for r in surface.collect()) == ["a.ts", "b.ts", "c.ts"]
+    frames = {
+        "levels": levels, "import_dependants": blast, "import_surface": surface, "upward": spark.createDataFrame([(1,)], "from_file long"), "health": spark.createDataFrame([(4, 4, 1)], "total_import_edges long, graph_files long, cycle_count long"),
+        "files": spark.createDataFrame([(1, "m"), (2, "m"), (3, "n")], "k long, module string"), "module_edges": spark.createDataFrame([("m", "n", "a.ts", "c.ts")], "from_module string, to_module string, from_file string, to_file string"),
+    }
+    row = health.OPS["arch_report"].run(**frames).first()
+    assert (row["max_blast_radius"], row["max_blast_file"], row["attack_surface_files"], row["attack_surface_ratio"], row["upward_ratio"]) == (3, "c.ts", 3, 0.75, 0.25)
+    assert row["avg_distance"] == 0.0  # m has no abstract file and depends on n only: 0 + 1 - 1; n is a foundation
