@@ -48,8 +48,17 @@ def brief(reports: DataFrame) -> DataFrame:
     return ranked.join(F.broadcast(first), "severity").select("kind", "scope", "score", "severity", (F.col("nth") - F.col("first") + 1).cast("int").alias("place"))
 
 
+def explain_concept(concepts: DataFrame, targets: DataFrame, writes: DataFrame, reads: DataFrame) -> DataFrame:
+    """The rows of ``tool_explain_concept``: each side is counted by itself, as joined they would be all triples of a concept's targets, writes and reads."""
+    rows = concepts.select("concept").distinct()
+    used = {"targets": (targets, "target"), "writers": (SqlOp("writes", findings._WRITES).run(writes=writes, concept_targets=targets), "path"), "readers": (SqlOp("reads", findings._READS).run(reads=reads, concept_targets=targets), "path")}
+    for name, (side, column) in used.items():
+        rows = rows.join(side.groupBy("concept").agg(F.count_distinct(column).alias(name)), "concept", "left")
+    return rows.fillna(0, list(used))
+
+
 #: Answers that Spark gets by a function: (operator, its relations in order, None, as DuckDB gets the SELECT).
-COMPUTED = {"tool_agent_brief": (brief, ("debt_reports",), None)}
+COMPUTED = {"tool_agent_brief": (brief, ("debt_reports",), None), "tool_explain_concept": (explain_concept, ("concepts", "concept_targets", "writes", "reads"), None)}
 
 
 def tool_scan(w: Workspace) -> Result:
@@ -119,7 +128,7 @@ def tool_agent_brief(w: Workspace, limit: int = 3) -> Result:
 
 
 def tool_explain_concept(w: Workspace, concept: str | None = None) -> Result:
-    rows = w.run(OPS["tool_explain_concept"])
+    rows = w.call(explain_concept, "concepts", "concept_targets", "writes", "reads")
     return {"concept": rows if concept is None else rows.filter(F.col("concept") == concept)}
 
 

@@ -1,7 +1,8 @@
-"""Reports that once left out a part of their work, on small relations."""
+"""Reports that once left out a part of their work or formed far too many pairs, on small relations."""
 
 import pytest
 
+from plumbline import queries as engine, tools
 from plumbline.operators import evolution, findings, health
 
 
@@ -67,3 +68,19 @@ def test_arch_report_has_blast_surface_and_distance(spark, numbered):
     row = health.OPS["arch_report"].run(**frames).first()
     assert (row["max_blast_radius"], row["max_blast_file"], row["attack_surface_files"], row["attack_surface_ratio"], row["upward_ratio"]) == (3, "c.ts", 3, 0.75, 0.25)
     assert row["avg_distance"] == 0.0  # m has no abstract file and depends on n only: 0 + 1 - 1; n is a foundation
+
+
+def test_a_concept_is_counted_side_by_side(spark):
+    concepts = spark.createDataFrame([("one",), ("two",), ("one",)], "concept string")
+    targets = spark.createDataFrame([("one", "store.a"), ("one", "store.b"), ("one", "store.a")], "concept string, target string")
+    writes = spark.createDataFrame([("store.a", f"w{i % 3}.ts", i) for i in range(300)], "symbol string, path string, line long")
+    reads = spark.createDataFrame([("store.b.field", f"r{i % 7}.ts", i) for i in range(300)], "symbol string, path string, line long")
+    frames = {"concepts": concepts, "concept_targets": targets, "writes": writes, "reads": reads}
+    got = tools.explain_concept(*frames.values())
+    assert sorted(map(tuple, got.collect())) == [("one", 2, 3, 7), ("two", 0, 0, 0)] == sorted(map(tuple, tools.OPS["tool_explain_concept"].run(**frames).collect()))
+
+
+def test_bases_are_looked_up_in_imported_files(spark, sf_dir):
+    plan = engine.queries()["inherit_edge_join"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    named = [line for line in plan.splitlines() if "Join" in line and "base#" in line]
+    assert named and all("to_file#" in line for line in named)
